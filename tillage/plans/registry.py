@@ -8,6 +8,8 @@ from tillage.plans.common import Registered
 
 MODULES = [
     "tillage.plans.admin",
+    "tillage.plans.depot",
+    "tillage.plans.catalog",
 ]
 
 
