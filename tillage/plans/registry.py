@@ -10,6 +10,11 @@ MODULES = [
     "tillage.plans.admin",
     "tillage.plans.depot",
     "tillage.plans.catalog",
+    "tillage.plans.orders",
+    "tillage.plans.vendor",
+    "tillage.plans.customer",
+    "tillage.plans.sales",
+    "tillage.plans.access",
 ]
 
 
