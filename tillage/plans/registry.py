@@ -15,6 +15,7 @@ MODULES = [
     "tillage.plans.customer",
     "tillage.plans.sales",
     "tillage.plans.access",
+    "tillage.plans.jobs",
 ]
 
 
