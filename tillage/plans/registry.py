@@ -16,6 +16,7 @@ MODULES = [
     "tillage.plans.sales",
     "tillage.plans.access",
     "tillage.plans.jobs",
+    "tillage.plans.content",
 ]
 
 
