@@ -40,11 +40,14 @@ def _c(x: Column | str) -> Column:
 
 
 def lexemes(text: Column | str) -> Column:
-    """array<string> of distinct lexemes of ``text`` (NULL text -> empty array)."""
-    stop = F.array(*[F.lit(w) for w in ENGLISH_STOP_WORDS])
+    """array<string> of distinct lexemes of ``text`` (NULL text -> empty array).
+
+    ``array_except`` de-duplicates and drops stop words with one hash set per
+    row, so the cost is linear in the number of words.
+    """
+    drop = F.array(F.lit(""), *[F.lit(w) for w in ENGLISH_STOP_WORDS])
     words = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), TOKEN_SPLIT)
-    kept = F.filter(words, lambda w: (F.length(w) > 0) & ~F.array_contains(stop, w))
-    return F.array_distinct(kept)
+    return F.array_except(words, drop)
 
 
 def product_lexemes(name: Column | str, description: Column | str | None = None) -> Column:
@@ -75,6 +78,17 @@ def matches(tokens: Column | str, query: str) -> Column:
     return pred
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a narrow scan over the cluster's cores before CPU-heavy text work.
+
+    Only when the scan has fewer partitions than the default parallelism (a
+    few large files); a scan of many files is already spread and is left
+    alone, so large corpora are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def inverted_index(df: DataFrame, id_col: str, tokens: Column | str) -> DataFrame:
     """(token, id) pairs: one row per distinct lexeme of each row."""
     return df.select(F.explode(_c(tokens)).alias("token"), F.col(id_col))
