@@ -73,8 +73,11 @@ def _named(b: DataFrame, customers: DataFrame, users: DataFrame, vendors: DataFr
 
 ROW_COLS = ["order_id", "final_amount", "order_status", "payment_status", "created_at", "customer_name",
             "salesman_name", "distributor_name"]
-ROW_ORDER = [F.col("created_at").desc, F.col("order_id").desc, F.col("salesman_name").asc_nulls_last,
-             F.col("distributor_name").asc_nulls_last, F.col("customer_name").asc_nulls_last]
+
+
+def _row_order() -> list:
+    return [F.col("created_at").desc(), F.col("order_id").desc(), F.col("salesman_name").asc_nulls_last(),
+            F.col("distributor_name").asc_nulls_last(), F.col("customer_name").asc_nulls_last()]
 
 
 # R37 ------------------------------------------------------------------------------
@@ -86,7 +89,7 @@ def salesman_report_rows(salesman_orders: DataFrame, salesmen: DataFrame, orders
     b = _bridge(salesman_orders, salesmen, orders, date_from, date_to, salesman_id, distributor_id)
     total = scalar(b.agg(F.count_distinct("order_id")))
     rows = _named(b, customers, users, vendors).select(*ROW_COLS).distinct()
-    return page(rows, [f() for f in ROW_ORDER], p, lim).withColumn("total", total)
+    return page(rows, _row_order(), p, lim).withColumn("total", total)
 
 
 # R38 ------------------------------------------------------------------------------
@@ -102,7 +105,7 @@ def salesman_order_list(salesman_orders: DataFrame, salesmen: DataFrame, orders:
     cols = ["first_name"] + (["order_number"] if "order_number" in b.columns else [])
     b = flt.where_all(b, [flt.optional(search, lambda s: flt.contains_ci(cols, s))])
     total = scalar(b.agg(F.count(F.lit(1))))
-    return page(b.select(*ROW_COLS), [f() for f in ROW_ORDER], p, lim).withColumn("total", total)
+    return page(b.select(*ROW_COLS), _row_order(), p, lim).withColumn("total", total)
 
 
 # R39 ------------------------------------------------------------------------------
