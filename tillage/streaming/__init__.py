@@ -1,0 +1 @@
+"""Incremental forms of the batch jobs on Structured Streaming."""
