@@ -1,5 +1,6 @@
 import os
 import tempfile
+import uuid
 
 from tillage.operators.changes import stock_ledger
 from tillage.streaming.ledger import MOVEMENT_SCHEMA, start_ledger
@@ -7,20 +8,21 @@ from tillage.streaming.ledger import MOVEMENT_SCHEMA, start_ledger
 
 def test_stream_ledger_matches_batch(spark):
     src = tempfile.mkdtemp(prefix="tillage-moves-")
+    name = f"ledger_{uuid.uuid4().hex[:8]}"
     b1 = [(1, "order", -3), (2, "restock", 10)]
     b2 = [(1, "cancel", 3), (1, "order", -2)]
-    spark.createDataFrame(b1, MOVEMENT_SCHEMA).write.parquet(os.path.join(src, "b1"))
-    q = start_ledger(spark, os.path.join(src, "*"), "ledger_test", output_mode="complete")
+    spark.createDataFrame(b1, MOVEMENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    q = start_ledger(spark, src, name, output_mode="complete")
     try:
         q.processAllAvailable()
-        spark.createDataFrame(b2, MOVEMENT_SCHEMA).write.parquet(os.path.join(src, "b2"))
+        spark.createDataFrame(b2, MOVEMENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
         q.processAllAvailable()
     finally:
         q.stop()
-    got = {r.product_id: r for r in spark.table("ledger_test").collect()}
+    got = {r.product_id: r for r in spark.table(name).collect()}
     assert got[1].net_delta == -2 and got[1].units_sold == 5
     assert got[2].net_delta == 10
     products = spark.createDataFrame([(1, 10), (2, 0)], "id long, stock_qty int")
     batch = stock_ledger(products, spark.createDataFrame(b1 + b2, MOVEMENT_SCHEMA))
     assert {r.id: r.stock_qty for r in batch.collect()} == {1: 8, 2: 10}
-    assert spark.table("ledger_test").count() == 2
+    assert spark.table(name).count() == 2
