@@ -71,6 +71,18 @@ def page(df: DataFrame, order: list[Column], page_no: int, limit: int) -> DataFr
     return df.orderBy(*order).offset((page_no - 1) * limit).limit(limit)
 
 
+def materialized_page(df: DataFrame, order: list[Column], page_no: int, limit: int) -> DataFrame:
+    """:func:`page`, written once to the shared checkpoint folder.
+
+    A page is read several times by the enrichment that follows (address,
+    child rows, final projection); without this each read would re-run the
+    whole filtered join and top-k over the full tables. The page holds at
+    most ``limit`` (<= 100) rows, so the write is tiny.
+    """
+    from tillage.session import cut_lineage
+    return cut_lineage(page(df, order, page_no, limit))
+
+
 def page_meta(total: DataFrame, page_no: int, limit: int, total_col: str = "total") -> DataFrame:
     """``{total, page, limit, pages = ceil(total / limit)}`` as a one-row DataFrame."""
     t = F.col(total_col)
