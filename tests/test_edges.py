@@ -250,3 +250,19 @@ def test_apply_batches_checkpoints(spark):
     batches = [spark.createDataFrame([(1, i, i)], "id long, v int, seq int") for i in range(1, 6)]
     out = ch.apply_batches(cur, batches, lambda c, b: ch.upsert(c, b, ["id"], ["v"], ["seq"]), checkpoint_every=2)
     assert out.collect()[0].v == 5
+
+
+def test_prior_values_spans_segments_of_a_hot_key(spark):
+    from pyspark.sql import Window
+
+    from tillage.operators.sequences import prior_values
+    base = dt.datetime(2024, 1, 1)
+    rows_ = [(1 if i % 10 else 2, i, base + dt.timedelta(hours=7 * i), None if i % 4 == 0 else i) for i in range(300)]
+    df = spark.createDataFrame(rows_, "k int, id int, ts timestamp_ntz, v int")
+    got = prior_values(df, ["k"], ["ts", "id"], {"pv": F.col("v"), "prev_row": F.struct("id")}, bucket_seconds=86_400)
+    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("k", "id", F.last("v", True).over(w).alias("pv"),
+                     F.lag("id").over(Window.partitionBy("k").orderBy("ts", "id")).alias("prev"))
+    a = sorted(rows(got.select("id", "pv", F.col("prev_row.id").alias("prev")), "id", "pv", "prev"))
+    b = sorted(rows(want, "id", "pv", "prev"))
+    assert a == b

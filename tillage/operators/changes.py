@@ -4,8 +4,8 @@ Each job takes the current table and a change set and returns the new table
 (or a report). "Latest change wins" is an aggregate (``max_by`` over the
 change order), which combines map-side, so a key that receives a third of
 all changes still costs one partial row per task. Jobs that need an
-ordered walk through a key's events (M10, M11) use a window partitioned by
-that key.
+ordered walk through a key's events (M10, M11) use the time-segmented scan
+of :mod:`tillage.operators.sequences`, so a hot key is not one task either.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillage.functions.exprs import module_key
+from tillage.operators.sequences import prior_values
 from tillage.session import cut_lineage
 
 
@@ -189,14 +190,22 @@ ADMIN_STATUSES = ("confirmed", "packed", "shipped", "out_for_delivery", "deliver
 CANCELLABLE_FROM = ("placed", "confirmed")
 
 
-def apply_status_events(orders: DataFrame, events: DataFrame) -> DataFrame:
+def apply_status_events(orders: DataFrame, events: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     """Walk each order's status events in time order and keep the valid ones.
 
     Admin events set any allowed status (``delivered`` also marks the order
-    paid). Customer cancels (``actor = 'customer'``; without an ``actor``
-    column every ``cancelled`` event is a customer cancel) are accepted only
-    from ``placed`` / ``confirmed``. Returns one row per order with the final
-    status, payment status and accepted / rejected event counts.
+    paid). A customer may only cancel (``actor = 'customer'``; without an
+    ``actor`` column every ``cancelled`` event is a customer cancel), and
+    only from ``placed`` / ``confirmed``. Returns one row per order with the
+    final status, payment status and accepted / rejected event counts.
+
+    The walk needs two facts per event, both "latest earlier value" scans
+    (:func:`tillage.operators.sequences.prior_values`, spread over time
+    segments so a hot order is not one task): the status set by the latest
+    earlier accepted admin event (else the order's stored status), and
+    whether the latest earlier admin-or-cancel event was a cancel (then the
+    order is already cancelled, or the first cancel was refused and this one
+    is refused for the same reason).
     """
     ev = events
     if "actor" not in ev.columns:
@@ -204,16 +213,15 @@ def apply_status_events(orders: DataFrame, events: DataFrame) -> DataFrame:
     ev = ev.join(orders.select(F.col("id").alias("order_id"), F.col("order_status").alias("__init")),
                  "order_id")
     admin_ok = (F.col("actor") == "admin") & F.col("status").isin(*ADMIN_STATUSES)
-    is_cancel = F.col("actor") == "customer"
-    w = Window.partitionBy("order_id").orderBy("created_at", "id")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = (ev.withColumn("__admin_ok", admin_ok)
-          .withColumn("__run", F.sum(F.col("__admin_ok").cast("int")).over(upto))
-          .withColumn("__anchor", F.coalesce(F.last(F.when(F.col("__admin_ok"), F.col("status")), True).over(upto),
-                                             F.col("__init"))))
-    wr = Window.partitionBy("order_id", "__run", is_cancel).orderBy("created_at", "id")
-    ev = ev.withColumn("__nth", F.row_number().over(wr))
-    cancel_ok = is_cancel & (F.col("__nth") == 1) & F.col("__anchor").isin(*CANCELLABLE_FROM)
+    is_cancel = (F.col("actor") == "customer") & (F.col("status") == "cancelled")
+    ev = ev.withColumn("__admin_ok", admin_ok).withColumn("__cancel", is_cancel)
+    ev = prior_values(ev, ["order_id"], ["created_at", "id"], {
+        "__anchor": F.when(F.col("__admin_ok"), F.col("status")),
+        "__prev_kind": F.when(F.col("__admin_ok"), F.lit("A")).when(F.col("__cancel"), F.lit("C")),
+    }, bucket_seconds=bucket_seconds)
+    anchor = F.coalesce(F.col("__anchor"), F.col("__init"))
+    first_in_run = F.coalesce(F.col("__prev_kind"), F.lit("A")) == "A"
+    cancel_ok = F.col("__cancel") & first_in_run & anchor.isin(*CANCELLABLE_FROM)
     ev = ev.withColumn("accepted", F.col("__admin_ok") | cancel_ok)
     ordering = F.struct("created_at", "id")
     per = ev.groupBy("order_id").agg(
@@ -231,20 +239,23 @@ def apply_status_events(orders: DataFrame, events: DataFrame) -> DataFrame:
 
 
 # M11 -----------------------------------------------------------------------------------
-def permission_log(changes: DataFrame, current: DataFrame | None = None) -> DataFrame:
+def permission_log(changes: DataFrame, current: DataFrame | None = None,
+                   bucket_seconds: int = 86_400) -> DataFrame:
     """Audit rows with the value before and after each permission change.
 
     The module key is sanitised first; the old value is the previous change
-    of the same (user, module), else the stored permission, else NULL.
+    of the same (user, module) in time order (a skew-safe "latest earlier
+    value" scan), else the stored permission, else NULL.
     """
     ch = changes.withColumn("module", module_key("module"))
-    w = Window.partitionBy("target_user", "module").orderBy("created_at", "id")
-    prev = F.lag("new_value").over(w)
+    ch = prior_values(ch, ["target_user", "module"], ["created_at", "id"],
+                      {"__prev": F.struct(F.col("new_value").alias("v"))}, bucket_seconds=bucket_seconds)
+    prev = F.when(F.col("__prev").isNotNull(), F.col("__prev.v"))
     if current is not None:
         cur = current.select(F.col("user_id").alias("target_user"), module_key("module").alias("module"),
                              F.col("granted").alias("__stored"))
         ch = ch.join(cur, ["target_user", "module"], "left")
-        prev = F.coalesce(prev, F.col("__stored"))
+        prev = F.when(F.col("__prev").isNotNull(), F.col("__prev.v")).otherwise(F.col("__stored"))
     as_text = lambda c: F.when(c.isNull(), F.lit(None).cast("string")).when(c, "TRUE").otherwise("FALSE")
     return ch.select("id", "changed_by", "target_user", "module", as_text(prev).alias("old_value"),
                      as_text(F.col("new_value")).alias("new_value"), "created_at")
