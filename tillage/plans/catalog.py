@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.exprs import full_name
+from tillage.functions.exprs import URL_PATTERN, full_name, looks_like_url
 from tillage.functions.text import matches, product_lexemes
 from tillage.operators import filters as flt
 from tillage.operators.joins import child_array, primary_image, scalar, with_parent
@@ -102,6 +102,17 @@ def category_list(categories: DataFrame, parent_only: bool = False) -> DataFrame
             .select("id", "name", "sort_order", "parent_id", "parent_name").orderBy("sort_order"))
 
 
+def image_slots(images: DataFrame, slots: int = 8) -> DataFrame:
+    """Each product's first ``slots`` images (by sort_order, id) with their
+    position; position 0 is the primary image; entries whose URL is not valid
+    are skipped without renumbering the others (the upload rule)."""
+    ranked = top_n_per_key(images, ["product_id"], [F.col("sort_order").asc(), F.col("id").asc()], slots,
+                           rank_col="__rn")
+    return (ranked.where(looks_like_url("image_url"))
+            .select("product_id", (F.col("__rn") - 1).alias("pos"), "image_url",
+                    (F.col("__rn") == 1).alias("is_primary")))
+
+
 def active_brands(brands: DataFrame) -> DataFrame:
     return brands.where(F.col("is_active")).select("id", "name", "slug").orderBy("name")
 
@@ -178,6 +189,12 @@ WHERE p.is_active""", "fx_products", "fx_categories", "fx_vendors", "fx_product_
 FROM fx_wishlist w JOIN fx_products p ON w.product_id=p.id JOIN fx_vendors v ON p.vendor_id=v.id
 LEFT JOIN fx_brands b ON p.sku=b.name WHERE p.is_active""",
                       "fx_wishlist", "fx_products", "fx_vendors", "fx_brands", "fx_product_images")),
+    Registered(
+        "e19_image_slots",
+        lambda c: image_slots(c.product_images),
+        with_fixtures(f"""SELECT product_id, rn - 1 AS pos, image_url, rn = 1 AS is_primary
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY sort_order, id) AS rn FROM fx_product_images)
+WHERE rn <= 8 AND regexp_matches(image_url, '{URL_PATTERN}')""", "fx_product_images")),
     Registered(
         "r26_categories_flat",
         lambda c: category_list(c.categories),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tillage.functions.exprs import code_from_id
 from tillage.operators import changes as ch
 from tillage.operators import quality as q
+from tillage.operators.paging import latest_per_key
 from tillage.operators.pricing import invoice_totals, price_orders
 from tillage.plans.common import AS_OF, Registered
 from tillage.sources.fixtures import Catalog, with_fixtures
@@ -289,6 +290,11 @@ UNION ALL SELECT 'cnf_orders.warehouse_id', count(*) FROM fx_cnf_orders o WHERE
                                                          "fx_salesmen", "fx_vendors", "fx_products", "fx_categories",
                                                          "fx_order_items", "fx_product_images", "fx_cnf_orders",
                                                          "fx_warehouses")),
+    Registered("l6_latest_order_status",
+               lambda c: latest_per_key(c.status_events, "order_id", "created_at", "id", ["status", "created_at"]),
+               with_fixtures("""SELECT order_id, status, created_at FROM (SELECT *, row_number() OVER
+  (PARTITION BY order_id ORDER BY created_at DESC, id DESC) AS rn FROM fx_status_events) WHERE rn=1""",
+                             "fx_status_events")),
     Registered("m16_cart_clamp", lambda c: ch.clamp_cart(c.cart, c.products),
                with_fixtures("""SELECT c.customer_id, c.product_id,
   CAST(greatest(1, least(c.quantity, p.stock_qty)) AS INTEGER) AS quantity
