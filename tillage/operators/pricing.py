@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from tillage.functions.exprs import money_round
 from tillage.operators.aggregates import MONEY
-from tillage.operators.filters import valid_at
-from tillage.operators.joins import bounded, scalar
+from tillage.operators.joins import join_valid, scalar
 from tillage.sources.literals import delivery_settings
 
 
@@ -34,12 +33,13 @@ def price_orders(requests: DataFrame, cart: DataFrame, products: DataFrame, coup
         F.count(F.lit(1)).alias("line_count"),
         F.bool_and(F.col("quantity") <= F.col("stock_qty")).alias("__stock_ok"))
     req = requests.withColumn("__code", F.upper(F.trim(F.col("coupon_code"))))
-    live = coupons.where(F.coalesce(F.col("is_active"), F.lit(True)) &
-                         valid_at("valid_from", "valid_to", as_of))
-    # Coupons are a small literal table (one row per code): broadcast is bounded.
-    cp = bounded(live.select(F.col("code").alias("__code"), "discount_type", "discount_value",
-                             "minimum_order_amount", "max_discount"))
-    j = req.join(per, "customer_id", "left").join(cp, "__code", "left")
+    live = coupons.where(F.coalesce(F.col("is_active"), F.lit(True))).select(
+        F.col("code").alias("__cp"), "discount_type", "discount_value", "minimum_order_amount", "max_discount",
+        "valid_from", "valid_to")
+    # Equi join on the code with the validity range as a residual; coupons
+    # are a small literal table (one row per code), so the broadcast is bounded.
+    j = join_valid(req.join(per, "customer_id", "left"), live, "__code", "__cp", F.lit(as_of),
+                   "valid_from", "valid_to", right_bounded=True)
     sub = F.col("subtotal")
     pct = sub * F.col("discount_value") / F.lit(100)
     pct = F.when(F.col("max_discount").isNotNull(), F.least(pct, F.col("max_discount"))).otherwise(pct)
