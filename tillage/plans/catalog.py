@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillage.functions.exprs import URL_PATTERN, full_name, looks_like_url
-from tillage.functions.text import matches, product_lexemes
+from tillage.functions.text import ENGLISH_STOP_WORDS, matches, product_lexemes
 from tillage.operators import filters as flt
 from tillage.operators.joins import child_array, primary_image, scalar, with_parent
 from tillage.operators.paging import clamp_page, page, top_n_per_key, whitelisted_sort
@@ -118,7 +118,7 @@ def active_brands(brands: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------
-STOP = ",".join(f"'{w}'" for w in __import__("tillage.functions.text", fromlist=["x"]).ENGLISH_STOP_WORDS)
+STOP = ",".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
 
 
 def sql_lexemes(expr: str) -> str:

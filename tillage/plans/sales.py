@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tillage.functions.exprs import full_name
 from tillage.operators import filters as flt
-from tillage.operators.aggregates import MONEY, sum_or_zero
-from tillage.operators.joins import bounded, child_array, scalar
+from tillage.operators.aggregates import sum_or_zero
+from tillage.operators.joins import child_array, scalar
 from tillage.operators.paging import clamp_page, materialized_page, page
 from tillage.plans.common import Registered, digest
 from tillage.sources.fixtures import Catalog, with_fixtures
@@ -126,9 +126,8 @@ def manufacturer_orders(mo: DataFrame, manufacturers: DataFrame, items: DataFram
                           flt.optional(search, lambda s: flt.contains_ci(["order_number", "manufacturer_name"], s))])
     total = scalar(j.agg(F.count(F.lit(1))))
     chosen = materialized_page(j, [F.col("order_date").desc(), F.col("id").desc()], p, lim)
-    keys = bounded(chosen.select(F.col("id").alias("order_id")))
-    out = child_array(chosen, items.join(keys, "order_id", "left_semi"), "id", "order_id",
-                      ["product_id", "quantity", "unit_price"], "items")
+    out = child_array(chosen, items, "id", "order_id", ["product_id", "quantity", "unit_price"], "items",
+                      parent_bounded=True)
     return out.withColumn("total", total)
 
 
