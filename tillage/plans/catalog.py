@@ -109,7 +109,7 @@ def image_slots(images: DataFrame, slots: int = 8) -> DataFrame:
     ranked = top_n_per_key(images, ["product_id"], [F.col("sort_order").asc(), F.col("id").asc()], slots,
                            rank_col="__rn")
     return (ranked.where(looks_like_url("image_url"))
-            .select("product_id", (F.col("__rn") - 1).alias("pos"), "image_url",
+            .select("product_id", (F.col("__rn") - 1).cast("bigint").alias("pos"), "image_url",
                     (F.col("__rn") == 1).alias("is_primary")))
 
 

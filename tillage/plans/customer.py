@@ -60,7 +60,7 @@ def address_book(addresses: DataFrame) -> DataFrame:
         order.append(F.col("created_at").desc())
     order.append(F.col("id").desc())
     w = Window.partitionBy("customer_id").orderBy(*order)
-    return addresses.withColumn("position", F.row_number().over(w))
+    return addresses.withColumn("position", F.row_number().over(w).cast("bigint"))
 
 
 def _r33(variant: str):
