@@ -266,3 +266,12 @@ def test_prior_values_spans_segments_of_a_hot_key(spark):
     a = sorted(rows(got.select("id", "pv", F.col("prev_row.id").alias("prev")), "id", "pv", "prev"))
     b = sorted(rows(want, "id", "pv", "prev"))
     assert a == b
+
+
+def test_conform_to_declared_schema(spark):
+    from tillage.sources.schemas import DDL, conform
+    df = spark.createDataFrame([(1, "9.5", "x")], "id int, selling_price string, junk string")
+    out = conform(df, "products")
+    assert out.columns == [f.split()[0] for f in DDL["products"].split(", ")]
+    r = out.collect()[0]
+    assert (r.id, str(r.selling_price), r.name) == (1, "9.50", None)

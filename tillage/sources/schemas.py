@@ -1,6 +1,9 @@
 """Declared schemas of the marketplace tables (no inference).
 
-These are the columns the reports and jobs read, typed as the reference's
+``supply_items`` is the shared shape of the two invoice-line tables
+(``manufacturer_order_items``, ``cnf_order_items``) as the reports read them;
+both full tables are declared too. ``otp_cache`` keeps no OTP code column
+(credentials are not analytics). These are the columns the reports and jobs read, typed as the reference's
 DDL types map to Spark (UUID -> string or long key, DECIMAL(p,s) -> decimal,
 TIMESTAMP -> timestamp_ntz). :func:`conform` brings any input to a declared
 schema: missing columns become typed NULLs, extra columns are dropped, and
@@ -59,6 +62,17 @@ DDL = {
                   "order_date timestamp_ntz, total_amount decimal(12,2), order_status string",
     "salesmen": "id bigint, name string, mobile string, distributor_id bigint",
     "salesman_orders": "order_id bigint, salesman_id bigint",
+    "manufacturer_order_items": "manufacturer_order_id bigint, product_id bigint, product_name string, quantity int, "
+                                "unit_price decimal(10,2), tax_rate decimal(5,2), discount decimal(10,2), "
+                                "total decimal(12,2)",
+    "cnf_order_items": "cnf_order_id bigint, product_id bigint, product_name string, quantity int, "
+                       "unit_price decimal(10,2), total decimal(12,2)",
+    "coupon_usage": "coupon_code string, customer_id bigint, order_id bigint, used_at timestamp_ntz",
+    "notifications": "id bigint, user_id bigint, title string, message string, is_read boolean, "
+                     "created_at timestamp_ntz",
+    "warehouse_employees": "user_id bigint, warehouse_id int, role string, is_active boolean, "
+                           "created_at timestamp_ntz",
+    "otp_cache": "identifier string, purpose string, expires_at bigint, is_used boolean",
     "app_settings": "key string, value string",
     "commission_rates": "category string, rate decimal(5,2), gst_on_comm decimal(5,2), is_active boolean",
 }
