@@ -21,6 +21,13 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ntz(value: dt.datetime | dt.date) -> Column:
+    """A ``timestamp_ntz`` literal (wall-clock time, independent of any time zone)."""
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, dt.time())
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 # E1 -------------------------------------------------------------------------
 def to_char(ts: Column | str, pg_pattern: str) -> Column:
     return F.date_format(_c(ts), TO_CHAR_PATTERNS[pg_pattern])
@@ -44,13 +51,13 @@ def next_day_midnight(d: Column | str) -> Column:
 # E4 -------------------------------------------------------------------------
 def whole_days_until(d: Column | str, as_of: dt.datetime) -> Column:
     """``EXTRACT(DAY FROM d - as_of)::INT``: whole days, fraction dropped toward zero."""
-    interval = _c(d).cast("timestamp_ntz") - F.lit(as_of)
+    interval = _c(d).cast("timestamp_ntz") - ntz(as_of)
     return F.extract(F.lit("DAY"), interval).cast("int")
 
 
 # E5 -------------------------------------------------------------------------
 def shifted(as_of: dt.datetime, days: int = 0) -> Column:
-    return F.lit(as_of + dt.timedelta(days=days))
+    return ntz(as_of + dt.timedelta(days=days))
 
 
 # E6 -------------------------------------------------------------------------

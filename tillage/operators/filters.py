@@ -12,6 +12,8 @@ from typing import Any, Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillage.functions.exprs import ntz
+
 ColumnLike = Column | str
 
 
@@ -84,14 +86,14 @@ def on_day(ts: ColumnLike, day: str | dt.date) -> Column:
     """``DATE(ts) = day`` rewritten as a half-open range (keeps scan pushdown)."""
     d = _date(day)
     start = dt.datetime.combine(d, dt.time())
-    return (_c(ts) >= F.lit(start)) & (_c(ts) < F.lit(start + dt.timedelta(days=1)))
+    return (_c(ts) >= ntz(start)) & (_c(ts) < ntz(start + dt.timedelta(days=1)))
 
 
 def between_to_next_midnight(ts: ColumnLike, start: str | dt.date, end: str | dt.date) -> Column:
     """``ts BETWEEN start AND end::date + 1``: the next day's 00:00:00 is included."""
     lo = dt.datetime.combine(_date(start), dt.time())
     hi = dt.datetime.combine(_date(end) + dt.timedelta(days=1), dt.time())
-    return (_c(ts) >= F.lit(lo)) & (_c(ts) <= F.lit(hi))
+    return (_c(ts) >= ntz(lo)) & (_c(ts) <= ntz(hi))
 
 
 def months_before(as_of: dt.datetime, months: int) -> dt.datetime:
@@ -106,18 +108,18 @@ def trailing(ts: ColumnLike, as_of: dt.datetime, *, months: int = 0, days: int =
     """``ts >= as_of - INTERVAL`` (months or days)."""
     start = months_before(as_of, months) if months else as_of
     start = start - dt.timedelta(days=days)
-    return _c(ts) >= F.lit(start)
+    return _c(ts) >= ntz(start)
 
 
 # expiry bands ----------------------------------------------------------
 def _ts(as_of: dt.datetime) -> Column:
-    return F.lit(as_of)
+    return ntz(as_of)
 
 
 def expiry_band_stock(expiry: ColumnLike, band: str, as_of: dt.datetime) -> Column | None:
     """Stock list filter: expired / expiring_soon (0-30 days) / good (incl. NULL)."""
     e = _c(expiry).cast("timestamp_ntz")
-    now, soon = _ts(as_of), F.lit(as_of + dt.timedelta(days=30))
+    now, soon = _ts(as_of), ntz(as_of + dt.timedelta(days=30))
     if band == "expired":
         return e < now
     if band == "expiring_soon":
@@ -134,9 +136,9 @@ def expiry_band_report(expiry: ColumnLike, band: str, as_of: dt.datetime) -> Col
     if band == "expired":
         return e < now
     if band == "expiring_7":
-        return e.between(now, F.lit(as_of + dt.timedelta(days=7)))
+        return e.between(now, ntz(as_of + dt.timedelta(days=7)))
     if band == "expiring_30":
-        return e.between(now, F.lit(as_of + dt.timedelta(days=30)))
+        return e.between(now, ntz(as_of + dt.timedelta(days=30)))
     return None
 
 

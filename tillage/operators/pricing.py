@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.exprs import money_round
+from tillage.functions.exprs import money_round, ntz
 from tillage.operators.aggregates import MONEY
 from tillage.operators.joins import join_valid, scalar
 from tillage.sources.literals import delivery_settings
@@ -38,7 +38,7 @@ def price_orders(requests: DataFrame, cart: DataFrame, products: DataFrame, coup
         "valid_from", "valid_to")
     # Equi join on the code with the validity range as a residual; coupons
     # are a small literal table (one row per code), so the broadcast is bounded.
-    j = join_valid(req.join(per, "customer_id", "left"), live, "__code", "__cp", F.lit(as_of),
+    j = join_valid(req.join(per, "customer_id", "left"), live, "__code", "__cp", ntz(as_of),
                    "valid_from", "valid_to", right_bounded=True)
     sub = F.col("subtotal")
     pct = sub * F.col("discount_value") / F.lit(100)
