@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillage.functions.exprs import money_round
 from tillage.operators import filters as flt
-from tillage.operators.aggregates import MONEY, count_children
+from tillage.operators.aggregates import MONEY
 from tillage.operators.joins import child_array, primary_image, scalar
 from tillage.operators.paging import top_n_per_key
 from tillage.plans.common import Registered, digest
@@ -27,14 +27,29 @@ def _named_items(order_items: DataFrame, products: DataFrame) -> DataFrame:
 def order_history(orders: DataFrame, order_items: DataFrame, products: DataFrame, status: str = "",
                   page_no: int = 1, customer_id=None) -> DataFrame:
     """Every customer's (or one customer's) order page: newest first, 10 per page,
-    with item_count and items[]; the page is numbered per customer."""
+    with item_count and items[]; the page is numbered per customer.
+
+    The page is chosen first (per-customer top-n); then one left join to the
+    order lines gives both ``item_count`` (every line, ``COUNT(oi.id)``) and
+    ``items[]`` (lines whose product exists, as the reference's inner join).
+    """
     o = flt.where_all(orders, [flt.optional(status, lambda v: F.col("order_status") == F.lit(str(v).lower())),
                                None if customer_id is None else F.col("customer_id") == F.lit(customer_id)])
-    o = count_children(o, order_items, "id", "order_id", "item_count")
     ranked = top_n_per_key(o, ["customer_id"], [F.col("created_at").desc(), F.col("id").desc()],
                            page_no * HISTORY_PAGE, rank_col="__rn")
     chosen = ranked.where(F.col("__rn") > (page_no - 1) * HISTORY_PAGE).drop("__rn")
-    return child_array(chosen, _named_items(order_items, products), "id", "order_id", ITEM_FIELDS, "items")
+    names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"),
+                            F.lit(True).alias("__known"))
+    lines = order_items.join(names, "product_id", "left").select(
+        F.col("order_id").alias("__oid"), "__known", *[F.col(c).alias(f"__i_{c}") for c in ITEM_FIELDS])
+    j = chosen.join(lines, chosen.id == lines.__oid, "left")
+    elem = F.when(F.col("__known"), F.struct(*[F.col(f"__i_{c}").alias(c) for c in ITEM_FIELDS]))
+    others = [c for c in chosen.columns if c != "id"]
+    return (j.groupBy("id")
+            .agg(*[F.any_value(c).alias(c) for c in others],
+                 F.count("__oid").alias("item_count"),
+                 F.array_sort(F.collect_list(elem)).alias("items"))
+            .select(*chosen.columns, "item_count", "items"))
 
 
 # R23 ------------------------------------------------------------------------------
