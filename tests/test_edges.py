@@ -275,3 +275,14 @@ def test_conform_to_declared_schema(spark):
     assert out.columns == [f.split()[0] for f in DDL["products"].split(", ")]
     r = out.collect()[0]
     assert (r.id, str(r.selling_price), r.name) == (1, "9.50", None)
+
+
+def test_index_search_matches_scan_search(spark):
+    from tillage.functions.text import inverted_index, search_index
+    df = spark.createDataFrame([(1, "The Red Drip-Pipe"), (2, "red apples and the pipes"), (3, None)],
+                               "id int, t string")
+    lx = df.select("id", lexemes("t").alias("lx"))
+    idx = inverted_index(lx, "id", "lx")
+    assert [r.id for r in search_index(idx, "id", "red pipe").collect()] == [1]
+    assert search_index(idx, "id", "the and").count() == 0
+    assert sorted(r.id for r in search_index(idx, "id", "RED").collect()) == [1, 2]

@@ -90,5 +90,23 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def inverted_index(df: DataFrame, id_col: str, tokens: Column | str) -> DataFrame:
-    """(token, id) pairs: one row per distinct lexeme of each row."""
+    """(token, id) pairs: one row per distinct lexeme of each row.
+
+    Written once (e.g. partitioned or bucketed by ``token``), it turns a
+    search into a read of the query's token partitions instead of a scan and
+    re-tokenisation of the whole corpus.
+    """
     return df.select(F.explode(_c(tokens)).alias("token"), F.col(id_col))
+
+
+def search_index(index: DataFrame, id_col: str, query: str) -> DataFrame:
+    """F4 over an inverted index: ids that have every lexeme of ``query``.
+
+    The index rows of the query's lexemes are counted per id (a partial
+    aggregate, so a very common token is combined map-side); an id matches
+    when it has all of them. A query without lexemes matches nothing.
+    """
+    q = query_lexemes(query)
+    hits = index.where(F.col("token").isin(q) if q else F.lit(False))
+    per = hits.groupBy(id_col).agg(F.count_distinct("token").alias("__n"))
+    return per.where(F.col("__n") == F.lit(len(q))).select(id_col)

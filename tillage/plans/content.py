@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.text import lexemes, matches, spread
+from tillage.functions.text import inverted_index, lexemes, matches, search_index, spread
 from tillage.operators.joins import child_array
 from tillage.plans.catalog import sql_lexemes
 from tillage.plans.common import Registered
@@ -26,6 +26,13 @@ def document_search(documents: DataFrame, query: str) -> DataFrame:
     return lx.where(matches("lexemes", query))
 
 
+def document_index_search(documents: DataFrame, query: str) -> DataFrame:
+    """F4 through the token -> doc_id index built from every whole document."""
+    index = inverted_index(document_lexemes(documents), "doc_id", "lexemes")
+    ids = search_index(index, "doc_id", query)
+    return documents.select("doc_id", "lang").join(ids, "doc_id", "left_semi")
+
+
 def event_props(events: DataFrame) -> DataFrame:
     """``props`` JSON text decoded into typed columns."""
     return decode_json(events, "props", "k int").select("event_id", "event_type", "props.k")
@@ -58,6 +65,11 @@ REGISTRY = [
             "doc_id", "lang", F.size("lexemes").cast("bigint").alias("lexeme_count")),
         f"""SELECT doc_id, lang, CAST(len(lx) AS BIGINT) AS lexeme_count
 FROM (SELECT doc_id, lang, {sql_lexemes('text')} AS lx FROM documents)
+WHERE list_contains(lx, 'ertion') AND list_contains(lx, 'rely')"""),
+    Registered(
+        "f4_document_index_search",
+        lambda c: document_index_search(c.base("documents"), SEARCH_QUERY),
+        f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, {sql_lexemes('text')} AS lx FROM documents)
 WHERE list_contains(lx, 'ertion') AND list_contains(lx, 'rely')"""),
     Registered(
         "s4_event_props",
