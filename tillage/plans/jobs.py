@@ -127,20 +127,30 @@ def _m09(c: Catalog) -> DataFrame:
     return ch.stock_ledger(c.products, c.stock_movements).select("id", "stock_qty", "sold_count")
 
 
+# The CHECK constraints of the final schema (after all migrations).
+USER_ROLES = ["customer", "vendor", "admin", "owner", "superadmin"]
+PAYMENT_STATUSES = ["pending", "paid", "failed", "refunded"]
+ORDER_STATUSES = ["placed", "confirmed", "packed", "shipped", "out_for_delivery", "delivered", "cancelled", "returned"]
+VENDOR_STATUSES = ["pending", "approved", "rejected", "suspended"]
+DOCUMENT_TYPES = ["AADHAAR", "PAN", "GST_CERTIFICATE", "TRADE_LICENCE", "BUSINESS_REGISTRATION", "BANK_PASSBOOK",
+                  "BUSINESS_LOGO", "OTHER"]
+SUPPLY_ORDER_STATUSES = ["pending", "confirmed", "dispatched", "delivered", "cancelled"]
+
+
+def _sql_list(values: list[str]) -> str:
+    return ",".join(f"'{v}'" for v in values)
+
+
 def _m13(c: Catalog) -> DataFrame:
     return q.quality_report({
-        "users": (c.users, [q.required("last_name"), q.one_of("role", ["customer", "vendor", "admin"])]),
+        "users": (c.users, [q.required("last_name"), q.one_of("role", USER_ROLES)]),
         "customers": (c.customers, [q.required("customer_code")]),
-        "orders": (c.orders, [q.one_of("payment_status", ["pending", "paid", "failed", "refunded"]),
-                              q.one_of("order_status", ["placed", "confirmed", "packed", "shipped",
-                                                        "out_for_delivery", "delivered", "cancelled", "returned"])]),
-        "vendors": (c.vendors, [q.required("business_name"),
-                                q.one_of("status", ["pending", "approved", "rejected", "suspended"])]),
-        "vendor_documents": (c.vendor_documents, [q.one_of("document_type", [
-            "AADHAAR", "PAN", "GST_CERTIFICATE", "BUSINESS_LOGO", "OTHER"])]),
+        "orders": (c.orders, [q.one_of("payment_status", PAYMENT_STATUSES),
+                              q.one_of("order_status", ORDER_STATUSES)]),
+        "vendors": (c.vendors, [q.required("business_name"), q.one_of("status", VENDOR_STATUSES)]),
+        "vendor_documents": (c.vendor_documents, [q.one_of("document_type", DOCUMENT_TYPES)]),
         "reviews": (c.reviews, [q.between("rating", 1, 5)]),
-        "cnf_orders": (c.cnf_orders, [q.one_of("order_status", ["pending", "confirmed", "dispatched",
-                                                                "delivered", "cancelled"])]),
+        "cnf_orders": (c.cnf_orders, [q.one_of("order_status", SUPPLY_ORDER_STATUSES)]),
     })
 
 
@@ -257,17 +267,17 @@ FROM (SELECT *, lag(new_value) OVER (PARTITION BY target_user, regexp_replace(lo
                with_fixtures("""SELECT order_id, count(*) AS line_count,
   CAST(sum(coalesce(quantity, 1) * coalesce(unit_price, 0)) AS DECIMAL(38,2)) AS total_amount
 FROM fx_supply_items GROUP BY order_id""", "fx_supply_items")),
-    Registered("m13_quality_report", _m13, with_fixtures("""
+    Registered("m13_quality_report", _m13, with_fixtures(f"""
 SELECT 'users' AS table_name, 'last_name_required' AS rule, 'last_name' AS column_name,
   count(*) FILTER (WHERE NOT coalesce(last_name IS NOT NULL AND CAST(last_name AS VARCHAR) <> '', FALSE)) AS violations,
   count(*) AS checked_rows FROM fx_users
-UNION ALL SELECT 'users', 'role_in', 'role', count(*) FILTER (WHERE role IS NOT NULL AND role NOT IN ('customer','vendor','admin')), count(*) FROM fx_users
+UNION ALL SELECT 'users', 'role_in', 'role', count(*) FILTER (WHERE role IS NOT NULL AND role NOT IN ({_sql_list(USER_ROLES)})), count(*) FROM fx_users
 UNION ALL SELECT 'customers', 'customer_code_required', 'customer_code', count(*) FILTER (WHERE customer_code IS NULL OR customer_code = ''), count(*) FROM fx_customers
 UNION ALL SELECT 'orders', 'payment_status_in', 'payment_status', count(*) FILTER (WHERE payment_status NOT IN ('pending','paid','failed','refunded')), count(*) FROM fx_orders
 UNION ALL SELECT 'orders', 'order_status_in', 'order_status', count(*) FILTER (WHERE order_status NOT IN ('placed','confirmed','packed','shipped','out_for_delivery','delivered','cancelled','returned')), count(*) FROM fx_orders
 UNION ALL SELECT 'vendors', 'business_name_required', 'business_name', count(*) FILTER (WHERE business_name IS NULL OR business_name = ''), count(*) FROM fx_vendors
 UNION ALL SELECT 'vendors', 'status_in', 'status', count(*) FILTER (WHERE status NOT IN ('pending','approved','rejected','suspended')), count(*) FROM fx_vendors
-UNION ALL SELECT 'vendor_documents', 'document_type_in', 'document_type', count(*) FILTER (WHERE document_type NOT IN ('AADHAAR','PAN','GST_CERTIFICATE','BUSINESS_LOGO','OTHER')), count(*) FROM fx_vendor_documents
+UNION ALL SELECT 'vendor_documents', 'document_type_in', 'document_type', count(*) FILTER (WHERE document_type NOT IN ({_sql_list(DOCUMENT_TYPES)})), count(*) FROM fx_vendor_documents
 UNION ALL SELECT 'reviews', 'rating_range', 'rating', count(*) FILTER (WHERE rating NOT BETWEEN 1 AND 5), count(*) FROM fx_reviews
 UNION ALL SELECT 'cnf_orders', 'order_status_in', 'order_status', count(*) FILTER (WHERE order_status NOT IN ('pending','confirmed','dispatched','delivered','cancelled')), count(*) FROM fx_cnf_orders""",
                                                           "fx_users", "fx_customers", "fx_orders", "fx_vendors",
