@@ -54,8 +54,10 @@ def rows_to_map(df: DataFrame, key: str, value: str, group: list[str] | None = N
                 name: str = "map") -> DataFrame:
     """``{key: value}`` per group (or one map when ``group`` is empty).
 
-    Entries are sorted by key so the map is deterministic; a key that occurs
-    twice keeps the last entry in key order (PHP array assignment).
+    Entries are sorted by key so the map is deterministic. ``key`` must be
+    unique within a group (it is a primary key in every use); a repeated key
+    fails the job under Spark's default map-key policy rather than silently
+    picking one value.
     """
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
     agg = F.map_from_entries(entries).alias(name)
