@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 
 def decode_json(df: DataFrame, col: str, schema: str | T.DataType) -> DataFrame:
-    """Replace the JSON text column ``col`` by its parsed value (NULL on malformed text)."""
+    """Replace the JSON text column ``col`` by its parsed value (permissive: malformed text gives NULLs)."""
     return df.withColumn(col, F.from_json(F.col(col), schema))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillage.functions.exprs import php_float
+
 # Settings that change results (delivery rule), with the
 # reference's defaults. Other keys carry neutral placeholder text.
 DELIVERY_FREE_THRESHOLD_DEFAULT = 499.0
@@ -98,9 +100,10 @@ def seed_coupons(spark: SparkSession) -> DataFrame:
 
 
 def _setting(settings: DataFrame, key: str, default: float) -> Column:
-    """Conditional max of one key, cast leniently, with the default."""
+    """One key's value as PHP ``(float)($settings[key] ?? default)``: the default
+    only when the key is absent; a present value is read leniently ('12abc' -> 12)."""
     raw = F.max(F.when(F.col("key") == key, F.col("value")))
-    return F.coalesce(raw.try_cast("double"), F.lit(default))
+    return F.when(raw.isNull(), F.lit(default)).otherwise(php_float(raw))
 
 
 def delivery_settings(settings: DataFrame) -> DataFrame:
