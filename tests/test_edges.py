@@ -238,10 +238,13 @@ def test_text_match(spark):
 
 def test_settings_map_and_envelope(spark):
     m = access.settings_map(seed_settings(spark)).collect()[0].settings
-    assert m["delivery_charge"] == "49" and len(m) == 22
+    assert m["delivery_charge"] == "49" and len(m) == 26
     page_rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
     meta = page_meta(spark.range(1).select(F.lit(41).alias("total")), 1, 20)
     js = page_envelope(page_rows, meta).collect()[0].json
+    from tillage.sources.json_io import explode_json_array
+    slides = explode_json_array(seed_settings(spark), "stats_bar", "struct<num:string,label:string>").collect()
+    assert [(r.pos, r.item.label) for r in slides] == [(0, "Products"), (1, "Regions")]
     assert js.startswith('{"success":true,"data":[') and '"pages":3' in js
 
 
