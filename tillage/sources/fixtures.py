@@ -170,6 +170,8 @@ class Catalog:
     # -- orders -----------------------------------------------------------
     @cached_property
     def orders(self) -> DataFrame:
+        # address_id: the address stand-in is keyed by the customer key, so an
+        # order's delivery address is its customer's address row.
         o = self.base("orders")
         pay = (F.when(F.col("o_orderstatus") == "F", "paid")
                .when(F.col("o_orderstatus") == "O", "pending").otherwise("failed"))
