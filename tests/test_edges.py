@@ -289,3 +289,27 @@ def test_index_search_matches_scan_search(spark):
     assert [r.id for r in search_index(idx, "id", "red pipe").collect()] == [1]
     assert search_index(idx, "id", "the and").count() == 0
     assert sorted(r.id for r in search_index(idx, "id", "RED").collect()) == [1, 2]
+
+
+def test_vendor_decisions(spark):
+    vendors = spark.createDataFrame([("abcdef12-aa", "pending"), ("bbbbbbbb-cc", "pending"), ("cccccccc-dd", "approved"),
+                                     ("dddddddd-ee", "pending")], "id string, status string")
+    t = dt.datetime(2024, 1, 1)
+    dec = spark.createDataFrame([
+        ("abcdef12-aa", "approve", t, 1), ("abcdef12-aa", "approve", t + dt.timedelta(hours=1), 2),
+        ("bbbbbbbb-cc", "reject", t, 3), ("bbbbbbbb-cc", "approve", t + dt.timedelta(hours=1), 4),
+        ("cccccccc-dd", "approve", t, 5),
+        ("dddddddd-ee", "approve", t, 6), ("dddddddd-ee", "reject", t + dt.timedelta(hours=1), 7)],
+        "vendor_id string, action string, created_at timestamp_ntz, id int")
+    got = {r.id: (r.status, r.vendor_code, r.applied_decisions, r.refused_decisions)
+           for r in ch.apply_vendor_decisions(vendors, dec).collect()}
+    assert got == {"abcdef12-aa": ("approved", "VND-ABCDEF12", 1, 1), "bbbbbbbb-cc": ("rejected", None, 1, 1),
+                   "cccccccc-dd": ("approved", None, 0, 1), "dddddddd-ee": ("rejected", "VND-DDDDDDDD", 2, 0)}
+
+
+def test_supply_status_latest_allowed(spark):
+    orders = spark.createDataFrame([(1, "pending"), (2, "pending")], "id long, status string")
+    t = dt.datetime(2024, 1, 1)
+    up = spark.createDataFrame([(1, "dispatched", t, 1), (1, "bogus", t + dt.timedelta(hours=1), 2),
+                                (2, "cancelled", t, 3)], "order_id long, status string, created_at timestamp_ntz, id int")
+    assert {r.id: r.status for r in ch.apply_supply_status(orders, up).collect()} == {1: "dispatched", 2: "cancelled"}

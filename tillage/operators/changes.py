@@ -238,6 +238,54 @@ def apply_status_events(orders: DataFrame, events: DataFrame, bucket_seconds: in
         F.coalesce(F.col("rejected_events"), F.lit(0)).cast("bigint").alias("rejected_events"))
 
 
+def apply_vendor_decisions(vendors: DataFrame, decisions: DataFrame, code_prefix: str = "VND-") -> DataFrame:
+    """Approve / reject decisions per vendor (``vendor_id, action, created_at, id``).
+
+    A reject is always applied. An approve applies only to a ``pending``
+    vendor, so only the first approve can apply and only if no reject came
+    before it; an applied approve also sets ``vendor_code`` (prefix + first 8
+    characters of the id, upper case). Everything is a per-vendor aggregate
+    (first / last decision), so no window or sort per vendor is needed.
+    """
+    order = F.struct("created_at", "id")
+    per = decisions.groupBy("vendor_id").agg(
+        F.min(F.when(F.col("action") == "approve", order)).alias("__first_ok"),
+        F.min(F.when(F.col("action") == "reject", order)).alias("__first_no"),
+        F.max(F.when(F.col("action") == "reject", order)).alias("__last_no"),
+        F.count_if(F.col("action") == "approve").alias("__n_ok"),
+        F.count_if(F.col("action") == "reject").alias("__n_no"),
+        F.count_if(~F.col("action").isin("approve", "reject")).alias("__n_bad"))
+    j = vendors.join(per.withColumnRenamed("vendor_id", "__vid"), vendors.id == F.col("__vid"), "left")
+    ok_applies = (F.col("status") == "pending") & F.col("__first_ok").isNotNull() & \
+        (F.col("__first_no").isNull() | (F.col("__first_ok") < F.col("__first_no")))
+    approved_last = ok_applies & (F.col("__last_no").isNull() | (F.col("__first_ok") > F.col("__last_no")))
+    status = (F.when(approved_last, F.lit("approved"))
+              .when(F.col("__last_no").isNotNull(), F.lit("rejected")).otherwise(F.col("status")))
+    code = F.concat(F.lit(code_prefix), F.upper(F.substring(F.col("id").cast("string"), 1, 8)))
+    applied = F.coalesce(F.col("__n_no"), F.lit(0)) + F.when(ok_applies, 1).otherwise(0)
+    total = F.coalesce(F.col("__n_ok") + F.col("__n_no") + F.col("__n_bad"), F.lit(0))
+    return j.select(*[F.col(c) for c in vendors.columns if c not in ("status", "vendor_code")],
+                    status.alias("status"),
+                    F.when(ok_applies, code).otherwise(
+                        F.col("vendor_code") if "vendor_code" in vendors.columns else F.lit(None).cast("string"))
+                    .alias("vendor_code"),
+                    applied.cast("bigint").alias("applied_decisions"),
+                    (total - applied).cast("bigint").alias("refused_decisions"))
+
+
+SUPPLY_STATUSES = ("pending", "confirmed", "dispatched", "delivered", "cancelled")
+
+
+def apply_supply_status(orders: DataFrame, updates: DataFrame, allowed: tuple[str, ...] = SUPPLY_STATUSES) -> DataFrame:
+    """Manufacturer / depot order status updates: any allowed status may follow any
+    other, so the result is the latest allowed update (a ``max_by`` aggregate)."""
+    ok = updates.where(F.col("status").isin(*allowed))
+    last = ok.groupBy(F.col("order_id").alias("__oid")).agg(
+        F.max_by("status", F.struct("created_at", "id")).alias("__new"))
+    j = orders.join(last, orders.id == last.__oid, "left")
+    return j.withColumn("status", F.coalesce(F.col("__new"), F.col("status"))).select(*orders.columns)
+
+
 # M11 -----------------------------------------------------------------------------------
 def permission_log(changes: DataFrame, current: DataFrame | None = None,
                    bucket_seconds: int = 86_400) -> DataFrame:

@@ -74,6 +74,13 @@ def checkout_requests(c: Catalog) -> DataFrame:
     return c.cart.select("customer_id").distinct().select("customer_id", code.alias("coupon_code"))
 
 
+def vendor_decisions(c: Catalog) -> DataFrame:
+    e = c.base("events").where(F.col("event_type").isin("signup", "error"))
+    action = F.when(F.col("event_type") == "signup", "approve").otherwise("reject")
+    return e.select(F.col("user_id").alias("vendor_id"), action.alias("action"), F.col("ts").alias("created_at"),
+                    F.col("event_id").alias("id"))
+
+
 def registrations(c: Catalog) -> DataFrame:
     return _events(c, "signup").select(F.col("user_id").alias("id"), F.col("ts").alias("created_at"),
                                        F.col("event_id").alias("seq"))
@@ -257,6 +264,30 @@ SELECT o.id, coalesce(la.status, o.order_status) AS order_status,
   CAST(coalesce(per.acc, 0) AS BIGINT) AS accepted_events, CAST(coalesce(per.rej, 0) AS BIGINT) AS rejected_events
 FROM fx_orders o LEFT JOIN per ON per.order_id=o.id LEFT JOIN la ON la.order_id=o.id""",
                              "fx_status_events", "fx_orders")),
+    Registered("m10_vendor_decisions", lambda c: ch.apply_vendor_decisions(c.vendors, vendor_decisions(c)),
+               with_fixtures("""WITH d AS (SELECT user_id AS vendor_id,
+    CASE event_type WHEN 'signup' THEN 'approve' ELSE 'reject' END AS action, ts AS created_at, event_id AS id
+    FROM events WHERE event_type IN ('signup','error')),
+r AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, action ORDER BY created_at, id) AS rn_first,
+    row_number() OVER (PARTITION BY vendor_id, action ORDER BY created_at DESC, id DESC) AS rn_last FROM d),
+per AS (SELECT vendor_id,
+    max(CASE WHEN action='approve' AND rn_first=1 THEN created_at END) AS ok_ts,
+    max(CASE WHEN action='approve' AND rn_first=1 THEN id END) AS ok_id,
+    max(CASE WHEN action='reject' AND rn_first=1 THEN created_at END) AS fno_ts,
+    max(CASE WHEN action='reject' AND rn_first=1 THEN id END) AS fno_id,
+    max(CASE WHEN action='reject' AND rn_last=1 THEN created_at END) AS lno_ts,
+    max(CASE WHEN action='reject' AND rn_last=1 THEN id END) AS lno_id,
+    count(*) FILTER (WHERE action='reject') AS n_no, count(*) AS n_all FROM r GROUP BY vendor_id),
+j AS (SELECT v.*, per.*, (v.status='pending' AND per.ok_ts IS NOT NULL AND (per.fno_ts IS NULL
+      OR per.ok_ts < per.fno_ts OR (per.ok_ts = per.fno_ts AND per.ok_id < per.fno_id))) AS ok_applies
+    FROM fx_vendors v LEFT JOIN per ON per.vendor_id=v.id)
+SELECT id, business_name, city, state, created_at,
+  CASE WHEN ok_applies AND (lno_ts IS NULL OR ok_ts > lno_ts OR (ok_ts = lno_ts AND ok_id > lno_id)) THEN 'approved'
+       WHEN lno_ts IS NOT NULL THEN 'rejected' ELSE status END AS status,
+  CASE WHEN ok_applies THEN 'VND-' || upper(substr(CAST(id AS VARCHAR), 1, 8)) END AS vendor_code,
+  CAST(coalesce(n_no, 0) + CASE WHEN ok_applies THEN 1 ELSE 0 END AS BIGINT) AS applied_decisions,
+  CAST(coalesce(n_all, 0) - coalesce(n_no, 0) - CASE WHEN ok_applies THEN 1 ELSE 0 END AS BIGINT) AS refused_decisions
+FROM j""", "fx_vendors")),
     Registered("m11_permission_log", lambda c: ch.permission_log(c.permission_changes),
                with_fixtures("""SELECT id, changed_by, target_user, regexp_replace(lower(module), '[^a-z0-9_]', '', 'g') AS module,
   CASE WHEN prev IS NULL THEN NULL WHEN prev THEN 'TRUE' ELSE 'FALSE' END AS old_value,
