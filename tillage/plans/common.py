@@ -11,11 +11,8 @@ from pyspark.sql import functions as F
 
 from tillage.sources.fixtures import Catalog
 
-# Fixed clocks of the test data (FIXTURES.md): NOW() for orders and stock.
+# Fixed clock of the test data (FIXTURES.md): NOW() for orders and stock.
 AS_OF = dt.datetime(2001, 8, 1, 6, 0, 0)
-AS_OF_EVENTS = dt.datetime(2024, 1, 31, 0, 0, 0)
-
-MONEY = "decimal(38,2)"
 
 
 @dataclass(frozen=True)
@@ -32,9 +29,9 @@ def digest(arr: Column | str, fields: list[str], sep: str = ";") -> Column:
     return F.array_join(F.array_sort(entries), sep)
 
 
-def sql_digest(expr: str, order: bool = True) -> str:
+def sql_digest(expr: str) -> str:
     """DuckDB twin of :func:`digest` as an aggregate over child rows."""
-    return f"coalesce(string_agg({expr}, ';' ORDER BY {expr}), '')" if order else expr
+    return f"coalesce(string_agg({expr}, ';' ORDER BY {expr}), '')"
 
 
 def ts_lit(x: dt.datetime) -> str:
