@@ -68,7 +68,7 @@ def vendor_kpis(vendors: DataFrame, order_items: DataFrame, orders: DataFrame, p
         F.coalesce(F.col("__rev"), F.lit(0)).cast(MONEY).alias("total_revenue"),
         F.coalesce(F.col("total_orders"), F.lit(0)).cast("bigint").alias("total_orders"),
         F.coalesce(F.col("total_products"), F.lit(0)).cast("bigint").alias("total_products"),
-        F.round(F.coalesce(F.col("__avg"), F.lit(0.0)).cast("double"), 6).alias("avg_rating"))
+        F.coalesce(F.col("__avg"), F.lit(0.0)).cast("double").cast("decimal(18,6)").alias("avg_rating"))
 
 
 # R30 ----------------------------------------------------------------------------
@@ -131,7 +131,7 @@ def _r29_sql(variant: str) -> str:
 SELECT v.id AS vendor_id, CAST(coalesce(a.rev, 0) AS DECIMAL(38,2)) AS total_revenue,
   coalesce(a.n, 0) AS total_orders,
   (SELECT count(*) FROM fx_products p WHERE p.vendor_id=v.id AND p.is_active) AS total_products,
-  round(coalesce(a.avg_rating, """ + ("(SELECT avg(r.rating) FROM fx_reviews r JOIN fx_products p ON r.product_id=p.id WHERE p.vendor_id=v.id)" if variant == "corrected" else "NULL") + """, 0.0), 6) AS avg_rating
+  CAST(CAST(coalesce(a.avg_rating, """ + ("(SELECT avg(r.rating) FROM fx_reviews r JOIN fx_products p ON r.product_id=p.id WHERE p.vendor_id=v.id)" if variant == "corrected" else "NULL") + """, 0.0) AS DOUBLE) AS DECIMAL(18,6)) AS avg_rating
 FROM fx_vendors v LEFT JOIN a ON a.vendor_id=v.id"""
     return with_fixtures(body, "fx_order_items", "fx_orders", "fx_products", "fx_reviews", "fx_vendors")
 
