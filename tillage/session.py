@@ -8,6 +8,27 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings for the 100 TB target (spark-submit --conf …). Shuffle partitions
+# are sized for the largest shuffle (order lines, ~256 MB per partition) and
+# AQE coalesces the smaller stages; broadcast is allowed only for sides whose
+# measured size is under the threshold; skewed partitions are split.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.filterPushdown": "true",
+    # spark.checkpoint.dir: a shared folder (HDFS / object store) named by the cluster
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tillage") -> SparkSession:
     """Session for tests and the bench (a cluster job gets its session from spark-submit).
@@ -32,7 +53,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.autoBroadcastJoinThreshold", "32MB")
-        .config("spark.sql.files.maxPartitionBytes", "32MB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TILLAGE_DRIVER_MEMORY", "16g"))
         .getOrCreate()

@@ -22,6 +22,18 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                sort_within: list[str] | None = None, mode: str = "overwrite") -> None:
+    """Write a table for pruned reads: ``partition_by`` (e.g. the order month)
+    lets date filters skip whole folders; ``sort_within`` clusters each file on
+    a key so Parquet row-group statistics skip row groups for key filters."""
+    out = df.sortWithinPartitions(*sort_within) if sort_within else df
+    writer = out.write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int,
               partitions: int, properties: dict | None = None) -> DataFrame:
     """Partitioned JDBC scan: ``partitions`` range queries on ``key`` run in parallel."""
