@@ -330,3 +330,13 @@ def test_partitioned_write_prunes_by_month(spark, tmp_path):
         back.explain()
     assert "PartitionFilters: [isnotnull(order_month" in buf.getvalue()
     assert [r.id for r in back.collect()] == [2]
+
+
+def test_address_positions_match_a_plain_window_for_a_hot_customer(spark):
+    from pyspark.sql import Window
+    rows_ = [(i, 1 if i % 5 else 2, [True, False, None][i % 3]) for i in range(5000)]
+    df = spark.createDataFrame(rows_, "id long, customer_id long, is_default boolean")
+    got = customer.address_book(df, segment_rows=64)
+    w = Window.partitionBy("customer_id").orderBy(F.col("is_default").desc(), F.col("id").desc())
+    want = df.withColumn("position", F.row_number().over(w).cast("bigint"))
+    assert sorted(rows(got, "id", "position")) == sorted(rows(want, "id", "position"))

@@ -57,3 +57,22 @@ def prior_values(df: DataFrame, keys: list[str], order: list[str], exprs: dict[s
         out = out.withColumn(name, F.coalesce(F.col(f"__l_{name}"), F.col(f"__c_{name}")))
     drop = ["__seg"] + [f"__{p}_{n}" for n in exprs for p in ("x", "l", "c")]
     return out.drop(*drop)
+
+
+def running_position(df: DataFrame, keys: list[str], order: list[Column], segment: Column,
+                     name: str = "position") -> DataFrame:
+    """1-based position of each row within its key in ``order``, without one task per key.
+
+    ``segment`` must not decrease along ``order`` (it cuts a key's rows into
+    consecutive runs, e.g. an id range). Each segment is numbered locally by a
+    window on (key, segment); the rows of a key's earlier segments are
+    counted per segment and carried in by a window over the small per-segment
+    table.
+    """
+    base = df.withColumn("__seg", segment)
+    local = base.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__seg").orderBy(*order)))
+    counts = base.groupBy(*keys, "__seg").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(*keys, "__seg", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__carry"))
+    out = local.join(carry, [*keys, "__seg"], "left")
+    return out.withColumn(name, (F.col("__carry") + F.col("__rn")).cast("bigint")).drop("__seg", "__rn", "__carry")

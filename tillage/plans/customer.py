@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillage.operators.aggregates import MONEY
+from tillage.operators.sequences import running_position
 from tillage.plans.common import Registered
 from tillage.sources.fixtures import Catalog, with_fixtures
 
@@ -53,14 +54,24 @@ def customer_360(customers: DataFrame, users: DataFrame, orders: DataFrame, wish
                     stats.alias("stats"))
 
 
-def address_book(addresses: DataFrame) -> DataFrame:
-    """Every customer's addresses, default first then newest, with their ``position``."""
+def address_book(addresses: DataFrame, segment_rows: int = 1024) -> DataFrame:
+    """Every customer's addresses, default first then newest, with their ``position``.
+
+    Positions come from :func:`running_position`, so even a customer with a
+    huge address list is numbered by many tasks: segments are (default flag,
+    time bucket or id range), which never decrease along the sort order.
+    """
     order = [F.col("is_default").desc()]
     if "created_at" in addresses.columns:
         order.append(F.col("created_at").desc())
+        bucket = -F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(86_400_000_000))
+    else:
+        bucket = -F.floor(F.col("id") / F.lit(segment_rows))
     order.append(F.col("id").desc())
-    w = Window.partitionBy("customer_id").orderBy(*order)
-    return addresses.withColumn("position", F.row_number().over(w).cast("bigint"))
+    # NULLs sort last under desc(), so they get the last segment too.
+    flag = F.when(F.col("is_default"), 0).when(~F.col("is_default"), 1).otherwise(2)
+    segment = F.struct(flag.alias("d"), F.coalesce(bucket.cast("bigint"), F.lit(2 ** 62)).alias("b"))
+    return running_position(addresses, ["customer_id"], order, segment)
 
 
 def _r33(variant: str):
