@@ -71,6 +71,26 @@ def page(df: DataFrame, order: list[Column], page_no: int, limit: int) -> DataFr
     return df.orderBy(*order).offset((page_no - 1) * limit).limit(limit)
 
 
+def keyset_page(df: DataFrame, keys: list[tuple[str, str]], after: tuple | None, limit: int) -> DataFrame:
+    """Next page after the last row seen, by its sort-key values (keyset paging).
+
+    ``keys`` are ``(column, "asc" | "desc")`` pairs ending in a unique column;
+    ``after`` holds the previous page's last values (None for the first page).
+    Unlike OFFSET, the cost does not grow with the page number: the filter
+    reaches the scan and each task keeps only ``limit`` rows. Key columns
+    must not be NULL.
+    """
+    if after is not None:
+        pred = None
+        for i in range(len(keys) - 1, -1, -1):
+            col, direction = keys[i]
+            step = F.col(col) > F.lit(after[i]) if direction == "asc" else F.col(col) < F.lit(after[i])
+            pred = step if pred is None else step | ((F.col(col) == F.lit(after[i])) & pred)
+        df = df.where(pred)
+    order = [F.col(c).asc() if d == "asc" else F.col(c).desc() for c, d in keys]
+    return df.orderBy(*order).limit(limit)
+
+
 def materialized_page(df: DataFrame, order: list[Column], page_no: int, limit: int) -> DataFrame:
     """:func:`page`, written once to the shared checkpoint folder.
 
