@@ -70,11 +70,10 @@ def primary_image(images: DataFrame) -> DataFrame:
 
 
 # Bridge join ----------------------------------------------------------------
-def through_bridge(left: DataFrame, bridge: DataFrame, right: DataFrame,
-                   left_on: tuple[str, str], right_on: tuple[str, str]) -> DataFrame:
-    """``left JOIN bridge ON … JOIN right ON …``: one row per (left, right) pair."""
-    lb = left.join(bridge, left[left_on[0]] == bridge[left_on[1]], "inner")
-    return lb.join(right, lb[right_on[0]] == right[right_on[1]], "inner")
+def through_bridge(left: DataFrame, bridge: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """``left JOIN bridge USING (left_key) JOIN right USING (right_key)``: one row per
+    (left, right) pair of the many-to-many bridge table."""
+    return left.join(bridge, left_key).join(right, right_key)
 
 
 # J8, J9 ------------------------------------------------------------------------

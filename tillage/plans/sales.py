@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tillage.functions.exprs import full_name
 from tillage.operators import filters as flt
 from tillage.operators.aggregates import sum_or_zero
-from tillage.operators.joins import child_array, scalar
+from tillage.operators.joins import child_array, scalar, through_bridge
 from tillage.operators.paging import clamp_page, materialized_page, page
 from tillage.plans.common import Registered, digest
 from tillage.sources.fixtures import Catalog, with_fixtures
@@ -35,7 +35,7 @@ def _bridge(salesman_orders: DataFrame, salesmen: DataFrame, orders: DataFrame,
              if (flt.php_truthy(date_from) and flt.php_truthy(date_to)) else None,
              flt.optional(salesman_id, lambda v: F.col("salesman_id") == F.lit(v)),
              flt.optional(distributor_id, lambda v: F.col("distributor_id") == F.lit(v))]
-    return flt.where_all(salesman_orders.join(s, "salesman_id").join(o, "order_id"), preds)
+    return flt.where_all(through_bridge(s, salesman_orders, o, "salesman_id", "order_id"), preds)
 
 
 # R36 ------------------------------------------------------------------------------
