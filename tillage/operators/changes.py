@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillage.functions.exprs import module_key
+from tillage.operators.joins import update_from
 from tillage.operators.sequences import prior_values
 from tillage.session import cut_lineage
 
@@ -78,13 +79,8 @@ def backfill(cur: DataFrame, col: str, value: Column) -> DataFrame:
 
 def backfill_from(cur: DataFrame, lookup: DataFrame, key: str, lookup_key: str,
                   columns: dict[str, str]) -> DataFrame:
-    """``UPDATE t SET col = l.src FROM l WHERE t.key = l.key AND t.col IS NULL``."""
-    lk = lookup.select(F.col(lookup_key).alias("__lk"), *[F.col(s).alias(f"__n_{d}") for d, s in columns.items()])
-    j = cur.join(lk, cur[key] == lk["__lk"], "left")
-    for d in columns:
-        src = F.col(d) if d in cur.columns else F.lit(None)
-        j = j.withColumn(d, F.coalesce(src, F.col(f"__n_{d}")))
-    return j.drop("__lk", *[f"__n_{d}" for d in columns])
+    """``UPDATE t SET col = l.src FROM l WHERE t.key = l.key AND t.col IS NULL``."""
+    return update_from(cur, lookup, key, lookup_key, columns, only_null=True)
 
 
 # M4 ------------------------------------------------------------------------------------

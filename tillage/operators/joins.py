@@ -90,8 +90,9 @@ def update_from(target: DataFrame, lookup: DataFrame, key: str, lookup_key: str,
                 columns: dict[str, str], only_null: bool = False) -> DataFrame:
     """``UPDATE t SET col = l.src FROM l WHERE t.key = l.key`` as a left join.
 
-    ``columns`` maps target column -> lookup column. With ``only_null`` the
-    target keeps its value unless it is NULL (back-fill).
+    ``columns`` maps target column -> lookup column (a target column that does
+    not exist yet counts as NULL). With ``only_null`` the target keeps its
+    value unless it is NULL (back-fill).
     """
     lk = lookup.select(F.col(lookup_key).alias("__lk"),
                        *[F.col(src).alias(f"__new_{dst}") for dst, src in columns.items()])
@@ -99,11 +100,9 @@ def update_from(target: DataFrame, lookup: DataFrame, key: str, lookup_key: str,
     out = joined
     for dst in columns:
         new = F.col(f"__new_{dst}")
+        old = F.col(dst) if dst in target.columns else F.lit(None)
         matched = F.col("__lk").isNotNull()
-        if only_null:
-            val = F.coalesce(F.col(dst), new)
-        else:
-            val = F.when(matched, new).otherwise(F.col(dst))
+        val = F.coalesce(old, new) if only_null else F.when(matched, new).otherwise(old)
         out = out.withColumn(dst, val)
     return out.drop("__lk", *[f"__new_{d}" for d in columns])
 
