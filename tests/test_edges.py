@@ -356,3 +356,14 @@ def test_keyset_pages_cover_offset_pages(spark):
         if got:
             after = (got[-1].grp, got[-1].id)
     assert len(seen) == 100
+
+
+def test_json_sink_keeps_unicode(spark, tmp_path):
+    from tillage.sources.json_io import write_json
+    df = spark.createDataFrame([(1, "Crème brûlée")], "id int, name string")
+    meta = page_meta(spark.range(1).select(F.lit(1).alias("total")), 1, 20)
+    assert "Crème brûlée" in page_envelope(df, meta).collect()[0].json
+    path = str(tmp_path / "out")
+    write_json(df, path)
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("part-*"))
+    assert "Crème brûlée" in text
