@@ -243,7 +243,8 @@ def test_settings_map_and_envelope(spark):
     assert m["delivery_charge"] == "49" and len(m) == 26
     page_rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
     meta = page_meta(spark.range(1).select(F.lit(41).alias("total")), 1, 20)
-    js = page_envelope(page_rows, meta).collect()[0].json
+    js = page_envelope(page_rows, meta, [F.col("id").desc()]).collect()[0].json
+    assert '"data":[{"id":2,"name":"b"},{"id":1,"name":"a"}]' in js
     from tillage.sources.json_io import explode_json_array
     slides = explode_json_array(seed_settings(spark), "stats_bar", "struct<num:string,label:string>").collect()
     assert [(r.pos, r.item.label) for r in slides] == [(0, "Products"), (1, "Regions")]
@@ -360,9 +361,10 @@ def test_keyset_pages_cover_offset_pages(spark):
 
 def test_json_sink_keeps_unicode(spark, tmp_path):
     from tillage.sources.json_io import write_json
-    df = spark.createDataFrame([(1, "Crème brûlée")], "id int, name string")
+    df = spark.createDataFrame([(1, "Crème brûlée", None)], "id int, name string, note string")
     meta = page_meta(spark.range(1).select(F.lit(1).alias("total")), 1, 20)
-    assert "Crème brûlée" in page_envelope(df, meta).collect()[0].json
+    js = page_envelope(df, meta, [F.col("id")]).collect()[0].json
+    assert "Crème brûlée" in js and '"note":null' in js
     path = str(tmp_path / "out")
     write_json(df, path)
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("part-*"))

@@ -11,7 +11,9 @@ from tillage.functions.text import ENGLISH_STOP_WORDS, matches, product_lexemes
 from tillage.operators import filters as flt
 from tillage.operators.joins import child_array, primary_image, scalar, with_parent
 from tillage.operators.paging import clamp_page, page, top_n_per_key, whitelisted_sort
+from tillage.operators.paging import page_meta
 from tillage.plans.common import Registered, digest
+from tillage.sources.json_io import page_envelope, pg_text
 from tillage.sources.fixtures import Catalog, with_fixtures
 
 CATALOGUE_SORTS = {"selling_price": "selling_price", "avg_rating": "avg_rating",
@@ -28,12 +30,9 @@ def _with_category_names(products: DataFrame, categories: DataFrame) -> DataFram
 
 
 # R20 -----------------------------------------------------------------------------
-def catalogue_search(products: DataFrame, categories: DataFrame, vendors: DataFrame, images: DataFrame,
-                     category_id=None, vendor_id=None, search: str = "", min_price=None, max_price=None,
-                     on_offer=None, sort: str = "sold_count", order: str = "desc", page_no=1,
-                     limit=20) -> DataFrame:
-    """Active products matching up to six optional predicates, sorted, one page, with ``total``."""
-    p, lim = clamp_page(page_no, limit, 50)
+def catalogue_matches(products: DataFrame, categories: DataFrame, category_id=None, vendor_id=None,
+                      search: str = "", min_price=None, max_price=None, on_offer=None) -> DataFrame:
+    """Active products passing up to six optional predicates, with category names."""
     desc_col = F.col("description") if "description" in products.columns else None
     j = _with_category_names(products.where(F.col("is_active")), categories)
     preds = [flt.optional(category_id, lambda v: flt.category_or_parent("category_id", "__parent", v)),
@@ -41,7 +40,16 @@ def catalogue_search(products: DataFrame, categories: DataFrame, vendors: DataFr
              flt.optional(search, lambda s: matches(product_lexemes(F.col("name"), desc_col), s)),
              flt.price_range("selling_price", min_price, max_price),
              flt.less_than("selling_price", "mrp") if flt.php_truthy(on_offer) else None]
-    j = flt.where_all(j, preds)
+    return flt.where_all(j, preds)
+
+
+def catalogue_search(products: DataFrame, categories: DataFrame, vendors: DataFrame, images: DataFrame,
+                     category_id=None, vendor_id=None, search: str = "", min_price=None, max_price=None,
+                     on_offer=None, sort: str = "sold_count", order: str = "desc", page_no=1,
+                     limit=20) -> DataFrame:
+    """Active products matching up to six optional predicates, sorted, one page, with ``total``."""
+    p, lim = clamp_page(page_no, limit, 50)
+    j = catalogue_matches(products, categories, category_id, vendor_id, search, min_price, max_price, on_offer)
     total = scalar(j.agg(F.count(F.lit(1))))
     key = sort if sort in CATALOGUE_SORTS else "sold_count"
     if CATALOGUE_SORTS[key] not in j.columns:
@@ -130,6 +138,21 @@ IMG_SQL = ("(SELECT image_url FROM fx_product_images i WHERE i.product_id={pid}
            "ORDER BY i.sort_order, i.id LIMIT 1)")
 
 
+R20_PARAMS = dict(category_id=2, search="red", sort="selling_price", order="asc", page_no=1, limit=20)
+R20_COLS = ["id", "name", "mrp", "selling_price", "stock_qty", "unit", "sku", "category_name", "subcategory_name",
+            "vendor_name", "primary_image"]
+
+
+def _s5(c: Catalog) -> DataFrame:
+    """The catalogue page as the endpoint's JSON document ``{success, data, meta}``."""
+    pg = catalogue_search(c.products, c.categories, c.vendors, c.product_images, **R20_PARAMS)
+    filters = {k: R20_PARAMS[k] for k in ("category_id", "search")}
+    total = catalogue_matches(c.products, c.categories, **filters).agg(F.count(F.lit(1)).alias("total"))
+    meta = page_meta(total, R20_PARAMS["page_no"], R20_PARAMS["limit"])
+    return page_envelope(pg_text(pg.select(*R20_COLS)), meta, [F.col("selling_price").cast("decimal(10,2)"),
+                                                               F.col("id")])
+
+
 def _r21(c: Catalog) -> DataFrame:
     df = product_detail(c.products, c.categories, c.vendors, c.product_images, c.reviews, c.customers, c.users)
     return df.select("id", "name", "sku", "vendor_id", "category_id", "mrp", "selling_price", "stock_qty",
@@ -143,8 +166,7 @@ def _r21(c: Catalog) -> DataFrame:
 REGISTRY = [
     Registered(
         "r20_catalogue_search",
-        lambda c: catalogue_search(c.products, c.categories, c.vendors, c.product_images, category_id=2,
-                                   search="red", sort="selling_price", order="asc", page_no=1, limit=20),
+        lambda c: catalogue_search(c.products, c.categories, c.vendors, c.product_images, **R20_PARAMS),
         with_fixtures(f"""WITH j AS (
   SELECT p.*, pc.name AS category_name, c.name AS subcategory_name
   FROM fx_products p LEFT JOIN fx_categories c ON p.category_id=c.id
@@ -156,6 +178,26 @@ SELECT j.id, j.name, j.mrp, j.selling_price, j.stock_qty, j.unit, j.sku, j.categ
   (SELECT count(*) FROM j) AS total
 FROM j LEFT JOIN fx_vendors v ON j.vendor_id=v.id ORDER BY j.selling_price ASC NULLS LAST, j.id LIMIT 20""",
                       "fx_products", "fx_categories", "fx_vendors", "fx_product_images")),
+    Registered(
+        "s5_catalogue_page_json",
+        _s5,
+        with_fixtures(f"""WITH j AS (
+  SELECT p.*, pc.name AS category_name, c.name AS subcategory_name
+  FROM fx_products p LEFT JOIN fx_categories c ON p.category_id=c.id
+  LEFT JOIN fx_categories pc ON c.parent_id=pc.id
+  WHERE p.is_active AND (p.category_id=2 OR c.parent_id=2)
+    AND list_contains({sql_lexemes("p.name || ' ' || ''")}, 'red')),
+pg AS (SELECT j.id, j.name, j.mrp, j.selling_price, j.stock_qty, j.unit, j.sku, j.category_name, j.subcategory_name,
+  v.business_name AS vendor_name, {IMG_SQL.format(pid='j.id')} AS primary_image
+  FROM j LEFT JOIN fx_vendors v ON j.vendor_id=v.id ORDER BY j.selling_price ASC NULLS LAST, j.id LIMIT 20)
+SELECT CAST(to_json({{'success': true,
+  'data': (SELECT list({{'id': id, 'name': name, 'mrp': CAST(mrp AS VARCHAR),
+      'selling_price': CAST(selling_price AS VARCHAR), 'stock_qty': stock_qty, 'unit': unit, 'sku': sku,
+      'category_name': category_name, 'subcategory_name': subcategory_name, 'vendor_name': vendor_name,
+      'primary_image': primary_image}} ORDER BY selling_price, id) FROM pg),
+  'meta': {{'total': (SELECT count(*) FROM j), 'page': 1, 'limit': 20,
+           'pages': CAST(ceil((SELECT count(*) FROM j) / 20) AS BIGINT)}}}}) AS VARCHAR) AS json""",
+                      "fx_products", "fx_categories", "fx_vendors", "fx_product_images")),
     Registered(
         "r21_product_detail",
         _r21,
