@@ -17,6 +17,7 @@ MODULES = [
     "tillage.plans.access",
     "tillage.plans.jobs",
     "tillage.plans.content",
+    "tillage.plans.blocks",
 ]
 
 
