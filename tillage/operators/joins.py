@@ -113,31 +113,25 @@ def child_array(parent: DataFrame, child: DataFrame, parent_key: str, child_fk:
                 parent_bounded: bool = False) -> DataFrame:
     """Attach children as ``array<struct>`` sorted by ``sort_by`` (empty array when none).
 
-    ``parent_key`` must be unique in ``parent``. For an unbounded parent set
-    the plan is one left join plus a group-by on the same key (the join's
-    hash partitioning already clusters the groups, so there is no second
-    shuffle, and ``parent`` is read once). For a bounded parent set (a page)
-    the children are first cut down by a broadcast semi join on the page's
-    keys, so the child table is scanned but never shuffled.
+    Children are first collected per key (``collect_list`` aggregates
+    partially in every map task, so even a parent with a third of all child
+    rows has its rows gathered by many tasks; only the final concatenation is
+    per key), then joined 1:1 to the parent: the join neither fans out nor
+    concentrates a hot key. ``parent_key`` must be unique in ``parent``. For a
+    bounded parent set (a page) the children are first cut down by a
+    broadcast semi join on the page's keys, so the child table is scanned but
+    never shuffled.
     """
     fields = list(fields)
     order = sort_by or fields
     ordered = order + [c for c in fields if c not in order]
     kids = child.select(F.col(child_fk).alias("__fk"), *[F.col(c).alias(f"__c_{c}") for c in ordered])
-    elem = F.struct(*[F.col(f"__c_{c}").alias(c) for c in ordered])
-    proj = lambda a: F.transform(a, lambda s: F.struct(*[s[c].alias(c) for c in fields]))
     if parent_bounded:
-        keys = bounded(parent.select(F.col(parent_key).alias("__fk")))
-        kids = kids.join(keys, "__fk", "left_semi")
-        grouped = kids.groupBy("__fk").agg(proj(F.array_sort(F.collect_list(elem))).alias(name))
-        out = parent.join(grouped, parent[parent_key] == grouped["__fk"], "left").drop("__fk")
-    else:
-        j = parent.join(kids, parent[parent_key] == kids["__fk"], "left")
-        present = F.when(F.col("__fk").isNotNull(), elem)
-        others = [c for c in parent.columns if c != parent_key]
-        out = j.groupBy(parent_key).agg(*[F.any_value(c).alias(c) for c in others],
-                                        proj(F.array_sort(F.collect_list(present))).alias(name))
-        out = out.select(*parent.columns, name)
+        kids = kids.join(bounded(parent.select(F.col(parent_key).alias("__fk"))), "__fk", "left_semi")
+    elem = F.struct(*[F.col(f"__c_{c}").alias(c) for c in ordered])
+    proj = F.transform(F.array_sort(F.collect_list(elem)), lambda s: F.struct(*[s[c].alias(c) for c in fields]))
+    grouped = kids.groupBy("__fk").agg(proj.alias(name))
+    out = parent.join(grouped, parent[parent_key] == grouped["__fk"], "left").drop("__fk")
     empty = F.array().cast(out.schema[name].dataType)
     return out.withColumn(name, F.coalesce(F.col(name), empty))
 

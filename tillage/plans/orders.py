@@ -29,9 +29,10 @@ def order_history(orders: DataFrame, order_items: DataFrame, products: DataFrame
     """Every customer's (or one customer's) order page: newest first, 10 per page,
     with item_count and items[]; the page is numbered per customer.
 
-    The page is chosen first (per-customer top-n); then one left join to the
-    order lines gives both ``item_count`` (every line, ``COUNT(oi.id)``) and
-    ``items[]`` (lines whose product exists, as the reference's inner join).
+    The page is chosen per customer (top-n); the order lines are aggregated
+    per order into ``item_count`` (every line, ``COUNT(oi.id)``) and
+    ``items[]`` (lines whose product exists, as the reference's inner join)
+    and joined 1:1 to the chosen orders.
     """
     o = flt.where_all(orders, [flt.optional(status, lambda v: F.col("order_status") == F.lit(str(v).lower())),
                                None if customer_id is None else F.col("customer_id") == F.lit(customer_id)])
@@ -40,16 +41,15 @@ def order_history(orders: DataFrame, order_items: DataFrame, products: DataFrame
     chosen = ranked.where(F.col("__rn") > (page_no - 1) * HISTORY_PAGE).drop("__rn")
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"),
                             F.lit(True).alias("__known"))
-    lines = order_items.join(names, "product_id", "left").select(
-        F.col("order_id").alias("__oid"), "__known", *[F.col(c).alias(f"__i_{c}") for c in ITEM_FIELDS])
-    j = chosen.join(lines, chosen.id == lines.__oid, "left")
-    elem = F.when(F.col("__known"), F.struct(*[F.col(f"__i_{c}").alias(c) for c in ITEM_FIELDS]))
-    others = [c for c in chosen.columns if c != "id"]
-    return (j.groupBy("id")
-            .agg(*[F.any_value(c).alias(c) for c in others],
-                 F.count("__oid").alias("item_count"),
-                 F.array_sort(F.collect_list(elem)).alias("items"))
-            .select(*chosen.columns, "item_count", "items"))
+    lines = order_items.join(names, "product_id", "left")
+    elem = F.when(F.col("__known"), F.struct(*[F.col(c) for c in ITEM_FIELDS]))
+    # Per-order aggregates first (partial in every map task), then a 1:1 join.
+    per_order = lines.groupBy(F.col("order_id").alias("__oid")).agg(
+        F.count(F.lit(1)).alias("item_count"), F.array_sort(F.collect_list(elem)).alias("items"))
+    out = chosen.join(per_order, chosen.id == per_order.__oid, "left").drop("__oid")
+    empty = F.array().cast(per_order.schema["items"].dataType)
+    return out.select(*chosen.columns, F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"),
+                      F.coalesce("items", empty).alias("items"))
 
 
 # R23 ------------------------------------------------------------------------------
