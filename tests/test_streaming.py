@@ -25,3 +25,35 @@ def test_stream_ledger_matches_batch(spark):
     batch = stock_ledger(products, spark.createDataFrame(b1 + b2, MOVEMENT_SCHEMA))
     assert {r.id: r.stock_qty for r in batch.collect()} == {1: 8, 2: 10}
     assert spark.table(name).count() == 2
+
+
+def test_status_stream_matches_batch_rules(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tillage.operators.changes import apply_status_events
+    from tillage.streaming.status import EVENT_SCHEMA, start_status_stream
+    orders = spark.createDataFrame([(1, "placed", "pending"), (2, "placed", "pending"), (3, "confirmed", "pending"),
+                                    (4, "shipped", "pending")], "id long, order_status string, payment_status string")
+    t = dt.datetime(2024, 1, 1)
+    h = dt.timedelta(hours=1)
+    b1 = [(1, 1, "shipped", t), (2, 2, "delivered", t), (3, 3, "cancelled", t), (4, 4, "bogus", t)]
+    b2 = [(5, 1, "cancelled", t + h), (6, 3, "cancelled", t + 2 * h), (7, 3, "confirmed", t + 3 * h),
+          (8, 3, "cancelled", t + 4 * h), (9, 4, "delivered", t + h)]
+    src = tempfile.mkdtemp(prefix="tillage-status-")
+    name = f"status_{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame(b1, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    q = start_status_stream(spark, src, orders, name)
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame(b2, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    out = spark.table(name).withColumn("v", F.col("accepted_events") + F.col("rejected_events"))
+    latest = {r.id: (r.order_status, r.payment_status, r.accepted_events, r.rejected_events)
+              for r in out.orderBy("v").collect()}
+    batch = apply_status_events(orders, spark.createDataFrame(b1 + b2, EVENT_SCHEMA))
+    want = {r.id: (r.order_status, r.payment_status, r.accepted_events, r.rejected_events) for r in batch.collect()}
+    assert latest == want

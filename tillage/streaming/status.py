@@ -1,0 +1,80 @@
+"""M10 order status rules as a stateful Structured Streaming job.
+
+Status events arrive as a stream; each order's state (current status, paid
+flag, accepted / rejected counts) lives in the state store, keyed by order,
+and every micro-batch folds the order's new events into it in event order
+(``applyInPandasWithState``: one small pandas frame per order and batch, so
+the per-event walk is a short loop over that order's new events only). The
+order's stored status and payment status come from a stream-static join with
+the orders table. Rules are those of
+:func:`tillage.operators.changes.apply_status_events`; events of one order are
+expected to arrive in time order (a late event is applied when it arrives).
+"""
+
+from __future__ import annotations
+
+import os
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tillage.operators.changes import ADMIN_STATUSES, CANCELLABLE_FROM
+from tillage.session import ensure_checkpoint_dir
+
+EVENT_SCHEMA = "id long, order_id long, status string, created_at timestamp_ntz"
+OUTPUT_SCHEMA = ("id long, order_status string, payment_status string, accepted_events long, "
+                 "rejected_events long")
+STATE_SCHEMA = "status string, payment_status string, accepted long, rejected long"
+
+
+def _walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.exists:
+        status, payment, accepted, rejected = state.get
+    else:
+        status = payment = None
+        accepted = rejected = 0
+    for pdf in frames:
+        pdf = pdf.sort_values(["created_at", "id"])
+        if status is None:
+            status, payment = pdf["__init_status"].iloc[0], pdf["__init_payment"].iloc[0]
+        for ev_status, actor in zip(pdf["status"], pdf["actor"]):
+            if actor == "admin" and ev_status in ADMIN_STATUSES:
+                ok = True
+            elif actor == "customer" and ev_status == "cancelled":
+                ok = status in CANCELLABLE_FROM
+            else:
+                ok = False
+            if ok:
+                status = ev_status
+                payment = "paid" if ev_status == "delivered" else payment
+                accepted += 1
+            else:
+                rejected += 1
+    state.update((status, payment, accepted, rejected))
+    yield pd.DataFrame({"id": [key[0]], "order_status": [status], "payment_status": [payment],
+                        "accepted_events": [accepted], "rejected_events": [rejected]})
+
+
+def order_status_stream(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Running status per order over a stream of status events."""
+    ev = events
+    if "actor" not in ev.columns:
+        ev = ev.withColumn("actor", F.when(F.col("status") == "cancelled", "customer").otherwise("admin"))
+    init = orders.select(F.col("id").alias("order_id"), F.col("order_status").alias("__init_status"),
+                         F.col("payment_status").alias("__init_payment"))
+    joined = ev.join(init, "order_id")
+    return joined.groupBy("order_id").applyInPandasWithState(
+        _walk, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+
+
+def start_status_stream(spark: SparkSession, source_dir: str, orders: DataFrame, query_name: str,
+                        sink_format: str = "memory") -> StreamingQuery:
+    """Start the status walk over Parquet event files arriving in ``source_dir``."""
+    stream = spark.readStream.schema(EVENT_SCHEMA).parquet(source_dir)
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", query_name)
+    return (order_status_stream(stream, orders).writeStream.outputMode("update").format(sink_format)
+            .queryName(query_name).option("checkpointLocation", ckpt).start())
