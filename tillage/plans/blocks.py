@@ -31,6 +31,19 @@ def _f01(c: Catalog) -> DataFrame:
     return _count(flt.where_all(c.orders, preds), "payment_status")
 
 
+def _f02(c: Catalog) -> DataFrame:
+    p = c.products.where(flt.equals("vendor_id", 3) & flt.equals("is_active", True))
+    return p.agg(F.count(F.lit(1)).alias("n"), F.sum("stock_qty").alias("stock"))
+
+
+def _f13(c: Catalog) -> DataFrame:
+    """Banners live on a day: each shows for 30 days from its creation date."""
+    b = c.banners.withColumn("valid_to", F.date_add("created_at", 30))
+    live_on = AS_OF.replace(year=2024, month=3, day=1)
+    return b.where(flt.valid_at(F.col("created_at").cast("timestamp_ntz"),
+                                F.col("valid_to").cast("timestamp_ntz"), live_on)).select("id", "created_at")
+
+
 def _f03(c: Catalog) -> DataFrame:
     hit = flt.contains_ci(["last_name", "customer_code"], "0_1")  # '_' stays a one-character wildcard
     return c.customers.where(hit).select("id", "customer_code")
@@ -249,6 +262,12 @@ def sql(body: str, *names: str) -> str:
 REGISTRY = [
     Registered("f01_optional_predicates", _f01, sql(
         "SELECT payment_status, count(*) AS n FROM fx_orders WHERE order_status='delivered' GROUP BY 1", "fx_orders")),
+    Registered("f02_equality", _f02, sql(
+        "SELECT count(*) AS n, CAST(sum(stock_qty) AS BIGINT) AS stock FROM fx_products WHERE vendor_id = 3 AND is_active = TRUE",
+        "fx_products")),
+    Registered("f13_validity_interval", _f13, sql(
+        """SELECT id, created_at FROM fx_banners WHERE CAST(created_at AS TIMESTAMP) <= TIMESTAMP '2024-03-01 06:00:00'
+  AND CAST(created_at + 30 AS TIMESTAMP) >= TIMESTAMP '2024-03-01 06:00:00'""", "fx_banners")),
     Registered("f03_contains_ci", _f03, sql(
         "SELECT id, customer_code FROM fx_customers WHERE last_name ILIKE '%0_1%' OR customer_code ILIKE '%0_1%'",
         "fx_customers")),
