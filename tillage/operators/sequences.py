@@ -20,6 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def wall_seconds(ts: Column) -> Column:
+    """Seconds since 1970-01-01 00:00 of a wall-clock timestamp (no time zone involved)."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def prior_values(df: DataFrame, keys: list[str], order: list[str], exprs: dict[str, Column],
                  bucket_seconds: int = 86_400) -> DataFrame:
     """Add ``exprs`` columns holding the latest earlier non-NULL value per key.
@@ -28,8 +34,7 @@ def prior_values(df: DataFrame, keys: list[str], order: list[str], exprs: dict[s
     (``bucket_seconds`` wide). Ties in ``order`` must be broken by the later
     columns (e.g. an id) so "earlier" is well defined.
     """
-    ts = F.col(order[0])
-    seg = F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
+    seg = F.floor(wall_seconds(F.col(order[0])) / F.lit(bucket_seconds)).cast("bigint")
     base = df.withColumn("__seg", seg)
     for name, e in exprs.items():
         base = base.withColumn(f"__x_{name}", e)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillage.operators.aggregates import MONEY
-from tillage.operators.sequences import running_position
+from tillage.operators.sequences import running_position, wall_seconds
 from tillage.plans.common import Registered
 from tillage.sources.fixtures import Catalog, with_fixtures
 
@@ -64,7 +64,7 @@ def address_book(addresses: DataFrame, segment_rows: int = 1024) -> DataFrame:
     order = [F.col("is_default").desc()]
     if "created_at" in addresses.columns:
         order.append(F.col("created_at").desc())
-        bucket = -F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(86_400_000_000))
+        bucket = -F.floor(wall_seconds(F.col("created_at")) / F.lit(86_400))
     else:
         bucket = -F.floor(F.col("id") / F.lit(segment_rows))
     order.append(F.col("id").desc())
