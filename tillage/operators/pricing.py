@@ -23,9 +23,9 @@ from tillage.sources.literals import delivery_settings
 def price_orders(requests: DataFrame, cart: DataFrame, products: DataFrame, coupons: DataFrame,
                  settings: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Price a checkout request per customer (``customer_id``, optional ``coupon_code``)."""
-    s = delivery_settings(settings)
-    threshold = scalar(s.select(F.col("free_threshold").cast(MONEY)))
-    charge = scalar(s.select(F.col("delivery_charge").cast(MONEY)))
+    rule = scalar(delivery_settings(settings).select(F.struct(
+        F.col("free_threshold").cast(MONEY).alias("t"), F.col("delivery_charge").cast(MONEY).alias("c"))))
+    threshold, charge = rule["t"], rule["c"]
     pr = products.where(F.col("is_active")).select(F.col("id").alias("product_id"), "selling_price", "stock_qty")
     lines = cart.join(requests.select("customer_id"), "customer_id", "left_semi").join(pr, "product_id")
     per = lines.groupBy("customer_id").agg(

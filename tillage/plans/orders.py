@@ -70,9 +70,9 @@ def cart_totals(cart: DataFrame, products: DataFrame, vendors: DataFrame, images
                 settings: DataFrame) -> DataFrame:
     """Per customer: subtotal, mrp_total, savings, delivery (free at the threshold), total,
     item_count and items[]; inactive products are left out as in the reference."""
-    s = delivery_settings(settings)
-    threshold = scalar(s.select(F.col("free_threshold").cast(MONEY)))
-    charge = scalar(s.select(F.col("delivery_charge").cast(MONEY)))
+    rule = scalar(delivery_settings(settings).select(F.struct(
+        F.col("free_threshold").cast(MONEY).alias("t"), F.col("delivery_charge").cast(MONEY).alias("c"))))
+    threshold, charge = rule["t"], rule["c"]
     pr = products.where(F.col("is_active")).select(F.col("id").alias("product_id"), "name", "selling_price",
                                                    "mrp", "stock_qty", "vendor_id")
     v = vendors.select(F.col("id").alias("vendor_id"), F.col("business_name").alias("vendor_name"))
