@@ -369,3 +369,16 @@ def test_json_sink_keeps_unicode(spark, tmp_path):
     write_json(df, path)
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("part-*"))
     assert "Crème brûlée" in text
+
+
+def test_child_array_with_one_hot_parent(spark):
+    from tillage.operators.joins import child_array
+    parents = spark.createDataFrame([(i,) for i in range(50)], "id long")
+    kids = spark.range(30000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50)).alias("pid"),
+                                     F.col("id").alias("seq"))
+    out = child_array(parents, kids, "id", "pid", ["seq"], "kids")
+    sizes = {r.id: r.n for r in out.select("id", F.size("kids").alias("n")).collect()}
+    want = {r.pid: r["count"] for r in kids.groupBy("pid").count().collect()}
+    assert sizes == {i: want.get(i, 0) for i in range(50)}
+    first = out.where(F.col("id") == 7).select(F.col("kids")[0]["seq"].alias("s")).collect()[0].s
+    assert first == 0 and sizes[7] > 10000
