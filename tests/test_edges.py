@@ -382,3 +382,14 @@ def test_child_array_with_one_hot_parent(spark):
     assert sizes == {i: want.get(i, 0) for i in range(50)}
     first = out.where(F.col("id") == 7).select(F.col("kids")[0]["seq"].alias("s")).collect()[0].s
     assert first == 0 and sizes[7] > 10000
+
+
+def test_erasure_blocked_by_non_cascading_references(spark):
+    req = spark.createDataFrame([(1,), (2,), (3,)], "customer_id long")
+    orders = spark.createDataFrame([(10, 1)], "id long, customer_id long")
+    reviews = spark.createDataFrame([(20, 2)], "id long, customer_id long")
+    cart = spark.createDataFrame([(1, 5), (3, 5), (3, 6)], "customer_id long, product_id long")
+    rep = ch.erase_customers(req, {"orders": orders, "reviews": reviews}, {"cart": cart})
+    got = {r.customer_id: (r.blocked, r.cart_rows, r.rows_removed) for r in rep.collect()}
+    assert got == {1: (True, 1, 0), 2: (True, 0, 0), 3: (False, 2, 2)}
+    assert sorted(rows(ch.erase_apply(cart, rep), "customer_id", "product_id")) == [(1, 5)]

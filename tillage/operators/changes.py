@@ -138,18 +138,24 @@ def soft_delete(cur: DataFrame, keys: DataFrame, key: str, flag: str = "is_activ
 
 
 # M7 ------------------------------------------------------------------------------------
-def erase_customers(requested: DataFrame, orders: DataFrame, dependents: dict[str, DataFrame]) -> DataFrame:
+def erase_customers(requested: DataFrame, blockers: dict[str, DataFrame], dependents: dict[str, DataFrame]) -> DataFrame:
     """Erasure report per requested customer id (column ``customer_id``).
 
-    A customer with orders cannot be erased (orders reference customers
-    without cascade), so the whole erasure is refused for them; for the
-    others every dependent row goes. The report counts the rows each
-    dependent table loses; :func:`erase_apply` produces the new tables.
+    ``blockers`` are the tables that reference customers without ON DELETE
+    CASCADE (orders, reviews, coupon usage): a customer with a row in any of
+    them cannot be deleted, so the whole erasure is refused for them (the
+    reference's transaction fails). For the others every ``dependents`` row
+    (cart, wishlist, addresses: cascading tables) goes. The report counts the
+    rows each dependent table loses; :func:`erase_apply` produces the new tables.
     """
     req = requested.select("customer_id").distinct()
-    with_orders = orders.select(F.col("customer_id")).distinct().withColumn("blocked", F.lit(True))
-    rep = req.join(with_orders, "customer_id", "left").withColumn(
-        "blocked", F.coalesce(F.col("blocked"), F.lit(False)))
+    rep = req
+    for name, df in blockers.items():
+        hit = df.select("customer_id").distinct().withColumn(f"__b_{name}", F.lit(True))
+        rep = rep.join(hit, "customer_id", "left")
+    blocked = [F.coalesce(F.col(f"__b_{n}"), F.lit(False)) for n in blockers]
+    rep = rep.withColumn("blocked", reduce(lambda a, b: a | b, blocked) if blocked else F.lit(False))
+    rep = rep.drop(*[f"__b_{n}" for n in blockers])
     for name, df in dependents.items():
         cnt = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias(f"{name}_rows"))
         rep = rep.join(cnt, "customer_id", "left").withColumn(

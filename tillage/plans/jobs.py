@@ -123,7 +123,8 @@ def _m06(c: Catalog) -> DataFrame:
 
 def _m07(c: Catalog) -> DataFrame:
     req = _events(c, "error").select(F.col("user_id").alias("customer_id"))
-    return ch.erase_customers(req, c.orders, {"cart": c.cart, "wishlist": c.wishlist, "addresses": c.addresses})
+    return ch.erase_customers(req, {"orders": c.orders, "reviews": c.reviews},
+                              {"cart": c.cart, "wishlist": c.wishlist, "addresses": c.addresses})
 
 
 def _m08(c: Catalog) -> DataFrame:
@@ -211,12 +212,14 @@ WHERE NOT EXISTS (SELECT 1 FROM fx_inventory i WHERE i.product_id=p.id)""", "fx_
 FROM fx_products""", "fx_products")),
     Registered("m07_customer_erasure", _m07, with_fixtures("""WITH r AS (SELECT DISTINCT user_id AS customer_id
     FROM events WHERE event_type='error'),
-x AS (SELECT r.customer_id, EXISTS (SELECT 1 FROM fx_orders o WHERE o.customer_id=r.customer_id) AS blocked,
+x AS (SELECT r.customer_id, (EXISTS (SELECT 1 FROM fx_orders o WHERE o.customer_id=r.customer_id)
+    OR EXISTS (SELECT 1 FROM fx_reviews v WHERE v.customer_id=r.customer_id)) AS blocked,
   (SELECT count(*) FROM fx_cart t WHERE t.customer_id=r.customer_id) AS cart_rows,
   (SELECT count(*) FROM fx_wishlist t WHERE t.customer_id=r.customer_id) AS wishlist_rows,
   (SELECT count(*) FROM fx_addresses t WHERE t.customer_id=r.customer_id) AS addresses_rows FROM r)
 SELECT *, CASE WHEN blocked THEN 0 ELSE cart_rows + wishlist_rows + addresses_rows END AS rows_removed FROM x""",
-                                                          "fx_orders", "fx_cart", "fx_wishlist", "fx_addresses")),
+                                                          "fx_orders", "fx_reviews", "fx_cart", "fx_wishlist",
+                                                          "fx_addresses")),
     Registered("m08_order_pricing", _m08, with_fixtures("""WITH req AS (SELECT DISTINCT customer_id,
     CASE customer_id % 3 WHEN 0 THEN ' agro10 ' WHEN 1 THEN 'FIRST50' ELSE NULL END AS coupon_code FROM fx_cart),
 per AS (SELECT c.customer_id, CAST(sum(p.selling_price * c.quantity) AS DECIMAL(38,2)) AS subtotal,
