@@ -109,6 +109,16 @@ def _m04(c: Catalog) -> DataFrame:
                                       "low_stock_threshold": F.lit(10).cast("int")})
 
 
+PLACEHOLDER_IMAGE = "/static/placeholder.png"
+
+
+def _m04_images(c: Catalog) -> DataFrame:
+    """Every product without an image gets one primary placeholder image (sort_order 0)."""
+    return ch.add_missing_dependents(c.products, c.product_images, "id", "product_id",
+                                     {"image_url": F.lit(PLACEHOLDER_IMAGE), "sort_order": F.lit(0),
+                                      "is_primary": F.lit(True)})
+
+
 def _m05(mode: str):
     def build(c: Catalog) -> DataFrame:
         return ch.sparse_patch(c.products, product_patches(c), "id", ["stock_qty", "unit"],
@@ -205,6 +215,10 @@ FROM fx_order_items oi LEFT JOIN fx_products p ON oi.product_id=p.id""", "fx_ord
     Registered("m04_inventory_backfill", _m04, with_fixtures("""SELECT * FROM fx_inventory UNION ALL
 SELECT p.id AS product_id, p.stock_qty AS current_stock, 10 AS low_stock_threshold FROM fx_products p
 WHERE NOT EXISTS (SELECT 1 FROM fx_inventory i WHERE i.product_id=p.id)""", "fx_inventory", "fx_products")),
+    Registered("m04_placeholder_images", _m04_images, with_fixtures(f"""SELECT id, product_id, image_url, sort_order,
+  is_primary FROM fx_product_images UNION ALL
+SELECT CAST(NULL AS BIGINT), p.id, '{PLACEHOLDER_IMAGE}', 0, TRUE FROM fx_products p
+WHERE NOT EXISTS (SELECT 1 FROM fx_product_images i WHERE i.product_id=p.id)""", "fx_product_images", "fx_products")),
     Registered("m05_product_patch_exists", _m05("exists"), _patch_sql("exists")),
     Registered("m05_product_patch_isset", _m05("isset"), _patch_sql("isset")),
     Registered("m06_product_soft_delete", _m06, with_fixtures("""SELECT id,
