@@ -393,3 +393,11 @@ def test_erasure_blocked_by_non_cascading_references(spark):
     got = {r.customer_id: (r.blocked, r.cart_rows, r.rows_removed) for r in rep.collect()}
     assert got == {1: (True, 1, 0), 2: (True, 0, 0), 3: (False, 2, 2)}
     assert sorted(rows(ch.erase_apply(cart, rep), "customer_id", "product_id")) == [(1, 5)]
+
+
+def test_soft_delete_only_by_owner(spark):
+    cur = spark.createDataFrame([(1, 10, True), (2, 20, True)], "id long, vendor_id long, is_active boolean")
+    req = spark.createDataFrame([(1, 10), (2, 99)], "id long, vendor_id long")
+    out = {r.id: r.is_active for r in ch.soft_delete(cur, req, "id", owner="vendor_id").collect()}
+    assert out == {1: False, 2: True}
+    assert {r.id: r.is_active for r in ch.soft_delete(cur, req, "id").collect()} == {1: False, 2: False}

@@ -131,9 +131,20 @@ def sparse_patch(cur: DataFrame, patches: DataFrame, key: str, fields: list[str]
 
 
 # M6 ------------------------------------------------------------------------------------
-def soft_delete(cur: DataFrame, keys: DataFrame, key: str, flag: str = "is_active") -> DataFrame:
-    marks = keys.select(F.col(key).alias("__dk")).distinct().withColumn("__del", F.lit(True))
-    j = cur.join(marks, cur[key] == marks["__dk"], "left")
+def soft_delete(cur: DataFrame, keys: DataFrame, key: str, flag: str = "is_active",
+                owner: str | None = None) -> DataFrame:
+    """Flag rows inactive by key (``UPDATE … SET is_active = FALSE WHERE id = ?``).
+
+    With ``owner`` (e.g. ``vendor_id``) a delete request applies only when it
+    names the row's owner (``… AND vendor_id = ?``): ``keys`` then carries
+    both columns.
+    """
+    cols = [key] + ([owner] if owner else [])
+    marks = keys.select(*[F.col(c).alias(f"__d_{c}") for c in cols]).distinct().withColumn("__del", F.lit(True))
+    cond = cur[key] == marks[f"__d_{key}"]
+    if owner:
+        cond = cond & (cur[owner] == marks[f"__d_{owner}"])
+    j = cur.join(marks, cond, "left")
     return j.withColumn(flag, F.when(F.col("__del"), F.lit(False)).otherwise(F.col(flag))).select(*cur.columns)
 
 
