@@ -401,3 +401,18 @@ def test_soft_delete_only_by_owner(spark):
     out = {r.id: r.is_active for r in ch.soft_delete(cur, req, "id", owner="vendor_id").collect()}
     assert out == {1: False, 2: True}
     assert {r.id: r.is_active for r in ch.soft_delete(cur, req, "id").collect()} == {1: False, 2: False}
+
+
+def test_optional_reference_columns_flow_through(spark):
+    customers = spark.createDataFrame([(1, 1, "C1")], "id long, user_id long, customer_code string")
+    users = spark.createDataFrame([(1, "Ann", "Lee", "ann@x.in", "9876543210")],
+                                  "id long, first_name string, last_name string, email string, mobile string")
+    empty_orders = spark.createDataFrame([], "id long, customer_id long, final_amount decimal(12,2), payment_status string")
+    empty = spark.createDataFrame([], "id long, customer_id long, product_id long")
+    r = customer.customer_360(customers, users, empty_orders, empty, empty.select("id", "customer_id")).collect()[0]
+    assert (r.email, r.mobile, r.stats.total_spent) == ("ann@x.in", "9876543210", Decimal("0.00"))
+    orders = spark.createDataFrame([(5, 1, "DA-1", Decimal("9.99"), "paid", "placed", dt.datetime(2024, 1, 1))],
+                                   "id long, customer_id long, order_number string, final_amount decimal(12,2), "
+                                   "payment_status string, order_status string, created_at timestamp_ntz")
+    top = admin.recent_orders(orders, customers, users).collect()[0]
+    assert (top.order_number, top.customer_name) == ("DA-1", "Ann Lee")

@@ -70,7 +70,8 @@ def product_detail(products: DataFrame, categories: DataFrame, vendors: DataFram
     """Every active product with category names, vendor, images[] and its latest approved reviews[]."""
     j = _with_category_names(products.where(F.col("is_active")), categories).drop("__parent")
     j = j.withColumn("parent_category_name", F.col("category_name"))
-    v = vendors.select(F.col("id").alias("__v"), F.col("business_name").alias("vendor_name"))
+    verified = [F.col("is_verified").alias("vendor_verified")] if "is_verified" in vendors.columns else []
+    v = vendors.select(F.col("id").alias("__v"), F.col("business_name").alias("vendor_name"), *verified)
     j = j.join(v, j.vendor_id == v.__v, "left").drop("__v")
     j = child_array(j, images, "id", "product_id", ["id", "image_url", "sort_order", "is_primary"], "images",
                     sort_by=["sort_order", "id"])

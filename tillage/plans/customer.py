@@ -33,9 +33,11 @@ def customer_360(customers: DataFrame, users: DataFrame, orders: DataFrame, wish
         F.count_distinct(wishlist_key).alias("wishlist_count"), F.count(F.lit(1)).alias("__wrows"))
     r = reviews.groupBy(F.col("customer_id").alias("__c")).agg(
         F.count_distinct("id").alias("review_count"), F.count(F.lit(1)).alias("__rrows"))
-    u = users.select(F.col("id").alias("__uid"), "first_name", "last_name")
+    profile = [c for c in ("email", "mobile", "gender", "occupation", "farm_size", "primary_crop", "dob")
+               if c in users.columns]
+    u = users.select(F.col("id").alias("__uid"), "first_name", "last_name", *profile)
     # Names come from the user row (the reference selects u.first_name, u.last_name).
-    c = customers.drop(*[n for n in ("first_name", "last_name") if n in customers.columns])
+    c = customers.drop(*[n for n in ("first_name", "last_name", *profile) if n in customers.columns])
     prof = c.join(u, c.user_id == u.__uid).drop("__uid")
     j = (prof.join(o, prof.id == o.__c, "left").drop("__c")
          .join(w, F.col("id") == w.__c, "left").drop("__c")
