@@ -103,8 +103,8 @@ def vendor_monthly_revenue(order_items: DataFrame, orders: DataFrame, products:
     pr = products.select(F.col("id").alias("product_id"), "vendor_id")
     lines = order_items.join(o, "order_id").join(pr, "product_id")
     g = lines.groupBy("vendor_id", trunc_ts("created_at", "month").alias("__m"))
-    return g.agg(F.sum("total").cast(MONEY).alias("revenue")).select(
-        "vendor_id", to_char("__m", "Mon YYYY").alias("month"), "revenue")
+    return (g.agg(F.sum("total").cast(MONEY).alias("revenue")).orderBy("vendor_id", "__m")
+            .select("vendor_id", to_char("__m", "Mon YYYY").alias("month"), "revenue"))
 
 
 # ---------------------------------------------------------------------------------------
