@@ -85,8 +85,12 @@ def spread(df: DataFrame) -> DataFrame:
     few large files); a scan of many files is already spread and is left
     alone, so large corpora are never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < cores
+    except Exception:  # noqa: BLE001 - no driver context (Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(cores) if narrow else df
 
 
 def inverted_index(df: DataFrame, id_col: str, tokens: Column | str) -> DataFrame:

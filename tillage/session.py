@@ -72,8 +72,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting names a shared file system folder and is used
     as is. Only when it is unset (local tests) is a scratch folder created.
+    (A Spark Connect session has no driver context here; the server's
+    setting is used as configured.)
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: checkpointing is configured on the server
+        return spark.conf.get("spark.checkpoint.dir", "")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = _LOCAL_CHECKPOINT_DIRS.get(sc.applicationId)
