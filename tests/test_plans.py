@@ -40,3 +40,16 @@ def test_time_filter_reaches_the_scan(spark):
                                   "r31_vendor_top_products"])
 def test_per_key_top_n_limits_before_shuffle(spark, name):
     assert "WindowGroupLimit" in plan_of(entry.queries()[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["m10_status_changes", "m11_permission_log", "r34_address_book"])
+def test_ordered_walks_are_segmented(spark, name):
+    plan = plan_of(entry.queries()[name](spark, SF))
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    # Every window is either per (key, segment) or over the small per-segment table (ordered by segment).
+    assert windows and all("__seg" in w for w in windows), windows
+
+
+def test_page_children_are_semi_joined_by_broadcast(spark):
+    plan = plan_of(entry.queries()["r05_order_search"](spark, SF))
+    assert "LeftSemi, BuildRight" in plan and "BroadcastExchange" in plan
