@@ -41,3 +41,23 @@ def test_query_lexemes_are_lowercase_distinct_and_not_stop_words(q):
 def test_php_truthiness(v):
     falsy = v in (None, False, 0, "", "0") or v == []
     assert php_truthy(v) is (not falsy)
+
+
+events = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 400), st.one_of(st.none(), st.integers(0, 9))),
+                  min_size=1, max_size=60)
+
+
+@given(events, st.sampled_from([3600, 86_400, 7 * 86_400]))
+@settings(max_examples=8, deadline=None)
+def test_segmented_prior_values_equal_a_plain_window(spark, rows, bucket):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tillage.operators.sequences import prior_values
+    base = dt.datetime(2024, 1, 1)
+    data = [(k, i, base + dt.timedelta(hours=h), v) for i, (k, h, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k int, id int, ts timestamp_ntz, v int")
+    got = prior_values(df, ["k"], ["ts", "id"], {"pv": F.col("v")}, bucket_seconds=bucket)
+    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("id", F.last("v", True).over(w).alias("pv"))
+    assert sorted((r.id, r.pv) for r in got.collect()) == sorted((r.id, r.pv) for r in want.collect())
