@@ -61,3 +61,18 @@ def test_segmented_prior_values_equal_a_plain_window(spark, rows, bucket):
     w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("id", F.last("v", True).over(w).alias("pv"))
     assert sorted((r.id, r.pv) for r in got.collect()) == sorted((r.id, r.pv) for r in want.collect())
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.booleans())), min_size=1, max_size=80),
+       st.sampled_from([1, 4, 64]))
+@settings(max_examples=6, deadline=None)
+def test_running_position_equals_row_number(spark, rows, seg_rows):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tillage.plans.customer import address_book
+    df = spark.createDataFrame([(i, k, d) for i, (k, d) in enumerate(rows)], "id long, customer_id long, is_default boolean")
+    got = address_book(df, segment_rows=seg_rows)
+    w = Window.partitionBy("customer_id").orderBy(F.col("is_default").desc(), F.col("id").desc())
+    want = df.withColumn("position", F.row_number().over(w))
+    assert sorted((r.id, r.position) for r in got.collect()) == sorted((r.id, r.position) for r in want.collect())
