@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillage.functions.exprs import URL_PATTERN, full_name, looks_like_url
 from tillage.functions.text import ENGLISH_STOP_WORDS, matches, product_lexemes
 from tillage.operators import filters as flt
+from tillage.operators.changes import stock_ledger
 from tillage.operators.joins import child_array, primary_image, scalar, with_parent
 from tillage.operators.paging import clamp_page, page, top_n_per_key, whitelisted_sort
 from tillage.operators.paging import page_meta
@@ -179,6 +180,21 @@ SELECT j.id, j.name, j.mrp, j.selling_price, j.stock_qty, j.unit, j.sku, j.categ
   (SELECT count(*) FROM j) AS total
 FROM j LEFT JOIN fx_vendors v ON j.vendor_id=v.id ORDER BY j.selling_price ASC NULLS LAST, j.id LIMIT 20""",
                       "fx_products", "fx_categories", "fx_vendors", "fx_product_images")),
+    Registered(
+        "r20_catalogue_default_sort",
+        lambda c: catalogue_search(stock_ledger(c.products, c.stock_movements), c.categories, c.vendors,
+                                   c.product_images, page_no=2),
+        with_fixtures(f"""WITH led AS (SELECT product_id, sum(delta) AS net,
+    sum(CASE WHEN kind='order' THEN -delta ELSE 0 END) AS sold FROM fx_stock_movements GROUP BY product_id),
+j AS (SELECT p.id, p.name, p.mrp, p.selling_price, CAST(p.stock_qty + coalesce(l.net, 0) AS BIGINT) AS stock_qty,
+    p.unit, p.sku, p.vendor_id, CAST(coalesce(l.sold, 0) AS BIGINT) AS sold_count,
+    pc.name AS category_name, c.name AS subcategory_name
+  FROM fx_products p LEFT JOIN led l ON l.product_id=p.id LEFT JOIN fx_categories c ON p.category_id=c.id
+  LEFT JOIN fx_categories pc ON c.parent_id=pc.id WHERE p.is_active)
+SELECT j.id, j.name, j.mrp, j.selling_price, j.stock_qty, j.unit, j.sku, j.category_name, j.subcategory_name,
+  v.business_name AS vendor_name, {IMG_SQL.format(pid='j.id')} AS primary_image, (SELECT count(*) FROM j) AS total
+FROM j LEFT JOIN fx_vendors v ON j.vendor_id=v.id ORDER BY j.sold_count DESC NULLS FIRST, j.id LIMIT 20 OFFSET 20""",
+                      "fx_stock_movements", "fx_products", "fx_categories", "fx_vendors", "fx_product_images")),
     Registered(
         "s5_catalogue_page_json",
         _s5,
