@@ -107,6 +107,12 @@ def _r22(c: Catalog) -> DataFrame:
                      "item_count", digest("items", ITEM_FIELDS).alias("items"))
 
 
+def _r22_page2(c: Catalog) -> DataFrame:
+    df = order_history(c.orders, c.order_items, c.products, page_no=2)
+    return df.select("customer_id", "id", "final_amount", "payment_status", "order_status", "created_at",
+                     "item_count", digest("items", ITEM_FIELDS).alias("items"))
+
+
 def _r23(c: Catalog) -> DataFrame:
     df = order_documents(c.orders, c.order_items, c.products, c.payments, c.addresses)
     return df.select("id", "customer_id", "final_amount", "payment_status", "order_status", "created_at",
@@ -132,6 +138,14 @@ REGISTRY = [
 SELECT r.customer_id, r.id, r.final_amount, r.payment_status, r.order_status, r.created_at,
   {ITEMS_SQL.format(oid='r.id')}
 FROM r WHERE rn <= 10""", "fx_orders", "fx_order_items", "fx_products")),
+    Registered(
+        "r22_order_history_page2",
+        _r22_page2,
+        with_fixtures(f"""WITH r AS (SELECT o.*, row_number() OVER (PARTITION BY customer_id
+    ORDER BY created_at DESC, id DESC) AS rn FROM fx_orders o)
+SELECT r.customer_id, r.id, r.final_amount, r.payment_status, r.order_status, r.created_at,
+  {ITEMS_SQL.format(oid='r.id')}
+FROM r WHERE rn BETWEEN 11 AND 20""", "fx_orders", "fx_order_items", "fx_products")),
     Registered(
         "r23_order_documents",
         _r23,
