@@ -143,15 +143,27 @@ ROW_ORDER_SQL = "created_at DESC, order_id DESC, salesman_name NULLS LAST, distr
 SALES_FX = ("fx_salesman_orders", "fx_salesmen", "fx_orders", "fx_customers", "fx_users", "fx_vendors")
 
 
-def _r39_orders(c: Catalog) -> DataFrame:
-    df = manufacturer_orders(c.manufacturer_orders, c.manufacturers, c.supply_items, status="pending",
-                             search="MFR-1", page_no=1, limit=20)
+def _r39_orders(c: Catalog, **params) -> DataFrame:
+    df = manufacturer_orders(c.manufacturer_orders, c.manufacturers, c.supply_items,
+                             **(params or dict(status="pending", search="MFR-1", page_no=1, limit=20)))
     return df.select("id", "manufacturer_id", "order_number", "order_date", "total_amount", "status",
                      "manufacturer_name", F.size("items").cast("bigint").alias("item_count"),
                      digest("items", ["product_id", "quantity", "unit_price"]).alias("items"), "total")
 
 
+R39_DAY_SQL = """WITH j AS (SELECT mo.*, m.name AS manufacturer_name FROM fx_manufacturer_orders mo
+  JOIN fx_manufacturers m ON mo.manufacturer_id=m.id WHERE CAST(mo.order_date AS DATE) = DATE '1999-06-01'),
+pg AS (SELECT * FROM j ORDER BY order_date DESC, id DESC LIMIT 100)
+SELECT pg.*, (SELECT count(*) FROM fx_supply_items s WHERE s.order_id=pg.id) AS item_count,
+  (SELECT coalesce(string_agg(concat_ws('|', s.product_id, s.quantity, s.unit_price), ';'
+     ORDER BY concat_ws('|', s.product_id, s.quantity, s.unit_price)), '') FROM fx_supply_items s
+   WHERE s.order_id=pg.id) AS items, (SELECT count(*) FROM j) AS total FROM pg"""
+
 REGISTRY = [
+    Registered(
+        "r39_manufacturer_orders_by_day",
+        lambda c: _r39_orders(c, date="1999-06-01", page_no=1, limit=100),
+        with_fixtures(R39_DAY_SQL, "fx_manufacturer_orders", "fx_manufacturers", "fx_supply_items")),
     Registered(
         "r35_salesmen",
         lambda c: salesmen_list(c.salesmen, c.vendors),
@@ -192,6 +204,13 @@ FROM r ORDER BY {ROW_ORDER_SQL} LIMIT 100""", *SALES_FX)),
         with_fixtures(f"""WITH r AS (SELECT {ROW_SQL} FROM {NAMED_SQL}
   WHERE o.created_at BETWEEN TIMESTAMP '2001-07-01 00:00:00' AND TIMESTAMP '2001-08-01 00:00:00')
 SELECT *, (SELECT count(*) FROM r) AS total FROM r ORDER BY {ROW_ORDER_SQL} LIMIT 100 OFFSET 100""", *SALES_FX)),
+    Registered(
+        "r38_salesman_order_list_search",
+        lambda c: salesman_order_list(c.salesman_orders, c.salesmen, c.orders, c.customers, c.users, c.vendors,
+                                      search="ser", distributor_id=3, page_no=1, limit=50),
+        with_fixtures(f"""WITH r AS (SELECT {ROW_SQL} FROM {NAMED_SQL}
+  WHERE s.distributor_id = 3 AND u.first_name ILIKE '%ser%')
+SELECT *, (SELECT count(*) FROM r) AS total FROM r ORDER BY {ROW_ORDER_SQL} LIMIT 50""", *SALES_FX)),
     Registered(
         "r39_manufacturers",
         lambda c: active_manufacturers(c.manufacturers),
