@@ -183,6 +183,14 @@ LEFT JOIN fx_vendors v ON s.distributor_id=v.id""", "fx_salesmen", "fx_vendors")
   count(DISTINCT customer_id) AS total_customers
 FROM fx_orders o WHERE o.id IN (SELECT so.order_id FROM {BRIDGE_SQL} WHERE {RANGE_SQL})""",
                       "fx_salesman_orders", "fx_salesmen", "fx_orders")),
+    Registered(
+        "r36_salesman_summary_one_salesman",
+        lambda c: salesman_summary(c.salesman_orders, c.salesmen, c.orders, *RANGE, salesman_id=7,
+                                   variant="as_written"),
+        with_fixtures(f"""SELECT count(DISTINCT o.id) AS total_orders,
+  CAST(coalesce(sum(o.final_amount), 0) AS DECIMAL(38,2)) AS total_amount,
+  count(DISTINCT o.customer_id) AS total_customers FROM {BRIDGE_SQL} WHERE {RANGE_SQL} AND so.salesman_id = 7""",
+                      "fx_salesman_orders", "fx_salesmen", "fx_orders")),
     Registered(
         "r36_salesman_summary_by_salesman",
         lambda c: salesman_summary(c.salesman_orders, c.salesmen, c.orders, *RANGE, by_salesman=True),
