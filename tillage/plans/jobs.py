@@ -91,6 +91,12 @@ def _m01(c: Catalog) -> DataFrame:
     return ch.upsert(c.cart, cart_changes(c), ["customer_id", "product_id"], ["quantity"], ["created_at", "id"])
 
 
+def _m01_permissions(c: Catalog) -> DataFrame:
+    chg = c.permission_changes.select(F.col("target_user").alias("user_id"), "module",
+                                      F.col("new_value").alias("granted"), "created_at", "id")
+    return ch.upsert(c.user_permissions, chg, ["user_id", "module"], ["granted"], ["created_at", "id"])
+
+
 def _m02(c: Catalog) -> DataFrame:
     return ch.insert_ignore(c.wishlist, wishlist_adds(c), ["customer_id", "product_id"], order=["created_at", "id"])
 
@@ -201,6 +207,13 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, prod
 SELECT coalesce(c.customer_id, l.customer_id) AS customer_id, coalesce(c.product_id, l.product_id) AS product_id,
   CASE WHEN l.customer_id IS NOT NULL THEN l.quantity ELSE c.quantity END AS quantity
 FROM fx_cart c FULL OUTER JOIN l ON c.customer_id=l.customer_id AND c.product_id=l.product_id""", "fx_cart")),
+    Registered("m01_permission_upsert", _m01_permissions, with_fixtures("""WITH l AS (SELECT * FROM (
+    SELECT target_user AS user_id, module, new_value AS granted, row_number() OVER (PARTITION BY target_user, module
+    ORDER BY created_at DESC, id DESC) AS rn FROM fx_permission_changes) WHERE rn=1)
+SELECT coalesce(c.user_id, l.user_id) AS user_id, coalesce(c.module, l.module) AS module,
+  CASE WHEN l.user_id IS NOT NULL THEN l.granted ELSE c.granted END AS granted
+FROM fx_user_permissions c FULL OUTER JOIN l ON c.user_id=l.user_id AND c.module=l.module""",
+                                                                      "fx_user_permissions", "fx_permission_changes")),
     Registered("m02_wishlist_insert_ignore", _m02, with_fixtures("""WITH n AS (SELECT user_id AS customer_id,
     event_id % 200 AS product_id, ts AS created_at, event_id AS id FROM events WHERE event_type='view'),
 f AS (SELECT customer_id, product_id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, product_id
