@@ -44,8 +44,8 @@ def settings_map(settings: DataFrame) -> DataFrame:
     return rows_to_map(settings, "key", "value", name="settings")
 
 
-def _r40(c: Catalog) -> DataFrame:
-    df = staff_permissions(c.users, c.user_permissions)
+def _r40(c: Catalog, **params) -> DataFrame:
+    df = staff_permissions(c.users, c.user_permissions, **params)
     entries = F.transform(F.map_entries("permissions"),
                           lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return df.select("id", "name", "role", "is_active", "created_at",
@@ -63,6 +63,15 @@ REGISTRY = [
      ORDER BY p.module || '=' || CAST(p.granted AS VARCHAR)), '') FROM fx_user_permissions p WHERE p.user_id=u.id)
    AS permissions
 FROM fx_users u WHERE u.role IN ('admin','owner')""", "fx_users", "fx_user_permissions")),
+    Registered(
+        "r40_staff_permissions_one_user",
+        lambda c: _r40(c, user_id=11),
+        with_fixtures("""SELECT u.id, u.first_name || ' ' || u.last_name AS name, u.role, u.is_active, u.created_at,
+  (SELECT count(*) FROM fx_user_permissions p WHERE p.user_id=u.id) AS module_count,
+  (SELECT coalesce(string_agg(p.module || '=' || CAST(p.granted AS VARCHAR), ';'
+     ORDER BY p.module || '=' || CAST(p.granted AS VARCHAR)), '') FROM fx_user_permissions p WHERE p.user_id=u.id)
+   AS permissions
+FROM fx_users u WHERE u.role IN ('admin','owner') AND u.id = 11""", "fx_users", "fx_user_permissions")),
     Registered(
         "r41_permission_audit",
         lambda c: permission_audit(c.permission_changes, c.users),
