@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.substring import remove_repeated_passages
 
 
@@ -18,5 +19,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op3_substring_dedup": op3_substring_dedup}
 SQL: dict[str, str] = {}
