@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillage.llm import langid
 from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.substring import remove_repeated_passages
+from tillage.llm.tables import text_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +26,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op3_substring_dedup": op3_substring_dedup}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = text_mod(F.col("doc_id"), 3) == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op9_language_id": op9_language_id, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op3_substring_dedup": op3_substring_dedup}
 SQL: dict[str, str] = {}
