@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.llm import langid
+from tillage.llm.decontam import benchmark_matches
 from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.substring import remove_repeated_passages
 from tillage.llm.tables import text_mod
@@ -33,5 +34,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op9_language_id": op9_language_id, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op3_substring_dedup": op3_substring_dedup}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return benchmark_matches(docs, _table(spark, sf_dir, "benchmark")).drop("text")
+
+
+QUERIES = {"op10_benchmark_decontamination": op10_benchmark_decontamination, "op9_language_id": op9_language_id, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op3_substring_dedup": op3_substring_dedup}
 SQL: dict[str, str] = {}
