@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm import langid
+from tillage.llm import chat, langid, topk
 from tillage.llm.decontam import benchmark_matches
+from tillage.llm.mixing import mix
 from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.substring import remove_repeated_passages
 from tillage.llm.tables import text_mod
@@ -39,5 +40,27 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_matches(docs, _table(spark, sf_dir, "benchmark")).drop("text")
 
 
-QUERIES = {"op10_benchmark_decontamination": op10_benchmark_decontamination, "op9_language_id": op9_language_id, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op3_substring_dedup": op3_substring_dedup}
-SQL: dict[str, str] = {}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render_maximal(_table(spark, sf_dir, "conversations"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting,
+    op2_mixing,
+    op3_substring_dedup,
+    op4_topk_search,
+    op7_ngram_jaccard_join,
+    op9_language_id,
+    op10_benchmark_decontamination,
+)}
+SQL = {"op1_chat_formatting": chat.ORACLE_SQL, "op4_topk_search": topk.ORACLE_SQL}
