@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm import chat, langid, topk
+from tillage.llm import chat, langid, lm, topk
 from tillage.llm.decontam import benchmark_matches
 from tillage.llm.mixing import mix
 from tillage.llm.ngram_join import jaccard_components
@@ -28,6 +28,13 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = text_mod(F.col("doc_id"), 7) == 2
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = text_mod(F.col("doc_id"), 3) == 1
@@ -59,6 +66,7 @@ QUERIES = {f.__name__: f for f in (
     op2_mixing,
     op3_substring_dedup,
     op4_topk_search,
+    op6_lm_scoring,
     op7_ngram_jaccard_join,
     op9_language_id,
     op10_benchmark_decontamination,

@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     shards, n = tiles(usable(vectors), shard_rows)
     asked, _ = tiles(usable(queries), tile_rows)
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("part"), F.col("part").alias("q_part"),
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"), F.col("part").alias("q_part"),
                          F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("whole").alias("q_whole"))
     lists = asked.join(shards, ["dim", "part"]).select("dim", "part", "ids", "data", "whole", "q_part", "q_ids", "q_data", "q_whole").mapInArrow(
         _best_rows(k), "q_row long, query_id long, part long, vec_id long, score long")
@@ -135,13 +135,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id,
-         CAST(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
