@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillage.llm import chat, langid, lm, topk
 from tillage.llm.decontam import benchmark_matches
+from tillage.llm.html import extract_main_text
 from tillage.llm.mixing import mix
 from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.substring import remove_repeated_passages
@@ -28,6 +29,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = text_mod(F.col("doc_id"), 7) == 2
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +71,7 @@ QUERIES = {f.__name__: f for f in (
     op2_mixing,
     op3_substring_dedup,
     op4_topk_search,
+    op5_html_extraction,
     op6_lm_scoring,
     op7_ngram_jaccard_join,
     op9_language_id,
