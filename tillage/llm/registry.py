@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm import chat, langid, lm, topk
+from tillage.llm import chat, langid, lm, quality, topk
 from tillage.llm.decontam import benchmark_matches
 from tillage.llm.html import extract_main_text
 from tillage.llm.mixing import mix
@@ -40,6 +40,16 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = text_mod(F.col("doc_id"), 3) == 1
+    # At most MAX_ROWS labelled rows teach, taken by hash; so many ids are broadcast.
+    labels = (_table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out & F.col("quality").isin(0, 1))
+              .orderBy(F.xxhash64("doc_id", "quality"), "doc_id", "quality").limit(quality.MAX_ROWS))
+    model = quality.train(docs.join(F.broadcast(labels), "doc_id"))
+    return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = text_mod(F.col("doc_id"), 3) == 1
@@ -74,6 +84,7 @@ QUERIES = {f.__name__: f for f in (
     op5_html_extraction,
     op6_lm_scoring,
     op7_ngram_jaccard_join,
+    op8_quality_classifier,
     op9_language_id,
     op10_benchmark_decontamination,
 )}
