@@ -29,19 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.graph import components
 from tillage.llm.tables import parts_for, written
-from tillage.llm.words import mix, rolling, slices, split_words, text_array, text_of_word, word_hashes
+from tillage.llm.words import mix, rolling, slices, split_words, text_of_word, word_hashes
 
 SKETCH_BITS = 19
 SKETCH_BLOCKS = 64
 BITMAP = 2048
 BLOCK = 256
+SUBSET_COST = 4.0
 _LIGHT = "row_key long, node long, n long, prefix array<long>, scan double, bitmap binary"
 
 
@@ -111,7 +111,9 @@ def _light_rows(k: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
         bits = int(len(table)).bit_length() - 1
+        # A counter holds its shingle's count and the mean load of all others, give or take its spread.
         noise = float(table.mean())
+        clear = noise + 4 * noise ** 0.5
         for b in slices(batches, "text"):
             rows = b.num_rows
             doc, value = distinct_shingles(b.column("text"), k)
@@ -119,7 +121,7 @@ def _light_rows(k: int, percent: int, sketch):
             off = np.concatenate([[0], np.cumsum(n)])
             freq = table[(value >> np.uint64(64 - bits)).astype(np.int64)]
             order = np.lexsort((freq, doc))  # stable: equal frequencies stay in fingerprint order
-            ranked, cost = value[order], np.maximum(freq[order] - noise, 0)
+            ranked, cost = value[order], np.where(freq[order] > clear, freq[order] - noise, 0)
             need = -(-percent * n // 100)
             take = np.where(n > 0, np.minimum(n - need + 2, n), 0)  # one more than a single shared shingle asks for
             at = np.repeat(off[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
@@ -143,13 +145,14 @@ def boundary(light: DataFrame, percent: int) -> int:
     """Size below which enumerating 2-subsets costs less than scanning inverted lists.
 
     Cost of a set: the rows it makes and the list entries it meets. With
-    2-subsets it makes C(p + 1, 2) rows and meets few others; with lists it
-    makes p rows and meets the estimated frequency of each prefix shingle.
+    2-subsets it makes C(p + 1, 2) rows, each of which may meet the set's
+    near copies again (``SUBSET_COST`` per row); with lists it makes p rows
+    and meets the estimated frequency of each prefix shingle.
     """
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
     p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     rows = (light.where("n > 0").groupBy(step.alias("step"))
-            .agg(F.min("n").alias("low"), F.sum(p * (p + 1) / 2).alias("subsets"), F.sum(p + F.col("scan")).alias("lists"))
+            .agg(F.min("n").alias("low"), F.sum(F.lit(SUBSET_COST) * p * (p + 1) / 2).alias("subsets"), F.sum(p + F.col("scan")).alias("lists"))
             .orderBy("step").collect())
     best, cost = 1, sum(r.lists for r in rows)
     least = cost
