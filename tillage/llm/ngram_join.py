@@ -41,7 +41,7 @@ SKETCH_BITS = 19
 SKETCH_BLOCKS = 64
 BITMAP = 2048
 BLOCK = 256
-SUBSET_COST = 4.0
+SCAN_COST = 0.005
 _LIGHT = "row_key long, node long, n long, prefix array<long>, scan double, bitmap binary"
 
 
@@ -145,14 +145,14 @@ def boundary(light: DataFrame, percent: int) -> int:
     """Size below which enumerating 2-subsets costs less than scanning inverted lists.
 
     Cost of a set: the rows it makes and the list entries it meets. With
-    2-subsets it makes C(p + 1, 2) rows, each of which may meet the set's
-    near copies again (``SUBSET_COST`` per row); with lists it makes p rows
-    and meets the estimated frequency of each prefix shingle.
+    2-subsets it makes C(p + 1, 2) rows and meets few others; with lists it
+    makes p rows and meets the estimated frequency of each prefix shingle, a
+    vectorised comparison each (``SCAN_COST``, in rows).
     """
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
     p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     rows = (light.where("n > 0").groupBy(step.alias("step"))
-            .agg(F.min("n").alias("low"), F.sum(F.lit(SUBSET_COST) * p * (p + 1) / 2).alias("subsets"), F.sum(p + F.col("scan")).alias("lists"))
+            .agg(F.min("n").alias("low"), F.sum(p * (p + 1) / 2).alias("subsets"), F.sum(p + F.lit(SCAN_COST) * F.col("scan")).alias("lists"))
             .orderBy("step").collect())
     best, cost = 1, sum(r.lists for r in rows)
     least = cost
@@ -305,13 +305,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sketch = spark.sparkContext.broadcast(frequency_sketch(texts.select("text"), k))
     light = written(texts.mapInArrow(_light_rows(k, percent, sketch), _LIGHT))
-    x = boundary(light, percent)
-    keys = _keys(light, percent, x)
+    nodes = written(light.select("node", "n", "prefix", "scan", "bitmap").dropDuplicates(["node"]))
+    x = boundary(nodes, percent)
+    keys = _keys(nodes, percent, x)
     shared = (keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
               .where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    nodes = light.select("node", "n", "bitmap").dropDuplicates(["node"])
+    bitmaps = nodes.select("node", "n", "bitmap")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    members = (keys.join(shared, "key").select("key", "node", own.alias("own"), "blocks").distinct()
+    members = (keys.join(shared, "key").select("key", "node", own.alias("own"), "blocks").distinct()  # a set may hold a key twice
                .select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
                .select("key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     members = written(members)
@@ -322,7 +323,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         dealt = found.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
         return dealt.mapInArrow(_link_rows(percent, all_apart), "key long, i int, j int, a long, b long")
 
-    forest = written(links(members.join(nodes, "node"), False))
+    forest = written(links(members.join(bitmaps, "node"), False))
     involved = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = (light.groupBy("node").agg(F.min("row_key").alias("row_key")).join(involved, "node", "left_semi"))
     sets = written(texts.join(chosen, "row_key").select("node", "text").mapInArrow(_set_rows(k), "node long, items binary")
@@ -338,7 +339,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     broken = forest.join(known.where("not ok"), ["a", "b"], "left_semi").select("key", "i", "j").distinct()
     if known.where("not ok").limit(1).count():
         label = components(true_links)
-        again = (members.join(broken, ["key", "i", "j"], "left_semi").join(nodes, "node")
+        again = (members.join(broken, ["key", "i", "j"], "left_semi").join(bitmaps, "node")
                  .join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
         more = written(links(again, True).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
         true_links = true_links.union(verified(more).where("ok").select("a", "b"))
