@@ -22,6 +22,7 @@ latent space and broadcast, so its size is bounded by that parameter.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.arrays import summed
-from tillage.llm.words import slices, split_words, text_array, text_of_word, word_hashes
+from tillage.llm.words import slices, split_words, text_of_word, word_hashes
 
 BUCKETS = 1 << 18
 LENGTHS = (4, 8, 16, 32)
@@ -43,6 +44,7 @@ WEIGHT_SHARE = 0.25
 CERTAIN = 0.7
 LIKELY = 0.5
 ANSWER_WORDS = 8
+MARKS = string.punctuation + "“”‘’«»„…–—¿¡"
 MATCH = "item_id long, lcs int, item_words int, lcs_share double, cosine double, start long, stop long, answer boolean"
 
 
@@ -52,8 +54,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 def _coded(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, fingerprints and ids of the words, lower-cased and without punctuation at their ends."""
-    off, ids, words = split_words(pc.utf8_lower(text_array(column)))
-    h = word_hashes(pc.replace_substring_regex(words, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    off, ids, words = split_words(column)
+    h = word_hashes(pc.utf8_trim(pc.utf8_lower(words), characters=MARKS))
     return off, h[ids] if len(h) else np.empty(0, np.uint64), ids
 
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ HIDDEN = 16
 WINDOW = 16
 LANES = 256
 ROUNDS = (0.125, 1.0)
-KNOWN = 1 << 20
+KNOWN = 1 << 19
 RATE = 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 SLICE = 4 << 20
@@ -271,6 +271,25 @@ def _score_rows(shared):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([pa.array([b.column(k).to_numpy().tobytes()], pa.binary()) for k in ("token", "c")], names=["token", "c"])
+
+
+def most_frequent(counts: DataFrame, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and counts, most frequent first: all tokens from the least count on that gives at most ``known`` of them."""
+    at_least = F.sum("tokens").over(Window.orderBy(F.col("c").desc()))
+    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("tokens")).select("c", at_least.alias("upto"))
+    least = by_count.where(F.col("upto") <= known).agg(F.min("c")).first()[0]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = counts.where(F.col("c") >= least).select("token", "c").mapInArrow(_packed, "token binary, c binary").collect()
+    token = np.concatenate([np.frombuffer(r.token, np.int64) for r in rows])
+    c = np.concatenate([np.frombuffer(r.c, np.int64) for r in rows])
+    order = np.lexsort((token, -c))
+    return token[order].view(np.uint64), c[order]
+
+
 def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, classes: int = CLASSES, hidden: int = HIDDEN,
           window: int = WINDOW, lanes: int = LANES, known: int = KNOWN, rounds: tuple[float, ...] = ROUNDS, rate: float = RATE,
           seed: int = 5) -> DataFrame:
@@ -282,7 +301,7 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, c
     token alone. Repeated rows count, train and score each time. Input
     columns of these names are replaced. Without training rows all tokens are
     unseen and the network knows only the unknown symbol. Counts of the
-    ``known`` most frequent tokens are broadcast; those of others are joined.
+    ``known`` (at most) most frequent tokens are broadcast; those of others are joined.
     """
     spark = docs.sparkSession
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -291,8 +310,7 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, c
     learning = base.where("learns").select("text")
     counts = written(learning.mapInArrow(_count_rows, "token long, n long").groupBy("token").agg(F.sum("n").alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.col("c").desc(), "token").limit(known).toPandas()
-    tokens, c = top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    tokens, c = most_frequent(counts, known)
     vocabulary, modelled = tokens[:words], int(c[:words].sum())
     shape = (len(vocabulary), classes, hidden)
     net = Net(*shape)
