@@ -29,16 +29,18 @@ from tillage.llm.arrays import summed
 from tillage.llm.tables import written
 from tillage.llm.words import slices, split_words, text_of_word, word_hashes
 
-WORDS = 2047
-CLASSES = 46
-HIDDEN = 16
+WORDS = 1024
+CLASSES = 33
+HIDDEN = 12
 WINDOW = 16
-LANES = 256
+SCORE_WINDOW = 64
+LANES = 512
 ROUNDS = (0.125, 1.0)
 KNOWN = 1 << 19
 RATE = 0.1
+STEP = 0.01
 END = np.uint64(0x5851F42D4C957F2D)
-SLICE = 4 << 20
+SLICE = 8 << 20
 _SCORED = "n_tokens long, known long, counts_sum double, model_sum double, rare array<struct<token:long,n:int>>"
 
 
@@ -215,7 +217,7 @@ def _train_slice(net: Net, step: np.ndarray, off: np.ndarray, x: np.ndarray, lan
         order = np.argsort(ids.reshape(-1), kind="stable")
         seen, edge = np.unique(ids.reshape(-1)[order], return_index=True)
         net.get("e", grad)[seen] += np.add.reduceat(flat[order], edge, axis=0)
-        grad /= max(len(at), 1) ** 0.5
+        grad /= (window * min(lanes, len(off) - 1)) ** 0.5  # windows with few lanes left move the parameters less
         step += grad * grad
         net.theta -= rate * grad / (np.sqrt(step) + 1e-4)
 
@@ -245,7 +247,7 @@ def _vocabulary_ids(h: np.ndarray, ids: np.ndarray, vocabulary: np.ndarray) -> n
 
 def _score_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        theta, shape, vocabulary, tokens, counts, outside, lanes, window = shared.value
+        theta, shape, vocabulary, tokens, counts, outside, lanes = shared.value
         net = Net(*shape, theta)
         for b in slices(batches, "text", SLICE):
             off, ids, h = _tokens(b.column("text"))
@@ -255,7 +257,7 @@ def _score_rows(shared):
                 found = tokens[at] == h
                 c = np.where(found, counts[at], 0)
             model = _vocabulary_ids(h, np.arange(len(h)), vocabulary)
-            logp = _score_slice(net, off, model[ids], lanes, window) / np.log(10)
+            logp = _score_slice(net, off, model[ids], lanes, SCORE_WINDOW) / np.log(10)
             add = np.log10(c + 1.0)
             # A token outside the vocabulary: its share of the counts outside (those of rare tokens are joined later).
             share = np.where(model == len(vocabulary), np.where(found, add, 0) - outside, 0)
@@ -325,7 +327,7 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, c
         def task(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             theta, vocabulary = shared_start.value
             local, seen = Net(*shape, theta.copy()), 0
-            step = np.zeros_like(theta)
+            step = np.full_like(theta, STEP)
             for b in slices(batches, "text", SLICE):
                 off, ids, h = _tokens(b.column("text"))
                 _train_slice(local, step, off, _vocabulary_ids(h, ids, vocabulary), lanes, window, rate)
@@ -339,7 +341,7 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, c
 
     order = np.argsort(tokens)
     outside = float(total.n - modelled + total.v - len(vocabulary) + 1)
-    shared = spark.sparkContext.broadcast((net.theta, shape, vocabulary, tokens[order], c[order], np.log10(outside), lanes, window))
+    shared = spark.sparkContext.broadcast((net.theta, shape, vocabulary, tokens[order], c[order], np.log10(outside), lanes))
     row = base.schema["row"].dataType
     fields = T._parse_datatype_string(_SCORED).fields
     scored = written(base.select("row", "text").mapInArrow(_score_rows(shared), T.StructType([T.StructField("row", row), *fields]))
