@@ -38,7 +38,7 @@ LANES = 512
 ROUNDS = (0.125, 1.0)
 KNOWN = 1 << 19
 RATE = 0.1
-STEP = 0.01
+STEP = 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 SLICE = 8 << 20
 _SCORED = "n_tokens long, known long, counts_sum double, model_sum double, rare array<struct<token:long,n:int>>"
@@ -146,7 +146,8 @@ def _outputs(net: Net, s: np.ndarray, x: np.ndarray, grad: np.ndarray | None = N
 def _lanes(off: np.ndarray, lanes: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Texts dealt to lanes, longest first to the shortest lane; longer lanes come first. Per lane: positions, starts of texts."""
     size = np.diff(off)
-    lanes = max(1, min(lanes, len(size)))
+    # No more lanes than the longest text allows to be about as long as its own, so that none runs on alone.
+    lanes = max(1, min(lanes, len(size), max(16, int(size.sum()) // max(int(size.max(initial=1)), 1))))
     fill, dealt = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
     for t in np.argsort(-size, kind="stable"):
         k = int(fill.argmin())
@@ -193,8 +194,9 @@ def _forward(net: Net, x: np.ndarray, first: np.ndarray, h: np.ndarray):
 
 def _train_slice(net: Net, step: np.ndarray, off: np.ndarray, x: np.ndarray, lanes: int, window: int, rate: float) -> None:
     h = np.zeros((0, net.hidden), np.float32)
+    most = 0
     for grid, first in _windows(off, lanes, window):
-        live = grid >= 0
+        live, most = grid >= 0, max(most, grid.shape[1])
         ids = np.where(live, x[grid], 0)
         h = np.zeros((grid.shape[1], net.hidden), np.float32) if not len(h) else h[:grid.shape[1]]
         s, f, n, h = _forward(net, ids, first, h)
@@ -217,7 +219,7 @@ def _train_slice(net: Net, step: np.ndarray, off: np.ndarray, x: np.ndarray, lan
         order = np.argsort(ids.reshape(-1), kind="stable")
         seen, edge = np.unique(ids.reshape(-1)[order], return_index=True)
         net.get("e", grad)[seen] += np.add.reduceat(flat[order], edge, axis=0)
-        grad /= (window * min(lanes, len(off) - 1)) ** 0.5  # windows with few lanes left move the parameters less
+        grad /= (window * most) ** 0.5  # windows with few lanes left move the parameters less
         step += grad * grad
         net.theta -= rate * grad / (np.sqrt(step) + 1e-4)
 
