@@ -78,10 +78,18 @@ def slug(name: Column | str) -> Column:
     return F.lower(F.regexp_replace(_c(name), "[^a-z0-9]+", "-"))
 
 
+# PHP ``trim`` strips these.
+BLANKS = " \t\n\r\0\x0b"
+
+
+def php_trim(x: Column | str) -> Column:
+    return F.btrim(_c(x), F.lit(BLANKS))
+
+
 # E11 ------------------------------------------------------------------------
 def split_name(x: Column | str) -> tuple[Column, Column]:
     """Split at the first space: (first, rest or '')."""
-    parts = F.split(F.trim(_c(x)), " ", 2)
+    parts = F.split(php_trim(x), " ", 2)
     return parts.getItem(0), F.coalesce(F.get(parts, 1), F.lit(""))
 
 

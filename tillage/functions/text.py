@@ -78,21 +78,6 @@ def matches(tokens: Column | str, query: str) -> Column:
     return pred
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a narrow scan over the cluster's cores before CPU-heavy text work.
-
-    Only when the scan has fewer partitions than the default parallelism (a
-    few large files); a scan of many files is already spread and is left
-    alone, so large corpora are never shuffled for this.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < cores
-    except Exception:  # noqa: BLE001 - no driver context (Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(cores) if narrow else df
-
-
 def inverted_index(df: DataFrame, id_col: str, tokens: Column | str) -> DataFrame:
     """(token, id) pairs: one row per distinct lexeme of each row.
 

@@ -15,6 +15,7 @@ from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillage.functions.exprs import module_key
 from tillage.operators.joins import update_from
@@ -96,15 +97,18 @@ def add_missing_dependents(parent: DataFrame, child: DataFrame, parent_key: str,
 PATCH_MODES = ("exists", "isset", "nonempty")
 
 
-def _writes(value: Column, field: str, mode: str) -> Column:
+def _writes(value: Column, field: str, mode: str, kind: T.DataType) -> Column:
     sent = F.array_contains(F.col("present"), F.lit(field))
     if mode == "exists":       # array_key_exists: an explicit NULL is written
         return sent
     if mode == "isset":        # isset: NULL is skipped
         return sent & value.isNotNull()
-    # !empty: NULL, '', '0', 0 and FALSE are skipped
-    text = value.cast("string")
-    return sent & value.isNotNull() & ~text.isin("", "0", "false", "0.0")
+    # !empty by type: NULL; '' and '0' of texts; zero of numbers. Flags are tested with isset, so FALSE is written.
+    if isinstance(kind, T.BooleanType):
+        return sent & value.isNotNull()
+    if isinstance(kind, T.NumericType):
+        return sent & value.isNotNull() & (value != F.lit(0))
+    return sent & value.isNotNull() & ~value.cast("string").isin("", "0")
 
 
 def sparse_patch(cur: DataFrame, patches: DataFrame, key: str, fields: list[str], order: list[str],
@@ -120,7 +124,7 @@ def sparse_patch(cur: DataFrame, patches: DataFrame, key: str, fields: list[str]
     ordering = F.struct(*[F.col(c) for c in order])
     aggs = []
     for f in fields:
-        w = _writes(F.col(f), f, mode)
+        w = _writes(F.col(f), f, mode, patches.schema[f].dataType)
         aggs.append(F.max_by(F.struct(F.col(f).alias("v")), F.when(w, ordering)).alias(f"__p_{f}"))
     latest = patches.groupBy(F.col(key).alias("__pk")).agg(*aggs)
     j = cur.join(latest, cur[key] == latest["__pk"], "left")
@@ -340,10 +344,10 @@ def split_duplicates(incoming: DataFrame, cur: DataFrame, keys: list[str], order
 
 # M16 -----------------------------------------------------------------------------------
 def clamp_cart(cart: DataFrame, products: DataFrame) -> DataFrame:
-    """Cart quantity clamped to 1..stock of an active product (``max(1, min(q, stock))``)."""
+    """Cart quantity clamped to 1..stock of an active product (``max(1, min(q, stock))``; a NULL quantity gives 1)."""
     pr = products.where(F.col("is_active")).select(F.col("id").alias("product_id"), "stock_qty")
     j = cart.join(pr, "product_id")
-    return j.withColumn("quantity", F.greatest(F.lit(1), F.least(F.col("quantity"), F.col("stock_qty")))
+    return j.withColumn("quantity", F.greatest(F.lit(1), F.least(F.coalesce(F.col("quantity"), F.lit(0)), F.col("stock_qty")))
                         .cast("int")).drop("stock_qty")
 
 

@@ -5,7 +5,9 @@ comparison into the Parquet scan where the column is a stored one.
 
 from __future__ import annotations
 
+import re
 import datetime as dt
+from decimal import Decimal
 from functools import reduce
 from typing import Any, Callable, Iterable
 
@@ -58,18 +60,27 @@ def equals(col: ColumnLike, value: Any) -> Column:
 
 # F3 -----------------------------------------------------------------------
 def contains_ci(cols: Iterable[ColumnLike], text: str) -> Column:
-    """``col ILIKE '%text%'`` OR-ed over columns; ``%`` and ``_`` in ``text`` stay wildcards."""
-    pattern = f"%{text}%"
+    """``col ILIKE '%text%'`` OR-ed over columns; ``%`` and ``_`` in ``text`` stay wildcards.
+
+    A backslash escapes ``%``, ``_`` and itself; before anything else it is text."""
+    pattern = "%" + re.sub(r"\\([%_\\]?)", lambda m: m[0] if m[1] else r"\\", text) + "%"
     return reduce(lambda a, b: a | b, [_c(c).ilike(pattern) for c in cols])
 
 
+def leading_number(value: Any) -> Decimal:
+    """PHP ``(float)`` of a parameter: the leading decimal number of its text ('12abc' -> 12), else 0."""
+    m = re.match(r"\s*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", str(value))
+    # Plain notation, so that the literal is a decimal and a decimal column isn't cast.
+    return Decimal(format(Decimal(m[1]), "f")) if m else Decimal(0)
+
+
 # F5, F6 -------------------------------------------------------------------
 def price_range(col: ColumnLike, lo: float | None = None, hi: float | None = None) -> Column | None:
     preds = []
     if php_truthy(lo):
-        preds.append(_c(col) >= F.lit(float(lo)))
+        preds.append(_c(col) >= F.lit(leading_number(lo)))
     if php_truthy(hi):
-        preds.append(_c(col) <= F.lit(float(hi)))
+        preds.append(_c(col) <= F.lit(leading_number(hi)))
     return conjunction(preds) if preds else None
 
 

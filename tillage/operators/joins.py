@@ -110,9 +110,11 @@ def update_from(target: DataFrame, lookup: DataFrame, key: str, lookup_key: str,
 # Child rows as an array -------------------------------------------------------
 def child_array(parent: DataFrame, child: DataFrame, parent_key: str, child_fk: str,
                 fields: Iterable[str], name: str, sort_by: list[str] | None = None,
-                parent_bounded: bool = False) -> DataFrame:
+                parent_bounded: bool = False, newest_first: bool = False) -> DataFrame:
     """Attach children as ``array<struct>`` sorted by ``sort_by`` (empty array when none).
 
+    ``newest_first`` turns the order round (all of ``sort_by`` descending).
+
     Children are first collected per key (``collect_list`` aggregates
     partially in every map task, so even a parent with a third of all child
     rows has its rows gathered by many tasks; only the final concatenation is
@@ -129,7 +131,8 @@ def child_array(parent: DataFrame, child: DataFrame, parent_key: str, child_fk:
     if parent_bounded:
         kids = kids.join(bounded(parent.select(F.col(parent_key).alias("__fk"))), "__fk", "left_semi")
     elem = F.struct(*[F.col(f"__c_{c}").alias(c) for c in ordered])
-    proj = F.transform(F.array_sort(F.collect_list(elem)), lambda s: F.struct(*[s[c].alias(c) for c in fields]))
+    kept = F.array_sort(F.collect_list(elem))
+    proj = F.transform(F.reverse(kept) if newest_first else kept, lambda s: F.struct(*[s[c].alias(c) for c in fields]))
     grouped = kids.groupBy("__fk").agg(proj.alias(name))
     out = parent.join(grouped, parent[parent_key] == grouped["__fk"], "left").drop("__fk")
     empty = F.array().cast(out.schema[name].dataType)

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillage.operators.filters import leading_number
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -34,10 +36,7 @@ def pg_desc(x: Column | str) -> Column:
 def clamp_page(page: Any = 1, limit: Any = 20, max_limit: int = 100) -> tuple[int, int]:
     """``page = max(1, (int)page)``, ``limit = min(max, max(1, (int)limit))``."""
     def as_int(v: Any, default: int) -> int:
-        try:
-            return int(float(v))
-        except (TypeError, ValueError):
-            return default if v is None else 0
+        return default if v is None else int(leading_number(v))
     p = max(1, as_int(page, 1))
     lim = min(max_limit, max(1, as_int(limit, 20)))
     return p, lim

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillage.functions.exprs import money_round, ntz
 from tillage.operators.aggregates import MONEY
 from tillage.operators.joins import join_valid, scalar
+from tillage.functions.exprs import php_trim
 from tillage.sources.literals import delivery_settings
 
 
@@ -32,14 +33,14 @@ def price_orders(requests: DataFrame, cart: DataFrame, products: DataFrame, coup
         F.sum(F.col("selling_price") * F.col("quantity")).cast(MONEY).alias("subtotal"),
         F.count(F.lit(1)).alias("line_count"),
         F.bool_and(F.col("quantity") <= F.col("stock_qty")).alias("__stock_ok"))
-    req = requests.withColumn("__code", F.upper(F.trim(F.col("coupon_code"))))
+    req = requests.withColumn("__code", F.upper(php_trim("coupon_code")))
     live = coupons.where(F.coalesce(F.col("is_active"), F.lit(True))).select(
         F.col("code").alias("__cp"), "discount_type", "discount_value", "minimum_order_amount", "max_discount",
         "valid_from", "valid_to")
-    # Equi join on the code with the validity range as a residual; coupons
-    # are a small literal table (one row per code), so the broadcast is bounded.
+    # Equi join on the code with the validity range as a residual; adaptive
+    # execution broadcasts the coupons if they measure small.
     j = join_valid(req.join(per, "customer_id", "left"), live, "__code", "__cp", ntz(as_of),
-                   "valid_from", "valid_to", right_bounded=True)
+                   "valid_from", "valid_to")
     sub = F.col("subtotal")
     pct = sub * F.col("discount_value") / F.lit(100)
     pct = F.when(F.col("max_discount").isNotNull(), F.least(pct, F.col("max_discount"))).otherwise(pct)

@@ -222,7 +222,7 @@ def _e11(c: Catalog) -> DataFrame:
 
 
 def _e12(c: Catalog) -> DataFrame:
-    return c.products.select("id", F.upper(F.trim("name")).alias("upper_name"), F.lower("sku").alias("lower_sku"))
+    return c.products.select("id", F.upper(E.php_trim("name")).alias("upper_name"), F.lower("sku").alias("lower_sku"))
 
 
 def _e14(c: Catalog) -> DataFrame:

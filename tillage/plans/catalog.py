@@ -61,8 +61,11 @@ def catalogue_search(products: DataFrame, categories: DataFrame, vendors: DataFr
     img = primary_image(images).select(F.col("product_id").alias("__img"), F.col("image_url").alias("primary_image"))
     out = (chosen.join(v, chosen.vendor_id == v.__v, "left")
            .join(img, F.col("id") == F.col("__img"), "left"))
+    # The joins lose the page's order; a page is 50 rows at most.
+    out = out.orderBy(sort_col, F.col("id").asc())
+    extra = [c for c in ("slug", "avg_rating", "review_count", "sold_count", "is_featured", "product_code") if c in products.columns]
     return out.select("id", "name", "mrp", "selling_price", "stock_qty", "unit", "sku", "category_name",
-                      "subcategory_name", "vendor_name", "primary_image", total.alias("total"))
+                      "subcategory_name", "vendor_name", "primary_image", *extra, total.alias("total"))
 
 
 # R21 -----------------------------------------------------------------------------
@@ -83,7 +86,7 @@ def product_detail(products: DataFrame, categories: DataFrame, vendors: DataFram
     latest = top_n_per_key(approved, ["product_id"], [F.col("created_at").desc(), F.col("id").desc()],
                            review_limit)
     return child_array(j, latest, "id", "product_id", ["rating", "created_at", "customer_name", "id"],
-                       "reviews")
+                       "reviews", sort_by=["created_at", "id"], newest_first=True)
 
 
 # R25 -----------------------------------------------------------------------------

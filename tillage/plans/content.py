@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.text import inverted_index, lexemes, matches, search_index, spread
+from tillage.functions.text import inverted_index, lexemes, matches, search_index
 from tillage.operators.joins import child_array
 from tillage.plans.catalog import sql_lexemes
 from tillage.plans.common import Registered
@@ -17,7 +17,7 @@ SEARCH_QUERY = "Ertion rely"
 
 def document_lexemes(documents: DataFrame) -> DataFrame:
     """Distinct lexemes of every whole document."""
-    return spread(documents).select("doc_id", "lang", lexemes("text").alias("lexemes"))
+    return documents.select("doc_id", "lang", lexemes("text").alias("lexemes"))
 
 
 def document_search(documents: DataFrame, query: str) -> DataFrame:

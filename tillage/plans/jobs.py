@@ -368,6 +368,6 @@ UNION ALL SELECT 'cnf_orders.warehouse_id', count(*) FROM fx_cnf_orders o WHERE
                              "fx_status_events")),
     Registered("m16_cart_clamp", lambda c: ch.clamp_cart(c.cart, c.products),
                with_fixtures("""SELECT c.customer_id, c.product_id,
-  CAST(greatest(1, least(c.quantity, p.stock_qty)) AS INTEGER) AS quantity
+  CAST(greatest(1, least(coalesce(c.quantity, 0), p.stock_qty)) AS INTEGER) AS quantity
 FROM fx_cart c JOIN fx_products p ON c.product_id=p.id WHERE p.is_active""", "fx_cart", "fx_products")),
 ]

@@ -30,7 +30,7 @@ def _bridge(salesman_orders: DataFrame, salesmen: DataFrame, orders: DataFrame,
     """salesman_orders x salesmen x orders with the report's filters (one row per pair)."""
     s = salesmen.select(F.col("id").alias("salesman_id"), F.col("name").alias("salesman_name"), "distributor_id")
     o = orders.select(F.col("id").alias("order_id"), "customer_id", "final_amount", "order_status",
-                      "payment_status", "created_at")
+                      "payment_status", "created_at", *[c for c in ("order_number",) if c in orders.columns])
     preds = [flt.between_to_next_midnight("created_at", date_from, date_to)
              if (flt.php_truthy(date_from) and flt.php_truthy(date_to)) else None,
              flt.optional(salesman_id, lambda v: F.col("salesman_id") == F.lit(v)),
@@ -75,6 +75,10 @@ ROW_COLS = ["order_id", "final_amount", "order_status", "payment_status", "creat
             "salesman_name", "distributor_name"]
 
 
+def _row_cols(b: DataFrame) -> list[str]:
+    return [*(c for c in ("order_number",) if c in b.columns), *ROW_COLS]
+
+
 def _row_order() -> list:
     return [F.col("created_at").desc(), F.col("order_id").desc(), F.col("salesman_name").asc_nulls_last(),
             F.col("distributor_name").asc_nulls_last(), F.col("customer_name").asc_nulls_last()]
@@ -88,7 +92,8 @@ def salesman_report_rows(salesman_orders: DataFrame, salesmen: DataFrame, orders
     p, lim = clamp_page(page_no, limit, 100)
     b = _bridge(salesman_orders, salesmen, orders, date_from, date_to, salesman_id, distributor_id)
     total = scalar(b.agg(F.count_distinct("order_id")))
-    rows = _named(b, customers, users, vendors).select(*ROW_COLS).distinct()
+    rows = _named(b, customers, users, vendors)
+    rows = rows.select(*_row_cols(rows)).distinct()
     return page(rows, _row_order(), p, lim).withColumn("total", total)
 
 
@@ -105,7 +110,7 @@ def salesman_order_list(salesman_orders: DataFrame, salesmen: DataFrame, orders:
     cols = ["first_name"] + (["order_number"] if "order_number" in b.columns else [])
     b = flt.where_all(b, [flt.optional(search, lambda s: flt.contains_ci(cols, s))])
     total = scalar(b.agg(F.count(F.lit(1))))
-    return page(b.select(*ROW_COLS), _row_order(), p, lim).withColumn("total", total)
+    return page(b.select(*_row_cols(b)), _row_order(), p, lim).withColumn("total", total)
 
 
 # R39 ------------------------------------------------------------------------------
@@ -128,7 +133,7 @@ def manufacturer_orders(mo: DataFrame, manufacturers: DataFrame, items: DataFram
     chosen = materialized_page(j, [F.col("order_date").desc(), F.col("id").desc()], p, lim)
     out = child_array(chosen, items, "id", "order_id", ["product_id", "quantity", "unit_price"], "items",
                       parent_bounded=True)
-    return out.withColumn("total", total)
+    return out.withColumn("total", total).orderBy(F.col("order_date").desc(), F.col("id").desc())
 
 
 # ---------------------------------------------------------------------------------------

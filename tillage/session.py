@@ -81,6 +81,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.checkpoint.dir", "")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = _LOCAL_CHECKPOINT_DIRS.get(sc.applicationId)
         if configured is None:
             configured = tempfile.mkdtemp(prefix="tillage-ckpt-")

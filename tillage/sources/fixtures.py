@@ -35,17 +35,6 @@ class Catalog:
         self.root = root
         self._base: dict[str, DataFrame] = {}
 
-    _shared: dict[tuple[str, str], "Catalog"] = {}
-
-    @classmethod
-    def shared(cls, spark: SparkSession, root: str) -> "Catalog":
-        """One catalog per session and root, so its lazily built views are reused by every query."""
-        from tillage.sources.tables import _session_key
-        key = (_session_key(spark), root.rstrip("/"))
-        if key not in cls._shared:
-            cls._shared[key] = cls(spark, root)
-        return cls._shared[key]
-
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
             self._base[name] = read_table(self.spark, self.root, name)

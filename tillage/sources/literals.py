@@ -55,18 +55,6 @@ SETTINGS_SCHEMA = T.StructType([
     T.StructField("value", T.StringType(), False),
 ])
 
-# Commission rate seed (category, rate %); GST on commission 18.00.
-COMMISSION_RATES = [
-    ("Seeds & Planting", "8.00"),
-    ("Fertilizers & Nutrients", "7.00"),
-    ("Pesticides & Herbicides", "9.00"),
-    ("Organic Farming", "6.00"),
-    ("Farm Equipment", "5.00"),
-    ("Irrigation Systems", "5.00"),
-    ("Animal Husbandry", "7.00"),
-    ("Multi-Category", "8.00"),
-]
-
 # Coupon seed (code, type, value, minimum order). The seed's
 # NOW() is pinned to COUPON_SEEDED_AT; validity is 30 and 60 days from it.
 COUPON_SEEDED_AT = dt.datetime(2001, 7, 15, 0, 0, 0)
@@ -91,12 +79,6 @@ def seed_settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SETTINGS_ROWS, SETTINGS_SCHEMA)
 
 
-def seed_commission_rates(spark: SparkSession) -> DataFrame:
-    schema = "category string, rate decimal(5,2), gst_on_comm decimal(5,2), is_active boolean"
-    rows = [(c, Decimal(r), Decimal("18.00"), True) for c, r in COMMISSION_RATES]
-    return spark.createDataFrame(rows, schema)
-
-
 def seed_coupons(spark: SparkSession) -> DataFrame:
     rows = [(code, kind, Decimal(v), Decimal(m), None, True, COUPON_SEEDED_AT,
              COUPON_SEEDED_AT + dt.timedelta(days=days))

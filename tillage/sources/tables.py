@@ -17,30 +17,9 @@ DRIVER_TABLES = (
 )
 
 
-_SCANS: dict[tuple[str, str], DataFrame] = {}
-
-
-def _session_key(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect session
-        return f"connect-{id(spark)}"
-
-
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Lazy scan of ``{root}/{name}.parquet``.
-
-    The scan DataFrame (file listing and Parquet schema, no data) is kept per
-    session and path, as a table catalog would, so the reports that read the
-    same table do not list and resolve it again; DataFrames are immutable
-    plans, so sharing them is safe.
-    """
-    path = f"{root.rstrip('/')}/{name}.parquet"
-    key = (_session_key(spark), path)
-    df = _SCANS.get(key)
-    if df is None:
-        df = _SCANS[key] = spark.read.parquet(path)
-    return df
+    """Lazy scan of ``{root}/{name}.parquet``; every call lists the files that are there then."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
