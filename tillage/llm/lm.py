@@ -68,7 +68,7 @@ class Net:
     def __init__(self, words: int, classes: int, hidden: int, theta: np.ndarray | None = None):
         self.words, self.hidden = words, hidden
         # word ids are 0 .. words-1 by frequency, the unknown symbol is ``words`` and a class of its own
-        self.size = -(-words // max(classes - 1, 1))
+        self.size = max(1, -(-words // max(classes - 1, 1)))
         self.classes = (-(-words // self.size) if words else 0) + 1
         shapes = {"e": (words + 1, 2 * hidden), "u": (hidden, 2 * hidden), "wc": (hidden, self.classes), "bc": (self.classes,),
                   "wo": (self.classes * self.size, hidden), "bo": (self.classes * self.size,)}
