@@ -195,7 +195,7 @@ j AS (SELECT p.id, p.name, p.mrp, p.selling_price, CAST(p.stock_qty + coalesce(l
   FROM fx_products p LEFT JOIN led l ON l.product_id=p.id LEFT JOIN fx_categories c ON p.category_id=c.id
   LEFT JOIN fx_categories pc ON c.parent_id=pc.id WHERE p.is_active)
 SELECT j.id, j.name, j.mrp, j.selling_price, j.stock_qty, j.unit, j.sku, j.category_name, j.subcategory_name,
-  v.business_name AS vendor_name, {IMG_SQL.format(pid='j.id')} AS primary_image, (SELECT count(*) FROM j) AS total
+  v.business_name AS vendor_name, {IMG_SQL.format(pid='j.id')} AS primary_image, j.sold_count, (SELECT count(*) FROM j) AS total
 FROM j LEFT JOIN fx_vendors v ON j.vendor_id=v.id ORDER BY j.sold_count DESC NULLS FIRST, j.id LIMIT 20 OFFSET 20""",
                       "fx_stock_movements", "fx_products", "fx_categories", "fx_vendors", "fx_product_images")),
     Registered(
