@@ -176,7 +176,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             outside.append([t for t, main in lines if not main])
         out = pa.array(outside, pa.list_(pa.string()))
         marks = pa.ListArray.from_arrays(out.offsets, pa.array(word_hashes(out.flatten()).view(np.int64)))
-        yield pa.record_batch([b.column("row"), b.column("url"), pa.array(["\n".join(x) for x in inside]), out, marks],
+        # The other lines of a page with an article are only compared, never kept.
+        lines = pa.array([[] if x else y for x, y in zip(inside, outside)], pa.list_(pa.string()))
+        yield pa.record_batch([b.column("row"), b.column("url"), pa.array(["\n".join(x) for x in inside], pa.string()), lines, marks],
                               names=["row", "url", "article", "lines", "marks"])
 
 
@@ -209,20 +211,24 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     order = ["host", "path", "id", "row_id"]
-    sorted_ = cut.select(host.alias("host"), path.alias("path"), F.col("row.__id").alias("id"), "row_id", "marks")
+    is_open = (F.col("article") == "").alias("open")  # only these pages take their text from differencing
+    sorted_ = cut.select(host.alias("host"), path.alias("path"), F.col("row.__id").alias("id"), "row_id", is_open, "marks")
     ranked = written(sorted_.repartitionByRange(*order).sortWithinPartitions(*order)
-                     .select("host", "row_id", "marks", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+                     .select("host", "row_id", "open", "marks", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
     # Ranks run on over the partitions: each adds the rows of those before it (one row per partition).
     counts = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     ahead = counts.select("part", "first", F.coalesce(F.sum("n").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    rank = ranked.join(ahead, "part").select("host", "row_id", "marks", (F.col("ahead") + F.col("place") - F.col("first")).alias("rank"))
+    rank = ranked.join(ahead, "part").select("host", "row_id", "open", "marks", (F.col("ahead") + F.col("place") - F.col("first")).alias("rank"))
 
     def neighbour(step: int, name: str) -> DataFrame:
-        return rank.select(F.col("host"), (F.col("rank") + step).alias("rank"), F.col("marks").alias(name))
+        return rank.where(F.size("marks") > 0).select(F.col("host"), (F.col("rank") + step).alias("rank"), F.col("marks").alias(name))
 
-    pairs = rank.join(neighbour(1, "before"), ["host", "rank"], "left").join(neighbour(-1, "after"), ["host", "rank"], "left")
+    own = rank.where("open").where(F.size("marks") > 0)
+    pairs = own.join(neighbour(1, "before"), ["host", "rank"], "left").join(neighbour(-1, "after"), ["host", "rank"], "left")
     shared = pairs.select("row_id", "marks", "before", "after").mapInArrow(_shared_rows, "row_id long, shared array<int>")
+    # Pages with an article, or without any line, are ready: their texts aren't shuffled.
+    ready = cut.where((F.col("article") != "") | (F.size("lines") == 0)).select("row.*", F.col("article").alias("text"))
     kept = F.expr("array_join(filter(lines, (x, i) -> not array_contains(shared, i)), '\n')")
-    text = F.when(F.col("article") != "", F.col("article")).otherwise(F.coalesce(kept, F.lit("")))
-    return cut.join(shared, "row_id").select("row.*", text.alias("text")).drop("__id").withColumn("n_chars", F.length("text").cast("long"))
+    told = cut.where((F.col("article") == "") & (F.size("lines") > 0)).join(shared, "row_id").select("row.*", kept.alias("text"))
+    return ready.unionByName(told).drop("__id").withColumn("n_chars", F.length("text").cast("long"))
