@@ -29,8 +29,8 @@ def order_history(orders: DataFrame, order_items: DataFrame, products: DataFrame
     """Every customer's (or one customer's) order page: newest first, 10 per page,
     with item_count and items[]; the page is numbered per customer.
 
-    The page is chosen per customer (top-n); the order lines are aggregated
-    per order into ``item_count`` (every line, ``COUNT(oi.id)``) and
+    The page is chosen per customer (top-n); the chosen orders' lines (a semi
+    join) are aggregated per order into ``item_count`` (every line, ``COUNT(oi.id)``) and
     ``items[]`` (lines whose product exists, as the reference's inner join)
     and joined 1:1 to the chosen orders.
     """
@@ -41,7 +41,9 @@ def order_history(orders: DataFrame, order_items: DataFrame, products: DataFrame
     chosen = ranked.where(F.col("__rn") > (page_no - 1) * HISTORY_PAGE).drop("__rn")
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"),
                             F.lit(True).alias("__known"))
-    lines = order_items.join(names, "product_id", "left")
+    # Only the chosen orders' lines are named, collected and shuffled on.
+    wanted = order_items.join(chosen.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    lines = wanted.join(names, "product_id", "left")
     elem = F.when(F.col("__known"), F.struct(*[F.col(c) for c in ITEM_FIELDS]))
     # Per-order aggregates first (partial in every map task), then a 1:1 join.
     per_order = lines.groupBy(F.col("order_id").alias("__oid")).agg(
