@@ -223,6 +223,22 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 2), (2, 3), (6, 4)]
 
 
+def test_decontamination_finds_every_copy_in_a_large_benchmark(spark):
+    rng = np.random.default_rng(60)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 20_000, 40))) for i in range(1100)]
+    rows, want = [], []
+    for i, text in items[::11]:
+        w = text.split()
+        if i % 2:  # a paraphrase
+            for at in (5, 17, 29):
+                w[at] = "other"
+        around = [f"w{x}" for x in rng.integers(0, 20_000, 60)]
+        rows.append((i, " ".join(around[:30] + w + around[30:])))
+        want.append((i, i))
+    got = benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want
+
+
 def test_language_model_is_a_distribution():
     net = lm.Net(10, 4, 3)
     net.start(np.arange(1, 12).astype(float), 1)

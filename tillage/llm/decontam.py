@@ -16,7 +16,10 @@
    stands there in order, too. That catches paraphrases.
 
 The benchmark is taken in blocks of ``block_items`` items, each with its own
-latent space and broadcast, so its size is bounded by that parameter.
+latent space. A block never has more items than its space has directions, so
+no item loses part of its vector, however large the benchmark is. The blocks of
+up to about ``PASS_ITEMS`` items are broadcast together and scored in one pass
+over the documents, which bounds the size of the broadcast.
 """
 
 from __future__ import annotations
@@ -28,17 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.arrays import summed
+from tillage.llm.tables import written
 from tillage.llm.words import slices, split_words, text_of_word, word_hashes
 
 BUCKETS = 1 << 18
 LENGTHS = (4, 8, 16, 32)
 RANK = 256
-BLOCK_ITEMS = 1024
+BLOCK_ITEMS = 256
+PASS_ITEMS = 2048
 COSINE = 0.35
 WEIGHT_SHARE = 0.25
 CERTAIN = 0.7
@@ -109,7 +114,7 @@ def _latent(items: DataFrame, idf: np.ndarray, columns: np.ndarray, rank: int, s
                 at = place[_bucket(h)]
                 weight = idf[columns][at][:, None]
                 for a, z in zip(off[:-1], off[1:]):
-                    if z > a:
+                    if level_of(z - a):
                         x = weight[a:z]
                         norm = max(float((x * x).sum()), 1e-9)
                         np.add.at(out, at[a:z], x * ((x * q[at[a:z]]).sum(axis=0) / norm))
@@ -146,33 +151,39 @@ def _in_order(needle: list[int], region: list[int]) -> bool:
 
 def _match_rows(shared, cosine: float, share: float, certain: float, likely: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, place, levels, items = shared.value
+        idf, asked, spaces, items = shared.value
         for b in slices(batches, "text"):
             off, h, _ = _coded(b.column("text"))
             if not len(h):
                 continue
             bucket = _bucket(h)
             weight = idf[bucket].astype(np.float32)
-            at = place[bucket]
-            known = np.flatnonzero(at >= 0)
-            upto = np.concatenate([[0], np.cumsum(at >= 0)])
             every = np.concatenate([[0], np.cumsum(weight ** 2, dtype=np.float64)])
-            some = np.concatenate([[0], np.cumsum(np.where(at >= 0, weight ** 2, 0), dtype=np.float64)])
+            some = np.concatenate([[0], np.cumsum(np.where(asked[bucket], weight ** 2, 0), dtype=np.float64)])
+            may: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # passages of each length: start, squared weight
             hits: list[tuple[int, int, int, float]] = []
-            for length, (numbers, latent) in levels.items():
-                starts = _passage_starts(off, length)
-                total, part = every[starts + length] - every[starts], some[starts + length] - some[starts]
-                may = np.flatnonzero((part >= share * total) & (part > 0))
-                for a in range(0, len(may), 2048):
-                    s, norm = starts[may[a:a + 2048]], np.sqrt(total[may[a:a + 2048]])
-                    n = upto[s + length] - upto[s]
-                    edge = np.cumsum(n) - n
-                    pos = known[np.repeat(upto[s] - edge, n) + np.arange(n.sum())]
-                    dots = np.add.reduceat(latent[at[pos]] * weight[pos, None], edge, axis=0)
-                    near = np.flatnonzero((dots >= cosine * norm[:, None]).any(axis=1))
-                    if len(near):  # the true norm: words that repeat within the passage weigh together
-                        sims = dots[near] / np.maximum(_vectors(bucket[s[near, None] + np.arange(length)], idf), 1e-9)[:, None]
-                        hits.extend((int(numbers[c]), int(s[near[r]]), length, float(sims[r, c])) for r, c in np.argwhere(sims >= cosine))
+            for place, levels in spaces:
+                at = place[bucket]
+                known = np.flatnonzero(at >= 0)
+                upto = np.concatenate([[0], np.cumsum(at >= 0)])
+                for length, (numbers, latent) in levels.items():
+                    if length not in may:
+                        starts = _passage_starts(off, length)
+                        total, part = every[starts + length] - every[starts], some[starts + length] - some[starts]
+                        enough = (part >= share * total) & (part > 0)
+                        may[length] = starts[enough], total[enough]
+                    starts, total = may[length]
+                    here = np.flatnonzero(upto[starts + length] > upto[starts])
+                    for a in range(0, len(here), 2048):
+                        s, norm = starts[here[a:a + 2048]], np.sqrt(total[here[a:a + 2048]])
+                        n = upto[s + length] - upto[s]
+                        edge = np.cumsum(n) - n
+                        pos = known[np.repeat(upto[s] - edge, n) + np.arange(n.sum())]
+                        dots = np.add.reduceat(latent[at[pos]] * weight[pos, None], edge, axis=0)
+                        near = np.flatnonzero((dots >= cosine * norm[:, None]).any(axis=1))
+                        if len(near):  # the true norm: words that repeat within the passage weigh together
+                            sims = dots[near] / np.maximum(_vectors(bucket[s[near, None] + np.arange(length)], idf), 1e-9)[:, None]
+                            hits.extend((int(numbers[c]), int(s[near[r]]), length, float(sims[r, c])) for r, c in np.argwhere(sims >= cosine))
             yield from _checked(b, off, h, hits, items, certain, likely)
     return run
 
@@ -228,6 +239,24 @@ def _item(text: str) -> tuple[list[int], list[int]]:
     return h.tolist(), h[len(h) - n:].tolist()
 
 
+def _space(lines: DataFrame, items: dict[int, list[int]], idf: np.ndarray) -> tuple[np.ndarray, dict]:
+    """The latent space of a block: each bucket's row in it, and by passage length the items' numbers and products."""
+    buckets = {i: _bucket(np.array(words, np.uint64)) for i, words in items.items()}
+    columns = np.unique(np.concatenate(list(buckets.values())))
+    v = _latent(lines, idf, columns, len(items))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[columns] = np.arange(len(columns))
+    levels = {}
+    for length in LENGTHS:
+        numbers = np.array([i for i in items if level_of(len(items[i])) == length], np.int64)
+        if len(numbers):
+            latent = np.stack([(v[place[buckets[i]]] * idf[buckets[i]][:, None]).sum(axis=0) for i in numbers])
+            norm = np.array([_vectors(buckets[i][None, :], idf)[0] for i in numbers])
+            # What one occurrence of a word adds to a passage's product with each item in the latent space.
+            levels[length] = (numbers, (v @ (latent / np.maximum(norm, 1e-9)[:, None]).T).astype(np.float32))
+    return place, levels
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
                       item_text_col: str = "text", cosine: float = COSINE, certain: float = CERTAIN, likely: float = LIKELY,
                       weight_share: float = WEIGHT_SHARE, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -249,33 +278,26 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     spark = docs.sparkSession
     lines = benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where(
         "text is not null")
-    blocks = -(-lines.count() // block_items)
+    passes = -(-lines.count() // PASS_ITEMS)
     out = spark.createDataFrame([], schema)
-    if not blocks:
+    if not passes:
         return out.select("row.*", *names)
     df = summed(packed.select("text"), _document_frequency, BUCKETS + 1)
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 0.05
-    dealt = lines.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    for block in range(blocks):
-        part = dealt.where(F.col("block") == block)
-        held = [(r.item_id, *_item(r.text)) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()]
-        held = [x for x in held if level_of(len(x[1]))]
-        if not held:
-            continue
-        buckets = [_bucket(np.array(x[1], np.uint64)) for x in held]
-        columns = np.unique(np.concatenate(buckets))
-        v = _latent(part.select("text"), idf, columns, min(rank, len(held)))
-        place = np.full(BUCKETS, -1, np.int32)
-        place[columns] = np.arange(len(columns))
-        sizes = np.array([level_of(len(x[1])) for x in held])
-        levels = {}
-        for length in LENGTHS:
-            numbers = np.flatnonzero(sizes == length)
-            if len(numbers):
-                latent = np.stack([(v[place[buckets[i]]] * idf[buckets[i]][:, None]).sum(axis=0) for i in numbers])
-                norm = np.array([_vectors(buckets[i][None, :], idf)[0] for i in numbers])
-                # What one occurrence of a word adds to a passage's product with each item in the latent space.
-                levels[length] = (numbers, (v @ (latent / np.maximum(norm, 1e-9)[:, None]).T).astype(np.float32))
-        shared = spark.sparkContext.broadcast((idf, place, levels, held))
-        out = out.unionByName(packed.mapInArrow(_match_rows(shared, cosine, weight_share, certain, likely), schema))
+    asked = summed(lines.select("text"), _document_frequency, BUCKETS + 1)[:BUCKETS] > 0
+    nth = F.row_number().over(Window.partitionBy("pass").orderBy("item_id", "text")) - 1
+    dealt = written(lines.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
+                    .withColumn("block", F.floor(nth / F.lit(min(block_items, rank)))))
+    for number in range(passes):
+        part = dealt.where(F.col("pass") == number)
+        rows = part.select("block", "item_id", "text").orderBy("block", "item_id", "text").collect()
+        held = [(r.item_id, *_item(r.text)) for r in rows]
+        spaces = []
+        for block in sorted({r.block for r in rows}):
+            mine = [i for i, r in enumerate(rows) if r.block == block and level_of(len(held[i][1]))]
+            if mine:
+                spaces.append(_space(part.where(F.col("block") == block).select("text"), {i: held[i][1] for i in mine}, idf))
+        if spaces:
+            shared = spark.sparkContext.broadcast((idf, asked, spaces, held))
+            out = out.unionByName(packed.mapInArrow(_match_rows(shared, cosine, weight_share, certain, likely), schema))
     return out.select("row.*", *names)
