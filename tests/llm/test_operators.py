@@ -239,6 +239,26 @@ def test_decontamination_finds_every_copy_in_a_large_benchmark(spark):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    rng = np.random.default_rng(61)
+
+    def text(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 20_000, n))
+    items = [(1, "What is it?"), (2, "Yes."), (3, "?!"), (4, ""), (5, "one two three four five"), (6, "five words of a one"), (7, "five words of a one")]
+    long = [(100 + i, text(n)) for i, n in enumerate((49, 59, 100, 300, 500, 500, 1200, 13_000))]
+    rows = [(1, f"{text(9)} what is IT {text(9)}"), (2, "what is"), (3, "it ?! what is, it"), (4, "one two three four"), (5, "0 one two three four five"),
+            (6, "five words of a one"), (7, "two three four five words of a"), (8, "five words of a")]
+    want = [(1, 1), (3, 1), (5, 5), (6, 6), (6, 7)]
+    for i, t in long:
+        w = t.split()
+        rows += [(i, f"{text(200)} {t} {text(200)}"), (1000 + i, " ".join("other" if n % 10 == 3 else x for n, x in enumerate(w))),
+                 (2000 + i, " ".join(w[:len(w) // 3]))]
+        want += [(i, i), (1000 + i, i)]
+    got = benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items + long, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+    assert [(r.start, r.stop, r.lcs, r.item_words) for r in got if r.doc_id == 5] == [(1, 6, 5, 5)]
+
+
 def test_language_model_is_a_distribution():
     net = lm.Net(10, 4, 3)
     net.start(np.arange(1, 12).astype(float), 1)

@@ -15,10 +15,14 @@
    of them where the item's answer (its last sentence, at most eight words)
    stands there in order, too. That catches paraphrases.
 
-The benchmark is taken in blocks of ``block_items`` items, each with its own
-latent space. A block never has more items than its space has directions, so
-no item loses part of its vector, however large the benchmark is. The blocks of
-up to about ``PASS_ITEMS`` items are broadcast together and scored in one pass
+Items of more than ``PART_WORDS`` words are looked for by parts of even length
+and checked as a whole. Items too short for a passage (under six words) match
+where all their words stand in a row.
+
+The benchmark is taken in blocks of ``block_items`` parts, each with its own
+latent space. A block never has more parts than its space has directions, so
+no part loses some of its vector, however large the benchmark is. The blocks of
+about ``PASS_ITEMS`` parts are broadcast together and scored in one pass
 over the documents, which bounds the size of the broadcast.
 """
 
@@ -37,11 +41,12 @@ from pyspark.sql import types as T
 
 from tillage.llm.arrays import summed
 from tillage.llm.tables import written
-from tillage.llm.words import slices, split_words, text_of_word, word_hashes
+from tillage.llm.words import rolling, slices, split_words, text_of_word, word_hashes
 
 BUCKETS = 1 << 18
 LENGTHS = (4, 8, 16, 32)
 RANK = 256
+PART_WORDS = 48
 BLOCK_ITEMS = 256
 PASS_ITEMS = 2048
 COSINE = 0.35
@@ -80,6 +85,36 @@ def level_of(words: int) -> int:
     return fits[-1] if fits else 0
 
 
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's row with its parts of at most PART_WORDS words, all about equally long."""
+    for b in slices(batches, "text"):
+        parts = []
+        for text in b.column("text").to_pylist():
+            off, ids, words = split_words(pa.array([text]))
+            own = words.take(pa.array(ids)).to_pylist()
+            n = max(-(-len(own) // PART_WORDS), 1)
+            edges = [len(own) * i // n for i in range(n + 1)]
+            parts.append([" ".join(own[a:z]) for a, z in zip(edges, edges[1:])])
+        yield pa.record_batch([b.column("item_id"), b.column("text"), b.column("key"), pa.array(parts, pa.list_(pa.string()))],
+                              names=["item_id", "text", "key", "parts"])
+
+
+def _in_a_row(off: np.ndarray, h: np.ndarray, short: dict[int, tuple[np.ndarray, list]]) -> dict[tuple[int, int], tuple]:
+    """The first place of each item of ``short`` (by length: sorted fingerprints and numbers) in each text."""
+    best: dict[tuple[int, int], tuple] = {}
+    doc = text_of_word(off)
+    for n, (keys, numbers) in short.items():
+        if len(h) < n:
+            continue
+        runs = rolling(h, n)
+        at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+        for i in np.flatnonzero((keys[at] == runs) & (doc[:len(runs)] == doc[n - 1:])):
+            d = int(doc[i])
+            for number in numbers[at[i]]:
+                best.setdefault((d, number), (1.0, n, 1.0, int(i - off[d]), int(i - off[d]) + n, True))
+    return best
+
+
 def _passage_starts(off: np.ndarray, length: int) -> np.ndarray:
     """Starts of passages every half length, and one that ends with the text (texts at least that long)."""
     size = np.diff(off)
@@ -151,7 +186,7 @@ def _in_order(needle: list[int], region: list[int]) -> bool:
 
 def _match_rows(shared, cosine: float, share: float, certain: float, likely: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, asked, spaces, items = shared.value
+        idf, asked, spaces, short, items = shared.value
         for b in slices(batches, "text"):
             off, h, _ = _coded(b.column("text"))
             if not len(h):
@@ -184,13 +219,12 @@ def _match_rows(shared, cosine: float, share: float, certain: float, likely: flo
                         if len(near):  # the true norm: words that repeat within the passage weigh together
                             sims = dots[near] / np.maximum(_vectors(bucket[s[near, None] + np.arange(length)], idf), 1e-9)[:, None]
                             hits.extend((int(numbers[c]), int(s[near[r]]), length, float(sims[r, c])) for r, c in np.argwhere(sims >= cosine))
-            yield from _checked(b, off, h, hits, items, certain, likely)
+            yield from _checked(b, off, h, hits, _in_a_row(off, h, short), items, certain, likely)
     return run
 
 
-def _checked(b, off, h, hits, items, certain, likely) -> Iterator[pa.RecordBatch]:
-    """The candidates of a slice that pass the checks, the best place for each document and item."""
-    best: dict[tuple[int, int], tuple] = {}
+def _checked(b, off, h, hits, best, items, certain, likely) -> Iterator[pa.RecordBatch]:
+    """``best`` and the candidates of a slice that pass the checks, the best place for each document and item."""
     by_item: dict[tuple[int, int], list] = {}
     for number, start, length, sim in hits:
         doc = int(np.searchsorted(off, start, side="right")) - 1
@@ -239,21 +273,21 @@ def _item(text: str) -> tuple[list[int], list[int]]:
     return h.tolist(), h[len(h) - n:].tolist()
 
 
-def _space(lines: DataFrame, items: dict[int, list[int]], idf: np.ndarray) -> tuple[np.ndarray, dict]:
-    """The latent space of a block: each bucket's row in it, and by passage length the items' numbers and products."""
-    buckets = {i: _bucket(np.array(words, np.uint64)) for i, words in items.items()}
-    columns = np.unique(np.concatenate(list(buckets.values())))
-    v = _latent(lines, idf, columns, len(items))
+def _space(lines: DataFrame, parts: list[tuple[int, list[int]]], idf: np.ndarray) -> tuple[np.ndarray, dict]:
+    """The latent space of a block of parts (item number, words): each bucket's row in it, and by passage length the numbers and products."""
+    buckets = [_bucket(np.array(words, np.uint64)) for _, words in parts]
+    columns = np.unique(np.concatenate(buckets))
+    v = _latent(lines, idf, columns, len(parts))
     place = np.full(BUCKETS, -1, np.int32)
     place[columns] = np.arange(len(columns))
     levels = {}
     for length in LENGTHS:
-        numbers = np.array([i for i in items if level_of(len(items[i])) == length], np.int64)
-        if len(numbers):
-            latent = np.stack([(v[place[buckets[i]]] * idf[buckets[i]][:, None]).sum(axis=0) for i in numbers])
-            norm = np.array([_vectors(buckets[i][None, :], idf)[0] for i in numbers])
-            # What one occurrence of a word adds to a passage's product with each item in the latent space.
-            levels[length] = (numbers, (v @ (latent / np.maximum(norm, 1e-9)[:, None]).T).astype(np.float32))
+        some = [i for i, (_, words) in enumerate(parts) if level_of(len(words)) == length]
+        if some:
+            latent = np.stack([(v[place[buckets[i]]] * idf[buckets[i]][:, None]).sum(axis=0) for i in some])
+            norm = np.array([_vectors(buckets[i][None, :], idf)[0] for i in some])
+            # What one occurrence of a word adds to a passage's product with each part in the latent space.
+            levels[length] = (np.array([parts[i][0] for i in some]), (v @ (latent / np.maximum(norm, 1e-9)[:, None]).T).astype(np.float32))
     return place, levels
 
 
@@ -266,8 +300,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     ``item_words``, ``lcs_share``, ``cosine``, ``start``/``stop`` (word
     positions of the match) and ``answer`` (the item's answer stands there).
     Input columns of these names are replaced. Words are lower-cased and lose
-    punctuation at their ends. Null and empty texts match nothing, nor do items of fewer than six words
-    (the shortest passage and its step). Items with the same text match alike;
+    punctuation at their ends. Null and empty texts match nothing, nor do items without a letter, digit or other
+    sign than punctuation. Items of fewer than six words match only word for word. Items with the same text match alike;
     repeated document rows match as often as they stand there; empty tables
     give an empty result.
     """
@@ -278,26 +312,38 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     spark = docs.sparkSession
     lines = benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where(
         "text is not null")
-    passes = -(-lines.count() // PASS_ITEMS)
     out = spark.createDataFrame([], schema)
+    cut = lines.withColumn("key", F.monotonically_increasing_id())
+    cut = written(cut.mapInArrow(_part_rows, T.StructType([*cut.schema.fields, T.StructField("parts", T.ArrayType(T.StringType()))])))
+    passes = -(-(cut.agg(F.sum(F.size("parts"))).first()[0] or 0) // PASS_ITEMS)
     if not passes:
         return out.select("row.*", *names)
     df = summed(packed.select("text"), _document_frequency, BUCKETS + 1)
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 0.05
     asked = summed(lines.select("text"), _document_frequency, BUCKETS + 1)[:BUCKETS] > 0
-    nth = F.row_number().over(Window.partitionBy("pass").orderBy("item_id", "text")) - 1
-    dealt = written(lines.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
+    # All parts of an item are in one pass, so that it is checked once.
+    dealt = cut.withColumn("pass", F.pmod(F.xxhash64("item_id", "text", "key"), F.lit(passes)))
+    nth = F.row_number().over(Window.partitionBy("pass").orderBy("item_id", "key", "place")) - 1
+    parts = written(dealt.select("pass", "item_id", "key", F.posexplode("parts").alias("place", "text"))
                     .withColumn("block", F.floor(nth / F.lit(min(block_items, rank)))))
     for number in range(passes):
-        part = dealt.where(F.col("pass") == number)
-        rows = part.select("block", "item_id", "text").orderBy("block", "item_id", "text").collect()
+        rows = dealt.where(F.col("pass") == number).select("key", "item_id", "text").orderBy("item_id", "key").collect()
         held = [(r.item_id, *_item(r.text)) for r in rows]
-        spaces = []
-        for block in sorted({r.block for r in rows}):
-            mine = [i for i, r in enumerate(rows) if r.block == block and level_of(len(held[i][1]))]
-            if mine:
-                spaces.append(_space(part.where(F.col("block") == block).select("text"), {i: held[i][1] for i in mine}, idf))
-        if spaces:
-            shared = spark.sparkContext.broadcast((idf, asked, spaces, held))
+        number_of = {r.key: i for i, r in enumerate(rows)}
+        part = parts.where(F.col("pass") == number)
+        spaces, blocks = [], {}
+        for r in part.select("block", "key", "text").orderBy("block", "item_id", "key", "place").collect():
+            words = _item(r.text)[0]
+            if level_of(len(words)):
+                blocks.setdefault(r.block, []).append((number_of[r.key], words))
+        for block, own in blocks.items():
+            spaces.append(_space(part.where(F.col("block") == block).select("text"), own, idf))
+        short: dict[int, dict] = {}
+        for i, (_, words, _) in enumerate(held):
+            if any(words) and not level_of(len(words)):  # 0 is the word of which only punctuation was there
+                short.setdefault(len(words), {}).setdefault(rolling(np.array(words, np.uint64), len(words))[0], []).append(i)
+        short = {n: (np.array(sorted(x), np.uint64), [x[key] for key in sorted(x)]) for n, x in short.items()}
+        if spaces or short:
+            shared = spark.sparkContext.broadcast((idf, asked, spaces, short, held))
             out = out.unionByName(packed.mapInArrow(_match_rows(shared, cosine, weight_share, certain, likely), schema))
     return out.select("row.*", *names)
