@@ -33,9 +33,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class linked by word-shingle Jaccard >= 0.9: that of the least id. Texts without words stay."""
+    """One document of each class linked by five-word-shingle Jaccard >= 0.8: that of the least id. Texts without words stay."""
     packed = docs.select(F.struct(*_columns(docs)).alias("doc"), "doc_id", "text")
-    found = jaccard_components(packed)
+    found = jaccard_components(packed, k=5, percent=80)
     alone = found.where("component is null").select("doc.*")
     first = found.where("component is not null and doc_id <=> component_id").dropDuplicates(["component"]).select("doc.*")
     return alone.unionByName(first)

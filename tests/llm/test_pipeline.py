@@ -1,5 +1,7 @@
 """The pipeline's registration and its stages on the smallest test tables."""
 
+import numpy as np
+
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 
@@ -18,3 +20,27 @@ def test_stages_keep_columns_and_drop_only_what_they_found(spark):
     assert out.columns[:len(docs.columns)] == docs.columns and out.where("copies < 1").count() == 0
     assert out.join(docs, "doc_id", "left_anti").count() == 0
     assert out.count() == out.select("doc_id").distinct().count()
+
+
+def test_near_duplicate_stage_matches_brute_force(spark):
+    rows = []
+    for base in range(40):
+        rng = np.random.default_rng(base)
+        w = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+        rows.append((10 * base, " ".join(w)))
+        for copy in range(1, 4):
+            for at in rng.choice(np.arange(5, 95), int(rng.integers(1, 5)), replace=False):
+                w[at] = f"x{base}y{copy}z{at}"
+            rows.append((10 * base + copy, " ".join(w)))
+    sets = {i: {tuple(t.split()[n:n + 5]) for n in range(96)} for i, t in rows}
+    least, between = {i: i for i in sets}, 0
+    for i in sorted(sets):
+        for j in (j for j in sets if j < i):
+            share = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            between += 0.8 <= share < 0.9
+            if share >= 0.8:
+                a, b = sorted((least[i], least[j]))
+                least = {k: a if v == b else v for k, v in least.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cp.near_duplicate_stage(spark, docs, SF).collect()
+    assert between > 20 and sorted(r.doc_id for r in got) == sorted(set(least.values()))
