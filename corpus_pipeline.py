@@ -53,8 +53,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = written(benchmark_matches(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("leak")).distinct())
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
+    words = F.sha2(F.col("text").cast("binary"), 256)  # ids may be null or repeat: rows are told by id and text
+    packed = docs.select("doc_id", words.alias("words"), "text")
+    leaks = written(benchmark_matches(packed, benchmark).select(F.col("doc_id").alias("leak"), F.col("words").alias("leaked")).distinct())
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]) & (words == leaks["leaked"]), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

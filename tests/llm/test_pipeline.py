@@ -44,3 +44,12 @@ def test_near_duplicate_stage_matches_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = cp.near_duplicate_stage(spark, docs, SF).collect()
     assert between > 20 and sorted(r.doc_id for r in got) == sorted(set(least.values()))
+
+
+def test_decontamination_stage_drops_rows_not_ids(spark, tmp_path):
+    item = " ".join(f"w{x}" for x in np.random.default_rng(1).integers(0, 5000, 30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a " + item), (None, "clean"), (None, None), (5, item + " b"), (5, "clean too"), (6, item), (7, "other")]
+    got = cp.decontamination_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, "clean"), (None, None), (5, "clean too"), (7, "other")], key=str)
