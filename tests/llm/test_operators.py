@@ -195,6 +195,21 @@ def test_html_lines_and_differencing(spark):
     assert got == {**{i: f"own {i}" for i in range(5)}, 10: "", 11: "alone", 12: "twin", 13: "twin"}
 
 
+@pytest.mark.parametrize("wrap", [
+    '<div style="overflow:hidden">{}</div>', '<div title="a hidden gem">{}</div>', '<div data-id="ad">{}</div>', "<div data-role=menu>{}</div>",
+    '<div class="with-sidebar">{}</div>', '<div class="has-footer no-ads">{}</div>', "<form id=aspnetForm>{}</form>", '<div id="modal">{}</div>'])
+def test_html_articles_are_not_skipped_by_words_in_attributes(wrap):
+    article = '<article class="post category-social"><p>T <a href="/hidden-valley">hidden valley</a> <a href="/p?id=comments">said</a></article>'
+    assert text_lines(f"<body>{wrap.format(article)}</body>") == [("T hidden valley said", True)]
+
+
+def test_html_names_are_whole():
+    assert text_lines("<form><p>text<label>l</label></form>") == [("text", False)]
+    assert text_lines("<div class='x site-footer'>f</div><div id=mainMenu>m</div><p class='lead ad'>a<p HIDDEN>h<p>t") == [("t", False)]
+    assert text_lines("<main><p>t</main><div id=comments><article class=comment>c</article></div>") == [("t", True)]
+    assert text_lines("<main><p>t<div class=related><article>r</article></div></main>") == [("t", True)]
+
+
 def test_common_lines_is_longest():
     for seed in range(40):
         rng = np.random.default_rng(seed)

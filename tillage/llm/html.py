@@ -1,8 +1,10 @@
 """HTML extraction: main-content elements and nearest-URL page differencing.
 
 A page is cut into text lines, one per block. Elements that hold no article
-(menus, page headers and footers, sidebars, forms, notices, adverts, reader
-comments, scripts, styles) are left out by tag, role and class. Where a page
+(menus, page headers and footers, sidebars, form controls, notices, adverts,
+reader comments, scripts, styles) are left out by tag, role and class (whole
+names). An article marked within such an element, or so named itself, is left
+out only where the page marks another one. Where a page
 marks its article (``article``, ``main``, role ``main``, itemprop
 ``articleBody``), the lines inside are the text; they are the page's own even
 if another page copies them. Everywhere else boilerplate is told by
@@ -37,8 +39,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NO_ARTICLE = frozenset("aside button dialog footer form header head input label menu nav select option fieldset".split())
-NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+NO_ARTICLE = frozenset("aside button dialog footer header head input label menu nav select option fieldset".split())
+NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog toolbar".split())
 NO_ARTICLE_NAMES = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup "
@@ -46,52 +48,65 @@ NO_ARTICLE_NAMES = frozenset(
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+# What may stand before such a name in a class or id ("main-menu"); other words before it say something else ("with-sidebar").
+NAME_STARTS = frozenset(
+    "main site page top bottom left right side primary secondary global mobile desktop sub user reader post article entry blog google "
+    "social cookie nav navigation menu footer header sidebar comment comments".split())
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_PART = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _boilerplate(name: str) -> bool:
+    """Whether a whole class name or id names an element without an article."""
+    parts = _PART.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+    return parts[-1] in NO_ARTICLE_NAMES and NAME_STARTS.issuperset(parts[:-1])
+
+
 def _role(tag: str, rest: str) -> str:
-    """'skip', 'article' or '' for an opening tag."""
-    said = {}
+    """'skip', 'article', 'doubtful' (an article named as none) or '' for an opening tag."""
+    said: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(rest):
-        said[m[1].lower()] = (m[2] or m[3] or m[4] or "").lower()
-    if tag == "main" or said.get("role") == "main" or said.get("itemprop") == "articlebody":
+        said.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    role = said.get("role", "").lower()
+    if tag == "main" or role == "main" or said.get("itemprop", "").lower() == "articlebody":
         return "article"
     if tag in ("html", "body"):
         return ""
-    if tag in NO_ARTICLE or said.get("role") in NO_ARTICLE_ROLES or "hidden" in said or said.get("aria-hidden") == "true":
-        return "skip"
-    names = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", said.get("class", "") + " " + said.get("id", "")))
-    if names and not NO_ARTICLE_NAMES.isdisjoint(names):
-        return "skip"
-    return "article" if tag == "article" else ""
+    skip = tag in NO_ARTICLE or role in NO_ARTICLE_ROLES or "hidden" in said or said.get("aria-hidden", "").lower() == "true"
+    skip = skip or any(_boilerplate(x) for x in (*said.get("class", "").split(), *said.get("id", "").split()))
+    if tag == "article":
+        return "doubtful" if skip else "article"
+    return "skip" if skip else ""
 
 
 def text_lines(page: str) -> list[tuple[str, bool]]:
     """The page's text blocks in order: (text, inside a marked article)."""
-    lines: list[tuple[str, bool]] = []
+    lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements that matter: (tag, role)
-    skipping = articles = 0
+    roles: list[str] = []  # those of them that have one
+
+    def taking() -> bool:
+        return not roles or roles[-1] != "skip"
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, articles > 0))
+                inside = bool(roles) and ("article" in roles or "doubtful" in roles)
+                lines.append((text, inside, inside and ("skip" in roles or "doubtful" in roles)))
             parts.clear()
 
     def close(at: int) -> None:
-        nonlocal skipping, articles
         for _, role in stack[at:]:
-            skipping -= role == "skip"
-            articles -= role == "article"
+            if role:
+                roles.pop()
         del stack[at:]
 
     end = 0
     for m in _TOKEN.finditer(page):
-        if not skipping and m.start() > end:
+        if m.start() > end and taking():
             parts.append(page[end:m.start()])
         end = m.end()
         tag = (m[3] or m[6] or "").lower()
@@ -100,7 +115,7 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
         shut, rest = m[2] or m[5], m[4] or m[7] or ""
         if tag in BLOCK or tag in ("br", "option", "button"):
             if tag == "br":
-                if not skipping:
+                if taking():
                     parts.append(" ")
                 continue
             flush()
@@ -116,12 +131,13 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
             role = _role(tag, rest)
             if role or (tag in BLOCK):
                 stack.append((tag, role))
-                skipping += role == "skip"
-                articles += role == "article"
-    if not skipping:
+                if role:
+                    roles.append(role)
+    if taking():
         parts.append(page[end:])
     flush()
-    return lines
+    sure = any(inside and not doubtful for _, inside, doubtful in lines)
+    return [(text, inside) for text, inside, doubtful in lines if not (sure and doubtful)]
 
 
 def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
