@@ -195,6 +195,37 @@ def test_html_lines_and_differencing(spark):
     assert got == {**{i: f"own {i}" for i in range(5)}, 10: "", 11: "alone", 12: "twin", 13: "twin"}
 
 
+def test_html_differencing_inside_marked_articles(spark):
+    def page(*lines):
+        return "<body><nav>n</nav><article>" + "".join(f"<p>{x}" for x in lines) + "</article><footer>f</footer></body>"
+
+    own = {i: [f"{x} of {i}" for x in "abc"] for i in range(1, 6)}
+    share, more = "Share this", "Read more"
+    rows = [(i, f"http://h/{i}", page(share, *x, more)) for i, x in own.items()]
+    rows += [(20, "http://copy/1", page(share, *own[1], more)), (21, "http://copy/2", page(share, *own[1], more)),
+             (22, "http://copy/2", page(share, *own[1], more)), (22, "http://copy/2", page(share, *own[1], more)),
+             (23, "http://copy/3", page(share, *own[2], more)),  # the copies look past each other to this one
+             (30, "http://near/1", page(share, *own[1])), (31, "http://near/2", page(share, *own[1][:2], "new")), (40, "http://none/1", "<nav>n</nav>")]
+    want = [(i, "\n".join(x)) for i, x in own.items()] + [(i, "\n".join(own[1])) for i in (20, 21, 22, 22)] + [(23, "\n".join(own[2]))]
+    want += [(30, "\n".join([share, *own[1]])), (31, "\n".join([share, *own[1][:2], "new"])), (40, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        assert sorted((r.page_id, r.text) for r in extract_main_text(df.repartition(parts)).collect()) == sorted(want)
+
+
+def test_html_runs_over_many_partitions(spark):
+    rows = [(i, f"http://h/{i:03}", f"<p>Boiler<p>{'same' if 20 <= i < 80 else f'own {i}'}<p>plate") for i in range(100)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert got == {i: "same" if 20 <= i < 80 else f"own {i}" for i in range(100)}
+
+
 @pytest.mark.parametrize("wrap", [
     '<div style="overflow:hidden">{}</div>', '<div title="a hidden gem">{}</div>', '<div data-id="ad">{}</div>', "<div data-role=menu>{}</div>",
     '<div class="with-sidebar">{}</div>', '<div class="has-footer no-ads">{}</div>', "<form id=aspnetForm>{}</form>", '<div id="modal">{}</div>'])

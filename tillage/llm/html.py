@@ -6,16 +6,19 @@ reader comments, scripts, styles) are left out by tag, role and class (whole
 names). An article marked within such an element, or so named itself, is left
 out only where the page marks another one. Where a page
 marks its article (``article``, ``main``, role ``main``, itemprop
-``articleBody``), the lines inside are the text; they are the page's own even
-if another page copies them. Everywhere else boilerplate is told by
-differencing: pages are ordered by URL path within their host, every page is
-aligned with the page before and after it by the longest common subsequence
-of lines, and shared lines are deleted. A neighbour that holds exactly the same lines is a copy
-and tells nothing.
+``articleBody``), only the lines inside can be its text. Boilerplate among the
+lines that can be text is told by differencing: pages are ordered by URL path
+within their host, every page is aligned with the page before and after it by
+the longest common subsequence of all lines, and shared lines are deleted.
+Pages in a row with exactly the same lines are copies that tell nothing, so
+the nearest different pages are taken. Lines of a marked article stay where
+the neighbour shares at least half of the article, as it is a near copy.
 
 The order is a distributed sort by (host, path, page), so a host with a third
-of all pages is spread over many tasks, and neighbours are found by rank.
-Only line fingerprints take part in the alignment.
+of all pages is spread over many tasks; pages in a row with the same lines are
+one run, and neighbours are found by the runs' rank. Only line fingerprints
+take part in the alignment. Texts are cut from the pages again at the end and
+meet the positions of their shared lines by a fingerprint of the row.
 """
 
 from __future__ import annotations
@@ -183,32 +186,62 @@ def common_lines(a: np.ndarray, b: np.ndarray, cells: int = 1 << 22) -> list[int
     return out[::-1]
 
 
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line fingerprints of each page and whether they are inside its article."""
+    for b in slices(batches, "html"):
+        lines = [text_lines(page or "") for page in b.column("html").to_pylist()]
+        texts = pa.array([[t for t, _ in x] for x in lines], pa.list_(pa.string()))
+        marks = pa.ListArray.from_arrays(texts.offsets, pa.array(word_hashes(texts.flatten()).view(np.int64)))
+        inside = pa.array([[main for _, main in x] for x in lines], pa.list_(pa.bool_()))
+        yield pa.record_batch([*(b.column(c) for c in ("host", "path", "id", "key")), marks, inside], names=["host", "path", "id", "key", "marks", "inside"])
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each page that can be its text: those of its article where it marks one."""
     for b in slices(batches, "html"):
-        inside, outside = [], []
+        out = []
         for page in b.column("html").to_pylist():
             lines = text_lines(page or "")
-            inside.append([t for t, main in lines if main])
-            outside.append([t for t, main in lines if not main])
-        out = pa.array(outside, pa.list_(pa.string()))
-        marks = pa.ListArray.from_arrays(out.offsets, pa.array(word_hashes(out.flatten()).view(np.int64)))
-        # The other lines of a page with an article are only compared, never kept.
-        lines = pa.array([[] if x else y for x, y in zip(inside, outside)], pa.list_(pa.string()))
-        yield pa.record_batch([b.column("row"), b.column("url"), pa.array(["\n".join(x) for x in inside], pa.string()), lines, marks],
-                              names=["row", "url", "article", "lines", "marks"])
+            marked = any(main for _, main in lines)
+            out.append([t for t, main in lines if main or not marked])
+        yield pa.record_batch([b.column("row"), b.column("key"), pa.array(out, pa.list_(pa.string()))], names=["row", "key", "lines"])
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the runs of a sorted partition; only the first page of a run keeps its fingerprints."""
+    last, n = None, -1
+    for b in batches:
+        runs, first = [], []
+        for kind in zip(b.column("host").to_pylist(), b.column("kind").to_pylist()):
+            first.append(kind != last)
+            n += kind != last
+            runs.append(n)
+            last = kind
+        first = pa.array(first, pa.bool_())
+        kept = [pa.array([x if f else None for x, f in zip(b.column(c).to_pylist(), first.to_pylist())], b.column(c).type) for c in ("marks", "inside")]
+        yield pa.record_batch([b.column("host"), b.column("kind"), b.column("key"), b.column("part"), pa.array(runs, pa.int64()), first, *kept],
+                              names=["host", "kind", "key", "part", "run", "first", "marks", "inside"])
+
+
+def shared_lines(own: np.ndarray, inside: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Positions, among the lines that can be text, of those shared with a neighbour."""
+    gone: set[int] = set()
+    marked = bool(inside.any())
+    can = np.flatnonzero(inside) if marked else np.arange(len(own))
+    for other in others:
+        if len(own) and len(other) and not np.array_equal(own, other):
+            common = set(common_lines(own, other)).intersection(can.tolist())
+            if not marked or 2 * len(common) < len(can):  # else a near copy of the article
+                gone.update(common)
+    return np.searchsorted(can, sorted(gone)).tolist()
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for own, before, after in zip(*(b.column(c).to_pylist() for c in ("marks", "before", "after"))):
-            a, gone = np.array(own or [], np.int64), set()
-            for other in (before, after):
-                o = np.array(other or [], np.int64)
-                if len(a) and len(o) and not np.array_equal(a, o):
-                    gone.update(common_lines(a, o))
-            out.append(sorted(gone))
-        yield pa.record_batch([b.column("row_id"), pa.array(out, pa.list_(pa.int32()))], names=["row_id", "shared"])
+        for own, inside, *others in zip(*(b.column(c).to_pylist() for c in ("marks", "inside", "before", "after"))):
+            out.append(shared_lines(np.array(own, np.int64), np.array(inside, bool), [np.array(o or [], np.int64) for o in others]))
+        yield pa.record_batch([b.column("rank"), pa.array(out, pa.list_(pa.int32()))], names=["rank", "shared"])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -219,32 +252,39 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Input columns of these names are replaced. An empty table gives none.
     """
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars", html_col)]
-    packed = pages.select(F.col(f"`{html_col}`").cast("string").alias("html"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"),
-                          F.struct(*keep, F.col(f"`{id_col}`").alias("__id")).alias("row"))
-    schema = (T.StructType().add("row", packed.schema["row"].dataType).add("url", "string").add("article", "string")
-              .add("lines", T.ArrayType(T.StringType())).add("marks", T.ArrayType(T.LongType())))
-    cut = written(packed.mapInArrow(_line_rows, schema).withColumn("row_id", F.monotonically_increasing_id()))
+    html, url = F.col(f"`{html_col}`").cast("string"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
+    # Rows of the same key are the same page: they stand next to each other and share the same lines with their neighbours.
+    packed = pages.select(html.alias("html"), url.alias("url"), F.col(f"`{id_col}`").alias("id"), F.struct(*keep).alias("row")).withColumn(
+        "key", F.xxhash64("html", "url", "id"))
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    order = ["host", "path", "id", "row_id"]
-    is_open = (F.col("article") == "").alias("open")  # only these pages take their text from differencing
-    sorted_ = cut.select(host.alias("host"), path.alias("path"), F.col("row.__id").alias("id"), "row_id", is_open, "marks")
-    ranked = written(sorted_.repartitionByRange(*order).sortWithinPartitions(*order)
-                     .select("host", "row_id", "open", "marks", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
-    # Ranks run on over the partitions: each adds the rows of those before it (one row per partition).
-    counts = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    ahead = counts.select("part", "first", F.coalesce(F.sum("n").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    rank = ranked.join(ahead, "part").select("host", "row_id", "open", "marks", (F.col("ahead") + F.col("place") - F.col("first")).alias("rank"))
+    placed = packed.select("html", host.alias("host"), path.alias("path"), "id", "key")
+    order = ["host", "path", "id", "key"]
+    schema = T.StructType([*placed.schema.fields[1:]]).add("marks", T.ArrayType(T.LongType())).add("inside", T.ArrayType(T.BooleanType()))
+    told = placed.mapInArrow(_mark_rows, schema).where(F.size("marks") > 0)
+    sorted_ = (told.repartitionByRange(*order).sortWithinPartitions(*order)
+               .select("host", "key", "marks", "inside", F.xxhash64("marks", "inside").alias("kind"), F.spark_partition_id().alias("part")))
+    runs = "host string, kind long, key long, part int, run long, first boolean, marks array<long>, inside array<boolean>"
+    ranked = written(sorted_.mapInArrow(_run_rows, runs))
+    # Ranks run on over the partitions (one row each): a first run that goes on from the partition before has its rank.
+    edge = F.struct("host", "kind")
+    ends = ranked.where("first").groupBy("part").agg(F.max("run").alias("last"), F.min_by(edge, "run").alias("from"), F.max_by(edge, "run").alias("to"))
+    goes_on = F.coalesce(F.col("from") == F.lag("to").over(Window.orderBy("part")), F.lit(False)).cast("long")
+    ends = ends.select("part", "last", goes_on.alias("goes_on"))
+    ahead = ends.select("part", "goes_on", (F.sum(F.col("last") + 1 - F.col("goes_on")).over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("last") - 1).alias("ahead"))
+    rank = ranked.join(ahead, "part").withColumn("rank", F.col("run") + F.col("ahead"))
+    own = rank.where(F.col("first") & ~((F.col("goes_on") == 1) & (F.col("run") == 0))).select("host", "rank", "marks", "inside")
 
     def neighbour(step: int, name: str) -> DataFrame:
-        return rank.where(F.size("marks") > 0).select(F.col("host"), (F.col("rank") + step).alias("rank"), F.col("marks").alias(name))
+        return own.select("host", (F.col("rank") + step).alias("rank"), F.col("marks").alias(name))
 
-    own = rank.where("open").where(F.size("marks") > 0)
     pairs = own.join(neighbour(1, "before"), ["host", "rank"], "left").join(neighbour(-1, "after"), ["host", "rank"], "left")
-    shared = pairs.select("row_id", "marks", "before", "after").mapInArrow(_shared_rows, "row_id long, shared array<int>")
-    # Pages with an article, or without any line, are ready: their texts aren't shuffled.
-    ready = cut.where((F.col("article") != "") | (F.size("lines") == 0)).select("row.*", F.col("article").alias("text"))
-    kept = F.expr("array_join(filter(lines, (x, i) -> not array_contains(shared, i)), '\n')")
-    told = cut.where((F.col("article") == "") & (F.size("lines") > 0)).join(shared, "row_id").select("row.*", kept.alias("text"))
-    return ready.unionByName(told).drop("__id").withColumn("n_chars", F.length("text").cast("long"))
+    shared = pairs.select("rank", "marks", "inside", "before", "after").mapInArrow(_shared_rows, "rank long, shared array<int>")
+    # Written, so that its size is known: where it is small, the texts aren't shuffled.
+    shared = written(shared.where(F.size("shared") > 0))
+    by_key = written(rank.select("key", "rank").join(shared, "rank").select("key", "shared").dropDuplicates(["key"]))
+    lines = packed.select("html", "row", "key").mapInArrow(
+        _line_rows, T.StructType([*packed.schema.fields[3:]]).add("lines", T.ArrayType(T.StringType())))
+    kept = F.expr("array_join(filter(lines, (x, i) -> not array_contains(coalesce(shared, array()), i)), '\n')")
+    return lines.join(by_key, "key", "left").select("row.*", kept.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
