@@ -341,6 +341,15 @@ def test_language_model_counts(spark):
         assert got[i].score < 0
 
 
+def test_language_model_vocabulary_follows_the_corpus(spark):
+    """Words that aren't modelled and are equally frequent all score alike."""
+    rows = [(i, f"w{i} w{i}") for i in range(2500)]
+    probe = [(10_000 + i, f"w{i}") for i in range(2500)]
+    df = spark.createDataFrame(rows + probe, "doc_id long, text string")
+    got = lm.score(df, F.col("doc_id") < 10_000).where("doc_id >= 10000").select("score").collect()
+    assert len({round(r.score, 9) for r in got}) > 2400
+
+
 def test_language_id_learns(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(["the", "and", "which"] if i % 2 else ["und", "nicht", "schön"], 30)), "en" if i % 2 else "de") for i in range(80)]

@@ -1,8 +1,10 @@
 """LM scoring: a gated recurrent language model with a class-factored softmax.
 
-Counts of all training tokens (by 64-bit fingerprint) give the vocabulary: the
-``words`` most frequent tokens are modelled, cut by frequency into classes of
-equal size; every other token is the unknown symbol times its share of the
+Counts of all training tokens (by 64-bit fingerprint) give the vocabulary: all
+tokens with at least ``share`` of the counts, and at least the ``words`` most
+frequent ones, are modelled, cut by frequency into classes of equal size (about
+the square root of their number, so that a token costs two short softmaxes);
+every other token is the unknown symbol times its share of the
 unmodelled counts (plus one each, and one for everything unseen), so the model
 is a distribution over tokens. The probability of a token is that of its class
 times that of the token within the class, both softmaxes of the recurrent
@@ -29,9 +31,9 @@ from tillage.llm.arrays import summed
 from tillage.llm.tables import written
 from tillage.llm.words import slices, split_words, text_of_word, word_hashes
 
-WORDS = 1024
-CLASSES = 33
-HIDDEN = 12
+WORDS = 2047
+SHARE = 2.0 ** -16
+HIDDEN = 16
 WINDOW = 16
 SCORE_WINDOW = 64
 LANES = 512
@@ -294,8 +296,8 @@ def most_frequent(counts: DataFrame, known: int) -> tuple[np.ndarray, np.ndarray
     return token[order].view(np.uint64), c[order]
 
 
-def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, classes: int = CLASSES, hidden: int = HIDDEN,
-          window: int = WINDOW, lanes: int = LANES, known: int = KNOWN, rounds: tuple[float, ...] = ROUNDS, rate: float = RATE,
+def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, share: float = SHARE, classes: int | None = None,
+          hidden: int = HIDDEN, window: int = WINDOW, lanes: int = LANES, known: int = KNOWN, rounds: tuple[float, ...] = ROUNDS, rate: float = RATE,
           seed: int = 5) -> DataFrame:
     """All columns of ``docs`` but the text, and ``n_tokens``, ``n_known``, ``train_tokens`` (long), ``base_score``, ``score`` (double).
 
@@ -315,7 +317,9 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, c
     counts = written(learning.mapInArrow(_count_rows, "token long, n long").groupBy("token").agg(F.sum("n").alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, c = most_frequent(counts, known)
+    words = max(words, int((c >= share * total.n).sum()))
     vocabulary, modelled = tokens[:words], int(c[:words].sum())
+    classes = classes or round(len(vocabulary) ** 0.5) + 1
     shape = (len(vocabulary), classes, hidden)
     net = Net(*shape)
     net.start(np.concatenate([c[:words], [total.n - modelled + 1]]).astype(float), seed)
