@@ -416,3 +416,16 @@ def test_optional_reference_columns_flow_through(spark):
                                    "payment_status string, order_status string, created_at timestamp_ntz")
     top = admin.recent_orders(orders, customers, users).collect()[0]
     assert (top.order_number, top.customer_name) == ("DA-1", "Ann Lee")
+
+
+def test_stock_reports_carry_the_whole_row(spark):
+    import datetime as dt
+    from tillage.plans.depot import expiry_report, warehouse_stock
+    wi = spark.createDataFrame([(7, 1, 2, "b", dt.date(2001, 9, 1), 5, "rack 3", "own")],
+                               "id int, warehouse_id int, product_id int, batch_number string, expiry_date date, current_stock int, rack string, sku string")
+    names = [spark.createDataFrame(r, d) for r, d in (
+        ([(1, 4, "W")], "id int, cnf_company_id int, name string"), ([(4, "C")], "id int, name string"),
+        ([(2, "P", "S", 3)], "id int, name string, sku string, category_id int"), ([(3, "K", None)], "id int, name string, parent_id int"))]
+    for report in (warehouse_stock, expiry_report):
+        r = report(wi, *names).collect()[0]
+        assert (r.id, r.rack, r.current_stock, r.product_name) == (7, "rack 3", 5, "P")
