@@ -10,6 +10,8 @@ from tillage.llm.decontam import benchmark_matches
 from tillage.llm.html import extract_main_text
 from tillage.llm.mixing import mix
 from tillage.llm.ngram_join import jaccard_components
+from tillage.llm.prefix_trie import ORACLE_SQL as TRIE_SQL
+from tillage.llm.prefix_trie import prefix_trie
 from tillage.llm.substring import remove_repeated_passages
 from tillage.llm.tables import text_mod
 
@@ -76,6 +78,10 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting,
     op2_mixing,
@@ -87,5 +93,6 @@ QUERIES = {f.__name__: f for f in (
     op8_quality_classifier,
     op9_language_id,
     op10_benchmark_decontamination,
+    op13_prefix_trie,
 )}
-SQL = {"op1_chat_formatting": chat.ORACLE_SQL, "op4_topk_search": topk.ORACLE_SQL}
+SQL = {"op1_chat_formatting": chat.ORACLE_SQL, "op4_topk_search": topk.ORACLE_SQL, "op13_prefix_trie": TRIE_SQL}

@@ -38,3 +38,20 @@ def text_mod(column: Column, n: int) -> Column:
 def parts_for(spark: SparkSession, units: float, per_part: float) -> int:
     """Partitions of about ``per_part`` units each, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(units // per_part) + 1)
+
+
+HOT_KEYS = 10_000
+
+
+def joined_evenly(rows: DataFrame, lookup: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` inner-joined to ``lookup`` (one row a key, ``n_rows``: how many of the ``total`` rows hold it).
+
+    A key with more than a 10,000th of the rows is hot. At most 10,000 keys
+    can be, so those are broadcast and their rows stay where they are; the
+    others are shuffled, in groups of at most that share. ``rows`` is read
+    twice: pass a written table.
+    """
+    hot = F.col("n_rows") * HOT_KEYS > total
+    named = F.broadcast(lookup.where(hot).drop("n_rows"))
+    rest = rows.join(F.broadcast(lookup.where(hot).select(*keys)), keys, "left_anti").join(lookup.where(~hot).drop("n_rows"), keys)
+    return rows.join(named, keys).unionByName(rest)
