@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.llm import chat, langid, lm, quality, topk
+from tillage.llm.covering import simhash_components
 from tillage.llm.decontam import benchmark_matches
 from tillage.llm.html import extract_main_text
 from tillage.llm.mixing import mix
@@ -78,6 +79,10 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("fp")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -93,6 +98,7 @@ QUERIES = {f.__name__: f for f in (
     op8_quality_classifier,
     op9_language_id,
     op10_benchmark_decontamination,
+    op11_simhash_near_dedup,
     op13_prefix_trie,
 )}
 SQL = {"op1_chat_formatting": chat.ORACLE_SQL, "op4_topk_search": topk.ORACLE_SQL, "op13_prefix_trie": TRIE_SQL}
