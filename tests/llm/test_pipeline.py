@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op") and "_" in n and n[2:n.index("_")].isdigit()]
-    assert sorted(int(n[2:n.index("_")]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:n.index("_")]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(cp.STAGES) == 5
 
 

@@ -10,6 +10,8 @@ from tillage.llm.covering import simhash_components
 from tillage.llm.decontam import benchmark_matches
 from tillage.llm.html import extract_main_text
 from tillage.llm.mixing import mix
+from tillage.llm.multi_index import ORACLE_SQL as NEGATIVES_SQL
+from tillage.llm.multi_index import hard_negatives
 from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.prefix_trie import ORACLE_SQL as TRIE_SQL
 from tillage.llm.prefix_trie import prefix_trie
@@ -83,6 +85,11 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("fp")
 
 
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), label=label)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -99,6 +106,8 @@ QUERIES = {f.__name__: f for f in (
     op9_language_id,
     op10_benchmark_decontamination,
     op11_simhash_near_dedup,
+    op12_hard_negative_mining,
     op13_prefix_trie,
 )}
-SQL = {"op1_chat_formatting": chat.ORACLE_SQL, "op4_topk_search": topk.ORACLE_SQL, "op13_prefix_trie": TRIE_SQL}
+SQL = {"op1_chat_formatting": chat.ORACLE_SQL, "op4_topk_search": topk.ORACLE_SQL, "op12_hard_negative_mining": NEGATIVES_SQL,
+       "op13_prefix_trie": TRIE_SQL}
