@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.arrays import summed
-from tillage.llm.tables import written
+from tillage.llm.tables import packed, released, written
 from tillage.llm.words import rolling, slices, split_words, text_of_word, word_hashes
 
 BUCKETS = 1 << 18
@@ -261,7 +261,8 @@ def _checked(b, off, h, hits, best, items, certain, likely) -> Iterator[pa.Recor
         rows = [(items[i][0], x[1], len(items[i][1]), x[0], x[2], x[3], x[4], x[5]) for (_, i), x in best.items()]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())
         names = [c.split()[0] for c in MATCH.split(", ")]
-        yield pa.record_batch([b.column("row").take(docs), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=["row", *names])
+        yield pa.record_batch([b.column("text").take(docs), b.column("row").take(docs), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]],
+                              names=["text", "row", *names])
 
 
 def _item(text: str) -> tuple[list[int], list[int]]:
@@ -306,9 +307,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     give an empty result.
     """
     names = [c.split()[0] for c in MATCH.split(", ")]
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    packed = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*keep).alias("row"))
-    schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), *T._parse_datatype_string(MATCH).fields])
+    text, row, back = packed(docs, text_col, tuple(names))
+    texts = docs.select(text, row)
+    schema = T.StructType([*texts.schema.fields, *T._parse_datatype_string(MATCH).fields])
     spark = docs.sparkSession
     lines = benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where(
         "text is not null")
@@ -317,8 +318,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     cut = written(cut.mapInArrow(_part_rows, T.StructType([*cut.schema.fields, T.StructField("parts", T.ArrayType(T.StringType()))])))
     passes = -(-(cut.agg(F.sum(F.size("parts"))).first()[0] or 0) // PASS_ITEMS)
     if not passes:
-        return out.select("row.*", *names)
-    df = summed(packed.select("text"), _document_frequency, BUCKETS + 1)
+        return out.select(*back, *names)
+    df = summed(texts.select("text"), _document_frequency, BUCKETS + 1)
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 0.05
     asked = summed(lines.select("text"), _document_frequency, BUCKETS + 1)[:BUCKETS] > 0
     # All parts of an item are in one pass, so that it is checked once.
@@ -345,5 +346,5 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         short = {n: (np.array(sorted(x), np.uint64), [x[key] for key in sorted(x)]) for n, x in short.items()}
         if spaces or short:
             shared = spark.sparkContext.broadcast((idf, asked, spaces, short, held))
-            out = out.unionByName(packed.mapInArrow(_match_rows(shared, cosine, weight_share, certain, likely), schema))
-    return out.select("row.*", *names)
+            out = out.unionByName(texts.mapInArrow(released(_match_rows(shared, cosine, weight_share, certain, likely)), schema))
+    return out.select(*back, *names)

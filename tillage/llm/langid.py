@@ -17,10 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillage.llm.arrays import summed
+from tillage.llm.tables import packed, released
 from tillage.llm.words import mix, slices, text_array
 
 BUCKETS = 1 << 16
@@ -28,6 +30,7 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 500
 UNKNOWN = "und"
 SLICE = 1 << 20
+GATHER = 1 << 19
 
 
 def _code_points(column) -> tuple[np.ndarray, np.ndarray]:
@@ -136,20 +139,25 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def _place() -> Column:
+    """A text's place in its language, 0 to 1, by hash."""
+    return (F.xxhash64("text", "lang") / F.lit(2.0 ** 64)) + 0.5
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on rows with a non-null language. Texts without n-grams teach nothing."""
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
                            ).where("lang is not null and text is not null and text <> ''")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: (r.texts, r.first) for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("texts"), F.min(_place()).alias("first")).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     df = summed(rows.select("text"), _document_frequency, BUCKETS + 1)
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    # A share of each language by hash: about per_language rows of it, whatever the table's size.
-    share = rows.sparkSession.createDataFrame([(k, min(1.0, per_language / v)) for k, v in counts.items()], "lang string, share double")
-    place = (F.xxhash64("text", "lang") / F.lit(2.0 ** 64)) + 0.5
-    sample = rows.join(F.broadcast(share), "lang").where(place < F.col("share")).select("lang", "text").distinct()  # copies have one place
+    # A share of each language by hash: about per_language distinct texts of it, whatever the table's size, and at least its first one.
+    share = rows.sparkSession.createDataFrame([(k, max(min(1.0, per_language / max(n, 1)), first)) for k, (n, first) in counts.items()],
+                                              "lang string, share double")
+    sample = rows.join(F.broadcast(share), "lang").where(_place() <= F.col("share")).select("lang", "text").distinct()  # copies have one place
     data = sorted((r.lang, bytes(r.idx), bytes(r.val)) for r in sample.mapInArrow(_sparse_rows, "lang string, idx binary, val binary").collect())
     if not data:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
@@ -168,6 +176,20 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     return Model(languages, (w * idf[:, None]).astype(np.float32), b, t)
 
 
+def _sums(weights: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The sum of ``weights[h[a:z]]`` for every (ascending, disjoint) run, in pieces of about ``GATHER`` numbers."""
+    out, step = np.zeros((len(start), weights.shape[1])), max(1, GATHER // weights.shape[1])
+    for lo in range(int(start[0]), int(stop[-1]), step):
+        hi = min(lo + step, int(stop[-1]))
+        runs = np.flatnonzero((start < hi) & (stop > lo))
+        if len(runs):
+            edges = np.stack([np.maximum(start[runs], lo), np.minimum(stop[runs], hi)], axis=1).reshape(-1) - lo
+            add = np.zeros((hi - lo + 1, weights.shape[1]), np.float32)
+            np.take(weights, h[lo:hi], axis=0, out=add[:-1])
+            out[runs] += np.add.reduceat(add, edges, axis=0)[::2]
+    return out
+
+
 def _predict_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights, bias, temperature = shared.value
@@ -181,16 +203,14 @@ def _predict_rows(shared):
                 for h, a, e in _ngrams(points, off):
                     some = np.flatnonzero(e > a)
                     if len(some):
-                        edges = np.stack([a[some], np.minimum(e[some], len(h))], axis=1).reshape(-1)
-                        add = np.zeros((len(h) + 1, z.shape[1]), np.float32)
-                        np.take(weights, h, axis=0, out=add[:-1])
-                        z[some] += np.add.reduceat(add, edges, axis=0)[::2]
+                        z[some] += _sums(weights, h, a[some], e[some])
                         total[some] += e[some] - a[some]
                 p = _softmax((z / np.maximum(total, 1)[:, None] + bias) / temperature)
                 best = p.argmax(axis=1)
                 lang[letters] = np.array(languages, object)[best[letters]]
                 score[letters] = p[np.arange(rows), best][letters]
-            yield pa.record_batch([b.column("row"), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
+            yield pa.record_batch([b.column("text"), b.column("row"), pa.array(lang, pa.string()), pa.array(score)],
+                                  names=["text", "row", "lang_pred", "score"])
     return run
 
 
@@ -201,9 +221,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     letter, and where nothing was learned. Input columns of these names are
     replaced. Repeated rows are predicted alike; an empty table gives none.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    text, row, back = packed(docs, text_col, ("lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias, model.temperature))
-    packed = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*keep).alias("row"))
-    from pyspark.sql import types as T
-    schema = T.StructType().add("row", packed.schema["row"].dataType).add("lang_pred", "string").add("score", "double")
-    return packed.mapInArrow(_predict_rows(shared), schema).select("row.*", "lang_pred", "score")
+    texts = docs.select(text, row)
+    schema = T.StructType([*texts.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return texts.mapInArrow(released(_predict_rows(shared)), schema).select(*back, "lang_pred", "score")

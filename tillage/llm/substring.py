@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillage.llm.tables import parts_for, written
+from tillage.llm.tables import packed, parts_for, released, written
 from tillage.llm.words import mix, rolling, run_starts, slices, sliding_min, split_words, text_array, word_hashes
 
 SHARD_BYTES = 16 << 20
@@ -226,7 +226,7 @@ def _locate(window: int, seed: int):
         passages.learn(docs if len(known) else [], known)
         for b in docs:
             off, h = _hashed(b.column("text"))
-            n_words, n_removed, spans, kept = [], [], [], []
+            n_words, n_removed, spans = [], [], []
             for i, text in enumerate(text_array(b.column("text")).to_pylist()):
                 # bytes.split() cuts at exactly the six separators; str.split() knows more.
                 raw = text.encode().split()
@@ -237,15 +237,24 @@ def _locate(window: int, seed: int):
                     found = passages.cover(whole.split(" "), h[off[i]:off[i + 1]], f" {whole} ")
                 spans.append([{"start": a, "stop": z} for a, z in found])
                 n_removed.append(sum(z - a for a, z in found))
-                if found:
-                    edges = [0, *(x for pair in found for x in pair), len(raw)]
-                    whole = b" ".join(w for a, z in zip(edges[::2], edges[1::2]) for w in raw[a:z]).decode()
-                kept.append(whole)
-            yield pa.record_batch([b.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                                   pa.array(spans, _SPANS), pa.array(kept, pa.string())], names=["row", *OUTPUT])
+            yield pa.record_batch([b.column("text"), b.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                                   pa.array(spans, _SPANS)], names=["text", "row", *OUTPUT[:3]])
     return run
 
 
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The kept words of each text, joined by one space."""
+    for b in slices(batches, "text"):
+        kept = []
+        for text, spans in zip(text_array(b.column("text")).to_pylist(), b.column("removed_spans").to_pylist()):
+            raw = text.encode().split()
+            if spans:
+                edges = [0, *(x for s in spans for x in (s["start"], s["stop"])), len(raw)]
+                raw = [w for a, z in zip(edges[::2], edges[1::2]) for w in raw[a:z]]
+            kept.append(b" ".join(raw).decode())
+        yield pa.record_batch([*b.columns, pa.array(kept, pa.string())], names=[*b.schema.names, "kept_text"])
+
+
 def remove_repeated_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW, seed: int = SEED,
                              shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that starts anywhere else, too.
@@ -264,29 +273,30 @@ def remove_repeated_passages(docs: DataFrame, text_col: str = "text", window: in
     keep = [c for c in docs.columns if c not in OUTPUT]
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("b")).first()["b"] or 0
     shards = parts_for(spark, size, shard_bytes)
-    row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    text = F.col(f"`{text_col}`").cast("string")
+    text, row, back = packed(docs, text_col, OUTPUT)
     # The place of a row: by all its columns, so that copies of a text spread.
     shard = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keep if not isinstance(docs.schema[c].dataType, T.MapType)]), F.lit(shards)).cast("int")
-    base = docs.select(shard.alias("shard"), text.alias("text"), row.alias("row"))
+    base = docs.select(shard.alias("shard"), text, row)
 
-    phrases = base.select("shard", "text").mapInArrow(_phrase_rows(window, seed), _ROWS)
+    phrases = base.select("shard", "text").mapInArrow(released(_phrase_rows(window, seed)), _ROWS)
     twice = phrases.groupBy("value").agg(F.sum("n").alias("total")).where("total >= 2").select("value")
     known = phrases.select("shard", "value").join(twice, "value", "left_semi")
 
     def dealt(rows: DataFrame, values: DataFrame) -> DataFrame:
+        """Every shard is a partition of its own: a task holds one shard's texts."""
         marks = values.select("shard", F.lit(0).alias("kind"), "value", F.lit(None).cast("string").alias("text"),
                               F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
         texts = rows.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("value"), "text", "row")
-        return texts.unionByName(marks).repartition(shards, "shard")
+        return texts.unionByName(marks).repartitionById(shards, "shard")
 
     light = base.select("shard", "text", F.struct(F.lit(0).alias("none")).alias("row"))
-    windows = dealt(light, known).mapInArrow(_window_rows(window, seed), _ROWS)
+    windows = dealt(light, known).mapInArrow(released(_window_rows(window, seed)), _ROWS)
     # Each shard gives a value once, so no value has more rows than there are shards.
-    recurring = written(windows.repartition(shards, "value").mapInArrow(_keep_recurring, _ROWS).select("shard", "value"))
+    recurring = written(windows.repartition(shards, "value").mapInArrow(released(_keep_recurring), _ROWS).select("shard", "value"))
 
     span = T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))
-    full = (T.StructType().add("row", base.schema["row"].dataType).add("n_words", "long").add("n_removed", "long")
-            .add("removed_spans", span).add("kept_text", "string"))
-    found = dealt(base, recurring).mapInArrow(_locate(window, seed), full)
-    return found.select("row.*", *OUTPUT)
+    full = (T.StructType().add("text", "string").add("row", base.schema["row"].dataType).add("n_words", "long").add("n_removed", "long")
+            .add("removed_spans", span))
+    found = dealt(base, recurring).mapInArrow(released(_locate(window, seed)), full)
+    cut = found.mapInArrow(_cut_rows, T.StructType([*full.fields, T.StructField("kept_text", T.StringType())]))
+    return cut.select(*back, *OUTPUT)

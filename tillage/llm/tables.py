@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local: dict[str, str] = {}
 
@@ -55,3 +58,28 @@ def joined_evenly(rows: DataFrame, lookup: DataFrame, keys: list[str], total: in
     named = F.broadcast(lookup.where(hot).drop("n_rows"))
     rest = rows.join(F.broadcast(lookup.where(hot).select(*keys)), keys, "left_anti").join(lookup.where(~hot).drop("n_rows"), keys)
     return rows.join(named, keys).unionByName(rest)
+
+
+def packed(docs: DataFrame, text_col: str, made: tuple[str, ...]) -> tuple[Column, Column, list[Column]]:
+    """What a task on texts takes along and how its output gets the columns of ``docs`` back.
+
+    ``text`` as a string, ``row``, a struct of the other columns but those
+    named ``made``, and the columns to select from (text, row). A text column
+    is thus carried once; one of another type than string stays in ``row``.
+    """
+    names = [c for c in docs.columns if c not in made]
+    once = isinstance(docs.schema[text_col].dataType, T.StringType)
+    held = [c for c in names if c != text_col or not once] or [None]
+    row = F.struct(*[F.lit(0).alias("none") if c is None else F.col(f"`{c}`") for c in held]).alias("row")
+    back = [F.col("text").alias(c) if c == text_col and once else F.col(f"row.`{c}`") for c in names]
+    return F.col(f"`{text_col}`").cast("string").alias("text"), row, back
+
+
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The task; at its end unused Arrow memory goes back, as workers live on for other stages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return run

@@ -17,17 +17,19 @@ import pyarrow.compute as pc
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 SLICE_BYTES = 4 << 20
+KEPT_POWERS = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64 (kept and grown between calls)."""
+    """base**0 .. base**(n-1) modulo 2**64 (the first ``KEPT_POWERS`` are kept between calls)."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        x = np.full(max(n, 1 << 16), base, np.uint64)
+        x = np.full(max(n, KEPT_POWERS), base, np.uint64)
         x[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(x)
+        have = np.multiply.accumulate(x)
+        _powers[int(base)] = have if len(have) == KEPT_POWERS else have[:KEPT_POWERS].copy()
     return have[:n]
 
 
