@@ -6,7 +6,7 @@ Parquet before the next one reads it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillage.llm import langid
@@ -14,55 +14,59 @@ from tillage.llm.decontam import benchmark_matches
 from tillage.llm.mixing import mix
 from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.substring import remove_repeated_passages
-from tillage.llm.tables import text_mod, written
+from tillage.llm.tables import packed, text_mod, written
 
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: not ``und`` and a score of at least 0.5.
+    """Documents whose language is recognised: not ``und`` and a score of at least 0.5; so null texts and texts without letters go.
+
+    Repeated rows and null ids are rows of their own; an empty table stays empty; other columns come back as they are.
 
     The model learns from the labelled documents of its input but every third by crc32 of the id."""
     model = langid.train(docs.where(text_mod(F.col("doc_id"), 3) != 1))
-    told = langid.predict(docs.select(F.struct(*_columns(docs)).alias("doc"), "text"), model)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc.*")
+    text, row, back = packed(docs, "text", ())
+    told = langid.predict(docs.select(text, row), model)
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class linked by five-word-shingle Jaccard >= 0.8: that of the least id. Texts without words stay."""
-    packed = docs.select(F.struct(*_columns(docs)).alias("doc"), "doc_id", "text")
-    found = jaccard_components(packed, k=5, percent=80)
-    alone = found.where("component is null").select("doc.*")
-    first = found.where("component is not null and doc_id <=> component_id").dropDuplicates(["component"]).select("doc.*")
-    return alone.unionByName(first)
+    """One document of each class linked by five-word-shingle Jaccard >= 0.8: that of the least id, and of several rows with that
+    id the one of least text hash. Texts without words stay, all of them. Null ids come after all others."""
+    text, row, back = packed(docs, "text", ())
+    found = jaccard_components(docs.select("doc_id", text, row), k=5, percent=80)
+    one = found.where("component is null or doc_id <=> component_id").withColumn(
+        "alone", F.when(F.col("component").isNull(), F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("component", "alone").orderBy(F.xxhash64("text")))
+    return one.withColumn("place", place).where("place = 1").select(*back)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that recur; documents of which nothing is left go. Other texts stay as they are."""
-    found = remove_repeated_passages(docs.select(F.struct(*_columns(docs)).alias("doc"), "text"))
-    text = F.when(F.col("n_removed") == 0, F.col("doc.text")).otherwise(F.col("kept_text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(F.length("kept_text").cast("long"))}
-    return found.where("n_removed = 0 or n_removed < n_words").select(
-        *[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    """Texts without the passages that recur; documents of which nothing is left go. Other texts stay as they are, null and empty ones, too.
+
+    Repeated rows lose what they share; other columns come back as they are, but ``n_chars`` of a cut text is its new length."""
+    text, row, back = packed(docs, "text", ())
+    found = remove_repeated_passages(docs.select(text, row))
+    same = F.col("n_removed") == 0
+    new = {"text": F.when(same, F.col("text")).otherwise(F.col("kept_text")),
+           "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))}
+    return found.where("n_removed = 0 or n_removed < n_words").select(*[new.get(c, old).alias(c) for c, old in zip(docs.columns, back)])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts hold none. Rows are told by id and text, so repeated ids don't matter."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     words = F.sha2(F.col("text").cast("binary"), 256)  # ids may be null or repeat: rows are told by id and text
-    packed = docs.select("doc_id", words.alias("words"), "text")
-    leaks = written(benchmark_matches(packed, benchmark).select(F.col("doc_id").alias("leak"), F.col("words").alias("leaked")).distinct())
+    told = docs.select("doc_id", words.alias("words"), "text")
+    leaks = written(benchmark_matches(told, benchmark).select(F.col("doc_id").alias("leak"), F.col("words").alias("leaked")).distinct())
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]) & (words == leaks["leaked"]), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``copies`` (how often), sizes and targets."""
-    packed = docs.select(F.struct(*_columns(docs)).alias("doc"), "doc_id", "text", "source")
-    return mix(packed).where("copies > 0").select("doc.*", "size", "source_size", "target", "copies", "taken")
+    """The documents that the mix takes, with ``copies`` (how often), sizes and targets. Null sources are one source, null texts have no words."""
+    text, row, back = packed(docs, "text", ())
+    return mix(docs.select("doc_id", "source", text, row)).where("copies > 0").select(*back, "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [
