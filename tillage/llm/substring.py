@@ -12,12 +12,11 @@
    merged into passages, and seed phrases at every ``window - seed + 1``-th
    word of each passage go into the shard's Aho-Corasick automaton: every
    window of a passage holds one of these seeds whole.
-3. *Stream* every document of the shard through its automaton. Each seed that
-   is found is extended over the passage as far as the words agree; agreeing
-   runs of at least ``window`` words are removed.
+3. *Stream* every document of the shard through its automaton. Of the windows
+   that hold a found seed whole, those that recur are removed.
 
-Phrases are compared as text by the automaton; the equality of windows across
-shards rests on 64-bit fingerprints.
+Phrases are compared as text by the automaton; the equality of windows rests
+on 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,23 +90,43 @@ def _phrase_rows(window: int, seed: int):
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[pa.RecordBatch]]:
-    """The known values (rows without a place in the documents) and the documents of one shard partition."""
+    """The known values (packed, in rows without a document) and the documents of one shard."""
     known, docs = [], []
     for b in batches:
-        is_doc = b.column("kind").to_numpy(zero_copy_only=False) == 1
-        if not is_doc.all():
-            known.append(np.unique(b.column("value").filter(pa.array(~is_doc)).to_numpy()))
-        if is_doc.any():
-            docs.append(b.filter(pa.array(is_doc)))
+        is_doc = b.column("row").is_valid()
+        known.extend(np.frombuffer(x.as_buffer(), np.int64) for x in b.column("known").filter(pc.invert(is_doc)))
+        if pc.any(is_doc).as_py():
+            docs.append(b.filter(is_doc))
     return np.unique(np.concatenate(known)) if known else np.empty(0, np.int64), docs
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of a batch, packed by shard: a row of eight-byte numbers costs less in a shuffle than a row for each."""
+    for b in batches:
+        if b.num_rows:
+            yield _by_shard(b.column("shard").to_numpy(), b.column("value").to_numpy())
+
+
+def _by_shard(shard: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(shard, kind="stable")
+    shard, value = shard[order], value[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+    return pa.record_batch([pa.array(shard[cut[:-1]].astype(np.int32)), pa.array([value[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())],
+                           names=["shard", "known"])
+
+
 def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(known, values)
-    at[at == len(known)] = 0
-    return known[at] == values
+    """Which of ``values`` are in the sorted ``known``; a table of their low bits spares most searches."""
+    found = np.zeros(len(values), bool)
+    if len(known) and len(values):
+        low = (1 << (8 * len(known)).bit_length()) - 1
+        table = np.zeros(low + 1, bool)
+        table[known & low] = True
+        may = np.flatnonzero(table[values & low])
+        at = np.searchsorted(known, values[may])
+        at[at == len(known)] = 0
+        found[may] = known[at] == values[may]
+    return found
 
 
 def _window_rows(window: int, seed: int):
@@ -138,107 +158,93 @@ def _keep_recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     total = np.add.reduceat(n.astype(np.int64), first)
     keep = np.repeat(total >= 2, np.diff(np.concatenate([first, [len(value)]])))
-    yield pa.record_batch([pa.array(shard[keep]), pa.array(value[keep]), pa.array(n[keep])], names=["shard", "value", "n"])
-
+    if keep.any():
+        yield _by_shard(shard[keep], value[keep])
 
-class _Passages:
-    """The passages of one shard and the automaton of their seeds."""
 
-    def __init__(self, window: int, seed: int):
-        self.window, self.seed, self.hashes = window, seed, []
-        self.automaton = ahocorasick.Automaton()
+def _seeds(batches: list[pa.RecordBatch], known: np.ndarray, window: int, seed: int) -> ahocorasick.Automaton:
+    """The automaton of the seed phrases of a shard's passages.
 
-    def learn(self, batches: list[pa.RecordBatch], known: np.ndarray) -> None:
-        """Passages: the first occurrence in the shard of each recurring window, merged where they follow each other."""
-        met = np.zeros(len(known), bool)
-        stride = self.window - self.seed + 1
-        for b in batches:
-            off, ids, words = split_words(b.column("text"))
-            h = word_hashes(words)[ids]
-            starts = run_starts(off, self.window)
-            if not len(starts):
-                continue
-            value = rolling(h, self.window)[starts].view(np.int64)
-            hit = _is_in(value, known)
-            starts, at = starts[hit], np.searchsorted(known, value[hit])
-            at, first = np.unique(at, return_index=True)
-            fresh = ~met[at]
-            met[at] = True
-            new = np.sort(starts[first[fresh]])
-            if not len(new):
-                continue
-            text = np.searchsorted(off, new, side="right")
-            cut = np.flatnonzero((np.diff(new) != 1) | (np.diff(text) != 0)) + 1
-            for s in np.split(new, cut):
-                a, z = int(s[0]), int(s[-1]) + self.window
-                self.hashes.append(h[a:z].copy())
-                for j in range(0, z - a - self.seed + 1, stride):
-                    phrase = " " + " ".join(words.take(pa.array(ids[a + j:a + j + self.seed])).to_pylist()) + " "
-                    places = self.automaton.get(phrase, None)
-                    if places is None:
-                        self.automaton.add_word(phrase, [len(phrase), (len(self.hashes) - 1, j)])
-                    else:
-                        places.append((len(self.hashes) - 1, j))
-        self.automaton.make_automaton()
-
-    def cover(self, words: list[str], h: np.ndarray, text: str) -> list[tuple[int, int]]:
-        """Maximal runs of words of one text that are covered by occurrences of passages."""
-        if not len(self.hashes) or len(words) < self.window:
-            return []
-        hits = list(self.automaton.iter(text))
-        if not hits:
-            return []
-        begins = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        runs, reach = [], {}
-        for end, places in hits:
-            at = int(np.searchsorted(begins, end - places[0] + 1))
-            for pid, j in places[1:]:
-                diagonal = (pid, at - j)
-                if reach.get(diagonal, -1) >= at + self.seed:
-                    continue
-                p = self.hashes[pid]
-                right = min(len(h) - at, len(p) - j)
-                odd = np.flatnonzero(h[at:at + right] != p[j:j + right])
-                right = int(odd[0]) if len(odd) else right
-                left = min(at, j)
-                odd = np.flatnonzero(h[at - left:at] != p[j - left:j])
-                left = left - int(odd[-1]) - 1 if len(odd) else left
-                reach[diagonal] = at + right
-                if left + right >= self.window:
-                    runs.append((at - left, at + right))
-        merged: list[tuple[int, int]] = []
-        for a, z in sorted(runs):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(z, merged[-1][1]))
-            else:
-                merged.append((a, z))
-        return merged
-
-
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    Passages: the first occurrence in the shard of each recurring window, merged where they follow each other."""
+    automaton, met, stride = ahocorasick.Automaton(), np.zeros(len(known), bool), window - seed + 1
+    for b in batches:
+        off, ids, words = split_words(b.column("text"))
+        starts = run_starts(off, window)
+        if not len(starts):
+            continue
+        value = rolling(word_hashes(words)[ids], window)[starts].view(np.int64)
+        hit = _is_in(value, known)
+        starts, at = starts[hit], np.searchsorted(known, value[hit])
+        at, first = np.unique(at, return_index=True)
+        fresh = ~met[at]
+        met[at] = True
+        new = np.sort(starts[first[fresh]])
+        if not len(new):
+            continue
+        text = np.searchsorted(off, new, side="right")
+        cut = np.flatnonzero((np.diff(new) != 1) | (np.diff(text) != 0)) + 1
+        places = np.concatenate([np.arange(s[0], s[-1] + window - seed + 1, stride) for s in np.split(new, cut)])
+        flat = words.take(pa.array(ids[(places[:, None] + np.arange(seed)).reshape(-1)]))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, seed), pa.int32()), flat)
+        for phrase in pc.unique(pc.binary_join(lists, " ")).to_pylist():
+            automaton.add_word(f" {phrase} ", len(phrase) + 2)
+    automaton.make_automaton()
+    return automaton
+
+
+def _covered(automaton: ahocorasick.Automaton, known: np.ndarray, column, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets of the texts' words, starts, stops): the maximal runs of words, counted through all texts, that recurring windows cover.
+
+    The automaton finds the seeds; of the windows that hold a seed whole, those that recur cover their words."""
+    off, ids, words = split_words(column)
+    n, none = int(off[-1]), np.empty(0, np.int64)
+    if not len(automaton) or n < window:
+        return off, none, none
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(off, pa.int32()), words.take(pa.array(ids))), " ")
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)[ids] + 1
+    begin = np.cumsum(size) - size
+    seen = []
+    for i in np.flatnonzero(np.diff(off) >= window):
+        base = int(begin[off[i]]) + 1
+        seen.extend([base + end - length for end, length in automaton.iter(f" {lines[i].as_py()} ")])
+    if not seen:
+        return off, none, none
+    at = np.searchsorted(begin, np.array(seen, np.int64))
+    text = np.searchsorted(off, at, side="right") - 1
+    first, last = np.maximum(at - (window - seed), off[text]), np.minimum(at, off[text + 1] - window)
+    near = np.zeros(n + 1, np.int64)
+    some = last >= first
+    np.add.at(near, first[some], 1)
+    np.add.at(near, last[some] + 1, -1)
+    starts = np.flatnonzero(np.cumsum(near)[:n] > 0)
+    value = rolling(word_hashes(words)[ids], window)[starts].view(np.int64)
+    starts = starts[_is_in(value, known)]
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + window, -1)
+    inside = (np.cumsum(edge)[:n] > 0).astype(np.int8)
+    text_start = np.zeros(n, bool)
+    text_start[off[:-1][off[:-1] < n]] = True
+    before = np.concatenate([[0], inside[:-1]])
+    begins = np.flatnonzero((inside == 1) & ((before == 0) | text_start))
+    after = np.concatenate([inside[1:], [0]])
+    stops = np.flatnonzero((inside == 1) & ((after == 0) | np.concatenate([text_start[1:], [True]]))) + 1
+    return off, begins, stops
 
 
 def _locate(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, docs = _collect(batches)
         docs = list(slices(iter(docs), "text"))
-        passages = _Passages(window, seed)
-        passages.learn(docs if len(known) else [], known)
+        automaton = _seeds(docs if len(known) else [], known, window, seed)
         for b in docs:
-            off, h = _hashed(b.column("text"))
-            n_words, n_removed, spans = [], [], []
-            for i, text in enumerate(text_array(b.column("text")).to_pylist()):
-                # bytes.split() cuts at exactly the six separators; str.split() knows more.
-                raw = text.encode().split()
-                whole = b" ".join(raw).decode()
-                n_words.append(len(raw))
-                found = []
-                if len(passages.hashes) and len(raw) >= window:
-                    found = passages.cover(whole.split(" "), h[off[i]:off[i + 1]], f" {whole} ")
-                spans.append([{"start": a, "stop": z} for a, z in found])
-                n_removed.append(sum(z - a for a, z in found))
-            yield pa.record_batch([b.column("text"), b.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                                   pa.array(spans, _SPANS)], names=["text", "row", *OUTPUT[:3]])
+            off, start, stop = _covered(automaton, known, b.column("text"), window, seed)
+            text = np.searchsorted(off, start, side="right") - 1
+            lists = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b.num_rows))])
+            gone = np.concatenate([[0], np.cumsum(stop - start)])
+            spans = pa.StructArray.from_arrays([pa.array(start - off[text]), pa.array(stop - off[text])], ["start", "stop"])
+            yield pa.record_batch([b.column("text"), b.column("row"), pa.array(np.diff(off)), pa.array(gone[lists[1:]] - gone[lists[:-1]]),
+                                   pa.ListArray.from_arrays(pa.array(lists, pa.int32()), spans)], names=["text", "row", *OUTPUT[:3]])
     return run
 
 
@@ -284,15 +290,15 @@ def remove_repeated_passages(docs: DataFrame, text_col: str = "text", window: in
 
     def dealt(rows: DataFrame, values: DataFrame) -> DataFrame:
         """Every shard is a partition of its own: a task holds one shard's texts."""
-        marks = values.select("shard", F.lit(0).alias("kind"), "value", F.lit(None).cast("string").alias("text"),
-                              F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
-        texts = rows.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("value"), "text", "row")
+        marks = values.select("shard", "known", F.lit(None).cast("string").alias("text"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+        texts = rows.select("shard", F.lit(None).cast("binary").alias("known"), "text", "row")
         return texts.unionByName(marks).repartitionById(shards, "shard")
 
+    pack = "shard int, known binary"
     light = base.select("shard", "text", F.struct(F.lit(0).alias("none")).alias("row"))
-    windows = dealt(light, known).mapInArrow(released(_window_rows(window, seed)), _ROWS)
+    windows = dealt(light, known.mapInArrow(_packed_rows, pack)).mapInArrow(released(_window_rows(window, seed)), _ROWS)
     # Each shard gives a value once, so no value has more rows than there are shards.
-    recurring = written(windows.repartition(shards, "value").mapInArrow(released(_keep_recurring), _ROWS).select("shard", "value"))
+    recurring = written(windows.repartition(shards, "value").mapInArrow(released(_keep_recurring), pack))
 
     span = T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))
     full = (T.StructType().add("text", "string").add("row", base.schema["row"].dataType).add("n_words", "long").add("n_removed", "long")
