@@ -24,6 +24,22 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+HOT_KEYS = 10_000
+
+
+def even_join(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join to ``lookup`` (one row a key; ``n_rows``: how many of the ``total`` rows hold it), hot keys apart.
+
+    A key with more than a 10,000th of the rows is hot; at most 10,000 keys
+    can be, so those are broadcast and their rows stay where they are. The
+    others are shuffled in groups of at most that share. ``rows`` is read
+    twice: pass a stored table."""
+    hot = F.col("n_rows") * HOT_KEYS > total
+    near = rows.join(bounded(lookup.where(hot).drop("n_rows")), key)
+    far = rows.join(bounded(lookup.where(hot).select(key)), key, "left_anti").join(lookup.where(~hot).drop("n_rows"), key)
+    return near.unionByName(far)
+
+
 # Self join to the parent row --------------------------------------------
 def with_parent(child: DataFrame, parent: DataFrame, parent_key: str, parent_fields: dict[str, str]) -> DataFrame:
     """Left-join each row to its parent row; ``parent_fields`` maps parent column -> output name."""

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillage.functions.exprs import URL_PATTERN, full_name, looks_like_url
-from tillage.functions.text import ENGLISH_STOP_WORDS, matches, product_lexemes
+from tillage.functions.text import ENGLISH_STOP_WORDS
 from tillage.operators import filters as flt
 from tillage.operators.changes import stock_ledger
 from tillage.operators.joins import child_array, primary_image, scalar, with_parent
 from tillage.operators.paging import clamp_page, page, top_n_per_key, whitelisted_sort
 from tillage.operators.paging import page_meta
+from tillage.operators.search import stem_matches
 from tillage.plans.common import Registered, digest
+from tillage.plans.stem_sql import stem_sql
 from tillage.sources.json_io import page_envelope, pg_text
 from tillage.sources.fixtures import Catalog, with_fixtures
 
@@ -33,12 +35,14 @@ def _with_category_names(products: DataFrame, categories: DataFrame) -> DataFram
 # R20 -----------------------------------------------------------------------------
 def catalogue_matches(products: DataFrame, categories: DataFrame, category_id=None, vendor_id=None,
                       search: str = "", min_price=None, max_price=None, on_offer=None) -> DataFrame:
-    """Active products passing up to six optional predicates, with category names."""
-    desc_col = F.col("description") if "description" in products.columns else None
-    j = _with_category_names(products.where(F.col("is_active")), categories)
+    """Active products passing up to six optional predicates, with category names; the search is over stemmed words."""
+    active = products.where(F.col("is_active"))
+    if flt.php_truthy(search):
+        desc = F.coalesce(F.col("description"), F.lit("")) if "description" in products.columns else F.lit("")
+        active = active.join(stem_matches(active, "id", F.concat(F.col("name"), F.lit(" "), desc), search), "id", "left_semi")
+    j = _with_category_names(active, categories)
     preds = [flt.optional(category_id, lambda v: flt.category_or_parent("category_id", "__parent", v)),
              flt.optional(vendor_id, lambda v: F.col("vendor_id") == F.lit(v)),
-             flt.optional(search, lambda s: matches(product_lexemes(F.col("name"), desc_col), s)),
              flt.price_range("selling_price", min_price, max_price),
              flt.less_than("selling_price", "mrp") if flt.php_truthy(on_offer) else None]
     return flt.where_all(j, preds)
@@ -139,6 +143,12 @@ def sql_lexemes(expr: str) -> str:
             f"lambda w: length(w) > 0 AND NOT list_contains([{STOP}], w)))")
 
 
+def sql_has_stem(expr: str, table: str, stem: str) -> str:
+    """Whether the text ``expr`` over a row ``p`` of ``table`` has a word of that stem."""
+    words = stem_sql(f"SELECT unnest({sql_lexemes(expr)}) AS word FROM {table} p")
+    return f"list_has_any({sql_lexemes(expr)}, (SELECT list(word) FROM {words} WHERE stem = '{stem}'))"
+
+
 IMG_SQL = ("(SELECT image_url FROM fx_product_images i WHERE i.product_id={pid} AND i.is_primary "
            "ORDER BY i.sort_order, i.id LIMIT 1)")
 
@@ -177,7 +187,7 @@ REGISTRY = [
   FROM fx_products p LEFT JOIN fx_categories c ON p.category_id=c.id
   LEFT JOIN fx_categories pc ON c.parent_id=pc.id
   WHERE p.is_active AND (p.category_id=2 OR c.parent_id=2)
-    AND list_contains({sql_lexemes("p.name || ' ' || ''")}, 'red'))
+    AND {sql_has_stem("p.name || ' ' || ''", "fx_products", "red")})
 SELECT j.id, j.name, j.mrp, j.selling_price, j.stock_qty, j.unit, j.sku, j.category_name, j.subcategory_name,
   v.business_name AS vendor_name, {IMG_SQL.format(pid='j.id')} AS primary_image,
   (SELECT count(*) FROM j) AS total
@@ -206,7 +216,7 @@ FROM j LEFT JOIN fx_vendors v ON j.vendor_id=v.id ORDER BY j.sold_count DESC NUL
   FROM fx_products p LEFT JOIN fx_categories c ON p.category_id=c.id
   LEFT JOIN fx_categories pc ON c.parent_id=pc.id
   WHERE p.is_active AND (p.category_id=2 OR c.parent_id=2)
-    AND list_contains({sql_lexemes("p.name || ' ' || ''")}, 'red')),
+    AND {sql_has_stem("p.name || ' ' || ''", "fx_products", "red")}),
 pg AS (SELECT j.id, j.name, j.mrp, j.selling_price, j.stock_qty, j.unit, j.sku, j.category_name, j.subcategory_name,
   v.business_name AS vendor_name, {IMG_SQL.format(pid='j.id')} AS primary_image
   FROM j LEFT JOIN fx_vendors v ON j.vendor_id=v.id ORDER BY j.selling_price ASC NULLS LAST, j.id LIMIT 20)

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from tillage.functions.text import inverted_index, lexemes, matches, search_index
 from tillage.operators.joins import child_array
+from tillage.operators.search import Postings, TrigramIndex, is_stored, stemmed_lexemes, stored_folder
 from tillage.plans.catalog import sql_lexemes
 from tillage.plans.common import Registered
+from tillage.plans.stem_sql import stem_sql
 from tillage.sources.json_io import decode_json
 
 SEARCH_QUERY = "Ertion rely"
+CONTAINS_QUERY = "tion_th%ing"
 
 
 def document_lexemes(documents: DataFrame) -> DataFrame:
@@ -33,6 +36,24 @@ def document_index_search(documents: DataFrame, query: str) -> DataFrame:
     return documents.select("doc_id", "lang").join(ids, "doc_id", "left_semi")
 
 
+def document_stems(documents: DataFrame) -> DataFrame:
+    """E20 as the reference's English configuration gives it: sorted distinct stems of every whole document."""
+    found = stemmed_lexemes(documents, "doc_id", F.col("text")).withColumnRenamed("id", "doc_id")
+    return documents.select("doc_id", "lang").join(found, "doc_id")
+
+
+def stored_postings(documents: DataFrame) -> Postings:
+    """The documents' postings; written if there are none of these files yet."""
+    postings = Postings(stored_folder(documents, "postings"))
+    return postings if is_stored(documents.sparkSession, postings.path, "terms") else postings.write(documents, "doc_id", F.col("text"))
+
+
+def stored_trigrams(documents: DataFrame) -> TrigramIndex:
+    """The trigram index of the documents' texts and sources; written if there is none of these files yet."""
+    index = TrigramIndex(stored_folder(documents, "trigrams"), ("text", "source"))
+    return index if is_stored(documents.sparkSession, index.path, "terms") else index.write(documents, "doc_id")
+
+
 def event_props(events: DataFrame) -> DataFrame:
     """``props`` JSON text decoded into typed columns."""
     return decode_json(events, "props", "k int").select("event_id", "event_type", "props.k")
@@ -71,6 +92,25 @@ WHERE list_contains(lx, 'ertion') AND list_contains(lx, 'rely')"""),
         lambda c: document_index_search(c.base("documents"), SEARCH_QUERY),
         f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, {sql_lexemes('text')} AS lx FROM documents)
 WHERE list_contains(lx, 'ertion') AND list_contains(lx, 'rely')"""),
+    Registered(
+        "e20_document_stems",
+        lambda c: document_stems(c.base("documents")).select(
+            "doc_id", "lang", F.size("lexemes").cast("bigint").alias("stem_count"), F.md5(F.array_join("lexemes", " ")).alias("stems_md5")),
+        f"""WITH t AS (SELECT doc_id, unnest({sql_lexemes('text')}) AS word FROM documents),
+v AS MATERIALIZED (SELECT * FROM {stem_sql("SELECT word FROM t")}),
+s AS (SELECT doc_id, list_sort(list(DISTINCT stem)) AS stems FROM t JOIN v USING (word) GROUP BY doc_id)
+SELECT d.doc_id, d.lang, CAST(coalesce(len(s.stems), 0) AS BIGINT) AS stem_count,
+  md5(coalesce(array_to_string(s.stems, ' '), '')) AS stems_md5 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""),
+    Registered(
+        "f4_stored_postings_search",
+        lambda c: stored_postings(c.base("documents")).search(c.spark, SEARCH_QUERY).withColumnRenamed("id", "doc_id"),
+        f"""WITH t AS (SELECT doc_id, unnest({sql_lexemes('text')}) AS word FROM documents),
+v AS MATERIALIZED (SELECT * FROM {stem_sql("SELECT word FROM t")})
+SELECT doc_id FROM t JOIN v USING (word) WHERE stem IN ('ertion', 'reli') GROUP BY doc_id HAVING count(DISTINCT stem) = 2"""),
+    Registered(
+        "f3_trigram_search",
+        lambda c: stored_trigrams(c.base("documents")).search(c.spark, CONTAINS_QUERY).select(F.col("id").alias("doc_id"), "source"),
+        f"""SELECT doc_id, source FROM documents WHERE text ILIKE '%{CONTAINS_QUERY}%' OR source ILIKE '%{CONTAINS_QUERY}%'"""),
     Registered(
         "s4_event_props",
         lambda c: event_props(c.base("events")),

@@ -6,14 +6,18 @@ order columns into the change schema the job expects.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillage.functions.exprs import code_from_id
 from tillage.operators import changes as ch
 from tillage.operators import quality as q
+from tillage.operators.merge import KeyedTable
 from tillage.operators.paging import latest_per_key
 from tillage.operators.pricing import invoice_totals, price_orders
+from tillage.operators.search import stored_folder
 from tillage.plans.common import AS_OF, Registered
 from tillage.sources.fixtures import Catalog, with_fixtures
 from tillage.sources.literals import seed_settings
@@ -53,7 +57,11 @@ PATCH_SQL = """patches AS (SELECT event_id % 200 AS id,
     event_id AS seq FROM events WHERE event_type='error')"""
 
 
-def _patch_sql(mode: str) -> str:
+def _on_latest_day(kind: str) -> str:
+    return f"event_type='{kind}' AND CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events WHERE event_type='{kind}')"
+
+
+def _patch_sql(mode: str, events: str = "event_type='error'") -> str:
     def writes(f: str) -> str:
         base = f"list_contains(present, '{f}')"
         return base if mode == "exists" else f"{base} AND {f} IS NOT NULL"
@@ -61,7 +69,7 @@ def _patch_sql(mode: str) -> str:
     def latest(f: str) -> str:
         return (f"l_{f} AS (SELECT id, {f} FROM (SELECT id, {f}, row_number() OVER (PARTITION BY id "
                 f"ORDER BY created_at DESC, seq DESC) AS rn FROM patches WHERE {writes(f)}) WHERE rn=1)")
-    return with_fixtures(f"""WITH {PATCH_SQL}, {latest('stock_qty')}, {latest('unit')}
+    return with_fixtures(f"""WITH {PATCH_SQL.replace("event_type='error'", events)}, {latest('stock_qty')}, {latest('unit')}
 SELECT p.id, p.name, p.sku, p.vendor_id, p.category_id, p.mrp, p.selling_price,
   CASE WHEN s.id IS NOT NULL THEN s.stock_qty ELSE p.stock_qty END AS stock_qty, p.is_active,
   CASE WHEN u.id IS NOT NULL THEN u.unit ELSE p.unit END AS unit
@@ -132,6 +140,28 @@ def _m05(mode: str):
     return build
 
 
+def _latest_day(changes: DataFrame) -> DataFrame:
+    """The changes of the newest day, as a daily batch brings them."""
+    day = F.to_date("created_at")
+    return changes.where(day == changes.agg(F.max(day)).scalar())
+
+
+def _m01_touched(c: Catalog) -> DataFrame:
+    cart = c.cart
+    stored = KeyedTable(stored_folder(c.base("customer"), f"cart-{uuid.uuid4().hex}"), ("customer_id", "product_id")).create(cart)
+    changes = _latest_day(cart_changes(c)).withColumns({k: F.col(k).cast(cart.schema[k].dataType) for k in stored.keys})
+    stored.merge(changes, lambda cur, chg: ch.upsert(cur, chg, list(stored.keys), ["quantity"], ["created_at", "id"]))
+    return stored.read(c.spark)
+
+
+def _m05_touched(c: Catalog) -> DataFrame:
+    products = c.products
+    stored = KeyedTable(stored_folder(c.base("part"), f"products-{uuid.uuid4().hex}"), ("id",)).create(products)
+    patches = _latest_day(product_patches(c)).withColumn("id", F.col("id").cast(products.schema["id"].dataType))
+    stored.merge(patches, lambda cur, chg: ch.sparse_patch(cur, chg, "id", ["stock_qty", "unit"], ["created_at", "seq"], mode="isset"))
+    return stored.read(c.spark)
+
+
 def _m06(c: Catalog) -> DataFrame:
     keys = _events(c, "error").select((F.col("event_id") % 200).alias("id"))
     return ch.soft_delete(c.products, keys, "id").select("id", "is_active")
@@ -199,6 +229,13 @@ STAT_SQL = """CASE WHEN event_type='signup' THEN 'confirmed' WHEN event_type='vi
   WHEN event_type='click' THEN 'shipped' WHEN event_type='purchase' THEN 'delivered' ELSE 'cancelled' END"""
 
 REGISTRY = [
+    Registered("m01_touched_partition_upsert", _m01_touched, with_fixtures(f"""WITH l AS (SELECT * FROM (
+    SELECT user_id AS customer_id, event_id % 200 AS product_id, CAST(1 + event_id % 5 AS INTEGER) AS quantity,
+      row_number() OVER (PARTITION BY user_id, event_id % 200 ORDER BY ts DESC, event_id DESC) AS rn
+    FROM events WHERE {_on_latest_day('purchase')}) WHERE rn = 1)
+SELECT customer_id, product_id, coalesce(l.quantity, c.quantity) AS quantity
+FROM fx_cart c FULL OUTER JOIN l USING (customer_id, product_id)""", "fx_cart")),
+    Registered("m05_touched_partition_patch", _m05_touched, _patch_sql("isset", _on_latest_day("error"))),
     Registered("m01_cart_upsert", _m01, with_fixtures("""WITH chg AS (SELECT user_id AS customer_id,
     event_id % 200 AS product_id, CAST(1 + event_id % 5 AS INTEGER) AS quantity, ts AS created_at, event_id AS id
     FROM events WHERE event_type='purchase'),

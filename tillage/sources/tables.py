@@ -34,6 +34,14 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+def write_folders(df: DataFrame, path: str, folder: str) -> None:
+    """Write ``df`` as it is dealt in partition folders by the column ``folder`` (int). A file without rows in
+    folder 0 holds the schema, so that an empty table can be read back."""
+    df.write.mode("overwrite").partitionBy(folder).parquet(path)
+    none = df.sparkSession.createDataFrame([], df.drop(folder).schema)
+    none.coalesce(1).write.mode("append").parquet(f"{path}/{folder}=0")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int,
               partitions: int, properties: dict | None = None) -> DataFrame:
     """Partitioned JDBC scan: ``partitions`` range queries on ``key`` run in parallel."""
