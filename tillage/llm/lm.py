@@ -2,8 +2,9 @@
 
 Counts of all training tokens (by 64-bit fingerprint) give the vocabulary: all
 tokens with at least ``share`` of the counts, and at least the ``words`` most
-frequent ones, are modelled, cut by frequency into classes of equal size (about
-the square root of their number, so that a token costs two short softmaxes);
+frequent ones, are modelled, cut by frequency into classes of equal shares of
+the counts' square roots (about as many as the square root of the words'
+number, so that a token costs two short softmaxes);
 every other token is the unknown symbol times its share of the
 unmodelled counts (plus one each, and one for everything unseen), so the model
 is a distribution over tokens. The probability of a token is that of its class
@@ -35,11 +36,12 @@ WORDS = 2047
 SHARE = 2.0 ** -16
 HIDDEN = 16
 WINDOW = 16
-SCORE_WINDOW = 64
-LANES = 512
+LANES = 256
+SCORE_LANES = 512
+SCORE_TOKENS = 1 << 15
 ROUNDS = (0.125, 1.0)
 KNOWN = 1 << 19
-RATE = 0.1
+RATE = 0.5
 STEP = 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 SLICE = 8 << 20
@@ -64,16 +66,29 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(h[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["token", "n"])
 
 
+def class_edges(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Where the classes of words by falling counts begin and end: equal shares of the square roots of the counts, a word each at least.
+
+    Frequent words get small classes, so a token costs fewer outputs than with classes of equal size."""
+    words = len(counts)
+    classes = max(1, min(classes, words))
+    upto = np.cumsum(np.sqrt(np.maximum(counts, 0.5)))
+    cut = np.searchsorted(upto, upto[-1] * np.arange(1, classes) / classes) if words else np.empty(0, np.int64)
+    cut = np.maximum(cut, np.arange(1, len(cut) + 1))
+    cut = np.minimum(np.maximum.accumulate(cut - np.arange(len(cut))) + np.arange(len(cut)), words - np.arange(len(cut), 0, -1))
+    return np.concatenate([[0], cut, [words]]).astype(np.int64) if words else np.zeros(1, np.int64)
+
+
 class Net:
-    """The network's parameters in one vector, with named views."""
+    """The network's parameters in one vector, with named views. ``edges``: where the classes of words begin, and the words' number."""
 
-    def __init__(self, words: int, classes: int, hidden: int, theta: np.ndarray | None = None):
-        self.words, self.hidden = words, hidden
+    def __init__(self, edges: np.ndarray, hidden: int, theta: np.ndarray | None = None):
         # word ids are 0 .. words-1 by frequency, the unknown symbol is ``words`` and a class of its own
-        self.size = max(1, -(-words // max(classes - 1, 1)))
-        self.classes = (-(-words // self.size) if words else 0) + 1
-        shapes = {"e": (words + 1, 2 * hidden), "u": (hidden, 2 * hidden), "wc": (hidden, self.classes), "bc": (self.classes,),
-                  "wo": (self.classes * self.size, hidden), "bo": (self.classes * self.size,)}
+        self.edges, self.words, self.hidden = edges, int(edges[-1]), hidden
+        self.classes = len(edges)
+        self.group = np.repeat(np.arange(self.classes), np.append(np.diff(edges), 1))
+        shapes = {"e": (self.words + 1, 2 * hidden), "u": (hidden, 2 * hidden), "wc": (hidden, self.classes), "bc": (self.classes,),
+                  "wo": (self.words, hidden), "bo": (self.words,)}
         n = sum(int(np.prod(s)) for s in shapes.values())
         self.theta = np.zeros(n, np.float32) if theta is None else theta.astype(np.float32)
         self.views, at = {}, 0
@@ -86,10 +101,10 @@ class Net:
         return (self.theta if of is None else of)[a:z].reshape(s)
 
     def class_of(self, x: np.ndarray) -> np.ndarray:
-        return np.where(x == self.words, self.classes - 1, x // self.size)
+        return self.group[x]
 
     def members(self, c: int) -> slice:
-        return slice(c * self.size, c * self.size + (1 if c == self.classes - 1 else min(self.size, self.words - c * self.size)))
+        return slice(self.edges[c], self.edges[c + 1])
 
     def start(self, counts: np.ndarray, seed: int) -> None:
         """Small random weights; biases at the counts' probabilities (``counts``: of the ids, the unknown symbol last)."""
@@ -97,19 +112,33 @@ class Net:
         for k, scale in (("e", 0.1), ("u", 0.1), ("wc", 0.1), ("wo", 0.1)):
             self.get(k)[:] = rng.standard_normal(self.get(k).shape) * scale
         p = np.maximum(counts, 0.5)
-        group = self.class_of(np.arange(self.words + 1))
-        self.get("bc")[:] = np.log(np.bincount(group, p, minlength=self.classes) / p.sum())
+        self.get("bc")[:] = np.log(np.bincount(self.group, p, minlength=self.classes) / p.sum())
         for c in range(self.classes - 1):
             m = self.members(c)
             self.get("bo")[m] = np.log(p[m] / p[m].sum())
 
 
+class Steps:
+    """Adaptive steps: each number has the sum of its squared gradients. Only what a window touched is moved."""
+
+    def __init__(self, net: Net, rate: float, start: float = STEP):
+        self.net, self.rate, self.scale, self.most = net, rate, 1.0, 1
+        self.squares = np.full_like(net.theta, start)
+
+    def move(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
+        grad = grad * np.float32(self.scale)
+        squares, theta = self.net.get(name, self.squares), self.net.get(name)
+        new = squares[at] + grad * grad
+        squares[at] = new
+        theta[at] -= np.float32(self.rate) * grad / (np.sqrt(new) + np.float32(1e-4))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _outputs(net: Net, s: np.ndarray, x: np.ndarray, grad: np.ndarray | None = None):
-    """Natural log-probabilities of tokens ``x`` at states ``s``; with ``grad``, also the states' gradients of the loss."""
+def _outputs(net: Net, s: np.ndarray, x: np.ndarray, steps: Steps | None = None):
+    """Natural log-probabilities of tokens ``x`` at states ``s``; with ``steps``, also the states' gradients of the loss, and the outputs are moved."""
     c = net.class_of(x)
     z = s @ net.get("wc") + net.get("bc")
     z -= z.max(axis=1, keepdims=True)
@@ -117,31 +146,45 @@ def _outputs(net: Net, s: np.ndarray, x: np.ndarray, grad: np.ndarray | None = N
     z /= z.sum(axis=1, keepdims=True)
     row = np.arange(len(x))
     logp = np.log(np.maximum(z[row, c], 1e-30))
-    ds = None
-    if grad is not None:
-        z[row, c] -= 1
-        net.get("wc", grad)[:] += s.T @ z
-        net.get("bc", grad)[:] += z.sum(axis=0)
-        ds = z @ net.get("wc").T
     order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(net.classes))
+    edges = np.searchsorted(c[order], np.arange(net.classes)).tolist()
+    begin = net.edges.tolist()
+    s_by, col_by = s[order], x[order] - net.edges[c[order]]
+    p_by = np.ones(len(x), np.float32)
+    wo, bo = net.get("wo"), net.get("bo")
+    if steps is not None:
+        ds_by, gw, gb, touched = np.zeros_like(s), np.zeros_like(wo), np.zeros_like(bo), []
     for k in range(net.classes - 1):
-        at = order[edges[k]:edges[k + 1]]
-        if not len(at):
+        a, e = edges[k], edges[k + 1]
+        if a == e:
             continue
-        m = net.members(k)
-        w = net.get("wo")[m]
-        y = s[at] @ w.T + net.get("bo")[m]
-        y -= y.max(axis=1, keepdims=True)
+        lo, hi = begin[k], begin[k + 1]
+        own, w = s_by[a:e], wo[lo:hi]
+        y = own @ w.T
+        y += bo[lo:hi]
+        y -= np.maximum.reduce(y, axis=1, keepdims=True)
         np.exp(y, out=y)
-        y /= y.sum(axis=1, keepdims=True)
-        r, col = np.arange(len(at)), x[at] - m.start
-        logp[at] += np.log(np.maximum(y[r, col], 1e-30))
-        if grad is not None:
+        y /= np.add.reduce(y, axis=1, keepdims=True)
+        r, col = row[:e - a], col_by[a:e]
+        p_by[a:e] = y[r, col]
+        if steps is not None:
             y[r, col] -= 1
-            net.get("wo", grad)[m] += y.T @ s[at]
-            net.get("bo", grad)[m] += y.sum(axis=0)
-            ds[at] += y @ w
+            np.matmul(y, w, out=ds_by[a:e])
+            np.matmul(y.T, own, out=gw[lo:hi])
+            np.add.reduce(y, axis=0, out=gb[lo:hi])
+            touched.append(k)
+    logp[order] += np.log(np.maximum(p_by, 1e-30))
+    ds = None
+    if steps is not None:
+        z[row, c] -= 1
+        ds = z @ net.get("wc").T
+        ds[order] += ds_by
+        # All rows of a class that a token fell into are moved: mostly those of all classes.
+        at = slice(None) if 2 * len(touched) > net.classes else np.concatenate([np.arange(begin[k], begin[k + 1]) for k in touched] or [row[:0]])
+        steps.move("wo", gw[at], at)
+        steps.move("bo", gb[at], at)
+        steps.move("wc", s.T @ z)
+        steps.move("bc", z.sum(axis=0))
     return logp, ds
 
 
@@ -165,16 +208,19 @@ def _lanes(off: np.ndarray, lanes: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _windows(off: np.ndarray, lanes: int, window: int):
-    """Steps of all lanes in windows: positions (steps x lanes, -1 past a lane's end), starts of texts."""
+def _windows(off: np.ndarray, lanes: int, tokens: int):
+    """Steps of all lanes in windows of about ``tokens`` tokens: positions (steps x lanes, -1 past a lane's end), starts of texts."""
     dealt = _lanes(off, lanes)
     steps = max((len(p) for p, _ in dealt), default=0)
     grid, first = np.full((steps, len(dealt)), -1, np.int64), np.zeros((steps, len(dealt)), bool)
     for k, (p, f) in enumerate(dealt):
         grid[:len(p), k], first[:len(p), k] = p, f
-    for a in range(0, steps, window):
+    a = 0
+    while a < steps:
         live = int((grid[a] >= 0).sum())  # longer lanes come first
-        yield grid[a:a + window, :live], first[a:a + window, :live]
+        z = min(steps, a + max(1, tokens // live))
+        yield grid[a:z, :live], first[a:z, :live]
+        a = z
 
 
 def _forward(net: Net, x: np.ndarray, first: np.ndarray, h: np.ndarray):
@@ -194,43 +240,91 @@ def _forward(net: Net, x: np.ndarray, first: np.ndarray, h: np.ndarray):
     return s, f, n, h
 
 
-def _train_slice(net: Net, step: np.ndarray, off: np.ndarray, x: np.ndarray, lanes: int, window: int, rate: float) -> None:
-    h = np.zeros((0, net.hidden), np.float32)
-    most = 0
-    for grid, first in _windows(off, lanes, window):
-        live, most = grid >= 0, max(most, grid.shape[1])
-        ids = np.where(live, x[grid], 0)
-        h = np.zeros((grid.shape[1], net.hidden), np.float32) if not len(h) else h[:grid.shape[1]]
-        s, f, n, h = _forward(net, ids, first, h)
-        grad = np.zeros_like(net.theta)
-        at = np.flatnonzero(live.reshape(-1))
-        _, d = _outputs(net, s.reshape(-1, net.hidden)[at], ids.reshape(-1)[at], grad)
-        ds = np.zeros((live.size, net.hidden), np.float32)
-        ds[at] = d
-        ds = ds.reshape(s.shape)
-        u, dg = net.get("u"), np.empty((*ids.shape, 2 * net.hidden), np.float32)
-        dh = np.zeros_like(s[0])
-        for t in range(len(ids) - 1, -1, -1):
-            dh = dh * live[t][:, None]
-            dg[t, :, :net.hidden] = dh * (n[t] - s[t]) * f[t] * (1 - f[t])
-            dg[t, :, net.hidden:] = dh * f[t] * (1 - n[t] ** 2)
-            dh = dh * (1 - f[t]) + dg[t] @ u.T + ds[t]
-            dh = np.where(first[t][:, None], np.float32(0), dh)
-        flat = dg.reshape(-1, 2 * net.hidden)
-        net.get("u", grad)[:] += s.reshape(-1, net.hidden).T @ flat
-        order = np.argsort(ids.reshape(-1), kind="stable")
-        seen, edge = np.unique(ids.reshape(-1)[order], return_index=True)
-        net.get("e", grad)[seen] += np.add.reduceat(flat[order], edge, axis=0)
-        grad /= (window * most) ** 0.5  # windows with few lanes left move the parameters less
-        step += grad * grad
-        net.theta -= rate * grad / (np.sqrt(step) + 1e-4)
-
-
-def _score_slice(net: Net, off: np.ndarray, x: np.ndarray, lanes: int, window: int) -> np.ndarray:
+def _streams(slices_: Iterator[tuple[np.ndarray, np.ndarray]], lanes: int, window: int):
+    """Windows (ids, live, starts of texts: steps x lanes) of lanes that live as long as the task.
+
+    A lane takes the next text when its own ends, the longest of a slice first; the next slice is read when all its
+    texts are taken, so windows stay full until the last one. ``slices_``: offsets and ids of texts."""
+    x, queue = np.empty(0, np.int64), []
+    pos, end = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    more = True
+    while True:
+        grid, live, first = np.zeros((window, lanes), np.int64), np.zeros((window, lanes), bool), np.zeros((window, lanes), bool)
+        for t in range(window):
+            free = np.flatnonzero(pos == end)
+            while len(free) and (queue or more):
+                if not queue:
+                    got = next(slices_, None)
+                    if got is None:
+                        more = False
+                        break
+                    off, ids = got
+                    # What the lanes still hold of earlier slices comes before the new one.
+                    rest = np.flatnonzero(end > pos)
+                    held = [x[pos[k]:end[k]] for k in rest]
+                    size = np.array([len(h) for h in held], np.int64)
+                    x = np.concatenate([*held, ids])
+                    end[rest] = np.cumsum(size)
+                    pos[rest] = end[rest] - size
+                    base = int(size.sum())
+                    idle = np.setdiff1d(np.arange(lanes), rest, assume_unique=True)
+                    pos[idle] = end[idle] = 0
+                    n = np.diff(off)
+                    queue = [(base + int(off[i]), base + int(off[i + 1])) for i in np.argsort(n, kind="stable") if n[i]]
+                take = min(len(free), len(queue))
+                for k in free[:take]:
+                    pos[k], end[k] = queue.pop()
+                first[t, free[:take]] = True
+                free = free[take:]
+            live[t] = pos < end
+            now = np.flatnonzero(live[t])
+            grid[t, now] = x[pos[now]]
+            pos[now] += 1
+        used = np.flatnonzero(live.any(axis=0))
+        if not len(used):
+            return
+        yield used, grid[:, used], live[:, used], first[:, used]
+
+
+def _train_window(net: Net, steps: Steps, h: np.ndarray, ids: np.ndarray, live: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One step of truncated backpropagation over a window; the lanes' states after it."""
+    s, f, n, after = _forward(net, ids, first, h)
+    at = np.flatnonzero(live.reshape(-1))
+    u = net.get("u").copy()
+    steps.most = max(steps.most, len(at))
+    steps.scale = steps.most ** -0.5  # windows with few tokens left move the parameters less
+    _, d = _outputs(net, s.reshape(-1, net.hidden)[at], ids.reshape(-1)[at], steps)
+    ds = np.zeros((live.size, net.hidden), np.float32)
+    ds[at] = d
+    ds = ds.reshape(s.shape)
+    dg = np.empty((*ids.shape, 2 * net.hidden), np.float32)
+    dh = np.zeros_like(s[0])
+    for t in range(len(ids) - 1, -1, -1):
+        dh = dh * live[t][:, None]
+        dg[t, :, :net.hidden] = dh * (n[t] - s[t]) * f[t] * (1 - f[t])
+        dg[t, :, net.hidden:] = dh * f[t] * (1 - n[t] ** 2)
+        dh = dh * (1 - f[t]) + dg[t] @ u.T + ds[t]
+        dh = np.where(first[t][:, None], np.float32(0), dh)
+    flat = dg.reshape(-1, 2 * net.hidden)
+    order = np.argsort(ids.reshape(-1), kind="stable")
+    seen, edge = np.unique(ids.reshape(-1)[order], return_index=True)
+    grad = np.add.reduceat(flat[order], edge, axis=0)
+    steps.move("u", s.reshape(-1, net.hidden).T @ flat)
+    steps.move("e", grad, seen)
+    return after
+
+
+def _train(net: Net, steps: Steps, slices_: Iterator[tuple[np.ndarray, np.ndarray]], lanes: int, window: int) -> None:
+    h = np.zeros((lanes, net.hidden), np.float32)
+    for used, ids, live, first in _streams(slices_, lanes, window):
+        h[used] = _train_window(net, steps, h[used], ids, live, first)
+
+
+def _score_slice(net: Net, off: np.ndarray, x: np.ndarray, lanes: int = SCORE_LANES, tokens: int = SCORE_TOKENS) -> np.ndarray:
     """Natural log-probability of every token of a slice."""
     out = np.zeros(len(x))
     h = np.zeros((0, net.hidden), np.float32)
-    for grid, first in _windows(off, lanes, window):
+    for grid, first in _windows(off, lanes, tokens):
         live = grid >= 0
         ids = np.where(live, x[grid], 0)
         h = np.zeros((grid.shape[1], net.hidden), np.float32) if not len(h) else h[:grid.shape[1]]
@@ -251,7 +345,7 @@ def _vocabulary_ids(h: np.ndarray, ids: np.ndarray, vocabulary: np.ndarray) -> n
 
 def _score_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        theta, shape, vocabulary, tokens, counts, outside, lanes = shared.value
+        theta, shape, vocabulary, tokens, counts, outside = shared.value
         net = Net(*shape, theta)
         for b in slices(batches, "text", SLICE):
             off, ids, h = _tokens(b.column("text"))
@@ -261,7 +355,7 @@ def _score_rows(shared):
                 found = tokens[at] == h
                 c = np.where(found, counts[at], 0)
             model = _vocabulary_ids(h, np.arange(len(h)), vocabulary)
-            logp = _score_slice(net, off, model[ids], lanes, SCORE_WINDOW) / np.log(10)
+            logp = _score_slice(net, off, model[ids]) / np.log(10)
             add = np.log10(c + 1.0)
             # A token outside the vocabulary: its share of the counts outside (those of rare tokens are joined later).
             share = np.where(model == len(vocabulary), np.where(found, add, 0) - outside, 0)
@@ -307,7 +401,8 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, s
     token alone. Repeated rows count, train and score each time. Input
     columns of these names are replaced. Without training rows all tokens are
     unseen and the network knows only the unknown symbol. Counts of the
-    ``known`` (at most) most frequent tokens are broadcast; those of others are joined.
+    ``known`` (at most) most frequent tokens are broadcast; those of others are joined. Texts of any length are read
+    whole: one runs in one lane, its state carried over all its windows. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -320,7 +415,7 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, s
     words = max(words, int((c >= share * total.n).sum()))
     vocabulary, modelled = tokens[:words], int(c[:words].sum())
     classes = classes or round(len(vocabulary) ** 0.5) + 1
-    shape = (len(vocabulary), classes, hidden)
+    shape = (class_edges(c[:words], classes - 1), hidden)
     net = Net(*shape)
     net.start(np.concatenate([c[:words], [total.n - modelled + 1]]).astype(float), seed)
 
@@ -329,15 +424,20 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, s
         place = F.xxhash64("text", F.lit(seed)) / F.lit(2.0 ** 64) + 0.5
         part = learning.where((place >= done) & (place < (upto if upto < 1 else 2.0))) if total.n else learning.limit(0)
         shared_start = spark.sparkContext.broadcast((net.theta, vocabulary))
+        # The texts of an early round lie in all files; so many fewer tasks read them, each as much as a task of the last.
+        part = part.coalesce(max(1, round(part.rdd.getNumPartitions() * (upto - done))))
 
         def task(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             theta, vocabulary = shared_start.value
             local, seen = Net(*shape, theta.copy()), 0
-            step = np.full_like(theta, STEP)
-            for b in slices(batches, "text", SLICE):
-                off, ids, h = _tokens(b.column("text"))
-                _train_slice(local, step, off, _vocabulary_ids(h, ids, vocabulary), lanes, window, rate)
-                seen += len(ids)
+
+            def read() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                nonlocal seen
+                for b in slices(batches, "text", SLICE):
+                    off, ids, h = _tokens(b.column("text"))
+                    seen += len(ids)
+                    yield off, _vocabulary_ids(h, ids, vocabulary)
+            _train(local, Steps(local, rate), read(), lanes, window)
             return np.concatenate([local.theta.astype(np.float64) * seen, [seen]])
 
         sums = summed(part, task, len(net.theta) + 1)
@@ -347,7 +447,7 @@ def score(docs: DataFrame, learns, text_col: str = "text", words: int = WORDS, s
 
     order = np.argsort(tokens)
     outside = float(total.n - modelled + total.v - len(vocabulary) + 1)
-    shared = spark.sparkContext.broadcast((net.theta, shape, vocabulary, tokens[order], c[order], np.log10(outside), lanes))
+    shared = spark.sparkContext.broadcast((net.theta, shape, vocabulary, tokens[order], c[order], np.log10(outside)))
     row = base.schema["row"].dataType
     fields = T._parse_datatype_string(_SCORED).fields
     scored = written(base.select("row", "text").mapInArrow(_score_rows(shared), T.StructType([T.StructField("row", row), *fields]))
