@@ -306,7 +306,7 @@ def test_decontamination_of_short_and_long_items(spark):
 
 
 def test_language_model_is_a_distribution():
-    net = lm.Net(10, 4, 3)
+    net = lm.Net(lm.class_edges(np.arange(10, 0, -1.0), 3), 3)
     net.start(np.arange(1, 12).astype(float), 1)
     s = np.random.default_rng(0).standard_normal((5, 3)).astype(np.float32)
     p = np.stack([np.exp(lm._outputs(net, s, np.full(5, w))[0]) for w in range(11)])
@@ -314,11 +314,15 @@ def test_language_model_is_a_distribution():
 
 
 def test_language_model_gradient():
-    net = lm.Net(6, 3, 2)
+    net = lm.Net(lm.class_edges(np.arange(6, 0, -1.0), 2), 2)
     net.theta[:] = np.random.default_rng(1).standard_normal(len(net.theta)) * 0.5
     s, x = np.random.default_rng(2).standard_normal((7, 2)).astype(np.float32), np.arange(7) % 7
-    grad = np.zeros_like(net.theta)
-    lm._outputs(net, s, x, grad)
+    grad, steps = np.zeros_like(net.theta), lm.Steps(net, 1.0)
+
+    def keep(name, g, at=slice(None)):
+        net.get(name, grad)[at] += g
+    steps.move = keep
+    lm._outputs(net, s, x, steps)
     for i in range(0, len(net.theta), 3):
         at = net.theta[i]
         net.theta[i] = at + 1e-2

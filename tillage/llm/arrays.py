@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tillage.llm.tables import released
+
 BLOCKS = 64
 _SCHEMA = "block int, sums binary"
 
@@ -45,6 +47,6 @@ def summed(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
             yield _emit(parts)
 
     out = np.zeros((BLOCKS, width))
-    for r in df.mapInArrow(rows, _SCHEMA).repartition(BLOCKS, "block").mapInArrow(_add_blocks, _SCHEMA).collect():
+    for r in df.mapInArrow(released(rows), _SCHEMA).repartition(BLOCKS, "block").mapInArrow(_add_blocks, _SCHEMA).collect():
         out[r.block] = np.frombuffer(r.sums, np.float64)
     return out.reshape(-1)[:size]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.graph import components
-from tillage.llm.tables import parts_for, written
+from tillage.llm.tables import parts_for, released, written
 from tillage.llm.words import mix, rolling, slices, split_words, text_of_word, word_hashes
 
 SKETCH_BITS = 19
@@ -99,7 +99,7 @@ def _sketch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of shingles by the leading ``bits`` of their fingerprint: 2**bits numbers, whatever the corpus."""
-    rows = docs.mapInArrow(_sketch_rows(k, bits), "block int, counts binary")
+    rows = docs.mapInArrow(released(_sketch_rows(k, bits)), "block int, counts binary")
     sums = rows.repartition(SKETCH_BLOCKS, "block").mapInArrow(_sketch_sums, "block int, counts binary").collect()
     out = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS), np.uint32)
     for r in sums:
@@ -304,7 +304,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(row_key.alias("row_key"), text)
 
     sketch = spark.sparkContext.broadcast(frequency_sketch(texts.select("text"), k))
-    light = written(texts.mapInArrow(_light_rows(k, percent, sketch), _LIGHT))
+    light = written(texts.mapInArrow(released(_light_rows(k, percent, sketch)), _LIGHT))
     nodes = written(light.select("node", "n", "prefix", "scan", "bitmap").dropDuplicates(["node"]))
     x = boundary(nodes, percent)
     keys = _keys(nodes, percent, x)
@@ -321,18 +321,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def links(found: DataFrame, all_apart: bool) -> DataFrame:
         dealt = found.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return dealt.mapInArrow(_link_rows(percent, all_apart), "key long, i int, j int, a long, b long")
+        return dealt.mapInArrow(released(_link_rows(percent, all_apart)), "key long, i int, j int, a long, b long")
 
     forest = written(links(members.join(bitmaps, "node"), False))
     involved = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = (light.groupBy("node").agg(F.min("row_key").alias("row_key")).join(involved, "node", "left_semi"))
-    sets = written(texts.join(chosen, "row_key").select("node", "text").mapInArrow(_set_rows(k), "node long, items binary")
+    sets = written(texts.join(chosen, "row_key").select("node", "text").mapInArrow(released(_set_rows(k)), "node long, items binary")
                    .dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left")), "a")
         with_both = with_left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
-        return with_both.select("a", "b", "left", "right").mapInArrow(_verify_rows(percent), "a long, b long, ok boolean")
+        return with_both.select("a", "b", "left", "right").mapInArrow(released(_verify_rows(percent)), "a long, b long, ok boolean")
 
     known = written(verified(forest.select("a", "b").distinct()))
     true_links = known.where("ok").select("a", "b")

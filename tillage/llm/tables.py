@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _local: dict[str, str] = {}
+_recording: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,9 +34,31 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tillage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recording:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables written meanwhile, for :func:`dropped` once nothing reads them any more."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording[:] = [p for p in _recording if p is not paths]
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables, and have Spark give back the shuffles that no DataFrame names any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()  # the driver's cleaner learns of dead shuffles by garbage collection only
+
+
 def text_mod(column: Column, n: int) -> Column:
     """crc32 of the column as text, modulo ``n`` (null reads as the empty text)."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
@@ -76,10 +102,13 @@ def packed(docs: DataFrame, text_col: str, made: tuple[str, ...]) -> tuple[Colum
 
 
 def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """The task; at its end unused Arrow memory goes back, as workers live on for other stages."""
+    """The task; at its end unused memory goes back to the system, as workers live on for other stages."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from task(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
     return run
