@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, n-gram Jaccard join, substring dedup, benchmark decontamination, mixing.
 
 Every stage takes the documents its predecessor kept and is written as
-Parquet before the next one reads it.
+Parquet before the next one reads it. So the intermediate tables of a stage are
+deleted when another stage is called.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from tillage.llm.decontam import benchmark_matches
 from tillage.llm.mixing import mix
 from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.substring import remove_repeated_passages
-from tillage.llm.tables import packed, text_mod, written
+from tillage.llm.tables import dropped, packed, recorded, text_mod, written
 
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -69,13 +70,31 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mix(docs.select("doc_id", "source", text, row)).where("copies > 0").select(*back, "size", "source_size", "target", "copies", "taken")
 
 
-STAGES = [
+_behind: dict[str, tuple[str, list[str]]] = {}
+
+
+def _freeing(name: str, stage):
+    """The stage; the tables that another stage wrote before it are deleted first (by application: the last stage and its tables)."""
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        last, paths = _behind.pop(app, (name, []))
+        if last != name:
+            dropped(spark, paths)
+            paths = []
+        with recorded() as mine:
+            out = stage(spark, docs, sf_dir)
+        _behind[app] = (name, paths + mine)
+        return out
+    return call
+
+
+STAGES = [(name, _freeing(name, stage)) for name, stage in (
     ("language ID", language_stage),
     ("n-gram Jaccard join", near_duplicate_stage),
     ("substring dedup", substring_stage),
     ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mixing_stage),
-]
+)]
 
 # Learned models, automata and hashed ranks: SQL cannot express the stages.
 ORACLE_SQL = None
