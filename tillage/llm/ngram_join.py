@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.graph import components
-from tillage.llm.tables import parts_for, released, written
+from tillage.llm.tables import dropped, parts_for, recorded, released, written
 from tillage.llm.words import mix, rolling, slices, split_words, text_of_word, word_hashes
 
 SKETCH_BITS = 19
@@ -303,52 +303,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.col(f"`{text_col}`").cast("string").alias("text")
     texts = docs.select(row_key.alias("row_key"), text)
 
-    sketch = spark.sparkContext.broadcast(frequency_sketch(texts.select("text"), k))
-    light = written(texts.mapInArrow(released(_light_rows(k, percent, sketch)), _LIGHT))
-    nodes = written(light.select("node", "n", "prefix", "scan", "bitmap").dropDuplicates(["node"]))
-    x = boundary(nodes, percent)
-    keys = _keys(nodes, percent, x)
-    shared = (keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
-              .where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    bitmaps = nodes.select("node", "n", "bitmap")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    members = (keys.join(shared, "key").select("key", "node", own.alias("own"), "blocks").distinct()  # a set may hold a key twice
-               .select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-               .select("key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    members = written(members)
-    rows = members.count()
-    parts = parts_for(spark, rows, 200_000)
-
-    def links(found: DataFrame, all_apart: bool) -> DataFrame:
-        dealt = found.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return dealt.mapInArrow(released(_link_rows(percent, all_apart)), "key long, i int, j int, a long, b long")
-
-    forest = written(links(members.join(bitmaps, "node"), False))
-    involved = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = (light.groupBy("node").agg(F.min("row_key").alias("row_key")).join(involved, "node", "left_semi"))
-    sets = written(texts.join(chosen, "row_key").select("node", "text").mapInArrow(released(_set_rows(k)), "node long, items binary")
-                   .dropDuplicates(["node"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        with_left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left")), "a")
-        with_both = with_left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
-        return with_both.select("a", "b", "left", "right").mapInArrow(released(_verify_rows(percent)), "a long, b long, ok boolean")
-
-    known = written(verified(forest.select("a", "b").distinct()))
-    true_links = known.where("ok").select("a", "b")
-    broken = forest.join(known.where("not ok"), ["a", "b"], "left_semi").select("key", "i", "j").distinct()
-    if known.where("not ok").limit(1).count():
-        label = components(true_links)
-        again = (members.join(broken, ["key", "i", "j"], "left_semi").join(bitmaps, "node")
-                 .join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-        more = written(links(again, True).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-        true_links = true_links.union(verified(more).where("ok").select("a", "b"))
-    reach = components(true_links)
-
-    classes = light.select("row_key", "node", "n").distinct().join(reach, "node", "left").select(
-        "row_key", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
-    classes = written(classes)
+    with recorded() as tables:
+        sketch = spark.sparkContext.broadcast(frequency_sketch(texts.select("text"), k))
+        light = written(texts.mapInArrow(released(_light_rows(k, percent, sketch)), _LIGHT))
+        nodes = written(light.select("node", "n", "prefix", "scan", "bitmap").dropDuplicates(["node"]), free=True)
+        x = boundary(nodes, percent)
+        keys = _keys(nodes, percent, x)
+        shared = (keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
+                  .where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+        bitmaps = nodes.select("node", "n", "bitmap")
+        own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+        members = (keys.join(shared, "key").select("key", "node", own.alias("own"), "blocks").distinct()  # a set may hold a key twice
+                   .select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+                   .select("key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+        members = written(members, free=True)
+        rows = members.count()
+        parts = parts_for(spark, rows, 200_000)
+
+        def links(found: DataFrame, all_apart: bool) -> DataFrame:
+            dealt = found.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+            return dealt.mapInArrow(released(_link_rows(percent, all_apart)), "key long, i int, j int, a long, b long")
+
+        forest = written(links(members.join(bitmaps, "node"), False), free=True)
+        involved = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        chosen = (light.groupBy("node").agg(F.min("row_key").alias("row_key")).join(involved, "node", "left_semi"))
+        sets = written(texts.join(chosen, "row_key").select("node", "text").mapInArrow(released(_set_rows(k)), "node long, items binary")
+                       .dropDuplicates(["node"]), free=True)
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            with_left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left")), "a")
+            with_both = with_left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
+            return with_both.select("a", "b", "left", "right").mapInArrow(released(_verify_rows(percent)), "a long, b long, ok boolean")
+
+        known = written(verified(forest.select("a", "b").distinct()), free=True)
+        true_links = known.where("ok").select("a", "b")
+        broken = forest.join(known.where("not ok"), ["a", "b"], "left_semi").select("key", "i", "j").distinct()
+        if known.where("not ok").limit(1).count():
+            label = components(true_links)
+            again = (members.join(broken, ["key", "i", "j"], "left_semi").join(bitmaps, "node")
+                     .join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+            more = written(links(again, True).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+            true_links = true_links.union(verified(more).where("ok").select("a", "b"))
+        reach = components(true_links)
+
+        classes = light.select("row_key", "node", "n").distinct().join(reach, "node", "left").select(
+            "row_key", F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
+        classes = written(classes)
+    dropped(spark, tables[:-1])  # the result is read from the last one, the classes
     keyed = docs.select(*cols, row_key.alias("__row_key"))
     ids = (docs.select(row_key.alias("row_key"), F.col(f"`{id_col}`").alias("id")).distinct().join(classes, "row_key")
            .where("component is not null").groupBy("component").agg(F.min("id").alias("least")))

@@ -29,13 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tillage-llm-"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def written(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; ``free``: then give back the shuffles that it took."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tillage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     for paths in _recording:
         paths.append(path)
+    if free:
+        dropped(spark, [])
     return spark.read.schema(df.schema).parquet(path)
 
 
