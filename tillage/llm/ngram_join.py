@@ -26,6 +26,7 @@ order, and any order gives the same result. Shingles and sets are compared by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -306,17 +307,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with recorded() as tables:
         sketch = spark.sparkContext.broadcast(frequency_sketch(texts.select("text"), k))
         light = written(texts.mapInArrow(released(_light_rows(k, percent, sketch)), _LIGHT))
-        nodes = written(light.select("node", "n", "prefix", "scan", "bitmap").dropDuplicates(["node"]), free=True)
+        fat = tables[-1]
+        nodes = written(light.select("node", "n", "prefix", "scan", "bitmap").dropDuplicates(["node"]))
+        light = written(light.select("row_key", "node", "n"))
+        dropped(spark, [fat])
         x = boundary(nodes, percent)
         keys = _keys(nodes, percent, x)
         shared = (keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
                   .where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        bitmaps = nodes.select("node", "n", "bitmap")
+        fat = tables[-2]
+        bitmaps = written(nodes.select("node", "n", "bitmap"))
         own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
         members = (keys.join(shared, "key").select("key", "node", own.alias("own"), "blocks").distinct()  # a set may hold a key twice
                    .select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
                    .select("key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-        members = written(members, free=True)
+        members = written(members)
+        dropped(spark, [fat])  # the prefixes are read no more
         rows = members.count()
         parts = parts_for(spark, rows, 200_000)
 
@@ -335,7 +341,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             with_both = with_left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
             return with_both.select("a", "b", "left", "right").mapInArrow(released(_verify_rows(percent)), "a long, b long, ok boolean")
 
-        known = written(verified(forest.select("a", "b").distinct()), free=True)
+        # A pair ships a set. In batches of about as many pairs as there are sets, no more is on disk than a few times the sets.
+        pairs = written(forest.select("a", "b").distinct())
+        batches = max(1, -(-pairs.count() // max(1, sets.count())))
+        at = F.pmod(F.xxhash64("a", F.lit(3)), F.lit(batches))
+        known = reduce(DataFrame.unionByName, [written(verified(pairs.where(at == i)), free=True) for i in range(batches)])
         true_links = known.where("ok").select("a", "b")
         broken = forest.join(known.where("not ok"), ["a", "b"], "left_semi").select("key", "i", "j").distinct()
         if known.where("not ok").limit(1).count():
