@@ -131,8 +131,9 @@ def _light_rows(k: int, percent: int, sketch):
             node = np.zeros(rows, np.uint64)
             np.add.at(node, doc, mix(value))
             node = mix(node + n.astype(np.uint64))
-            odd = np.bincount(doc * BITMAP + (value % np.uint64(BITMAP)).astype(np.int64), minlength=rows * BITMAP) & 1
-            bitmap = np.packbits(odd.astype(np.uint8).reshape(rows, BITMAP), axis=1)
+            bit = (value % np.uint64(BITMAP)).astype(np.int64)
+            bitmap = np.zeros((rows, BITMAP // 8), np.uint8)
+            np.bitwise_xor.at(bitmap.reshape(-1), doc * (BITMAP // 8) + (bit >> 3), (128 >> (bit & 7)).astype(np.uint8))
             yield pa.record_batch([
                 b.column("row_key"), pa.array(node.view(np.int64)), pa.array(n),
                 pa.ListArray.from_arrays(pa.array(po.astype(np.int32)), pa.array(ranked[at].view(np.int64))),
