@@ -337,16 +337,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = written(texts.join(chosen, "row_key").select("node", "text").mapInArrow(released(_set_rows(k)), "node long, items binary")
                        .dropDuplicates(["node"]), free=True)
 
-        def verified(pairs: DataFrame) -> DataFrame:
-            with_left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left")), "a")
-            with_both = with_left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
+        def verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+            with_left = pairs.join(left.select(F.col("node").alias("a"), F.col("items").alias("left")), "a")
+            with_both = with_left.join(right.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
             return with_both.select("a", "b", "left", "right").mapInArrow(released(_verify_rows(percent)), "a long, b long, ok boolean")
 
-        # A pair ships a set. In batches of about as many pairs as there are sets, no more is on disk than a few times the sets.
+        # A pair ships a set, so pairs are verified by pieces (i, j) of both sides: on disk are two pieces of the sets
+        # and no more pairs than half of the sets.
         pairs = written(forest.select("a", "b").distinct())
-        batches = max(1, -(-pairs.count() // max(1, sets.count())))
-        at = F.pmod(F.xxhash64("a", F.lit(3)), F.lit(batches))
-        known = reduce(DataFrame.unionByName, [written(verified(pairs.where(at == i)), free=True) for i in range(batches)])
+        side = max(1, round((2 * pairs.count() / max(1, sets.count())) ** 0.5 + 0.5))
+        piece = {c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(side)) for c in ("a", "b", "node")}
+        known = reduce(DataFrame.unionByName, [written(verified(
+            pairs.where((piece["a"] == i) & (piece["b"] == j)), sets.where(piece["node"] == i), sets.where(piece["node"] == j)), free=True)
+            for i in range(side) for j in range(side)])
         true_links = known.where("ok").select("a", "b")
         broken = forest.join(known.where("not ok"), ["a", "b"], "left_semi").select("key", "i", "j").distinct()
         if known.where("not ok").limit(1).count():
@@ -354,7 +357,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             again = (members.join(broken, ["key", "i", "j"], "left_semi").join(bitmaps, "node")
                      .join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
             more = written(links(again, True).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-            true_links = true_links.union(verified(more).where("ok").select("a", "b"))
+            true_links = true_links.union(verified(more, sets, sets).where("ok").select("a", "b"))
         reach = components(true_links)
 
         classes = light.select("row_key", "node", "n").distinct().join(reach, "node", "left").select(
