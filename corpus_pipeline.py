@@ -2,8 +2,8 @@
 
 Every stage takes the documents its predecessor kept and is written as
 Parquet before the next one reads it. So the intermediate tables of a stage are
-deleted when another stage is called. The stages set the session's Arrow
-batches to ``ROWS_A_BATCH`` rows.
+deleted when another stage is called. The stages set the session's
+``SETTINGS``.
 """
 
 from __future__ import annotations
@@ -71,8 +71,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mix(docs.select("doc_id", "source", text, row)).where("copies > 0").select(*back, "size", "source_size", "target", "copies", "taken")
 
 
-# Documents are kilobytes long: a task's Arrow batch holds a few MB of them, not the usual 10,000 rows.
-ROWS_A_BATCH = 1000
+SETTINGS = {
+    # Documents are kilobytes long: a task's Arrow batch holds a few MB of them, not the usual 10,000 rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    # Every shuffle serves one query, so its files go with it.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": True,
+}
 
 _behind: dict[str, tuple[str, list[str]]] = {}
 
@@ -80,7 +84,8 @@ _behind: dict[str, tuple[str, list[str]]] = {}
 def _freeing(name: str, stage):
     """The stage; the tables that another stage wrote before it are deleted first (by application: the last stage and its tables)."""
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
         app = spark.sparkContext.applicationId
         last, paths = _behind.pop(app, (name, []))
         if last != name:
