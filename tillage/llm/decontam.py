@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.arrays import summed
-from tillage.llm.tables import packed, released, written
+from tillage.llm.tables import packed, released, shared_value, written
 from tillage.llm.words import rolling, slices, split_words, text_of_word, word_hashes
 
 BUCKETS = 1 << 18
@@ -156,6 +156,7 @@ def _latent(items: DataFrame, idf: np.ndarray, columns: np.ndarray, rank: int, s
             return out.reshape(-1)
 
         q = summed(items, task, len(columns) * q.shape[1]).reshape(len(columns), -1)
+        shared.destroy()
     u, s, _ = np.linalg.svd(q, full_matrices=False)
     return u[:, :min(rank, int((s > 1e-9 * max(s[0], 1e-30)).sum()))].astype(np.float32)
 
@@ -345,6 +346,6 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 short.setdefault(len(words), {}).setdefault(rolling(np.array(words, np.uint64), len(words))[0], []).append(i)
         short = {n: (np.array(sorted(x), np.uint64), [x[key] for key in sorted(x)]) for n, x in short.items()}
         if spaces or short:
-            shared = spark.sparkContext.broadcast((idf, asked, spaces, short, held))
+            shared = shared_value(spark, (idf, asked, spaces, short, held))
             out = out.unionByName(texts.mapInArrow(released(_match_rows(shared, cosine, weight_share, certain, likely)), schema))
     return out.select(*back, *names)

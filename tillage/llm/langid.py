@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.arrays import summed
-from tillage.llm.tables import packed, released
+from tillage.llm.tables import packed, released, shared_value
 from tillage.llm.words import mix, slices, text_array
 
 BUCKETS = 1 << 16
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     replaced. Repeated rows are predicted alike; an empty table gives none.
     """
     text, row, back = packed(docs, text_col, ("lang_pred", "score"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias, model.temperature))
+    shared = shared_value(docs.sparkSession, (model.languages, model.weights, model.bias, model.temperature))
     texts = docs.select(text, row)
     schema = T.StructType([*texts.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return texts.mapInArrow(released(_predict_rows(shared)), schema).select(*back, "lang_pred", "score")

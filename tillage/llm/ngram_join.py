@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillage.llm.graph import components
-from tillage.llm.tables import dropped, parts_for, recorded, released, written
+from tillage.llm.tables import dropped, parts_for, recorded, released, shared_value, written
 from tillage.llm.words import mix, rolling, slices, split_words, text_of_word, word_hashes
 
 SKETCH_BITS = 19
@@ -306,7 +306,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(row_key.alias("row_key"), text)
 
     with recorded() as tables:
-        sketch = spark.sparkContext.broadcast(frequency_sketch(texts.select("text"), k))
+        sketch = shared_value(spark, frequency_sketch(texts.select("text"), k))
         light = written(texts.mapInArrow(released(_light_rows(k, percent, sketch)), _LIGHT))
         fat = tables[-1]
         nodes = written(light.select("node", "n", "prefix", "scan", "bitmap").dropDuplicates(["node"]))

@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _local: dict[str, str] = {}
-_recording: list[list[str]] = []
+_recording: list[list] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,9 +43,9 @@ def written(df: DataFrame, free: bool = False) -> DataFrame:
 
 
 @contextmanager
-def recorded() -> Iterator[list[str]]:
-    """The paths of the tables written meanwhile, for :func:`dropped` once nothing reads them any more."""
-    paths: list[str] = []
+def recorded() -> Iterator[list]:
+    """The paths of the tables written and the broadcasts made meanwhile, for :func:`dropped` once nothing reads them any more."""
+    paths: list = []
     _recording.append(paths)
     try:
         yield paths
@@ -52,9 +53,22 @@ def recorded() -> Iterator[list[str]]:
         _recording[:] = [p for p in _recording if p is not paths]
 
 
-def dropped(spark: SparkSession, paths: list[str]) -> None:
-    """Delete written tables, and have Spark give back the shuffles that no DataFrame names any more."""
-    for path in paths:
+def shared_value(spark: SparkSession, value) -> Broadcast:
+    """A broadcast that :func:`recorded` keeps: its files stay on all machines until it is destroyed."""
+    made = spark.sparkContext.broadcast(value)
+    for paths in _recording:
+        paths.append(made)
+    return made
+
+
+def dropped(spark: SparkSession, paths: list) -> None:
+    """Delete written tables and broadcasts, and have Spark give back the shuffles that no DataFrame names any more."""
+    for path in list(paths):
+        for others in _recording:  # an outer record must not drop it again
+            others[:] = [x for x in others if x is not path]
+        if isinstance(path, Broadcast):
+            path.destroy()
+            continue
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()

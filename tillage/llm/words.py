@@ -19,7 +19,15 @@ BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 SLICE_BYTES = 4 << 20
 KEPT_POWERS = 1 << 20
 
-_powers: dict[int, np.ndarray] = {}
+
+class _Kept(dict):
+    """A cache that stays where it is: a task that is sent to the executors takes an empty one along."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers: dict[int, np.ndarray] = _Kept()
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
