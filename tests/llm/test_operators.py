@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillage.llm import chat, langid, lm, quality, topk
 from tillage.llm.decontam import _lcs, benchmark_matches
 from tillage.llm.graph import components
-from tillage.llm.html import common_lines, extract_main_text, text_lines
+from tillage.llm.html import common_lines, extract_main_text, page_lines, text_lines
 from tillage.llm.mixing import fit_counts, mix
 from tillage.llm.ngram_join import jaccard_components
 from tillage.llm.substring import remove_repeated_passages
@@ -195,24 +195,51 @@ def test_html_lines_and_differencing(spark):
     assert got == {**{i: f"own {i}" for i in range(5)}, 10: "", 11: "alone", 12: "twin", 13: "twin"}
 
 
-def test_html_differencing_inside_marked_articles(spark):
+def test_html_marked_articles_stay_whole(spark):
     def page(*lines):
         return "<body><nav>n</nav><article>" + "".join(f"<p>{x}" for x in lines) + "</article><footer>f</footer></body>"
 
     own = {i: [f"{x} of {i}" for x in "abc"] for i in range(1, 6)}
     share, more = "Share this", "Read more"
-    rows = [(i, f"http://h/{i}", page(share, *x, more)) for i, x in own.items()]
-    rows += [(20, "http://copy/1", page(share, *own[1], more)), (21, "http://copy/2", page(share, *own[1], more)),
-             (22, "http://copy/2", page(share, *own[1], more)), (22, "http://copy/2", page(share, *own[1], more)),
-             (23, "http://copy/3", page(share, *own[2], more)),  # the copies look past each other to this one
-             (30, "http://near/1", page(share, *own[1])), (31, "http://near/2", page(share, *own[1][:2], "new")), (40, "http://none/1", "<nav>n</nav>")]
-    want = [(i, "\n".join(x)) for i, x in own.items()] + [(i, "\n".join(own[1])) for i in (20, 21, 22, 22)] + [(23, "\n".join(own[2]))]
-    want += [(30, "\n".join([share, *own[1]])), (31, "\n".join([share, *own[1][:2], "new"])), (40, "")]
+    texts = [(i, f"http://h/{i}", [share, *x, more]) for i, x in own.items()]
+    texts += [(20, "http://copy/1", [share, *own[1], more]), (21, "http://copy/2", [share, *own[1], more]), (22, "http://copy/2", own[1]),
+              (22, "http://copy/2", own[1]), (30, "http://near/1", [share, *own[1]]), (31, "http://near/2", [share, *own[1][:2], "new"])]
+    rows = [(i, url, page(*x)) for i, url, x in texts] + [(40, "http://none/1", "<nav>n</nav>"), (41, "http://long/1", page(*["line"] * 30_000))]
+    want = [(i, "\n".join(x)) for i, _, x in texts] + [(40, ""), (41, "\n".join(["line"] * 30_000))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     for parts in (1, 7):
         assert sorted((r.page_id, r.text) for r in extract_main_text(df.repartition(parts)).collect()) == sorted(want)
 
 
+def test_html_differencing_outside_articles(spark):
+    """Brute force over the sorted pages: cut lines take part in the alignment, shared open lines are deleted."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        lines = [f"<nav>menu {i % 3}</nav>"] + [f"<p>common {x}" for x in sorted(rng.choice(4, 2, replace=False))] + [f"<p>own {i} {x}" for x in "ab"]
+        lines += [f"<p class=ad>buy {rng.integers(3)}", "<p>plate"]
+        rows.append((i, f"http://h/{i // 2:03}", f"<body>{''.join(lines if i % 10 != 4 else [*lines, '<article><p>plate<p>art</article>'])}</body>"))
+    rows += [(100 + i, "http://h/030", rows[-1][2]) for i in range(5)]
+    assert page_lines(rows[0][2])[0] == ("menu 0", 0)
+    lines = {i: page_lines(h) for i, _, h in rows}
+    can = {i: [(t, r) for t, r in x if r == max(1, *(r for _, r in x))] for i, x in lines.items()}
+    runs = [r for n, r in enumerate(rows) if not n or can[r[0]] != can[rows[n - 1][0]]]
+    want = {}
+    for n, (i, _, _) in enumerate(runs):
+        texts, gone = np.array([t for t, _ in lines[i]]), set()
+        for m in (n - 1, n + 1):
+            if 0 <= m < len(runs):
+                gone.update(common_lines(texts, np.array([t for t, _ in lines[runs[m][0]]])))
+        top = max(1, *(r for _, r in lines[i]))
+        want[i] = "\n".join(t for at, (t, r) in enumerate(lines[i]) if r == top and (r == 2 or at not in gone))
+    want |= {100 + i: want[59] for i in range(5)}
+    assert any("common" in t for t in want.values()) and want[4] == "plate\nart"
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    assert {r.page_id: r.text for r in extract_main_text(df.repartition(5)).collect()} == want
+    empty = extract_main_text(df.limit(0))
+    assert empty.columns == ["page_id", "url", "text", "n_chars"] and empty.count() == 0
+
+
 def test_html_runs_over_many_partitions(spark):
     rows = [(i, f"http://h/{i:03}", f"<p>Boiler<p>{'same' if 20 <= i < 80 else f'own {i}'}<p>plate") for i in range(100)]
     before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")

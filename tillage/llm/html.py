@@ -1,22 +1,23 @@
 """HTML extraction: main-content elements and nearest-URL page differencing.
 
-A page is cut into text lines, one per block. Elements that hold no article
-(menus, page headers and footers, sidebars, form controls, notices, adverts,
-reader comments, scripts, styles) are left out by tag, role and class (whole
-names). An article marked within such an element, or so named itself, is left
-out only where the page marks another one. Where a page
-marks its article (``article``, ``main``, role ``main``, itemprop
-``articleBody``), only the lines inside can be its text. Boilerplate among the
-lines that can be text is told by differencing: pages are ordered by URL path
-within their host, every page is aligned with the page before and after it by
-the longest common subsequence of all lines, and shared lines are deleted.
-Pages in a row with exactly the same lines are copies that tell nothing, so
-the nearest different pages are taken. Lines of a marked article stay where
-the neighbour shares at least half of the article, as it is a near copy.
+A page is cut into text lines, one per block. Every line has a role: inside the
+marked article (``article``, ``main``, role ``main``, itemprop
+``articleBody``), cut (in elements that hold no article: menus, page headers and
+footers, sidebars, form controls, notices, adverts, reader comments, told by
+tag, role and class as whole names) or open. An article marked within such an
+element, or so named itself, is cut only where the page marks another one.
+
+Boilerplate is told by differencing: pages are ordered by URL path within their
+host, every page is aligned with the page before and after it by the longest
+common subsequence of all their lines, cut ones too, and the lines they share
+outside a marked article are deleted. The text is what is left of the lines
+that can be text: those of the marked article, whole, or, where a page marks
+none, its open lines. Pages in a row whose lines that can be text are the same
+are copies that tell nothing, so the nearest different pages are taken.
 
 The order is a distributed sort by (host, path, page), so a host with a third
-of all pages is spread over many tasks; pages in a row with the same lines are
-one run, and neighbours are found by the runs' rank. Only line fingerprints
+of all pages is spread over many tasks; pages in a row with the same lines that can be text
+are one run, and neighbours are found by the runs' rank. Only line fingerprints
 take part in the alignment. Texts are cut from the pages again at the end and
 meet the positions of their shared lines by a fingerprint of the row.
 """
@@ -58,6 +59,8 @@ NAME_STARTS = frozenset(
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _PART = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
+# Roles of lines.
+CUT, OPEN, ARTICLE = 0, 1, 2
 
 
 def _boilerplate(name: str) -> bool:
@@ -83,23 +86,25 @@ def _role(tag: str, rest: str) -> str:
     return "skip" if skip else ""
 
 
-def text_lines(page: str) -> list[tuple[str, bool]]:
-    """The page's text blocks in order: (text, inside a marked article)."""
-    lines: list[tuple[str, bool, bool]] = []
+def page_lines(page: str) -> list[tuple[str, int]]:
+    """All text blocks of the page in order, with their roles; a block's text in cut inline elements is a line of its own."""
+    lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
+    cut: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements that matter: (tag, role)
     roles: list[str] = []  # those of them that have one
 
-    def taking() -> bool:
-        return not roles or roles[-1] != "skip"
+    def taken() -> list[str]:
+        return cut if roles and roles[-1] == "skip" else parts
 
     def flush() -> None:
-        if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            if text:
-                inside = bool(roles) and ("article" in roles or "doubtful" in roles)
-                lines.append((text, inside, inside and ("skip" in roles or "doubtful" in roles)))
-            parts.clear()
+        for kept in (parts, cut):
+            if kept:
+                text = _SPACE.sub(" ", entities.unescape("".join(kept))).strip()
+                if text:
+                    inside = kept is parts and ("article" in roles or "doubtful" in roles)
+                    lines.append((text, CUT if kept is cut else ARTICLE if inside else OPEN, inside and ("skip" in roles or "doubtful" in roles)))
+                kept.clear()
 
     def close(at: int) -> None:
         for _, role in stack[at:]:
@@ -109,8 +114,8 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
 
     end = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > end and taking():
-            parts.append(page[end:m.start()])
+        if m.start() > end:
+            taken().append(page[end:m.start()])
         end = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
@@ -118,8 +123,7 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
         shut, rest = m[2] or m[5], m[4] or m[7] or ""
         if tag in BLOCK or tag in ("br", "option", "button"):
             if tag == "br":
-                if taking():
-                    parts.append(" ")
+                taken().append(" ")
                 continue
             flush()
         if shut:
@@ -136,11 +140,15 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
                 stack.append((tag, role))
                 if role:
                     roles.append(role)
-    if taking():
-        parts.append(page[end:])
+    taken().append(page[end:])
     flush()
-    sure = any(inside and not doubtful for _, inside, doubtful in lines)
-    return [(text, inside) for text, inside, doubtful in lines if not (sure and doubtful)]
+    sure = any(role == ARTICLE and not doubtful for _, role, doubtful in lines)
+    return [(text, CUT if sure and doubtful else role) for text, role, doubtful in lines]
+
+
+def text_lines(page: str) -> list[tuple[str, bool]]:
+    """The lines that aren't cut: (text, inside a marked article)."""
+    return [(text, role == ARTICLE) for text, role in page_lines(page) if role != CUT]
 
 
 def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,13 +195,13 @@ def common_lines(a: np.ndarray, b: np.ndarray, cells: int = 1 << 22) -> list[int
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line fingerprints of each page and whether they are inside its article."""
+    """Line fingerprints and roles of each page."""
     for b in slices(batches, "html"):
-        lines = [text_lines(page or "") for page in b.column("html").to_pylist()]
+        lines = [page_lines(page or "") for page in b.column("html").to_pylist()]
         texts = pa.array([[t for t, _ in x] for x in lines], pa.list_(pa.string()))
         marks = pa.ListArray.from_arrays(texts.offsets, pa.array(word_hashes(texts.flatten()).view(np.int64)))
-        inside = pa.array([[main for _, main in x] for x in lines], pa.list_(pa.bool_()))
-        yield pa.record_batch([*(b.column(c) for c in ("host", "path", "id", "key")), marks, inside], names=["host", "path", "id", "key", "marks", "inside"])
+        roles = pa.array([[role for _, role in x] for x in lines], pa.list_(pa.int8()))
+        yield pa.record_batch([*(b.column(c) for c in ("host", "path", "id", "key")), marks, roles], names=["host", "path", "id", "key", "marks", "roles"])
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,29 +226,26 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs.append(n)
             last = kind
         first = pa.array(first, pa.bool_())
-        kept = [pa.array([x if f else None for x, f in zip(b.column(c).to_pylist(), first.to_pylist())], b.column(c).type) for c in ("marks", "inside")]
+        kept = [pa.array([x if f else None for x, f in zip(b.column(c).to_pylist(), first.to_pylist())], b.column(c).type) for c in ("marks", "roles")]
         yield pa.record_batch([b.column("host"), b.column("kind"), b.column("key"), b.column("part"), pa.array(runs, pa.int64()), first, *kept],
-                              names=["host", "kind", "key", "part", "run", "first", "marks", "inside"])
+                              names=["host", "kind", "key", "part", "run", "first", "marks", "roles"])
 
 
-def shared_lines(own: np.ndarray, inside: np.ndarray, others: list[np.ndarray]) -> list[int]:
-    """Positions, among the lines that can be text, of those shared with a neighbour."""
-    gone: set[int] = set()
-    marked = bool(inside.any())
-    can = np.flatnonzero(inside) if marked else np.arange(len(own))
+def shared_lines(own: np.ndarray, roles: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Positions, among the lines that can be text, of those that a neighbour shares outside a marked article."""
+    common: set[int] = set()
     for other in others:
         if len(own) and len(other) and not np.array_equal(own, other):
-            common = set(common_lines(own, other)).intersection(can.tolist())
-            if not marked or 2 * len(common) < len(can):  # else a near copy of the article
-                gone.update(common)
-    return np.searchsorted(can, sorted(gone)).tolist()
+            common.update(common_lines(own, other))
+    can = np.flatnonzero(roles == max(OPEN, roles.max(initial=OPEN)))
+    return [i for i, at in enumerate(can.tolist()) if at in common and roles[at] != ARTICLE]
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for own, inside, *others in zip(*(b.column(c).to_pylist() for c in ("marks", "inside", "before", "after"))):
-            out.append(shared_lines(np.array(own, np.int64), np.array(inside, bool), [np.array(o or [], np.int64) for o in others]))
+        for own, roles, *others in zip(*(b.column(c).to_pylist() for c in ("marks", "roles", "before", "after"))):
+            out.append(shared_lines(np.array(own, np.int64), np.array(roles, np.int8), [np.array(o or [], np.int64) for o in others]))
         yield pa.record_batch([b.column("rank"), pa.array(out, pa.list_(pa.int32()))], names=["rank", "shared"])
 
 
@@ -249,22 +254,24 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null and empty html give the empty text. Null URLs are one host without a
     path. Pages with the same URL are ordered by id, repeated rows stay rows.
-    Input columns of these names are replaced. An empty table gives none.
+    A page of any length is parsed whole in one task. Input columns of these names are replaced. An empty table gives none.
     """
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars", html_col)]
     html, url = F.col(f"`{html_col}`").cast("string"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
     # Rows of the same key are the same page: they stand next to each other and share the same lines with their neighbours.
     packed = pages.select(html.alias("html"), url.alias("url"), F.col(f"`{id_col}`").alias("id"), F.struct(*keep).alias("row")).withColumn(
-        "key", F.xxhash64("html", "url", "id"))
+        "key", F.concat_ws("/", F.xxhash64("html", "url", "id"), F.xxhash64(F.lit(1), "html", "url", "id")))
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     placed = packed.select("html", host.alias("host"), path.alias("path"), "id", "key")
     order = ["host", "path", "id", "key"]
-    schema = T.StructType([*placed.schema.fields[1:]]).add("marks", T.ArrayType(T.LongType())).add("inside", T.ArrayType(T.BooleanType()))
-    told = placed.mapInArrow(_mark_rows, schema).where(F.size("marks") > 0)
+    schema = T.StructType([*placed.schema.fields[1:]]).add("marks", T.ArrayType(T.LongType())).add("roles", T.ArrayType(T.ByteType()))
+    # Written, so that the sort's sample doesn't parse the pages again.
+    told = written(placed.mapInArrow(_mark_rows, schema).where(F.size("marks") > 0))
+    can = F.expr("filter(marks, (x, i) -> roles[i] = greatest(array_max(roles), 1))")
     sorted_ = (told.repartitionByRange(*order).sortWithinPartitions(*order)
-               .select("host", "key", "marks", "inside", F.xxhash64("marks", "inside").alias("kind"), F.spark_partition_id().alias("part")))
-    runs = "host string, kind long, key long, part int, run long, first boolean, marks array<long>, inside array<boolean>"
+               .select("host", "key", "marks", "roles", F.xxhash64(can, F.array_max("roles")).alias("kind"), F.spark_partition_id().alias("part")))
+    runs = "host string, kind long, key string, part int, run long, first boolean, marks array<long>, roles array<tinyint>"
     ranked = written(sorted_.mapInArrow(_run_rows, runs))
     # Ranks run on over the partitions (one row each): a first run that goes on from the partition before has its rank.
     edge = F.struct("host", "kind")
@@ -274,13 +281,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     ahead = ends.select("part", "goes_on", (F.sum(F.col("last") + 1 - F.col("goes_on")).over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("last") - 1).alias("ahead"))
     rank = ranked.join(ahead, "part").withColumn("rank", F.col("run") + F.col("ahead"))
-    own = rank.where(F.col("first") & ~((F.col("goes_on") == 1) & (F.col("run") == 0))).select("host", "rank", "marks", "inside")
+    own = rank.where(F.col("first") & ~((F.col("goes_on") == 1) & (F.col("run") == 0))).select("host", "rank", "marks", "roles")
 
     def neighbour(step: int, name: str) -> DataFrame:
         return own.select("host", (F.col("rank") + step).alias("rank"), F.col("marks").alias(name))
 
     pairs = own.join(neighbour(1, "before"), ["host", "rank"], "left").join(neighbour(-1, "after"), ["host", "rank"], "left")
-    shared = pairs.select("rank", "marks", "inside", "before", "after").mapInArrow(_shared_rows, "rank long, shared array<int>")
+    shared = pairs.select("rank", "marks", "roles", "before", "after").mapInArrow(_shared_rows, "rank long, shared array<int>")
     # Written, so that its size is known: where it is small, the texts aren't shuffled.
     shared = written(shared.where(F.size("shared") > 0))
     by_key = written(rank.select("key", "rank").join(shared, "rank").select("key", "shared").dropDuplicates(["key"]))
