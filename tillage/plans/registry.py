@@ -18,6 +18,7 @@ MODULES = [
     "tillage.plans.jobs",
     "tillage.plans.content",
     "tillage.plans.blocks",
+    "tillage.plans.rollups",
 ]
 
 
