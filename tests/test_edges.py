@@ -278,9 +278,9 @@ def test_conform_to_declared_schema(spark):
     from tillage.sources.schemas import DDL, conform
     df = spark.createDataFrame([(1, "9.5", "x")], "id int, selling_price string, junk string")
     out = conform(df, "products")
-    assert out.columns == [f.split()[0] for f in DDL["products"].split(", ")]
+    assert out.columns == [f.split()[0] for f in DDL["products"].split(", ")] + ["junk"]
     r = out.collect()[0]
-    assert (r.id, str(r.selling_price), r.name) == (1, "9.50", None)
+    assert (r.id, str(r.selling_price), r.name, r.junk) == (1, "9.50", None, "x")
 
 
 def test_index_search_matches_scan_search(spark):

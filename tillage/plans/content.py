@@ -13,6 +13,7 @@ from tillage.plans.catalog import sql_lexemes
 from tillage.plans.common import Registered
 from tillage.plans.stem_sql import stem_sql
 from tillage.sources.json_io import decode_json
+from tillage.sources.schemas import misfit_report, reconciled
 
 SEARCH_QUERY = "Ertion rely"
 CONTAINS_QUERY = "tion_th%ing"
@@ -66,6 +67,30 @@ def conversation_threads(conversations: DataFrame) -> DataFrame:
                        sort_by=["turn"])
 
 
+def line_versions(lines: DataFrame) -> list[DataFrame]:
+    """Order lines as three versions of an export hold them (stand-in, by return flag): text quantities of which some carry a
+    unit, then the declared types, then wider ones and a column that the schema doesn't name."""
+    first = lines.where(F.col("l_returnflag") == "A").select(
+        F.col("l_orderkey").cast("int").alias("ORDER_ID"), F.col("l_partkey").alias("product_id"), F.col("l_linenumber").alias("line_no"),
+        F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linenumber") > 5, " pcs").otherwise("")).alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(10,1)").cast("string").alias("total"))
+    second = lines.where(F.col("l_returnflag") == "N").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").cast("decimal(12,2)").alias("total"))
+    rest = F.coalesce(~F.col("l_returnflag").isin("A", "N"), F.lit(True))
+    third = lines.where(rest).select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").cast("string").alias("product_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_quantity").cast("bigint").alias("quantity"), F.col("l_extendedprice").cast("decimal(16,4)").alias("total"),
+        F.col("l_linestatus").alias("line_status"))
+    return [first, second, third]
+
+
+def _reconciled_lines(c) -> DataFrame:
+    df = reconciled(line_versions(c.base("lineitem")), "order_items", "misfits")
+    return df.select("order_id", "product_id", "line_no", "quantity", "total", "product_name", "line_status",
+                     F.array_join("misfits", ",").alias("misfits"))
+
+
 def _threads(c) -> DataFrame:
     df = conversation_threads(c.base("conversations"))
     roles = F.array_join(F.transform("turns", lambda t: F.concat(t["turn"].cast("string"), F.lit(":"), t["role"])), ",")
@@ -111,6 +136,21 @@ SELECT doc_id FROM t JOIN v USING (word) WHERE stem IN ('ertion', 'reli') GROUP
         "f3_trigram_search",
         lambda c: stored_trigrams(c.base("documents")).search(c.spark, CONTAINS_QUERY).select(F.col("id").alias("doc_id"), "source"),
         f"""SELECT doc_id, source FROM documents WHERE text ILIKE '%{CONTAINS_QUERY}%' OR source ILIKE '%{CONTAINS_QUERY}%'"""),
+    Registered(
+        "s2_reconciled_lines",
+        _reconciled_lines,
+        """SELECT l_orderkey AS order_id, CAST(l_partkey AS VARCHAR) AS product_id, l_linenumber AS line_no,
+  CASE WHEN l_returnflag = 'A' AND l_linenumber > 5 THEN NULL ELSE CAST(l_quantity AS BIGINT) END AS quantity,
+  CAST(CASE WHEN l_returnflag = 'A' THEN CAST(CAST(l_extendedprice AS DECIMAL(10,1)) AS DECIMAL(16,4))
+            WHEN l_returnflag = 'N' THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DECIMAL(16,4))
+            ELSE CAST(l_extendedprice AS DECIMAL(16,4)) END AS DECIMAL(16,4)) AS total,
+  CAST(NULL AS VARCHAR) AS product_name,
+  CASE WHEN l_returnflag IN ('A', 'N') THEN NULL ELSE l_linestatus END AS line_status,
+  CASE WHEN l_returnflag = 'A' AND l_linenumber > 5 THEN 'quantity' ELSE '' END AS misfits FROM lineitem"""),
+    Registered(
+        "s2_misfit_report",
+        lambda c: misfit_report(reconciled(line_versions(c.base("lineitem")), "order_items", "misfits"), "misfits"),
+        """SELECT 'quantity' AS column_name, count(*) AS n_rows FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber > 5 HAVING count(*) > 0"""),
     Registered(
         "s4_event_props",
         lambda c: event_props(c.base("events")),
