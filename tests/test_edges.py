@@ -240,14 +240,14 @@ def test_text_match(spark):
 
 def test_settings_map_and_envelope(spark):
     m = access.settings_map(seed_settings(spark)).collect()[0].settings
-    assert m["delivery_charge"] == "49" and len(m) == 26
+    assert m["delivery_charge"] == "49" and len(m) == 3
     page_rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
     meta = page_meta(spark.range(1).select(F.lit(41).alias("total")), 1, 20)
     js = page_envelope(page_rows, meta, [F.col("id").desc()]).collect()[0].json
     assert '"data":[{"id":2,"name":"b"},{"id":1,"name":"a"}]' in js
     from tillage.sources.json_io import explode_json_array
-    slides = explode_json_array(seed_settings(spark), "stats_bar", "struct<num:string,label:string>").collect()
-    assert [(r.pos, r.item.label) for r in slides] == [(0, "Products"), (1, "Regions")]
+    slides = explode_json_array(seed_settings(spark), "opening_days", "struct<day:string,hours:int>").collect()
+    assert [(r.pos, r.item.day, r.item.hours) for r in slides] == [(0, "Monday", 8), (1, "Tuesday", 6)]
     assert js.startswith('{"success":true,"data":[') and '"pages":3' in js
 
 

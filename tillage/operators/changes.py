@@ -203,6 +203,7 @@ def stock_ledger(products: DataFrame, movements: DataFrame) -> DataFrame:
 
 
 # M10 -----------------------------------------------------------------------------------
+# Order statuses of the schema.
 ADMIN_STATUSES = ("confirmed", "packed", "shipped", "out_for_delivery", "delivered", "cancelled")
 CANCELLABLE_FROM = ("placed", "confirmed")
 
@@ -290,6 +291,7 @@ def apply_vendor_decisions(vendors: DataFrame, decisions: DataFrame, code_prefix
                     (total - applied).cast("bigint").alias("refused_decisions"))
 
 
+# Supply order statuses of the schema.
 SUPPLY_STATUSES = ("pending", "confirmed", "dispatched", "delivered", "cancelled")
 
 
