@@ -392,6 +392,19 @@ def test_language_id_learns(spark):
     assert langid.predict(probe, langid.train(df.where("lang is null"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_quality_takes_a_bounded_number_of_rows(spark, monkeypatch):
+    """Rows of repeated ids and labels don't reach the driver beyond the bound; below it the fit is that of all rows."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)))
+    rows = spark.createDataFrame([(prose(i % 30 + 1, i % 30), i % 2) for i in range(300)] + [("x", 2), (None, 1)], "text string, quality int")
+    quality.train(rows)
+    monkeypatch.setattr(quality, "MAX_ROWS", 50)
+    quality.train(rows.repartition(1))
+    quality.train(rows.repartition(7))
+    assert [len(y) for _, y in seen] == [301, 50, 50]
+    assert np.array_equal(seen[1][0], seen[2][0]) and np.array_equal(seen[1][1], seen[2][1])
+
+
 def test_quality_learns(spark):
     rows = [(i, " ".join(w + ("%%%" if i % 2 else "") for w in prose(40, i).split()), 1 - i % 2) for i in range(60)]
     model = quality.train(spark.createDataFrame(rows, "doc_id long, text string, quality int"))

@@ -180,9 +180,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality") -> dict:
-    """Fit on rows with label 0 or 1 (others teach nothing)."""
+    """Fit on rows with label 0 or 1 (others teach nothing); of more than MAX_ROWS, as where ids repeat, those first by hash."""
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    data = rows.where("label in (0, 1)").mapInArrow(_feature_rows, "label int, x array<double>").collect()
+    data = rows.where("label in (0, 1)").mapInArrow(_feature_rows, "label int, x array<double>")
+    data = data.orderBy(F.xxhash64("x", "label"), "x", "label").limit(MAX_ROWS).collect()
     data = sorted((tuple(r.x), r.label) for r in data)  # the fit doesn't depend on the order of rows
     return fit(np.array([d[0] for d in data]).reshape(-1, len(FEATURES)), np.array([d[1] for d in data], float))
 
