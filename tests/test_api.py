@@ -43,3 +43,9 @@ def test_endpoint_runs(api, method):
 def test_every_public_method_is_exercised():
     public = {m for m in dir(Reports) if not m.startswith("_") and callable(getattr(Reports, m))}
     assert public == set(CALLS)
+
+
+def test_catalogue_and_wishlist_run_with_their_defaults(api):
+    found = api.products().select("sold_count", "id").collect()
+    assert found and found == sorted(found, key=lambda r: (-r.sold_count, r.id))
+    assert {r.brand_name for r in api.wishlist().collect()} == {None}

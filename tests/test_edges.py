@@ -429,3 +429,21 @@ def test_stock_reports_carry_the_whole_row(spark):
     for report in (warehouse_stock, expiry_report):
         r = report(wi, *names).collect()[0]
         assert (r.id, r.rack, r.current_stock, r.product_name) == (7, "rack 3", 5, "P")
+
+
+def test_lists_carry_all_columns_and_break_ties_by_id(spark):
+    from tillage.plans import catalog
+    from tillage.sources.schemas import conform
+    cats = conform(spark.createDataFrame([(2, "b", "s2", "i", None), (1, "a", "s1", "j", None), (3, "c", "s3", "k", 1)],
+                                         "id int, name string, slug string, icon string, parent_id int"), "categories")
+    flat = catalog.category_list(cats).collect()
+    assert [(r.id, r.slug, r.icon, r.is_featured, r.parent_name) for r in flat] == [
+        (1, "s1", "j", False, None), (2, "s2", "i", False, None), (3, "s3", "k", False, "a")]
+    assert [(r.id, r.image_url) for r in catalog.category_list(cats, parent_only=True).collect()] == [(1, None), (2, None)]
+    brands = conform(spark.createDataFrame([(2, "x", "d2"), (1, "x", "d1")], "id int, name string, description string"), "brands")
+    assert [(r.id, r.description, r.logo_url) for r in catalog.active_brands(brands).collect()] == [(1, "d1", None), (2, "d2", None)]
+    wish = spark.createDataFrame([(9, 7, 2, AS_OF), (8, 7, 1, AS_OF)], "id int, customer_id int, product_id int, created_at timestamp_ntz")
+    products = conform(spark.createDataFrame([(1, 5, 2), (2, 5, None)], "id int, vendor_id int, brand_id int"), "products")
+    vendors = conform(spark.createDataFrame([(5, "v")], "id int, business_name string"), "vendors")
+    got = catalog.wishlist_view(wish, products, vendors, brands, conform(spark.createDataFrame([], "id int"), "product_images")).collect()
+    assert [(r.id, r.product_id, r.brand_name, r.vendor_name) for r in got] == [(8, 1, "x", "v"), (9, 2, None, "v")]

@@ -86,7 +86,8 @@ class Reports:
     # catalogue ----------------------------------------------------------------------------
     def products(self, **p) -> DataFrame:
         t = self.t
-        return catalog.catalogue_search(t.products, t.categories, t.vendors, t.product_images, **p)
+        with_sales = t.products if "sold_count" in t.products.columns else stock_ledger(t.products, t.stock_movements)
+        return catalog.catalogue_search(with_sales, t.categories, t.vendors, t.product_images, **p)
 
     def product(self) -> DataFrame:
         t = self.t

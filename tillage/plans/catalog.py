@@ -96,27 +96,32 @@ def product_detail(products: DataFrame, categories: DataFrame, vendors: DataFram
 # R25 -----------------------------------------------------------------------------
 def wishlist_view(wishlist: DataFrame, products: DataFrame, vendors: DataFrame, brands: DataFrame,
                   images: DataFrame, brand_on: tuple[str, str] = ("brand_id", "id")) -> DataFrame:
-    """Wishlist rows of every customer with product, vendor, brand and primary image, newest first."""
+    """Wishlist rows of every customer with product, vendor, brand and primary image, newest first.
+
+    Products without the brand column have no brand; the wishlist's own id is carried where it has one."""
+    brand = F.col(brand_on[0]) if brand_on[0] in products.columns else F.lit(None).cast(brands.schema[brand_on[1]].dataType)
     pr = products.where(F.col("is_active")).select(
         F.col("id").alias("product_id"), "name", "selling_price", "mrp", "stock_qty", "vendor_id",
-        F.col(brand_on[0]).alias("__bkey"))
+        brand.alias("__bkey"))
     v = vendors.select(F.col("id").alias("vendor_id"), F.col("business_name").alias("vendor_name"))
     b = brands.select(F.col(brand_on[1]).alias("__bkey"), F.col("name").alias("brand_name"))
     img = primary_image(images).withColumnRenamed("image_url", "image")
     j = (wishlist.join(pr, "product_id").join(v, "vendor_id").join(b, "__bkey", "left")
          .join(img, "product_id", "left"))
-    return (j.select("customer_id", "created_at", "product_id", "name", "selling_price", "mrp", "stock_qty",
+    own = [c for c in ("id",) if c in wishlist.columns]
+    return (j.select(*own, "customer_id", "created_at", "product_id", "name", "selling_price", "mrp", "stock_qty",
                      "image", "vendor_name", "brand_name")
-            .orderBy("customer_id", F.col("created_at").desc()))
+            .orderBy("customer_id", F.col("created_at").desc(), "product_id"))
 
 
 # R26, R27 --------------------------------------------------------------------------
 def category_list(categories: DataFrame, parent_only: bool = False) -> DataFrame:
     active = categories.where(F.col("is_active")) if "is_active" in categories.columns else categories
+    shown = [c for c in ("slug", "icon", "image_url", "is_featured") if c in categories.columns]
     if parent_only:
-        return active.where(F.col("parent_id").isNull()).select("id", "name", "sort_order").orderBy("sort_order")
+        return active.where(F.col("parent_id").isNull()).select("id", "name", *shown, "sort_order").orderBy("sort_order", "id")
     return (with_parent(active, categories, "parent_id", {"name": "parent_name"})
-            .select("id", "name", "sort_order", "parent_id", "parent_name").orderBy("sort_order"))
+            .select("id", "name", *shown, "sort_order", "parent_id", "parent_name").orderBy("sort_order", "id"))
 
 
 def image_slots(images: DataFrame, slots: int = 8) -> DataFrame:
@@ -131,7 +136,8 @@ def image_slots(images: DataFrame, slots: int = 8) -> DataFrame:
 
 
 def active_brands(brands: DataFrame) -> DataFrame:
-    return brands.where(F.col("is_active")).select("id", "name", "slug").orderBy("name")
+    shown = [c for c in ("logo_url", "description") if c in brands.columns]
+    return brands.where(F.col("is_active")).select("id", "name", "slug", *shown).orderBy("name", "id")
 
 
 # ---------------------------------------------------------------------------------------
