@@ -92,3 +92,11 @@ def test_no_refresh_gives_empty_reports(spark, shop, tmp_path):
 def test_reports_read_the_months_they_need(spark, shop):
     plan = shop["rollups"].fast_moving(shop["products"], shop["categories"], dt.date(2001, 7, 2), dt.date(2001, 7, 9))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(month" in plan and "200107" in plan
+
+
+def test_a_stored_bitmap_is_one_word(spark, shop):
+    """A bitmap of 4 KB an id before, where a day's ids lie far apart."""
+    stored = spark.read.parquet(f"{shop['rollups'].path}/sales_ids")
+    assert dict(stored.dtypes)["bits"] == "bigint"
+    ids = shop["bridge"].join(shop["orders"].where("created_at IS NOT NULL"), F.col("order_id") == F.col("id"))
+    assert stored.where("kind = 'order'").agg(F.sum(F.bit_count("bits"))).first()[0] == ids.count()

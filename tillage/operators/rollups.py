@@ -28,7 +28,7 @@ from tillage.operators.paging import top_k
 PARTITIONS = "batch string, month int"
 PAID_DAYS = "day date, midnight boolean, revenue decimal(38,2), orders bigint"
 PRODUCT_DAYS = "day date, midnight boolean, product_id bigint, units bigint, orders bigint, amount decimal(38,2)"
-SALES_IDS = "day date, midnight boolean, salesman_id bigint, kind string, bucket bigint, bits binary"
+SALES_IDS = "day date, midnight boolean, salesman_id bigint, kind string, word bigint, bits bigint"
 
 
 def _slot(ts: str = "created_at") -> list[Column]:
@@ -40,6 +40,16 @@ def _month(day: Column) -> Column:
     return (F.year(day) * 100 + F.month(day)).cast("int")
 
 
+def _word(i: Column) -> Column:
+    """The number of the bitmap word of 64 ids that holds id ``i``."""
+    return F.shiftright(i, 6)
+
+
+def _bit(i: Column) -> Column:
+    """Id ``i``'s bit in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+
+
 def _in_days(start: dt.date, end: dt.date | None = None) -> Column:
     """Slots from ``start`` to ``end``, whose closing midnight counts, with the months to prune folders by."""
     rows = (F.col("day") >= F.lit(start)) & (F.col("month") >= F.lit(start.year * 100 + start.month))
@@ -62,9 +72,10 @@ class DailyRollups:
 
     path: str
 
-    def _write(self, df: DataFrame, table: str, batch: str) -> None:
-        df = df.withColumn("month", _month(F.col("day")))
-        # A month's rows of a batch go to files by the shuffle's even partitions; sorted, so that row groups skip by day.
+    def _write(self, df: DataFrame, table: str, batch: str, *keys: str) -> None:
+        # Even ranges of month, day and keys: a task writes to the folders of its months only (else each task to each month's),
+        # a hot day is dealt to many; sorted, so that row groups skip by day.
+        df = df.withColumn("month", _month(F.col("day"))).repartitionByRange("month", "day", *keys)
         df.sortWithinPartitions("month", "day").write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/{table}/batch={batch}")
 
     def _read(self, spark: SparkSession, table: str, columns: str) -> DataFrame:
@@ -82,19 +93,20 @@ class DailyRollups:
             F.sum("quantity").cast("bigint").alias("units"), F.sum("total").cast(MONEY).alias("amount"))
         products = per_order.groupBy("day", "midnight", "product_id").agg(
             F.sum("units").alias("units"), F.count(F.lit(1)).alias("orders"), F.sum("amount").cast(MONEY).alias("amount"))
-        self._write(products, "product_days", batch)
+        self._write(products, "product_days", batch, "product_id")
         return self
 
     def refresh_salesmen(self, batch: str, salesman_orders: DataFrame, orders: DataFrame) -> "DailyRollups":
-        """Add one batch's bitmaps: per day, salesman and bucket of 32,768 ids one bit an order or customer."""
+        """Add one batch's bitmaps: per day, salesman and word of 64 ids one bit an order or customer.
+
+        A row is one word, so there are at most as many rows as ids seen, however far apart a day's ids lie."""
         o = orders.where(F.col("created_at").isNotNull()).select(F.col("id").alias("order_id"), "customer_id", *_slot())
         ids = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").cast("bigint").alias("id")) for k in ("order", "customer")])
         seen = (salesman_orders.select("order_id", "salesman_id").join(o, "order_id")
                 .select("day", "midnight", "salesman_id", F.explode(ids).alias("x")).select("day", "midnight", "salesman_id", "x.*")
                 .where(F.col("id").isNotNull()))
-        bits = seen.groupBy("day", "midnight", "salesman_id", "kind", F.bitmap_bucket_number("id").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
-        self._write(bits, "sales_ids", batch)
+        bits = seen.groupBy("day", "midnight", "salesman_id", "kind", _word(F.col("id")).alias("word")).agg(F.bit_or(_bit(F.col("id"))).alias("bits"))
+        self._write(bits, "sales_ids", batch, "salesman_id", "word")
         return self
 
     # Reports --------------------------------------------------------------------------
@@ -145,17 +157,19 @@ class DailyRollups:
     def distinct_sales(self, spark: SparkSession, ranges: list[tuple[dt.date, dt.date]], by_salesman: bool = False) -> DataFrame:
         """R36's exact distinct orders and customers for each of ``ranges`` (from, to + 1 day), all from one read.
 
-        Bitmaps of a bucket are or-ed over days, batches and salesmen, then
-        their bits are counted; a range without rows has no row."""
+        A word's bits are or-ed over days, batches and salesmen, then
+        counted; a range without rows has no row."""
         if not ranges:
             raise ValueError("give at least one range")
         rows = self._read(spark, "sales_ids", SALES_IDS)
         wanted = _in_days(min(a for a, _ in ranges), max(b for _, b in ranges))
-        own = F.array(*[F.when(_in_days(a, b), F.struct(F.lit(a).alias("date_from"), F.lit(b).alias("date_to"))) for a, b in ranges])
+        own = F.array(*[F.when(_in_days(a, b), F.lit(i)) for i, (a, b) in enumerate(ranges)])
         hits = rows.where(wanted).withColumn("range", F.explode(F.array_compact(own)))
         keys = ["range", *(["salesman_id"] if by_salesman else [])]
-        merged = hits.groupBy(*keys, "kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        n = F.bitmap_count("bits")
+        merged = hits.groupBy(*keys, "kind", "word").agg(F.bit_or("bits").alias("bits"))
+        n = F.bit_count("bits")
         counted = merged.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(f"total_{k}s")
                                               for k in ("order", "customer")])
+        dates = F.array(*[F.struct(F.lit(a).alias("date_from"), F.lit(b).alias("date_to")) for a, b in ranges])
+        counted = counted.withColumn("range", F.get(dates, F.col("range")))
         return counted.select("range.*", *keys[1:], "total_orders", "total_customers")

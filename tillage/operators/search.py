@@ -27,7 +27,7 @@ from tillage.sources.tables import write_folders
 
 BUCKETS = 64
 ROWS_A_SLICE = 5_000_000
-FORMAT = 1  # of the stored tables and the rules that fill them; part of the folder's name
+FORMAT = 2  # of the stored tables and the rules that fill them; part of the folder's name
 
 
 def _bucket(term: Column, buckets: int) -> Column:
