@@ -255,3 +255,19 @@ def test_backfill_and_patch_on_touched_folders(spark, folder):
     table.merge(look, lambda old, new: ch.backfill_from(old, new, "id", "id", {"code": "value"}))
     got = {r.id: r.code for r in table.read(spark).collect()}
     assert got == {i: "new" if i == 4 else None if i % 3 else "set" for i in range(60)}
+
+
+def test_indexes_cut_texts_once_and_store_no_copy_of_the_lists(spark, tmp_path, monkeypatch):
+    """The trigrams were cut a second time for their counts, the tokens stored twice."""
+    from tillage.operators import search
+    df = spark.createDataFrame([(1, "relying relies rely abcabcabc"), (1, "rely"), (2, "rely"), (3, None), (4, "ab"), (None, "rely")], "doc_id long, text string")
+    stored, kept = [], search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda x: stored.append(x.columns) or kept(x))
+    postings = Postings(f"{tmp_path}/p", 4).write(df, "doc_id", F.col("text"))
+    trigrams = TrigramIndex(f"{tmp_path}/t", ("text",), 4).write(df, "doc_id")
+    assert stored == [["id", "word"], ["word", "n_rows", "stem"]]
+    for index in (postings, trigrams):
+        lists = spark.read.parquet(f"{index.path}/lists")
+        terms = {(r.term, r.n) for r in spark.read.parquet(f"{index.path}/terms").collect()}
+        assert terms == {(r.term, r["count"]) for r in lists.groupBy("term").count().collect()}
+    assert ("reli", 3) in {(r.term, r["count"]) for r in spark.read.parquet(f"{postings.path}/lists").groupBy("term").count().collect()}

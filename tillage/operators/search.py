@@ -26,7 +26,8 @@ from tillage.session import cut_lineage, ensure_checkpoint_dir
 from tillage.sources.tables import write_folders
 
 BUCKETS = 64
-ROWS_A_SLICE = 5_000_000
+ROWS_A_SLICE = 1_000_000
+CHARS_A_SLICE = 5_000_000
 FORMAT = 2  # of the stored tables and the rules that fill them; part of the folder's name
 
 
@@ -34,10 +35,17 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _write(df: DataFrame, path: str, bucket: str, slices: int, buckets: int, slice_by: str, *sort: str) -> None:
+def _write(df: DataFrame, path: str, bucket: str, slices: int, buckets: int, slice_by: str, *sort: str, distinct: bool = False) -> None:
     """Partition folders by ``bucket``; a bucket's rows are dealt to ``slices`` tasks, so that no task writes a hot list alone."""
-    dealt = df.repartition(min(buckets * slices, 20_000), bucket, F.pmod(F.xxhash64(slice_by, F.lit(1)), F.lit(slices)))
-    write_folders(dealt.sortWithinPartitions(bucket, *sort), path, bucket)
+    dealt = df.withColumn("__slice", F.pmod(F.xxhash64(slice_by, F.lit(1)), F.lit(slices))).repartition(min(buckets * slices, 20_000), bucket, "__slice")
+    dealt = dealt.distinct() if distinct else dealt
+    write_folders(dealt.drop("__slice").sortWithinPartitions(bucket, *sort), path, bucket)
+
+
+def _write_terms(spark: SparkSession, path: str, buckets: int) -> None:
+    """``terms`` (term, n) of the stored lists: counted from their files, the texts are not cut again."""
+    terms = spark.read.parquet(f"{path}/lists").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("n"))
+    _write(terms, f"{path}/terms", "bucket", 1, buckets, "term", "term")
 
 
 def stored_folder(df: DataFrame, kind: str) -> str:
@@ -57,14 +65,20 @@ def is_stored(spark: SparkSession, path: str, last: str) -> bool:
 
 
 # E20 -----------------------------------------------------------------------------------
-def stemmed_tokens(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, stem): the distinct stems of the words of ``text`` that are no stop words, per id.
+def _word_stems(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, int]:
+    """(id, stem) for every distinct word of a row's ``text`` that is no stop word, and their number.
 
     Words are cut once and stored; the distinct ones are stemmed and joined
     back, the words of more than a 10,000th of the rows by broadcast."""
     words = cut_lineage(df.select(F.col(id_col).alias("id"), F.explode(lexemes(text)).alias("word")))
     vocabulary = cut_lineage(with_stems(words.groupBy("word").agg(F.count(F.lit(1)).alias("n_rows")), "word"))
-    return even_join(words, vocabulary, "word", words.count()).select("id", "stem").distinct()
+    total = vocabulary.agg(F.sum("n_rows")).first()[0] or 0
+    return even_join(words, vocabulary, "word", total).select("id", "stem"), total
+
+
+def stemmed_tokens(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, stem): the distinct stems of the words of ``text`` that are no stop words, per id."""
+    return _word_stems(df, id_col, text)[0].distinct()
 
 
 def stemmed_lexemes(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -118,10 +132,11 @@ class Postings:
 
     def write(self, df: DataFrame, id_col: str, text: Column) -> "Postings":
         """Cut, stem, deal and write: the only job that reads the texts."""
-        tokens = cut_lineage(stemmed_tokens(df, id_col, text).select(F.col("stem").alias("term"), "id").withColumn("bucket", _bucket(F.col("term"), self.buckets)))
-        _write(tokens, f"{self.path}/lists", "bucket", tokens.count() // (self.buckets * ROWS_A_SLICE) + 1, self.buckets, "id", "term", "id")
-        terms = tokens.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("n"))
-        _write(terms, f"{self.path}/terms", "bucket", 1, self.buckets, "term", "term")
+        found, n = _word_stems(df, id_col, text)
+        tokens = found.select(F.col("stem").alias("term"), "id").withColumn("bucket", _bucket(F.col("term"), self.buckets))
+        # Two words of a row may have one stem: equal rows go to one task, which drops them as it writes.
+        _write(tokens, f"{self.path}/lists", "bucket", n // (self.buckets * ROWS_A_SLICE) + 1, self.buckets, "id", "term", "id", distinct=True)
+        _write_terms(df.sparkSession, self.path, self.buckets)
         return self
 
     def search(self, spark: SparkSession, query: str) -> DataFrame:
@@ -171,10 +186,10 @@ class TrigramIndex:
                  for i, c in enumerate(self.cols)]
         lists = (base.select("id", F.inline(F.array(*grams))).select("id", "col", F.explode("grams").alias("term"))
                  .withColumn("bucket", _bucket(F.col("term"), self.buckets)))
-        terms = cut_lineage(lists.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("n")))
-        total = terms.agg(F.sum("n")).first()[0] or 0
-        _write(lists, f"{self.path}/lists", "bucket", total // (self.buckets * ROWS_A_SLICE) + 1, self.buckets, "id", "term", "col", "id")
-        _write(terms, f"{self.path}/terms", "bucket", 1, self.buckets, "term", "term")
+        # A value has fewer trigrams than characters: enough to deal by, without cutting the texts twice.
+        chars = base.agg(sum((F.coalesce(F.sum(F.length(F.col(c).cast("string"))), F.lit(0)) for c in self.cols), F.lit(0))).first()[0]
+        _write(lists, f"{self.path}/lists", "bucket", chars // (self.buckets * CHARS_A_SLICE) + 1, self.buckets, "id", "term", "col", "id")
+        _write_terms(df.sparkSession, self.path, self.buckets)
         return self
 
     def search(self, spark: SparkSession, text: str) -> DataFrame:
