@@ -2,6 +2,7 @@
 
 import collections
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -78,6 +79,59 @@ def test_classes_hold_every_word_once(words, classes):
         assert (share * sizes).sum() < 0.8 * words / classes  # cheaper than classes of equal size
 
 
+@pytest.mark.parametrize("classes", [4, 25])
+def test_outputs_are_those_of_classes_taken_one_by_one(classes):
+    """Log-probabilities, gradients and steps against one class and one token at a time, without tokens of some classes, too; no sum is called once a class."""
+    net, rng = small_net(words=90, classes=classes, hidden=5), np.random.default_rng(7)
+    x = np.concatenate([rng.integers(0, 91, 200), np.full(9, 90)])
+    x = x[~np.isin(net.class_of(x), [1, 3])]
+    s = rng.normal(0, 0.6, (len(x), 5)).astype(np.float32)
+    wide = {k: net.get(k).astype(np.float64) for k in ("wc", "bc", "wo")}
+    want, ds, grad = [], np.zeros(s.shape), {k: np.zeros(v.shape) for k, v in wide.items()}
+    for i, (state, token) in enumerate(zip(s.astype(np.float64), x)):
+        c = int(net.class_of(token))
+        z = np.exp(state @ wide["wc"] + wide["bc"])
+        z /= z.sum()
+        want.append(np.log(z[c]))
+        z[c] -= 1
+        ds[i] += wide["wc"] @ z
+        grad["wc"] += np.outer(state, z)
+        grad["bc"] += z
+        if token < 90:
+            m = net.members(c)
+            y = np.exp(wide["wo"][m] @ np.append(state, 1.0))
+            y /= y.sum()
+            want[-1] += np.log(y[token - m.start])
+            y[token - m.start] -= 1
+            ds[i] += y @ wide["wo"][m, :-1]
+            grad["wo"][m] += np.outer(y, np.append(state, 1.0))
+    seen, sums = Recorder(net), []
+    sys.setprofile(lambda frame, event, arg: sums.append(1) if event == "c_call" and arg.__name__ in ("reduce", "reduceat") else None)
+    try:
+        got, back = lm._outputs(net, s, x, seen)
+    finally:
+        sys.setprofile(None)
+    assert got == pytest.approx(np.array(want), abs=1e-5)
+    assert lm._outputs(net, s, x)[0] == pytest.approx(np.array(want), abs=1e-5)
+    assert back == pytest.approx(ds, abs=1e-5)
+    for k in wide:
+        assert net.get(k, seen.grad) == pytest.approx(grad[k], abs=1e-4), k
+    assert len(sums) < 10  # three a class before: on short rows, calls took most of the time
+
+
+def test_streams_go_on_to_the_next_end_of_a_text():
+    """Lanes of equal texts are filled a window at a time, not a step at a time."""
+    off = np.arange(0, 16 * 8 * 40 + 1, 40)
+    looked = []
+    sys.setprofile(lambda frame, event, arg: looked.append(1) if event == "c_call" and arg.__name__ == "nonzero" else None)
+    try:
+        windows = list(lm._streams(iter([(off, np.arange(off[-1]))]), 16, 20))
+    finally:
+        sys.setprofile(None)
+    assert sum(int(live.sum()) for _, _, live, _ in windows) == off[-1] and len(windows) == 16
+    assert len(looked) <= 4 * len(windows) + 4  # two a step before
+
+
 def texts(seed, n=60, longest=400):
     rng = np.random.default_rng(seed)
     size = rng.integers(1, 30, n)

@@ -39,6 +39,7 @@ WINDOW = 16
 LANES = 256
 SCORE_LANES = 512
 SCORE_TOKENS = 1 << 15
+BLOCK = 1 << 12
 ROUNDS = (0.125, 1.0)
 KNOWN = 1 << 19
 RATE = 0.5
@@ -87,8 +88,9 @@ class Net:
         self.edges, self.words, self.hidden = edges, int(edges[-1]), hidden
         self.classes = len(edges)
         self.group = np.repeat(np.arange(self.classes), np.append(np.diff(edges), 1))
+        # the last column of "wo" holds the words' biases
         shapes = {"e": (self.words + 1, 2 * hidden), "u": (hidden, 2 * hidden), "wc": (hidden, self.classes), "bc": (self.classes,),
-                  "wo": (self.words, hidden), "bo": (self.words,)}
+                  "wo": (self.words, hidden + 1)}
         n = sum(int(np.prod(s)) for s in shapes.values())
         self.theta = np.zeros(n, np.float32) if theta is None else theta.astype(np.float32)
         self.views, at = {}, 0
@@ -109,13 +111,13 @@ class Net:
     def start(self, counts: np.ndarray, seed: int) -> None:
         """Small random weights; biases at the counts' probabilities (``counts``: of the ids, the unknown symbol last)."""
         rng = np.random.default_rng(seed)
-        for k, scale in (("e", 0.1), ("u", 0.1), ("wc", 0.1), ("wo", 0.1)):
-            self.get(k)[:] = rng.standard_normal(self.get(k).shape) * scale
+        for weights in (self.get("e"), self.get("u"), self.get("wc"), self.get("wo")[:, :-1]):
+            weights[:] = rng.standard_normal(weights.shape) * 0.1
         p = np.maximum(counts, 0.5)
         self.get("bc")[:] = np.log(np.bincount(self.group, p, minlength=self.classes) / p.sum())
         for c in range(self.classes - 1):
             m = self.members(c)
-            self.get("bo")[m] = np.log(p[m] / p[m].sum())
+            self.get("wo")[m, -1] = np.log(p[m] / p[m].sum())
 
 
 class Steps:
@@ -128,63 +130,86 @@ class Steps:
     def move(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
         grad = grad * np.float32(self.scale)
         squares, theta = self.net.get(name, self.squares), self.net.get(name)
-        new = squares[at] + grad * grad
+        new = grad * grad
+        new += squares[at]
         squares[at] = new
-        theta[at] -= np.float32(self.rate) * grad / (np.sqrt(new) + np.float32(1e-4))
+        np.sqrt(new, out=new)
+        new += np.float32(1e-4)
+        grad *= np.float32(self.rate)
+        grad /= new
+        theta[at] -= grad
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _order(x: np.ndarray, kinds: int) -> np.ndarray:
+    """The stable order of numbers below ``kinds`` (those of 16 bits are sorted by radix)."""
+    return np.argsort(x.astype(np.uint16) if kinds <= 1 << 16 else x, kind="stable")
 
 
-def _outputs(net: Net, s: np.ndarray, x: np.ndarray, steps: Steps | None = None):
-    """Natural log-probabilities of tokens ``x`` at states ``s``; with ``steps``, also the states' gradients of the loss, and the outputs are moved."""
-    c = net.class_of(x)
-    z = s @ net.get("wc") + net.get("bc")
-    z -= z.max(axis=1, keepdims=True)
+def _class_outputs(net: Net, s: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes at states ``s``."""
+    z = s @ net.get("wc")
+    z += net.get("bc")
+    z -= np.maximum.reduceat(z.reshape(-1), np.arange(0, z.size, net.classes))[:, None]
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
-    row = np.arange(len(x))
-    logp = np.log(np.maximum(z[row, c], 1e-30))
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(net.classes)).tolist()
-    begin = net.edges.tolist()
-    s_by, col_by = s[order], x[order] - net.edges[c[order]]
-    p_by = np.ones(len(x), np.float32)
-    wo, bo = net.get("wo"), net.get("bo")
-    if steps is not None:
-        ds_by, gw, gb, touched = np.zeros_like(s), np.zeros_like(wo), np.zeros_like(bo), []
-    for k in range(net.classes - 1):
-        a, e = edges[k], edges[k + 1]
-        if a == e:
-            continue
-        lo, hi = begin[k], begin[k + 1]
-        own, w = s_by[a:e], wo[lo:hi]
-        y = own @ w.T
-        y += bo[lo:hi]
-        y -= np.maximum.reduce(y, axis=1, keepdims=True)
+    return z
+
+
+def _outputs(net: Net, s: np.ndarray, x: np.ndarray, steps: Steps | None = None):
+    """Natural log-probabilities of tokens ``x`` at states ``s``; with ``steps``, also the states' gradients of the loss, and the outputs are moved.
+
+    Each class multiplies the states of its tokens by its words; what is done to each number is then done to all
+    classes at once, in one array in which every token has a run of its class's size and a leading number that counts nothing."""
+    c = net.class_of(x)
+    if steps is None:
+        p = np.empty(len(x), np.float32)
+        for a in range(0, len(x), BLOCK):  # a block's outputs stay in the cache
+            part = c[a:a + BLOCK]
+            p[a:a + BLOCK] = _class_outputs(net, s[a:a + BLOCK])[np.arange(len(part)), part]
+    else:
+        z, row = _class_outputs(net, s), np.arange(len(x))
+        p = z[row, c]
+    logp = np.log(np.maximum(p, 1e-30))
+    order = _order(c, net.classes)
+    edges = np.searchsorted(c[order], np.arange(net.classes))
+    n, size = np.diff(edges), np.diff(net.edges)
+    known = int(edges[-1]) if net.words else 0  # the unknown symbol comes last, the only one of its class
+    wo = net.get("wo")
+    touched = np.flatnonzero(n)
+    if known:
+        s_by = np.ones((len(x), net.hidden + 1), np.float32)  # the last column meets the biases
+        s_by[:, :-1] = np.take(s, order, axis=0)
+        width = np.repeat(size + 1, n)
+        run = np.cumsum(width) - width
+        y = np.empty(int(run[-1] + width[-1]), np.float32)
+        y[run] = -np.inf
+        at = np.cumsum(n * (size + 1)) - n * (size + 1)
+        parts = [(a, e, lo, hi, y[f:f + (e - a) * (hi - lo + 1)].reshape(e - a, -1)[:, 1:]) for a, e, lo, hi, f in zip(
+            *(v[touched].tolist() for v in (edges[:-1], edges[1:], net.edges[:-1], net.edges[1:], at)))]
+        for a, e, lo, hi, part in parts:
+            np.matmul(s_by[a:e], wo[lo:hi].T, out=part)
+        y -= np.repeat(np.maximum.reduceat(y, run), width)
         np.exp(y, out=y)
-        y /= np.add.reduce(y, axis=1, keepdims=True)
-        r, col = row[:e - a], col_by[a:e]
-        p_by[a:e] = y[r, col]
-        if steps is not None:
-            y[r, col] -= 1
-            np.matmul(y, w, out=ds_by[a:e])
-            np.matmul(y.T, own, out=gw[lo:hi])
-            np.add.reduce(y, axis=0, out=gb[lo:hi])
-            touched.append(k)
-    logp[order] += np.log(np.maximum(p_by, 1e-30))
-    ds = None
-    if steps is not None:
-        z[row, c] -= 1
-        ds = z @ net.get("wc").T
-        ds[order] += ds_by
+        total = np.add.reduceat(y, run)
+        hit = run + 1 + (x[order[:known]] - np.repeat(net.edges[:-1], n))
+        logp[order[:known]] += np.log(np.maximum(y[hit] / total, 1e-30))
+    if steps is None:
+        return logp, None
+    z[row, c] -= 1
+    ds = z @ net.get("wc").T
+    if known:
+        y /= np.repeat(total, width)
+        y[hit] -= 1
+        ds_by, gw = np.empty_like(s_by[:known]), np.zeros_like(wo)
+        for a, e, lo, hi, part in parts:
+            np.matmul(part, wo[lo:hi], out=ds_by[a:e])
+            np.matmul(part.T, s_by[a:e], out=gw[lo:hi])
+        ds[order[:known]] += ds_by[:, :-1]
         # All rows of a class that a token fell into are moved: mostly those of all classes.
-        at = slice(None) if 2 * len(touched) > net.classes else np.concatenate([np.arange(begin[k], begin[k + 1]) for k in touched] or [row[:0]])
-        steps.move("wo", gw[at], at)
-        steps.move("bo", gb[at], at)
-        steps.move("wc", s.T @ z)
-        steps.move("bc", z.sum(axis=0))
+        moved = slice(None) if 2 * len(touched) > net.classes else np.concatenate([np.arange(lo, hi) for _, _, lo, hi, _ in parts])
+        steps.move("wo", gw[moved], moved)
+    steps.move("wc", s.T @ z)
+    steps.move("bc", z.sum(axis=0))
     return logp, ds
 
 
@@ -225,19 +250,27 @@ def _windows(off: np.ndarray, lanes: int, tokens: int):
 
 def _forward(net: Net, x: np.ndarray, first: np.ndarray, h: np.ndarray):
     """States before each step (text starts at zero), gates and candidates, and the state after the window."""
-    hidden = net.hidden
-    e, u = net.get("e"), net.get("u")
-    gx = e[x]
-    s, f, n = (np.empty((*x.shape, hidden), np.float32) for _ in range(3))
+    hidden, u = net.hidden, net.get("u")
+    gx = np.take(net.get("e"), x, axis=0)
+    s = np.empty((len(x) + 1, x.shape[1], hidden), np.float32)
+    f, n = (np.empty((*x.shape, hidden), np.float32) for _ in range(2))
+    s[0] = h
+    some = first.any(axis=1).tolist()
     for t in range(len(x)):
-        if first[t].any():
-            h = np.where(first[t][:, None], np.float32(0), h)
-        s[t] = h
-        g = gx[t] + h @ u
-        f[t] = _sigmoid(g[:, :hidden])
-        n[t] = np.tanh(g[:, hidden:])
-        h = h + f[t] * (n[t] - h)
-    return s, f, n, h
+        h, gate = s[t], f[t]
+        if some[t]:
+            h[first[t]] = 0
+        g = gx[t]
+        g += h @ u
+        np.negative(g[:, :hidden], out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        np.tanh(g[:, hidden:], out=n[t])
+        after = np.subtract(n[t], h, out=s[t + 1])
+        after *= gate
+        after += h
+    return s[:-1], f, n, s[-1]
 
 
 def _streams(slices_: Iterator[tuple[np.ndarray, np.ndarray]], lanes: int, window: int):
@@ -250,7 +283,8 @@ def _streams(slices_: Iterator[tuple[np.ndarray, np.ndarray]], lanes: int, windo
     more = True
     while True:
         grid, live, first = np.zeros((window, lanes), np.int64), np.zeros((window, lanes), bool), np.zeros((window, lanes), bool)
-        for t in range(window):
+        t = 0
+        while t < window:
             free = np.flatnonzero(pos == end)
             while len(free) and (queue or more):
                 if not queue:
@@ -276,10 +310,15 @@ def _streams(slices_: Iterator[tuple[np.ndarray, np.ndarray]], lanes: int, windo
                     pos[k], end[k] = queue.pop()
                 first[t, free[:take]] = True
                 free = free[take:]
-            live[t] = pos < end
-            now = np.flatnonzero(live[t])
-            grid[t, now] = x[pos[now]]
-            pos[now] += 1
+            now = np.flatnonzero(pos < end)
+            if not len(now):
+                break
+            # All lanes go on to where the first of them ends.
+            z = min(window, t + int((end[now] - pos[now]).min()))
+            live[t:z, now] = True
+            grid[t:z, now] = x[pos[now] + np.arange(z - t)[:, None]]
+            pos[now] += z - t
+            t = z
         used = np.flatnonzero(live.any(axis=0))
         if not len(used):
             return
@@ -289,28 +328,37 @@ def _streams(slices_: Iterator[tuple[np.ndarray, np.ndarray]], lanes: int, windo
 def _train_window(net: Net, steps: Steps, h: np.ndarray, ids: np.ndarray, live: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One step of truncated backpropagation over a window; the lanes' states after it."""
     s, f, n, after = _forward(net, ids, first, h)
+    hidden, u = net.hidden, net.get("u")
     at = np.flatnonzero(live.reshape(-1))
-    u = net.get("u").copy()
     steps.most = max(steps.most, len(at))
     steps.scale = steps.most ** -0.5  # windows with few tokens left move the parameters less
     _, d = _outputs(net, s.reshape(-1, net.hidden)[at], ids.reshape(-1)[at], steps)
-    ds = np.zeros((live.size, net.hidden), np.float32)
+    ds = np.zeros((live.size, hidden), np.float32)
     ds[at] = d
     ds = ds.reshape(s.shape)
-    dg = np.empty((*ids.shape, 2 * net.hidden), np.float32)
+    way, keep, bend = n - s, 1 - f, 1 - n ** 2
+    dg = np.empty((*ids.shape, 2 * hidden), np.float32)
     dh = np.zeros_like(s[0])
+    over, some = (~live).any(axis=1).tolist(), first.any(axis=1).tolist()
     for t in range(len(ids) - 1, -1, -1):
-        dh = dh * live[t][:, None]
-        dg[t, :, :net.hidden] = dh * (n[t] - s[t]) * f[t] * (1 - f[t])
-        dg[t, :, net.hidden:] = dh * f[t] * (1 - n[t] ** 2)
-        dh = dh * (1 - f[t]) + dg[t] @ u.T + ds[t]
-        dh = np.where(first[t][:, None], np.float32(0), dh)
-    flat = dg.reshape(-1, 2 * net.hidden)
-    order = np.argsort(ids.reshape(-1), kind="stable")
-    seen, edge = np.unique(ids.reshape(-1)[order], return_index=True)
-    grad = np.add.reduceat(flat[order], edge, axis=0)
-    steps.move("u", s.reshape(-1, net.hidden).T @ flat)
-    steps.move("e", grad, seen)
+        if over[t]:
+            dh *= live[t][:, None]
+        way[t] *= dh
+        way[t] *= f[t]
+        np.multiply(way[t], keep[t], out=dg[t, :, :hidden])
+        np.multiply(np.multiply(dh, f[t], out=way[t]), bend[t], out=dg[t, :, hidden:])
+        dh *= keep[t]
+        dh += dg[t] @ u.T
+        dh += ds[t]
+        if some[t]:
+            dh[first[t]] = 0
+    flat = dg.reshape(-1, 2 * hidden)
+    order = _order(ids.reshape(-1), net.words + 1)
+    seen = ids.reshape(-1)[order]
+    edge = np.flatnonzero(np.diff(seen, prepend=-1))
+    grad = np.add.reduceat(np.take(flat, order, axis=0), edge, axis=0)
+    steps.move("u", s.reshape(-1, hidden).T @ flat)
+    steps.move("e", grad, seen[edge])
     return after
 
 
