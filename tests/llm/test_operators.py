@@ -5,10 +5,11 @@ import hashlib
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tillage.llm import chat, langid, lm, quality, topk
+from tillage.llm import chat, langid, lm, ngram_join, quality, topk
 from tillage.llm.decontam import _lcs, benchmark_matches
 from tillage.llm.graph import components
 from tillage.llm.html import common_lines, extract_main_text, page_lines, text_lines
@@ -120,6 +121,44 @@ def test_hot_group_of_near_copies(spark):
     assert got == {i: find(i) for i in range(400)}
 
 
+def test_pairs_of_large_sets_are_sieved_before_their_sets_are_made(spark, monkeypatch):
+    """Large texts that share a passage only, and two near copies: before, every set of them was made and shipped."""
+    made = []
+
+    def spied(df, free=False):
+        out = written(df, free)
+        if "items" in out.columns:
+            made.extend(r.n for r in out.select(F.expr("length(items) div 8").alias("n")).collect())
+        return out
+    written = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", spied)
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(800))
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50_000, 6000 + 100 * i)) + f" {passage}") for i in range(8)]
+    rows += [(8, rows[0][1] + " one more word"), (9, "a short text of a few words"), (10, None)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i == 8 else i for i in range(11)}
+    assert len(made) == 2 and min(made) > 6000
+
+
+def test_wide_bitmaps_let_every_link_pass():
+    rng = np.random.default_rng(4)
+    sets, wide = [], []
+    for n in (600, 1025, 1500, 2000, 2048, 2049, 2300, 4000, 4097, 4500):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+        for share in (0, 0.02, 0.05, 0.1, 0.3):
+            sets.append(np.concatenate([base[int(share * n):], rng.integers(0, 1 << 63, int(share * n) // 2).astype(np.uint64)]))
+            wide.append(ngram_join._wide_bitmap(sets[-1]))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    batch = pa.record_batch({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "n": [0] * len(pairs), "size": [len(sets[a]) + len(sets[b]) for a, b in pairs],
+                             "left": pa.array([wide[a] for a, _ in pairs], pa.binary()), "right": pa.array([wide[b] for _, b in pairs], pa.binary())})
+    may = next(ngram_join._may_rows(80)(iter([batch]))).column("may").to_pylist()
+    links = [100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - both) for a, b in pairs]
+    assert sum(links) > 50 and all(m for m, link in zip(may, links) if link)
+    assert sum(m for (a, b), m, link in zip(pairs, may, links) if not link and wide[a] and wide[b]) < 0.05 * len(pairs)
+    assert wide[0] is None and all(m for (a, b), m in zip(pairs, may) if wide[a] is None or wide[b] is None)
+
+
 def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

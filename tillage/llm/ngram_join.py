@@ -16,7 +16,9 @@ blocks. A block pair does not emit its pairs: it emits a spanning forest of
 the possible links, which is verified on the whole sets. Where a forest link
 proves false, the possible links between what is still apart are all verified.
 So every link between different texts is either verified or implied by
-verified ones. Components follow by star contraction.
+verified ones. The bitmap of a large set is nearly full and bounds little, so
+before the sets are shipped, pairs of large sets pass a second bitmap whose
+size follows the set. Components follow by star contraction.
 
 The frequency estimate is a counting sketch of fixed size; it only sets the
 order, and any order gives the same result. Shingles and sets are compared by
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,10 @@ from tillage.llm.words import mix, rolling, slices, split_words, text_of_word, w
 SKETCH_BITS = 19
 SKETCH_BLOCKS = 64
 BITMAP = 2048
+WIDE = 2
 BLOCK = 256
 SCAN_COST = 0.005
-_LIGHT = "row_key long, node long, n long, prefix array<long>, scan double, bitmap binary"
+_LIGHT = "row_key long, node long, n long, prefix array<long>, scan double, bitmap binary, wide binary"
 
 
 def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +112,17 @@ def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.nda
     return out.reshape(-1)
 
 
+def _wide_bitmap(value: np.ndarray) -> bytes | None:
+    """Parities of a large set's shingles in ``WIDE`` bits a shingle or more; half of it, folded, is the bitmap of half the size."""
+    if WIDE * len(value) <= BITMAP:
+        return None
+    bits = 1 << (WIDE * len(value) - 1).bit_length()
+    bit = (value % np.uint64(bits)).astype(np.int64)
+    out = np.zeros(bits // 8, np.uint8)
+    np.bitwise_xor.at(out, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
+    return out.tobytes()
+
+
 def _light_rows(k: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
@@ -138,8 +153,9 @@ def _light_rows(k: int, percent: int, sketch):
                 b.column("row_key"), pa.array(node.view(np.int64)), pa.array(n),
                 pa.ListArray.from_arrays(pa.array(po.astype(np.int32)), pa.array(ranked[at].view(np.int64))),
                 pa.array(scan[po[1:]] - scan[po[:-1]]),
-                pa.array([x.tobytes() for x in bitmap], pa.binary())],
-                names=["row_key", "node", "n", "prefix", "scan", "bitmap"])
+                pa.array([x.tobytes() for x in bitmap], pa.binary()),
+                pa.array([_wide_bitmap(value[a:z]) for a, z in zip(off[:-1], off[1:])], pa.binary())],
+                names=["row_key", "node", "n", "prefix", "scan", "bitmap", "wide"])
     return run
 
 
@@ -266,8 +282,26 @@ def _set_rows(k: int):
         for b in slices(batches, "text"):
             doc, value = distinct_shingles(b.column("text"), k)
             off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))])
-            yield pa.record_batch([b.column("node"), pa.array([value[a:z].tobytes() for a, z in zip(off[:-1], off[1:])], pa.binary())],
-                                  names=["node", "items"])
+            yield pa.record_batch([b.column("node"), pa.array(np.diff(off)), pa.array([value[a:z].tobytes() for a, z in zip(off[:-1], off[1:])], pa.binary())],
+                                  names=["node", "n", "items"])
+    return run
+
+
+def _may_rows(percent: int):
+    """Whether a pair may link by its sets' wide bitmaps, the larger folded to the size of the other; a pair without both may."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = []
+            for x, y, size in zip(b.column("left"), b.column("right"), b.column("size").to_pylist()):
+                if not (x.is_valid and y.is_valid):
+                    may.append(True)
+                    continue
+                u, v = sorted((np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y)), key=len)
+                while len(v) > len(u):
+                    v = v[:len(v) // 2] ^ v[len(v) // 2:]
+                overlap = (size - int(np.bitwise_count(u ^ v).sum(dtype=np.int64))) // 2
+                may.append((100 + percent) * overlap >= percent * size)
+            yield pa.record_batch([b.column("a"), b.column("b"), b.column("n"), pa.array(may, pa.bool_())], names=["a", "b", "n", "may"])
     return run
 
 
@@ -309,7 +343,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sketch = shared_value(spark, frequency_sketch(texts.select("text"), k))
         light = written(texts.mapInArrow(released(_light_rows(k, percent, sketch)), _LIGHT))
         fat = tables[-1]
-        nodes = written(light.select("node", "n", "prefix", "scan", "bitmap").dropDuplicates(["node"]))
+        nodes = written(light.select("node", "n", "prefix", "scan", "bitmap", "wide").dropDuplicates(["node"]), free=True)
         light = written(light.select("row_key", "node", "n"))
         dropped(spark, [fat])
         x = boundary(nodes, percent)
@@ -317,47 +351,60 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         shared = (keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
                   .where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
         fat = tables[-2]
-        bitmaps = written(nodes.select("node", "n", "bitmap"))
+        bitmaps = written(nodes.select("node", "n", "bitmap", "wide"))
         own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
         members = (keys.join(shared, "key").select("key", "node", own.alias("own"), "blocks").distinct()  # a set may hold a key twice
                    .select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
                    .select("key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-        members = written(members)
-        dropped(spark, [fat])  # the prefixes are read no more
+        members = written(members, free=True)
         rows = members.count()
+        dropped(spark, [fat])  # the prefixes are read no more
         parts = parts_for(spark, rows, 200_000)
 
         def links(found: DataFrame, all_apart: bool) -> DataFrame:
             dealt = found.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
             return dealt.mapInArrow(released(_link_rows(percent, all_apart)), "key long, i int, j int, a long, b long")
 
-        forest = written(links(members.join(bitmaps, "node"), False), free=True)
-        involved = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        chosen = (light.groupBy("node").agg(F.min("row_key").alias("row_key")).join(involved, "node", "left_semi"))
-        sets = written(texts.join(chosen, "row_key").select("node", "text").mapInArrow(released(_set_rows(k)), "node long, items binary")
-                       .dropDuplicates(["node"]), free=True)
+        slim = bitmaps.drop("wide")
+        forest = written(links(members.join(slim, "node"), False), free=True)
 
         def verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
             with_left = pairs.join(left.select(F.col("node").alias("a"), F.col("items").alias("left")), "a")
             with_both = with_left.join(right.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
             return with_both.select("a", "b", "left", "right").mapInArrow(released(_verify_rows(percent)), "a long, b long, ok boolean")
 
-        # A pair ships a set, so pairs are verified by pieces (i, j) of both sides: on disk are two pieces of the sets
-        # and no more pairs than half of the sets.
-        pairs = written(forest.select("a", "b").distinct())
-        side = max(1, round((2 * pairs.count() / max(1, sets.count())) ** 0.5 + 0.5))
-        piece = {c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(side)) for c in ("a", "b", "node")}
-        known = reduce(DataFrame.unionByName, [written(verified(
-            pairs.where((piece["a"] == i) & (piece["b"] == j)), sets.where(piece["node"] == i), sets.where(piece["node"] == j)), free=True)
-            for i in range(side) for j in range(side)])
+        def checked(pairs: DataFrame) -> DataFrame:
+            """(a, b, ok) of distinct pairs; only the sets of pairs that their wide bitmaps let pass are made."""
+            one, two = ([F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(side)] for c, side in (("a", "left"), ("b", "right")))
+            with_wide = pairs.join(bitmaps.select(*one), "a").join(bitmaps.select(*two), "b")
+            sieved = written(with_wide.select("a", "b", F.col("n_a").alias("n"), (F.col("n_a") + F.col("n_b")).alias("size"), "left", "right").mapInArrow(
+                released(_may_rows(percent)), "a long, b long, n long, may boolean"), free=True)
+            may = sieved.where("may").drop("may")
+            involved = may.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            chosen = light.groupBy("node").agg(F.min("row_key").alias("row_key")).join(involved, "node", "left_semi")
+            # A node's row key is that of its text, so copies go where the join has put them.
+            sets = written(texts.join(chosen, "row_key").dropDuplicates(["row_key"]).select("node", "text").mapInArrow(
+                released(_set_rows(k)), "node long, n long, items binary"), free=True)
+            made = tables[-1]
+            # A pair ships a set, so pairs are verified by pieces (i, j) of both sides: on disk are two pieces of the sets
+            # and with the pairs no more shingles than half of what the sets hold.
+            shipped, held = (x.agg(F.sum("n")).first()[0] or 0 for x in (may, sets))
+            side = max(1, ceil((2 * shipped / max(1, held)) ** 0.5))
+            piece = {c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(side)) for c in ("a", "b", "node")}
+            told = [written(verified(may.where((piece["a"] == i) & (piece["b"] == j)).select("a", "b"), sets.where(piece["node"] == i),
+                                     sets.where(piece["node"] == j)), free=True) for i in range(side) for j in range(side)]
+            dropped(spark, [made])
+            return reduce(DataFrame.unionByName, told, sieved.where("not may").select("a", "b", F.lit(False).alias("ok")))
+
+        known = checked(written(forest.select("a", "b").distinct(), free=True))
         true_links = known.where("ok").select("a", "b")
         broken = forest.join(known.where("not ok"), ["a", "b"], "left_semi").select("key", "i", "j").distinct()
         if known.where("not ok").limit(1).count():
             label = components(true_links)
-            again = (members.join(broken, ["key", "i", "j"], "left_semi").join(bitmaps, "node")
+            again = (members.join(broken, ["key", "i", "j"], "left_semi").join(slim, "node")
                      .join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-            more = written(links(again, True).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-            true_links = true_links.union(verified(more, sets, sets).where("ok").select("a", "b"))
+            more = written(links(again, True).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), free=True)
+            true_links = true_links.union(checked(more).where("ok").select("a", "b"))
         reach = components(true_links)
 
         classes = light.select("row_key", "node", "n").distinct().join(reach, "node", "left").select(
