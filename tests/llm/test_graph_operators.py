@@ -5,8 +5,10 @@ import hashlib
 import itertools
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -182,6 +184,52 @@ def test_searches_stop_when_certified(spark, monkeypatch):
     assert query(spark, rows) == mined(rows)
 
 
+def test_visits_ship_an_anchor_once_a_shard():
+    """Before, every visit carried its anchor's vector, and all visits of a batch of anchors were one batch."""
+    rng = np.random.default_rng(9)
+    books = [rng.normal(size=(32, 32)) for _ in range(2)]
+    index = multi_index.Index(64, books, [np.ones(32)] * 2, np.full((32, 32), 300))
+    rows = index.rows.reshape(-1)
+    cell, block, shard = multi_index._shards(rows, 20)
+    assert len(cell) == 1024 and not block.any() and np.bincount(shard).max() * 300 < 1.1 * rows.sum() / 20
+    in_shard = np.unique(cell * 20 + shard)
+    shared = SimpleNamespace(value=(index, np.searchsorted(in_shard // 20, np.arange(1025)), in_shard % 20))
+    n = 1000
+    vectors = (256 * rng.normal(size=(n, 64))).astype(np.int32)
+    batch = pa.record_batch({"key": np.arange(n), "id": np.arange(n), "label": np.zeros(n, np.int64), "data": pa.array([v.tobytes() for v in vectors], pa.binary()),
+                             "low": [[-5, 7]] * n, "high": [[5]] * n, "seen": [0] * n, "least": pa.array([None] * n, pa.int64()), "most": pa.array([None] * n, pa.int64())})
+    visits, size = [], []
+    for out in multi_index._visit_rows(shared, 1024)(iter([batch])):
+        size.append(out.nbytes)
+        for r in out.to_pylist():
+            key, at = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["members"], np.int32)
+            assert np.array_equal(np.frombuffer(r["data"], np.int32).reshape(-1, 64), vectors[key])
+            assert np.frombuffer(r["low"], np.int64).reshape(-1, 2).tolist() == [[-5, 7]] * len(key)
+            visits.extend(zip(key[at].tolist(), np.frombuffer(r["cells"], np.int32).tolist(), [r["shard"]] * len(at)))
+    assert sorted(visits) == [(k, c, s) for k in range(n) for c, s in enumerate(shard.tolist())]
+    assert max(size) < 2 * multi_index.TILE_BYTES and sum(size) < 8.2 * n * 1024 + 21 * n * (64 * 4 + 3 * 8 + 4 * 8)
+
+
+def test_best_rows_of_a_tile():
+    """Ties go to the smaller id, ranges may overlap or be empty, and a shard's best do not depend on how often they are cut."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(-3, 4, (200, 4))
+    ids, labels = rng.permutation(200), rng.integers(0, 3, 200)
+    low, high = np.array([[-9, 4, 1]] * 30), np.array([[9, 20, 0]] * 30)
+    cells, members = np.repeat(np.arange(4), 30), np.tile(np.arange(30), 4)
+    held = {c: [(ids[c * 50:c * 50 + 50], labels[c * 50:c * 50 + 50], x[c * 50:c * 50 + 50])] for c in range(4)}
+    for same in (True, False):
+        want = set()
+        for q in range(30):
+            s = sorted((-int(x[q] @ x[c]), int(ids[c])) for c in range(200) if ids[c] != ids[q] and (labels[c] == labels[q]) == same)
+            want |= {(q, w, i, -v) for w in range(3) for v, i in [(v, i) for v, i in s if low[q, w] <= -v <= high[q, w]][:5]}
+        for most in (50, 1 << 20):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(multi_index, "PRODUCTS", most)
+                got = multi_index._tile_best(held, cells, members, ids[:30], labels[:30], x[:30], low, high, same, 5)
+            assert set(zip(*(c.tolist() for c in got[0]))) == want
+
+
 def test_small_and_empty_vector_tables(spark):
     assert query(spark, []) == []
     rows = [(0, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [0.9, 1.8], 2), (50, [-1.0, 0.0], 5), (50, [-1.0, 0.0], 5)]

@@ -8,8 +8,11 @@ an anchor's half score from above by ``<a, c> + |a| r`` and from below by
 
 An anchor visits cells in descending order of the upper bound, which the
 multi-sequence heap over its two sorted lists of half bounds yields one by
-one. It goes by rounds, each a join of (cell, block) with the tiles of anchors
-that visit it next, and a scoring pass in matrix products; it stops when its
+one. It goes by rounds. The blocks of cells are dealt to shards of about
+``SHARD_ROWS`` rows; a round ships a tile of anchors once to each shard that it
+visits next, with the list of its visits, and a task scores them in matrix
+products against the cells of its shard. A task holds one shard, one tile and
+one product at a time, whatever the table's size. An anchor stops when its
 result is certified: no cell not yet visited can hold a row that belongs to
 it. First the positives are searched (the best rows of the same label), then
 the windows of all positives of an anchor together (the best rows of other
@@ -20,6 +23,7 @@ are exact; the sample only affects how early the rounds stop.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.llm.tables import parts_for, written
+from tillage.llm.tables import dropped, parts_for, recorded, released, written
 from tillage.llm.topk import _products
 
 SCALE = 256
@@ -37,6 +41,10 @@ ROWS_A_CELL = 256
 MOST_CODES = 256
 BLOCK = 4096
 TILE = 512
+SHARD_ROWS = 16_384
+VISITS = 1 << 20
+PRODUCTS = 1 << 20
+TILE_BYTES = 8 << 20
 FIRST_CELLS = 16
 GROWTH = 4
 
@@ -117,81 +125,184 @@ def cells_by_bound(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[floa
             heapq.heappush(heap, (-(first[f[i + 1]] + second[s[0]]), i + 1, 0))
 
 
-def _visit_rows(index, cells: int):
-    """Each anchor's next cells, while its result is open: up to ``cells`` places of its order, those already seen left out.
+_TILES = ("shard int, kind int, cell int, cells binary, members binary, keys binary, ids binary, labels binary, data binary, "
+          "low binary, high binary, ranges int")
+_TILE_NAMES = [c.split()[0] for c in _TILES.split(", ")]
+
+
+def _shards(rows: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, block, shard) of every block of the cells, which hold ``rows``: shards of as many rows each, give or take a block."""
+    blocks = -(-rows // BLOCK)
+    cell = np.repeat(np.arange(len(rows)), blocks)
+    block = np.arange(len(cell)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    first = np.repeat(np.cumsum(rows) - rows, blocks) + block * rows[cell] // blocks[cell]
+    return cell, block, first * shards // max(1, int(rows.sum()))
+
+
+_STATE = ("data", "seen", "least", "most")
+
+
+def _next_cells(ix: Index, data: bytes, seen: int, least: int | None, most: int | None, cells: int) -> Iterator[tuple[int, int]]:
+    """An anchor's next cells, while its result is open: up to ``cells`` places of its order, those already seen left out.
 
     ``least``: a row below it belongs to no result any more (null: any row
     may); ``most``: a row above it belongs to none."""
+    upper, lower = ix.bounds(_unpack(data, 1, ix.dim)[0].astype(np.float64))
+    place = 0
+    for bound, i, j in cells_by_bound(*upper):
+        if place >= cells or least is not None and bound < least:
+            return
+        if ix.rows[i, j] and (place := place + 1) > seen and (most is None or lower[0][i] + lower[1][j] <= most):
+            yield i, j
+
+
+def _open_rows(shared, cells: int):
+    """One row if any anchor has a next cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        width = len(ix.books[1])
+        found = False
         for b in batches:
-            keys, out = [], []
-            for row, (data, seen, least, most) in enumerate(zip(*(b.column(c).to_pylist() for c in ("data", "seen", "least", "most")))):
-                upper, lower = ix.bounds(_unpack(data, 1, ix.dim)[0].astype(np.float64))
-                place = 0
-                for bound, i, j in cells_by_bound(*upper):
-                    if place >= cells or least is not None and bound < least:
-                        break
-                    if ix.rows[i, j] and (place := place + 1) > seen and (most is None or lower[0][i] + lower[1][j] <= most):
-                        keys.append(row)
-                        out.append(i * width + j)
-            taken = b.take(pa.array(keys, pa.int64()))
-            yield pa.record_batch([pa.array(out, pa.int32()), *[taken.column(c) for c in ("key", "id", "label", "data", "low", "high")]],
-                                  names=["cell", "key", "id", "label", "data", "low", "high"])
+            if not found and any(next(_next_cells(shared.value[0], *r, cells), None) for r in zip(*(b.column(c).to_pylist() for c in _STATE))):
+                found = True
+                yield pa.record_batch([pa.array([True])], names=["open"])
     return run
 
 
-def _grouped_rows(by: tuple[str, ...], most: int, dim: int, lists: tuple[str, ...]):
-    """One row per run of equal ``by`` of at most ``most`` rows: ids, labels and vectors as arrays of bytes, other columns as lists."""
-    fields = [pa.field(c, pa.int32()) for c in by] + [pa.field(c, pa.binary()) for c in ("keys", "ids", "labels", "data")]
-    fields += [pa.field(c, pa.list_(pa.list_(pa.int64()))) for c in lists]
+def _visit_rows(shared, cells: int):
+    """Tiles of anchors with their next cells, a row for each shard that has some."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, off, shard_of = shared.value
+        width = len(ix.books[1])
+        tile = max(1, min(TILE, VISITS // cells))
+        for b in (b.slice(at, tile) for b in batches for at in range(0, b.num_rows, tile)):
+            member, visited = array("i"), array("i")
+            for row, r in enumerate(zip(*(b.column(c).to_pylist() for c in _STATE))):
+                for i, j in _next_cells(ix, *r, cells):
+                    member.append(row)
+                    visited.append(i * width + j)
+            if len(visited):
+                yield from _tiles(b, np.array(member, np.int32), np.array(visited, np.int32), off, shard_of, ix.dim)
+    return run
 
+
+def _tiles(b: pa.RecordBatch, member: np.ndarray, cell: np.ndarray, off: np.ndarray, shard_of: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard: its cells and the members that visit them, ordered by cell, and these members' vectors and ranges."""
+    size = (off[1:] - off[:-1])[cell]
+    at = np.repeat(np.arange(len(cell)), size)
+    shard = shard_of[np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + off[cell[at]]]
+    order = np.lexsort((member[at], cell[at], shard))
+    shard, cell, member = shard[order], cell[at[order]], member[at[order]]
+    key, ids, label = (np.array(b.column(c).to_pylist(), np.int64) for c in ("key", "id", "label"))
+    data = np.concatenate([_unpack(d, 1, dim) for d in b.column("data").to_pylist()])
+    lows, highs = b.column("low").to_pylist(), b.column("high").to_pylist()
+    ranges = max(map(len, lows))
+    low, high = np.ones((len(key), ranges), np.int64), np.zeros((len(key), ranges), np.int64)  # what an anchor lacks is an empty range
+    for i, (x, y) in enumerate(zip(lows, highs)):
+        low[i, :len(x)], high[i, :len(y)] = x, y
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+    rows: list[tuple] = []
+    held = 0
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        own, place = np.unique(member[lo:hi], return_inverse=True)
+        rows.append((int(shard[lo]), 1, None, cell[lo:hi].tobytes(), place.astype(np.int32).tobytes(), key[own].tobytes(), ids[own].tobytes(),
+                     label[own].tobytes(), _pack(data[own]), low[own].tobytes(), high[own].tobytes(), ranges))
+        held += sum(len(x) for x in rows[-1] if isinstance(x, bytes))
+        if held > TILE_BYTES or hi == len(shard):
+            kinds = [pa.int32()] * 3 + [pa.binary()] * 8 + [pa.int32()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=_TILE_NAMES)
+            rows, held = [], 0
+
+
+def _block_rows(most: int, dim: int):
+    """One row per run of equal (cell, block) of at most ``most`` rows: ids, labels and vectors as arrays of bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
-        def group():
-            key, ids, label, data, *rest = zip(*rows)
+        def block():
+            ids, label, data = zip(*rows)
             vectors = np.concatenate([_unpack(d, 1, dim) for d in data])
-            cols = [[x] for x in now] + [[np.array(c, np.int64).tobytes()] for c in (key, ids, label)] + [[_pack(vectors)]] + [[list(r)] for r in rest]
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, fields)], names=[f.name for f in fields])
+            return pa.record_batch([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), *[
+                pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), np.array(label, np.int64).tobytes(), _pack(vectors))]],
+                names=["cell", "block", "ids", "labels", "data"])
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in (*by, "key", "id", "label", "data", *lists))):
-                if r[:len(by)] != now or len(rows) >= most:
+            for r in zip(*(b.column(c).to_pylist() for c in ("cell", "block", "id", "label", "data"))):
+                if r[:2] != now or len(rows) >= most:
                     if rows:
-                        yield group()
-                    now, rows = r[:len(by)], []
-                rows.append(r[len(by):])
+                        yield block()
+                    now, rows = r[:2], []
+                rows.append(r[2:])
         if rows:
-            yield group()
+            yield block()
     return run
 
 
+def _best(found: list[tuple], k: int) -> list[tuple]:
+    """Of (anchor, range, id, score) arrays the best ``k`` rows of each anchor and range: higher scores first, ties to the smaller id."""
+    if not found:
+        return []
+    q, w, ids, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, ~score, w, q))
+    q, w = q[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (w[1:] != w[:-1])]))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
+    keep = place < k
+    return [(q[keep], w[keep], ids[order][keep], score[order][keep])]
+
+
 def _scored_rows(dim: int, same: bool, k: int):
-    """For each anchor of a tile and each of its score ranges, the block's best ``k`` rows of the same or of other labels in the range."""
+    """For each anchor of a tile and each of its score ranges, the shard's best ``k`` rows of the same or of other labels in the range.
+
+    A shard's blocks come before its tiles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
         for b in batches:
-            for r in b.to_pylist():
-                key, qid, qlabel, cid, clabel = (np.frombuffer(r[c], np.int64) for c in ("q_keys", "q_ids", "q_labels", "ids", "labels"))
-                s = _products(_unpack(r["q_data"], len(qid), dim), _unpack(r["data"], len(cid), dim))
-                order = np.argsort(cid, kind="stable")
-                cid, clabel, s = cid[order], clabel[order], s[:, order]
-                out = []
-                for q in range(len(qid)):
-                    fits = (cid != qid[q]) & ((clabel == qlabel[q]) == same)
-                    for w, (low, high) in enumerate(zip(r["low"][q], r["high"][q])):
-                        at = np.flatnonzero(fits & (s[q] >= low) & (s[q] <= high))
-                        if len(at) > k:
-                            edge = np.partition(s[q, at], len(at) - k)[len(at) - k]
-                            above = at[s[q, at] > edge]
-                            at = np.concatenate([above, at[s[q, at] == edge][:k - len(above)]])
-                        out.extend((key[q], w, c, v) for c, v in zip(cid[at].tolist(), s[q, at].tolist()))
-                cols = list(zip(*out)) or [[], [], [], []]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
-                                      names=["key", "w", "vec_id", "score"])
+            for i in range(b.num_rows):
+                shard, kind, cell, ranges = (b.column(c)[i].as_py() for c in ("shard", "kind", "cell", "ranges"))
+                if shard != now:
+                    now, held = shard, {}
+                ids, labels = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in ("ids", "labels"))
+                data = _unpack(b.column("data")[i].as_buffer(), len(ids), dim)
+                if kind == 0:
+                    order = np.argsort(ids, kind="stable")  # copies: the batch is given back
+                    held.setdefault(cell, []).append((ids[order], labels[order], data[order]))
+                    continue
+                cells, members = (np.frombuffer(b.column(c)[i].as_buffer(), np.int32) for c in ("cells", "members"))
+                key, low, high = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in ("keys", "low", "high"))
+                found = _tile_best(held, cells, members, ids, labels, data, low.reshape(-1, ranges), high.reshape(-1, ranges), same, k)
+                for q, w, vec, score in found:
+                    yield pa.record_batch([pa.array(key[q]), pa.array(w.astype(np.int32)), pa.array(vec), pa.array(score)],
+                                          names=["key", "w", "vec_id", "score"])
     return run
 
 
+def _tile_best(held: dict, cells: np.ndarray, members: np.ndarray, ids: np.ndarray, labels: np.ndarray, data: np.ndarray,
+               low: np.ndarray, high: np.ndarray, same: bool, k: int) -> list[tuple]:
+    """The best ``k`` (anchor, range, id, score) of a tile's visits to the cells that ``held`` has."""
+    some = low <= high
+    least = np.where(some, low, np.iinfo(np.int64).max).min(axis=1)
+    most = np.where(some, high, np.iinfo(np.int64).min).max(axis=1)
+    found: list[tuple] = []
+    size = 0
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
+    for a, z in zip(cut[:-1], cut[1:]):
+        for cid, clabel, vectors in held.get(int(cells[a]), ()):
+            step = max(1, PRODUCTS // len(cid))
+            for who in (members[at:min(z, at + step)] for at in range(a, z, step)):
+                s = _products(data[who], vectors)
+                q, c = np.nonzero((s >= least[who, None]) & (s <= most[who, None]))
+                fits = (cid[c] != ids[who[q]]) & ((clabel[c] == labels[who[q]]) == same)
+                q, c = q[fits], c[fits]
+                s, q, c = s[q, c], who[q], cid[c]
+                for w in range(low.shape[1]):
+                    at = np.flatnonzero((s >= low[q, w]) & (s <= high[q, w]))
+                    if len(at):
+                        found.append((q[at], np.full(len(at), w), c[at], s[at]))
+                        size += len(at)
+                if size > PRODUCTS:
+                    found = _best(found, k)
+                    size = 0
+    return _best(found, k)
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str, label: Column) -> DataFrame:
     fine = F.forall(F.col("vector"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), label.alias("label"))
@@ -227,10 +338,10 @@ def build_index(rows: DataFrame, scale: int, sample: int = SAMPLE, rows_a_cell:
         radii[0][i], radii[1][j] = max(radii[0][i], r.d1 * (1 + 1e-9)), max(radii[1][j], r.d2 * (1 + 1e-9))
     blocks = spark.createDataFrame([(int(c), int(-(-n // BLOCK))) for c, n in enumerate(counts.reshape(-1)) if n], "cell int, blocks int")
     dealt = (coded.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), "blocks").cast("int"))
-             .select("cell", "block", "id", "label", "data", F.lit(0).cast("long").alias("key")))
+             .select("cell", "block", "id", "label", "data"))
     parts = parts_for(spark, n, 50_000)
     made_blocks = written(dealt.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(
-        _grouped_rows(("cell", "block"), 2 * BLOCK, dim, ()), "cell int, block int, keys binary, ids binary, labels binary, data binary").drop("keys"))
+        _block_rows(2 * BLOCK, dim), "cell int, block int, ids binary, labels binary, data binary"))
     return Index(dim, books, radii, counts), made_blocks
 
 
@@ -239,27 +350,29 @@ def _search(anchors: DataFrame, index: Index, blocks: DataFrame, same: bool, k:
 
     ``anchors``: key, id, label, data and the ranges ``low``, ``high``; empty ranges are left out of ``least`` and ``most``."""
     spark = anchors.sparkSession
-    shared = spark.sparkContext.broadcast(index)
-    n_cells = int((index.rows > 0).sum())
-    per_cell = spark.createDataFrame([(c, int(-(-n // BLOCK))) for c, n in enumerate(index.rows.reshape(-1).tolist()) if n], "cell int, blocks int")
+    rows = index.rows.reshape(-1)
+    n_cells, n_anchors, shards = int((rows > 0).sum()), anchors.count(), parts_for(spark, int(rows.sum()), SHARD_ROWS)
+    cell, block, shard = _shards(rows, shards)
+    in_shard = np.unique(cell * shards + shard)  # the shards of each cell, one after another
+    shared = spark.sparkContext.broadcast((index, np.searchsorted(in_shard // shards, np.arange(len(rows) + 1)), in_shard % shards))
+    places = spark.createDataFrame(list(zip(cell.tolist(), block.tolist(), shard.tolist())), "cell int, block int, shard int")
+    missing = {c: F.lit(None).cast("binary") for c in ("cells", "members", "keys", "low", "high")}
+    held = blocks.join(F.broadcast(places), ["cell", "block"]).withColumns(missing | {"kind": F.lit(0), "ranges": F.lit(0)}).select(*_TILE_NAMES)
     ranges = F.filter(F.arrays_zip("low", "high"), lambda r: r["low"] <= r["high"])
     state = (anchors.withColumn("ranges", ranges).where(F.size("ranges") > 0)
              .withColumn("least", F.array_min(F.col("ranges.low"))).withColumn("most", F.array_max(F.col("ranges.high"))).drop("ranges"))
     best = Window.partitionBy("key", "w").orderBy(F.col("score").desc(), "vec_id")
-    found, seen, cells, tables = None, 0, FIRST_CELLS, []
+    found, seen, cells = None, 0, FIRST_CELLS
     while seen < n_cells:
-        visits = written(state.withColumn("seen", F.lit(seen)).mapInArrow(_visit_rows(shared, cells), (
-            "cell int, key long, id long, label long, data binary, low array<long>, high array<long>")))
-        total = visits.count()
-        if total:
-            tiles = visits.repartition(parts_for(spark, total, 100_000), "cell", F.pmod(F.xxhash64("key"), F.lit(64))).sortWithinPartitions("cell").mapInArrow(
-                _grouped_rows(("cell",), TILE, index.dim, ("low", "high")),
-                "cell int, keys binary, ids binary, labels binary, data binary, low array<array<long>>, high array<array<long>>")
-            asked = tiles.select("cell", *[F.col(c).alias(f"q_{c}") for c in ("keys", "ids", "labels", "data")], "low", "high").join(
-                F.broadcast(per_cell), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-            scored = asked.join(blocks, ["cell", "block"]).mapInArrow(_scored_rows(index.dim, same, k), "key long, w int, vec_id long, score long")
+        parts = parts_for(spark, n_anchors * min(cells, n_cells), VISITS)
+        # By a hash of the key: dealt by the key itself, the join's few bytes would stay in a task or two.
+        asked = state.withColumn("seen", F.lit(seen)).repartition(parts, F.xxhash64("key"))
+        if not asked.mapInArrow(_open_rows(shared, cells), "open boolean").isEmpty():
+            tiles = asked.mapInArrow(released(_visit_rows(shared, cells)), _TILES)
+            dealt = held.unionByName(tiles).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
+            scored = dealt.mapInArrow(released(_scored_rows(index.dim, same, k)), "key long, w int, vec_id long, score long")
             merged = scored if found is None else scored.unionByName(found)
-            found = written(merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+            found = written(merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), free=True)
         seen, cells = cells, cells * GROWTH
         if found is not None:
             # A range with k rows is certified once no unseen cell reaches its worst row's score; until then that score is its floor.
@@ -294,8 +407,10 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column | None = None, label: C
     give no rows; nor does an empty table.
     """
     spark = vectors.sparkSession
-    rows = written(_usable(vectors, id_col, vector_col, (F.col(f"`{label_col}`") if label is None else label).cast("long")))
-    index, blocks = build_index(rows, scale)
+    with recorded() as tables:
+        rows = written(_usable(vectors, id_col, vector_col, (F.col(f"`{label_col}`") if label is None else label).cast("long")))
+        index, blocks = build_index(rows, scale)
+        blocks_at = tables[-1]
     dim = index.dim
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +419,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column | None = None, label: C
             yield pa.record_batch([b.column("key"), b.column("id"), b.column("label"), pa.array([_pack(v) for v in x], pa.binary())],
                                   names=["key", "id", "label", "data"])
     asked = rows.where(F.col("id") % 50 == 0 if is_anchor is None else is_anchor).withColumn("key", F.monotonically_increasing_id())
-    anchors = written(asked.select("key", "id", "label", "vector").mapInArrow(packed, "key long, id long, label long, data binary"))
+    anchors = written(asked.select("key", "id", "label", "vector").mapInArrow(packed, "key long, id long, label long, data binary"), free=True)
+    dropped(spark, [t for t in tables if t != blocks_at])  # the blocks and the anchors hold all that is read from here on
     least, most = -(2 ** 63), 2 ** 63 - 1
     whole = anchors.withColumn("low", F.array(F.lit(least))).withColumn("high", F.array(F.lit(most)))
     top = _search(whole, index, blocks, True, positives)
